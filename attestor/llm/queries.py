@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality
+from . import bpe, mixing, quality, warc
 
-_MODULES = (mixing, bpe, quality)
+_MODULES = (mixing, bpe, quality, warc)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
