@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, sharding, warc
+from . import bpe, mixing, quality, sharding, toxicity, warc
 
-_MODULES = (mixing, bpe, quality, warc, sharding)
+_MODULES = (mixing, bpe, quality, warc, sharding, toxicity)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
