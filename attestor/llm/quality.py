@@ -211,7 +211,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that the rules keep."""
     judged = cut(judge(docs, references(docs)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(judged, docs["doc_id"] == judged["kept_id"], "left_semi")
+    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["kept_id"]), "left_semi")
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}
