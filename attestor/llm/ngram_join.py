@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, table
 
 BITS = 40
 LOW = (1 << BITS) // 5
@@ -111,11 +111,6 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return cut(made.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n", "cls", "n_low", "tokens", "sketch"), "sets")
 
 
-def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Marks a narrow table for broadcast if it has at most ``rows`` rows; beyond that it joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def prefix_length(n: Column, percent: int) -> Column:
     """How many first tokens must meet those of a similar set."""
     return n - F.floor((n * percent + 99) / 100) + 1

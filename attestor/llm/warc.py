@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import bounded, cut, shared_dir, table
 
 MIN_REVISIT = 1000
 SEGMENT_BYTES = 16_384
@@ -104,6 +104,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("key"), (F.length(payload) >= MIN_REVISIT).alias("large"))
     copies = keyed.where("large").groupBy("key").agg(F.max("page_id").alias("last"), F.min("page_id").alias("one")).where("last > one").select(F.col("key").alias("copy_key"), "last")
+    # few payloads have copies: while they are, pages don't move
+    copies = bounded(cut(copies, "copies"))
     joined = keyed.join(copies, keyed["key"] == copies["copy_key"], "left")
     return joined.select("page_id", "url", "html", F.when(F.col("large") & (F.col("last") != F.col("page_id")), F.col("last")).alias("refers_to"))
 
