@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, ngram_join, quality, sharding, toxicity, warc
+from . import ann, bpe, mixing, ngram_join, quality, sharding, toxicity, warc
 
-_MODULES = (mixing, bpe, quality, warc, sharding, toxicity, ngram_join)
+_MODULES = (mixing, bpe, quality, warc, sharding, toxicity, ngram_join, ann)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
