@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 
@@ -278,46 +279,49 @@ def _codec(spec: str) -> Codec:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids: the ids of each text."""
-    spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = _codec(spec.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [[int(i) for run in runs for i in run.split(",")] for runs in codec.encode_batch(t or "" for t in b["text"])]})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return digests(docs, path, with_ids=True).select("doc_id", "ids")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     """coded(doc_id, ids) -> doc_id, text."""
     spec = coded.sparkSession.sparkContext.broadcast(vocabulary(path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def text_of(ids: pd.Series) -> pd.Series:
         codec = _codec(spec.value)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [codec.decode(list(i)) for i in b["ids"]]})
+        return ids.map(lambda i: None if i is None else codec.decode(list(i)))
 
-    return coded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return coded.select("doc_id", text_of("ids").alias("text"))
 
 
-def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs(doc_id, text) -> number of ids, and digests of the ids and of the text decoded from them.
+def digests(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """docs(doc_id, text) -> number of ids, and digests of the ids and of the text decoded from them; the ids too, if asked for.
 
-    Encodes and decodes where the text is, so that only digests leave the worker.
+    Encodes and decodes where the text is, so that only results leave the worker.
     """
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _codec(spec.value)
         for b in batches:
-            rows = []
-            for runs in codec.encode_batch(t or "" for t in b["text"]):
-                listed = ",".join(runs)
-                rows.append((listed.count(",") + 1 if runs else 0, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode_runs(runs).encode()).hexdigest()))
-            n, coded, decoded = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": coded, "decoded_sha256": decoded})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for k in range(0, len(b), 500):
+                part, rows = b.iloc[k : k + 500], []
+                for doc_id, runs in zip(part["doc_id"], codec.encode_batch(t or "" for t in part["text"]), strict=True):
+                    listed = ",".join(runs)
+                    ids = [np.fromstring(listed, np.int32, sep=",") if runs else np.zeros(0, np.int32)] * with_ids
+                    n = listed.count(",") + 1 if runs else 0
+                    rows.append((doc_id, n, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode_runs(runs).encode()).hexdigest(), *ids))
+                yield pd.DataFrame(rows, columns=names)
+
+    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # long with nulls would be float in pandas
+    made = asked.mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each row of ``docs``, with the digests that show them to decode."""
+    return digests(docs, with_ids=True)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

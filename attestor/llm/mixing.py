@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, table
+from .common import bounded, cut, n_words, table
 
 BUCKET_ROWS = 4096
 SEED = "mix-1"
@@ -48,17 +48,12 @@ def water_fill(sources: DataFrame, total: float, max_epochs: float = 2.0) -> Dat
     return sources.withColumn("target", F.when(F.lit(weight == 0) | over, cap).otherwise(F.lit(level) * F.col("weight")))
 
 
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Marks a table of at most ``rows`` rows for broadcast; a larger one joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def mix(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     """sizes(doc_id, source, size), targets(source, source_size, n_rows, target) -> with times and taken for each document.
 
     ``sizes`` is read several times and should be a written table.
     """
-    t = small(targets.withColumnRenamed("source", "t_source"))
+    t = bounded(targets.withColumnRenamed("source", "t_source"))
     buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
     rows = (
         sizes.join(t, F.col("source").eqNullSafe(F.col("t_source")))
@@ -71,18 +66,18 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
     line, piece = ["t_source", "short"], ["t_source", "short", "bucket"]
     sums = rows.groupBy(*piece).agg(F.sum("size").alias("s"))
     ahead = Window.partitionBy(*line).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = small(sums.select(*(F.col(c).alias(f"b_{c}") for c in piece), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset")))
+    sums = bounded(sums.select(*(F.col(c).alias(f"b_{c}") for c in piece), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("offset")))
     within = Window.partitionBy(*piece).orderBy("digest", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(within)).join(sums, F.col("t_source").eqNullSafe(F.col("b_t_source")) & (F.col("short") == F.col("b_short")) & (F.col("bucket") == F.col("b_bucket")))
     placed = cut(placed.select("doc_id", F.col("t_source").alias("source"), "size", "source_size", "target", "whole", "want", "short", (F.col("offset") + F.col("upto") - F.col("size") / 2).alias("middle")), "mix")
 
     longs = placed.where(~F.col("short"))
     of_long = longs.groupBy("source").agg(F.sum("size").alias("long_size"))
-    got = _joined(longs, small(of_long)).groupBy("source").agg(F.sum(F.when(F.col("middle") * F.col("source_size") < F.col("want") * F.col("long_size"), F.col("size")).otherwise(0)).alias("long_got"), F.first("long_size").alias("long_size"))
+    got = _joined(longs, bounded(of_long)).groupBy("source").agg(F.sum(F.when(F.col("middle") * F.col("source_size") < F.col("want") * F.col("long_size"), F.col("size")).otherwise(0)).alias("long_got"), F.first("long_size").alias("long_size"))
     chosen_long = F.col("middle") * F.col("source_size") < F.col("want") * F.col("long_size")
     chosen = F.when(F.col("short"), F.col("middle") < F.col("want") - F.coalesce("long_got", F.lit(0))).otherwise(chosen_long)
     times = F.col("whole") + F.coalesce(chosen, F.lit(False)).cast("long")
-    return _joined(placed, small(got), "left").select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return _joined(placed, bounded(got), "left").select("doc_id", "source", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -106,6 +101,14 @@ def mix_documents(docs: DataFrame, epochs: float = 1.5, max_epochs: float = 2.0)
     return mix(sizes, water_fill(sources, epochs * total, max_epochs))
 
 
+def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it. Rows of one doc_id go as often as the one that goes most."""
+    times = cut(mix_documents(docs).groupBy("doc_id").agg(F.max("times").cast("int").alias("times")).where("times > 0"), "times")
+    times = times.withColumnRenamed("doc_id", "taken_id")
+    taken = docs.join(bounded(times), docs["doc_id"].eqNullSafe(F.col("taken_id")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 

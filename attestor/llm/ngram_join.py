@@ -232,10 +232,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group of similar documents (five words, 0.8)."""
+    """``docs`` without the rows whose group of similar documents (five words, 0.8) has a smaller doc_id."""
     groups = join_groups(docs, 5, 80)
-    first = cut(groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct(), "first")
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi")
+    others = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct(), "others")
+    return docs.join(bounded(others), docs["doc_id"] == F.col("other_id"), "left_anti")
 
 
 NGRAM_SQL = """

@@ -63,6 +63,11 @@ def base_stats(text: str | None, words: list[str]) -> tuple[int, int, int, int,
     return len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), len(lines) - len(set(lines)), repeated
 
 
+def base_failed(stats: tuple[int, int, int, int, int]) -> bool:
+    """Fewer than 50 words, or more than half of them in repeated windows."""
+    return stats[0] < 50 or 100 * stats[4] > 50 * stats[0]
+
+
 _CLASS_OF = {c: 0 for c in "abcdefghijklmnopqrstuvwxyz"} | {c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: 2 for c in "0123456789"} | {c: 3 for c in " \t\n\r\x0b\x0c"} | {c: 4 for c in ".,;:'\"?()-"}
 
 
@@ -193,14 +198,16 @@ def judge(docs: DataFrame, refs: dict, max_char: float = MAX_CHAR_DISTANCE, max_
             for text, lang in zip(b["text"], b["lang"], strict=True):
                 words = split_words(text or "")
                 stats = base_stats(text, words)
-                failed = stats[0] < 50 or 100 * stats[4] > 50 * stats[0]
+                failed = base_failed(stats)
                 char_d, word_d, good = verdict(text or "", words, lang, refs_b.value, max_char, max_word)
                 rows.append((*stats, failed, good and not failed, char_d, word_d))
             out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text", "lang").mapInPandas(run, f"doc_id long, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double")
+    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")  # long with nulls would be float in pandas
+    made = asked.mapInPandas(run, f"doc_id string, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,9 +216,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    judged = cut(judge(docs, references(docs)).where("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(judged, docs["doc_id"].eqNullSafe(judged["kept_id"]), "left_semi")
+    """The rows of ``docs`` that the rules keep; the references are those of ``docs``."""
+    refs = spark.sparkContext.broadcast(references(docs))
+
+    @F.pandas_udf("boolean")
+    def good(text: pd.Series, lang: pd.Series) -> pd.Series:
+        kept = []
+        for t, of in zip(text, lang, strict=True):
+            words = split_words(t or "")
+            kept.append(not base_failed(base_stats(t, words)) and verdict(t or "", words, of, refs.value, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)[2])
+        return pd.Series(kept, dtype=bool)
+
+    return docs.where(good("text", "lang"))
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}

@@ -295,7 +295,8 @@ def score(docs: DataFrame, words: dict[str, float], stems: dict[str, float], thr
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": [scorer.score(t) for t in b["text"]]})
 
-    scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")  # long with nulls would be float in pandas
+    scored = asked.mapInPandas(run, "doc_id string, held_out boolean, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
