@@ -9,7 +9,8 @@ threshold. Candidates must do so under three different orders:
   hash range are ever counted, since prefixes seldom reach further: a document
   whose prefix does posts further tokens by itself.
 - orders 2 and 3 are other hashes of the same tokens; a candidate that shares no
-  prefix token under one of them is dropped before its sets are compared.
+  prefix token under one of them is dropped before its sets are compared. Before
+  its sets are even fetched, sizes and parity sketches must leave room for a link.
 
 What is left is verified on the whole sets, exactly.
 
@@ -139,9 +140,21 @@ def postings(reps: DataFrame, percent: int) -> DataFrame:
     return cut(both.where("c > 1"), "postings")
 
 
+def may_link(a: str, b: str, percent: int) -> Column:
+    """A bound: whether sizes and sketches of the rows with suffixes ``a`` and ``b`` leave room for a link.
+
+    Similar sets differ in at most (1 - t) / (1 + t) of their tokens together, and their sketches in no more cells.
+    """
+    apart = sum((F.bit_count(F.get(f"sketch{a}", F.lit(k)).bitwiseXOR(F.get(f"sketch{b}", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+
 def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) of rows, those that are linked: candidates under orders 2 and 3 too, then by their whole sets."""
-    pairs = cut(pairs.distinct(), "pairs")
+    """Of pairs(a, b) of rows, those that are linked: by sizes and sketches, as candidates under orders 2 and 3 too, then by their whole sets."""
+    slim = lambda c: reps.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    pairs = pairs.distinct().join(slim("a"), "a").join(slim("b"), "b").where(may_link("_a", "_b", percent))
+    pairs = cut(pairs.select("a", "b"), "pairs")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("i_row")).distinct()
     sets = reps.select("row", "tokens").join(bounded(involved), F.col("row") == F.col("i_row"), "left_semi")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
@@ -211,11 +224,7 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
     split = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
     named = named.join(split, "token", "left_semi").join(sizes, F.col("row") == F.col("s_row")).select("row", "token", "comp", "n", "sketch")
     one, other = named.select(*(F.col(c).alias(f"{c}_a") for c in named.columns)), named.select(*(F.col(c).alias(f"{c}_b") for c in named.columns))
-    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
-    both_n = F.col("n_a") + F.col("n_b")
-    # similar sets differ in at most (1 - t) / (1 + t) of their tokens together
-    near = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * apart <= (100 - percent) * both_n)
-    pairs = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("row_a") < F.col("row_b")) & (F.col("comp_a") != F.col("comp_b")) & near)
+    pairs = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("row_a") < F.col("row_b")) & (F.col("comp_a") != F.col("comp_b")) & may_link("_a", "_b", percent))
     more = verified(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), reps, percent)
     if not more.isEmpty():
         comps = components(links.unionByName(more))
