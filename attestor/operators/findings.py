@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .scoring import is_site_finding
 
 FOUND = ("CONFIRMED", "LIKELY")
-#: What a check can end with, besides being found or not.
-ISSUES = "blocked login_required rate_limited provider_unavailable inconclusive session_expired challenge_required captcha_required temporarily_limited".split()
+#: What a check can end with that is an issue of collection.
+ISSUES = "blocked login_required rate_limited provider_unavailable session_expired challenge_required captcha_required temporarily_limited oauth_browser_rejected".split()
 #: Groups of statuses that leave a check open.
 BUCKETS = {
     "blocked": ("BLOCKED", "CHALLENGE_REQUIRED", "CAPTCHA_REQUIRED", "OAUTH_BROWSER_REJECTED"),
@@ -22,7 +22,7 @@ CONFIDENCE_RANK = {"LOW": 1, "MEDIUM": 2, "HIGH": 3, "CONFIRMED": 4}
 def status_counts(findings: DataFrame, *keys: str) -> DataFrame:
     """How many site checks ended in each status."""
     status = F.col("check_status")
-    counts = [F.count_if(status == s.upper()).alias(s) for s in ("confirmed", "likely", "not_found", *ISSUES, "oauth_browser_rejected")]
+    counts = [F.count_if(status == s.upper()).alias(s) for s in ("confirmed", "likely", "not_found", "inconclusive", *ISSUES)]
     return findings.where(is_site_finding()).groupBy(*keys).agg(F.count("*").alias("checked"), F.count_if(status.isin(*FOUND)).alias("found"), *counts)
 
 

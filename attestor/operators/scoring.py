@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Titles of summary findings, which are no site's.
-SUMMARY_TITLES = ("Username sweep", "Username summary")
+SUMMARY_TITLES = ("Username sweep", "Identity correlation")
 SOURCE_MODULES = ("dns", "rdap", "crtsh", "certificates")
 LEVELS = ("LOW", "SUSPICIOUS", "HIGH_RISK", "CONFIRMED_BY_PROVIDER")
 

@@ -7,7 +7,7 @@ from attestor.operators import scoring
 
 from . import views
 
-SITE = "module = 'username' AND title NOT IN ('Username sweep', 'Username summary')"
+SITE = "module = 'username' AND title NOT IN ('Username sweep', 'Identity correlation')"
 MEASURES = f"""v_measures AS (SELECT case_id, min(target_type) AS target_type,
   count(*) FILTER ({SITE} AND check_status = 'CONFIRMED') AS confirmed, count(*) FILTER ({SITE} AND check_status = 'LIKELY') AS likely,
   count(*) FILTER (status = 'FOUND' AND module IN ('dns', 'rdap', 'crtsh', 'certificates') AND confidence IN ('CONFIRMED', 'HIGH')) AS source_backed,
@@ -33,7 +33,7 @@ def _scores(columns: str, where: str = "true"):
     return query, f"WITH {views.FINDINGS}, {MEASURES} SELECT {columns} FROM v_scores WHERE {where}"
 
 
-_COUNTS = ["confirmed", "likely", "not_found", *ops.ISSUES, "oauth_browser_rejected"]
+_COUNTS = ["confirmed", "likely", "not_found", "inconclusive", *ops.ISSUES]
 COUNTS_SQL = f"SELECT case_id, count(*) AS checked, count(*) FILTER (check_status IN ('CONFIRMED', 'LIKELY')) AS found, {', '.join(f'count(*) FILTER (check_status = {s.upper()!r}) AS {s}' for s in _COUNTS)} FROM v_findings WHERE {SITE} GROUP BY case_id"
 BUCKET_SQL = "CASE WHEN check_status IN ('CONFIRMED', 'LIKELY') THEN 'found' WHEN check_status = 'NOT_FOUND' THEN 'not_found' " + " ".join(f"WHEN check_status IN {m!r} THEN {n!r}" for n, m in ops.BUCKETS.items()) + " ELSE 'inconclusive' END"
 _NAMES = ("found", "not_found", *ops.BUCKETS, "inconclusive")
