@@ -34,7 +34,7 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     task's reading, and a step that is used twice is computed once.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

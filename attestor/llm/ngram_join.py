@@ -83,14 +83,30 @@ def shingle_hashes(text: str | None, width: int, hashes: _WordHashes) -> np.ndar
     return np.unique((h >> np.uint64(64 - BITS)).astype(np.int64))
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the tokens in 64 * SKETCH_WORDS cells: two sketches differ in no more cells than the sets in tokens."""
-    bits = np.bincount(tokens % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS).astype(np.uint8) & 1
+def sketch(tokens: np.ndarray, cells: int = 64 * SKETCH_WORDS) -> np.ndarray:
+    """Parities of the tokens in that many cells: two sketches differ in no more cells than the sets in tokens."""
+    bits = np.bincount(tokens & (cells - 1), minlength=cells).astype(np.uint8) & 1
     return np.packbits(bits).view(np.int64)
 
 
+def wide_cells(n: int) -> int:
+    """Cells of a sketch that tells sets of n tokens apart: a power of two of at least n, and of the narrow sketch's."""
+    return max(64 * SKETCH_WORDS, 1 << max(0, n - 1).bit_length())
+
+
+def may_link_wide(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """The bound of ``may_link`` by wide sketches; the wider one is folded, as cells are a token's last bits."""
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs(doc_id, text) -> row, doc_id, n, cls (of equal sets; null if empty), n_low, tokens, sketch. Written."""
+    """docs(doc_id, text) -> row, doc_id, n, cls (of equal sets; null if empty), n_low, tokens, sketch, wide (sketch). Written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -105,11 +121,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     "n_low": [int(np.searchsorted(s, LOW)) for s in sets],
                     "tokens": sets,
                     "sketch": [sketch(s) for s in sets],
+                    "wide": [sketch(s, wide_cells(len(s))) for s in sets],
                 })
 
     ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # long with nulls would be float in pandas
-    made = ids.mapInPandas(run, "doc_id string, n long, cls long, n_low int, tokens array<long>, sketch array<long>")
-    return cut(made.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n", "cls", "n_low", "tokens", "sketch"), "sets")
+    made = ids.mapInPandas(run, "doc_id string, n long, cls long, n_low int, tokens array<long>, sketch array<long>, wide array<long>")
+    return cut(made.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n", "cls", "n_low", "tokens", "sketch", "wide"), "sets")
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -154,7 +171,15 @@ def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) of rows, those that are linked: by sizes and sketches, as candidates under orders 2 and 3 too, then by their whole sets."""
     slim = lambda c: reps.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = pairs.distinct().join(slim("a"), "a").join(slim("b"), "b").where(may_link("_a", "_b", percent))
-    pairs = cut(pairs.select("a", "b"), "pairs")
+    pairs = cut(pairs.select("a", "b", "n_a", "n_b"), "pairs")
+    wide = lambda c: reps.select(F.col("row").alias(c), F.col("wide").alias(f"w_{c}"))
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series([may_link_wide(*row, percent) for row in zip(x, y, n, m, strict=True)], dtype=bool)
+
+    pairs = pairs.join(wide("a"), "a").join(wide("b"), "b").where(near("w_a", "w_b", "n_a", "n_b"))
+    pairs = cut(pairs.select("a", "b"), "near")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("i_row")).distinct()
     sets = reps.select("row", "tokens").join(bounded(involved), F.col("row") == F.col("i_row"), "left_semi")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
