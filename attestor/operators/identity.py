@@ -72,27 +72,28 @@ def compare(records: DataFrame, pairs: DataFrame) -> DataFrame:
     for c, name in FIELDS.items():
         same[f"same_{name}"] = both(c) & (F.col(f"x_{c}") == F.col(f"y_{c}"))
         apart[f"distinct_{name}"] = name_conflict(F.col(f"x_{c}"), F.col(f"y_{c}")) if c == "display_name" else both(c) & (F.col(f"x_{c}") != F.col(f"y_{c}"))
+    # step by step, so that no step's expression is written out in the next one
     j = j.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in (same | apart).items()})
     total = sum((F.when(F.col(k), w).otherwise(0) for k, w in (WEIGHTS | CONFLICTS).items()), F.lit(0))
     strong = F.col("distinct_public_id") | F.col("distinct_public_email") | (F.col("distinct_personal_domain") & F.col("distinct_display_name"))
-    clamped = F.greatest(F.lit(0), F.least(F.lit(100), total))
-    score = F.when(strong, F.least(clamped, F.lit(STRONG_CAP))).otherwise(clamped)
+    j = j.withColumn("total", total).withColumn("strong_conflict", strong)
+    j = j.withColumn("score", F.greatest(F.lit(0), F.least(F.when(F.col("strong_conflict"), STRONG_CAP).otherwise(100), F.col("total"))).cast("long"))
     listed = lambda names: F.array_join(F.array_sort(F.array_compact(F.array(*(F.when(F.col(n), n) for n in names)))), ",")
     return j.select(
         "case_id",
         F.when(swap, F.col("b")).otherwise(F.col("a")).alias("left_ord"),
         F.when(swap, F.col("a")).otherwise(F.col("b")).alias("right_ord"),
-        score.cast("long").alias("score"),
-        band(score).alias("band"),
+        "score",
+        band(F.col("score")).alias("band"),
         listed(WEIGHTS).alias("evidence"),
         listed(CONFLICTS).alias("conflicts"),
-        strong.alias("strong_conflict"),
+        "strong_conflict",
     )
 
 
 def notable_pairs(records: DataFrame) -> DataFrame:
     """All pairs in a band above LOW."""
-    return compare(records, candidate_pairs(records)).where("band <> 'LOW'")
+    return compare(records, candidate_pairs(records)).where("score >= 30")
 
 
 def band_counts(records: DataFrame) -> DataFrame:
