@@ -99,7 +99,9 @@ def notable_pairs(records: DataFrame) -> DataFrame:
 def band_counts(records: DataFrame) -> DataFrame:
     """Pairs in each band and the highest score, for each case; LOW is what remains of n (n - 1) / 2."""
     n = records.groupBy("case_id").agg((F.count("*") * (F.count("*") - 1) / 2).cast("long").alias("pairs"))
-    counts = notable_pairs(records).groupBy("case_id").agg(*(F.count_if(F.col("band") == b).alias(b.lower()) for b in ("STRONG", "LIKELY", "POSSIBLE")), F.max("score").alias("max_score"))
+    # conditions inside the counts: a filter on the score would be carried through all its parts when planning
+    scored = compare(records, candidate_pairs(records)).select("case_id", "score", "band")
+    counts = scored.groupBy("case_id").agg(*(F.count_if(F.col("band") == b).alias(b.lower()) for b in ("STRONG", "LIKELY", "POSSIBLE")), F.max(F.when(F.col("score") >= 30, F.col("score"))).alias("max_score"))
     c = n.join(counts, "case_id", "left").fillna(0, ["strong", "likely", "possible"])
     return c.select("case_id", "pairs", "strong", "likely", "possible", (F.col("pairs") - F.col("strong") - F.col("likely") - F.col("possible")).alias("low"), "max_score")
 
