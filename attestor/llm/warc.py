@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
     made.repartition(max(1, -(-size // archive_bytes)), F.xxhash64("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
-FIELDS = "record_id string, type string, page_id long, refers_to string, origin string, segment int, total long, block binary"
+FIELDS = "record_id string, type string, page_id string, refers_to string, origin string, segment int, total long, block binary"
 
 
 def parse_archive(data: bytes) -> Iterator[tuple]:
@@ -141,7 +141,7 @@ def parse_archive(data: bytes) -> Iterator[tuple]:
             raise ValueError(f"{head.get('WARC-Record-ID')} ends before its length")
         block = data[end + 4 : end + 4 + size]
         page, number, total = head.get("X-Page-Id"), head.get("WARC-Segment-Number"), head.get("WARC-Segment-Total-Length")
-        yield head["WARC-Record-ID"], head["WARC-Type"], page and int(page), head.get("WARC-Refers-To"), head.get("WARC-Segment-Origin-ID"), number and int(number), total and int(total), block
+        yield head["WARC-Record-ID"], head["WARC-Type"], page, head.get("WARC-Refers-To"), head.get("WARC-Segment-Origin-ID"), number and int(number), total and int(total), block
         at = end + 4 + size + len(END)
 
 
@@ -165,10 +165,10 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=[n.split()[0] for n in names])
-        return out.astype({"page_id": "Int64", "segment": "Int32", "total": "Int64"})
+        return out.astype({"segment": "Int32", "total": "Int64"})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(run, FIELDS)
+    return files.mapInPandas(run, FIELDS).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def body_of(block: bytes) -> bytes:
