@@ -50,11 +50,11 @@ def failure_streaks(events: DataFrame, key: str, threshold: int = 3) -> DataFram
 
 
 def spaced(events: DataFrame, key: str, interval: int) -> DataFrame:
-    """events(key, ord, at) -> when each may go so that two of a key are ``interval`` apart: the closed form of going one after the other."""
-    w = Window.partitionBy(key).orderBy("at", "ord")
+    """events(key, ord, at_us) -> when each may go so that two of a key are ``interval`` apart: the closed form of going one after the other."""
+    w = Window.partitionBy(key).orderBy("at_us", "ord")
     n = F.row_number().over(w).cast("long")
-    ahead = F.max(F.col("at") - n * F.lit(interval)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("n", n).withColumn("release", ahead + F.col("n") * F.lit(interval)).withColumn("wait", F.col("release") - F.col("at"))
+    ahead = F.max(F.col("at_us") - n * F.lit(interval)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return events.withColumn("n", n).withColumn("release", ahead + F.col("n") * F.lit(interval)).withColumn("wait", F.col("release") - F.col("at_us"))
 
 
 def cached(writes: DataFrame, ttl: DataFrame, now: str, version: int) -> DataFrame:

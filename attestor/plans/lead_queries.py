@@ -157,7 +157,7 @@ def circuit_breaker(s, d):
 
 
 def spacing(s, d):
-    e = table(s, d, "events").select("user_id", F.col("event_id").alias("ord"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    e = table(s, d, "events").select("user_id", F.col("event_id").alias("ord"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at_us"))
     return runs.spaced(e, "user_id", 600_000_000).withColumn("n", F.col("n").cast("long"))
 
 
@@ -204,7 +204,7 @@ SELECT * FROM a JOIN (SELECT case_id, count(*) AS pivots_proposed, count(*) FILT
     ),
     "spacing": (
         spacing,
-        "WITH e AS (SELECT user_id, event_id AS ord, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT *, max(at - n * 600000000) OVER (PARTITION BY user_id ORDER BY at, ord ROWS UNBOUNDED PRECEDING) + n * 600000000 AS release FROM e) SELECT *, release - at AS wait FROM r",
+        "WITH e AS (SELECT user_id, event_id AS ord, epoch_us(ts) AS at_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), r AS (SELECT *, max(at_us - n * 600000000) OVER (PARTITION BY user_id ORDER BY at_us, ord ROWS UNBOUNDED PRECEDING) + n * 600000000 AS release FROM e) SELECT *, release - at_us AS wait FROM r",
     ),
     "ttl_cache_latest": (
         ttl_cache_latest,
