@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
+    """The folder that the cluster shares, from spark.checkpoint.dir; where that is unset, a temporary one on a single machine (tests)."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
