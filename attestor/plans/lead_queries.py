@@ -172,6 +172,19 @@ def catalog_rollup(s, d):
     return p.groupingSets([[F.col("p_brand")], [F.col("p_type")], []], F.col("p_brand"), F.col("p_type")).agg(F.count("*").alias("sites"), F.sum(F.col("p_size").cast("long")).alias("size"))
 
 
+_AFFIXED = " OR ".join(f"o = q || '_{a}' OR o = '{a}_' || q OR o = q || '-{a}' OR o = '{a}-' || q OR o = q || '.{a}'" for a in ids.AFFIXES)
+MATCH_SQL = f"""WITH b AS (SELECT s_suppkey % 13 AS n FROM supplier), f AS (SELECT unnest(['user_' || n, 'User-' || n, 'user' || n, 'user_' || n || '_real', 'user_' || n || '99', n || '.user', 'user_' || n || '-nyc', '@user_' || n, 'xuser_' || n]) AS observed, unnest(range(0, 9)) AS form FROM b),
+r AS (SELECT DISTINCT 'user_' || c_custkey % 13 AS requested FROM customer), c AS (SELECT DISTINCT requested, observed, form FROM f, r),
+m AS (SELECT *, lower(regexp_replace(trim(requested), '^@+', '')) AS q, lower(regexp_replace(trim(observed), '^@+', '')) AS o FROM c),
+t AS (SELECT *, regexp_replace(q, '[-_.]+', '', 'g') AS jq, regexp_replace(o, '[-_.]+', '', 'g') AS jo, list_filter(string_split_regex(q, '[-_.]+'), lambda x: x <> '') AS tq, list_filter(string_split_regex(o, '[-_.]+'), lambda x: x <> '') AS tobs, length(o) - length(q) AS longer FROM m)
+SELECT requested, observed, form, CASE WHEN q = '' OR o = '' THEN 'UNRELATED' WHEN q = o THEN 'EXACT_MATCH'
+  WHEN regexp_replace(q, '[-_.]+', '_', 'g') = regexp_replace(o, '[-_.]+', '_', 'g') OR (jq <> '' AND jq = jo)
+    OR (regexp_matches(o, '[0-9]') AND (regexp_replace(o, '[_.-]?[0-9]+$', '') = q OR regexp_replace(o, '^[0-9]+[_.-]?', '') = q))
+    OR (jq <> '' AND starts_with(jo, jq) AND regexp_full_match(substr(jo, length(jq) + 1), '[0-9]+')) OR {_AFFIXED}
+    OR (len(tq) >= 2 AND len(tobs) >= 2 AND len(list_filter(tq, lambda x: NOT list_contains(tobs, x))) = 0 AND (len(list_filter(tobs, lambda x: NOT list_contains(tq, x))) = 0 OR len(tobs) <= len(tq) + 2))
+    OR (longer BETWEEN 1 AND 6 AND ((starts_with(o, q) AND substr(o, length(q) + 1, 1) IN ('_', '-', '.')) OR (ends_with(o, q) AND substr(o, longer, 1) IN ('_', '-', '.'))))
+  THEN 'SIMILAR_CANDIDATE' ELSE 'UNRELATED' END AS match FROM t"""
+
 _ALL = {
     "novelty_annotate": (_annotated, f"WITH {ANNOTATED} SELECT * FROM annotated"),
     "pivot_propose": (_pivots, f"WITH {ANNOTATED}, {PIVOTS} SELECT case_id, kind, norm, ord, action, reason IS NULL AS accepted, reason FROM pivots"),
@@ -180,7 +193,7 @@ _ALL = {
         f"""WITH {ANNOTATED}, {PIVOTS}, a AS (SELECT case_id, count(*) AS indicators_extracted, count(*) FILTER (novelty IN ('NOVEL', 'DERIVED')) AS novel_indicators, count(*) FILTER (novelty = 'REDUNDANT') AS redundant_indicators, count(*) FILTER (novelty IN ('NOVEL', 'DERIVED') AND priority > 0 AND kind = 'username') AS new_handles, count(*) FILTER (novelty IN ('NOVEL', 'DERIVED') AND priority > 0 AND kind = 'domain') AS new_domains FROM cased GROUP BY case_id)
 SELECT * FROM a JOIN (SELECT case_id, count(*) AS pivots_proposed, count(*) FILTER (reason IS NULL) AS pivots_executed, count(*) FILTER (reason IS NOT NULL) AS pivots_suppressed FROM pivots GROUP BY case_id) USING (case_id)""",
     ),
-    "username_match_class": (username_match_class, None),
+    "username_match_class": (username_match_class, MATCH_SQL),
     "mention_match": (lambda s, d: discovery.mention_matches(_conv(s, d), _names(s, d)), f"WITH {MENTIONS} SELECT * FROM found"),
     "mention_relevance": (
         lambda s, d: discovery.mention_matches(_conv(s, d), _names(s, d)).groupBy("relevance").agg(F.count("*").alias("mentions"), F.sum("n").alias("places")),

@@ -44,9 +44,8 @@ y AS (SELECT *, CASE WHEN v = '' THEN NULL WHEN {HASH_SQL} IS NOT NULL THEN 'HAS
 
 
 def _tokens(spark, sf_dir):
-    """Words of documents that could be typed values: those with a digit, a dot or an at sign."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("v"))
-    return d.where(F.col("v").rlike("[0-9.@]"))
+    """The words of all documents, as values to type."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("v"))
 
 
 def _typed(spark, sf_dir):
@@ -54,7 +53,7 @@ def _typed(spark, sf_dir):
 
 
 NORM_SQL = f"CASE kind WHEN 'HASH' THEN lower(v) WHEN 'EMAIL' THEN lower(v) WHEN 'ASN' THEN 'AS' || regexp_extract(v, '([0-9]+)$', 1)::BIGINT WHEN 'DOMAIN' THEN domain WHEN 'USERNAME' THEN lower(regexp_replace(v, '^@', '')) WHEN 'PHONE' THEN regexp_replace(v, '[^0-9+]', '', 'g') ELSE v END"
-TOKEN_SQL = f"s AS (SELECT * FROM ({TOKENS}) WHERE regexp_matches(v, '[0-9.@]'))"
+TOKEN_SQL = f"s AS ({TOKENS})"
 
 FLAGS_SQL = f"""list_filter([CASE WHEN contains(h, 'xn--') THEN 'punycode' END, CASE WHEN regexp_matches(h, '[^\\x00-\\x7F]') THEN 'homoglyph_or_unicode' END,
   CASE WHEN regexp_extract(h, '\\.([^.]+)$', 1) IN {_in(urls.SUSPICIOUS_TLDS)} THEN 'suspicious_tld.' || regexp_extract(h, '\\.([^.]+)$', 1) END, CASE WHEN length(h) > 50 THEN 'long_hostname' END,
