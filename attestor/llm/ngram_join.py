@@ -52,7 +52,6 @@ FEW = 8
 HUB_SEEDS = 2
 SKETCH_WORDS = 8
 MAX_WORDS = 1_000_000
-_MASK = np.uint64((1 << 64) - 1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 #: Odd factors that give orders 2 and 3.
