@@ -23,6 +23,10 @@ WEIGHTS = {
     "same_personal_domain": 42,
     "same_public_id": 32,
     "same_public_email": 35,
+    "same_personal_url": 40,
+    "cross_profile_link": 38,
+    "same_avatar_url": 18,
+    "similar_bio": 10,
 }
 CONFLICTS = {
     "distinct_display_name": -28,
@@ -35,8 +39,12 @@ CONFLICTS = {
 BANDS = {80: "STRONG", 60: "LIKELY", 30: "POSSIBLE", 0: "LOW"}
 STRONG_CAP, CLUSTER_MIN = 24, 60
 FIELDS = {"display_name": "display_name", "organization": "organization", "location": "location", "domain": "personal_domain", "public_id": "public_id", "email": "public_email"}
+#: Fields that records may have besides: a normal URL, an avatar's key, a text, the profile's own URL, the URLs it links to.
+OPTIONAL = {"url": "same_personal_url", "avatar": "same_avatar_url", "bio": "similar_bio", "profile_url": "cross_profile_link", "links": "cross_profile_link"}
 #: Without one of these in common the weights of the rest stay below the lowest reported band.
-BLOCKING = ("display_name", "domain", "public_id", "email")
+BLOCKING = ("display_name", "domain", "public_id", "email", "url", "avatar")
+#: Texts about oneself that say nothing.
+GENERIC_BIOS = ("no bio", "none", "n/a", "na", "hello", "hello world", "hey", "available", "this is my bio")
 
 
 def band(score: Column) -> Column:
@@ -52,9 +60,27 @@ def name_conflict(a: Column, b: Column) -> Column:
     return F.coalesce((a != "") & (b != "") & (a != b) & (words(a) >= 2) & (words(b) >= 2) & ~F.contains(a, b) & ~F.contains(b, a), F.lit(False))
 
 
+def similar_bios(a: Column, b: Column) -> Column:
+    """Equal texts, or 0.65 of their words of over three letters in common; short and generic ones are like nothing."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    told = lambda c: (F.length(c) >= 16) & ~c.isin(*GENERIC_BIOS)
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) > 3))
+    x, y = words(plain(a)), words(plain(b))
+    alike = (F.size(x) >= 3) & (F.size(y) >= 3) & (F.size(F.array_intersect(x, y)) >= 0.65 * F.size(F.array_union(x, y)))
+    return told(plain(a)) & told(plain(b)) & ((plain(a) == plain(b)) | alike)
+
+
 def candidate_pairs(records: DataFrame) -> DataFrame:
     """(case_id, a, b: ords of records) that share a blocking key. A key's records meet in one join on case and key, which Spark splits if they are many."""
-    keys = F.array_compact(F.array(*(F.when(F.col(c) != "", F.concat(F.lit(c + ":"), F.col(c))) for c in BLOCKING)))
+    has = records.columns
+    keys = F.array_compact(F.array(*(F.when(F.col(c) != "", F.concat(F.lit(c + ":"), F.col(c))) for c in BLOCKING if c in has)))
+    if "bio" in has:  # a similar text reaches the band only with handle, organization and place together
+        trio = F.concat(F.lit("trio:"), "username", F.lit("|"), "organization", F.lit("|"), "location")
+        keys = F.concat(keys, F.when(trio.isNotNull(), F.array(trio)).otherwise(F.array().cast("array<string>")))
+    if "links" in has and "profile_url" in has:
+        links = F.array_compact(F.array_append(F.coalesce("links", F.array().cast("array<string>")), F.col("profile_url")))
+        keys = F.concat(keys, F.transform(links, lambda u: F.concat(F.lit("link:"), u)))
+    keys = F.array_distinct(keys)
     keyed = records.select("case_id", "ord", F.explode(keys).alias("key"))
     left, right = keyed.withColumnRenamed("ord", "a"), keyed.withColumnRenamed("ord", "b")
     return left.join(right, ["case_id", "key"]).where("a < b").select("case_id", "a", "b").distinct()
@@ -62,7 +88,8 @@ def candidate_pairs(records: DataFrame) -> DataFrame:
 
 def compare(records: DataFrame, pairs: DataFrame) -> DataFrame:
     """Score, band, evidence and conflicts of each pair; left and right in the order of platform and username."""
-    cols = ["platform", "username", *FIELDS]
+    has = set(records.columns)
+    cols = ["platform", "username", *FIELDS, *(c for c in OPTIONAL if c in has)]
     side = lambda ord_, p: records.select("case_id", F.col("ord").alias(ord_), *(F.col(c).alias(f"{p}_{c}") for c in cols))
     j = pairs.join(side("a", "x"), ["case_id", "a"]).join(side("b", "y"), ["case_id", "b"])
     swap = F.struct("x_platform", "x_username") > F.struct("y_platform", "y_username")
@@ -72,9 +99,21 @@ def compare(records: DataFrame, pairs: DataFrame) -> DataFrame:
     for c, name in FIELDS.items():
         same[f"same_{name}"] = both(c) & (F.col(f"x_{c}") == F.col(f"y_{c}"))
         apart[f"distinct_{name}"] = name_conflict(F.col(f"x_{c}"), F.col(f"y_{c}")) if c == "display_name" else both(c) & (F.col(f"x_{c}") != F.col(f"y_{c}"))
+    if "url" in has:
+        same["same_personal_url"] = both("url") & (F.col("x_url") == F.col("y_url"))
+    if "avatar" in has:
+        same["same_avatar_url"] = both("avatar") & (F.col("x_avatar") == F.col("y_avatar"))
+    if "bio" in has:
+        same["similar_bio"] = similar_bios(F.col("x_bio"), F.col("y_bio"))
+    if {"links", "profile_url"} <= has:
+        same["cross_profile_link"] = F.coalesce(F.array_contains("x_links", F.col("y_profile_url")), F.lit(False)) | F.coalesce(F.array_contains("y_links", F.col("x_profile_url")), F.lit(False))
     # step by step, so that no step's expression is written out in the next one
     j = j.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in (same | apart).items()})
-    total = sum((F.when(F.col(k), w).otherwise(0) for k, w in (WEIGHTS | CONFLICTS).items()), F.lit(0))
+    # domain and URL are two views of one website: the stronger one counts
+    weight = {k: F.when(F.col(k), WEIGHTS[k]).otherwise(0) for k in same}
+    if "same_personal_url" in same:
+        weight["same_personal_url"] = F.when(F.col("same_personal_url") & ~F.col("same_personal_domain"), WEIGHTS["same_personal_url"]).otherwise(0)
+    total = sum([*weight.values(), *(F.when(F.col(k), CONFLICTS[k]).otherwise(0) for k in apart)], F.lit(0))
     strong = F.col("distinct_public_id") | F.col("distinct_public_email") | (F.col("distinct_personal_domain") & F.col("distinct_display_name"))
     j = j.withColumn("total", total).withColumn("strong_conflict", strong)
     j = j.withColumn("score", F.greatest(F.lit(0), F.least(F.when(F.col("strong_conflict"), STRONG_CAP).otherwise(100), F.col("total"))).cast("long"))
@@ -85,8 +124,8 @@ def compare(records: DataFrame, pairs: DataFrame) -> DataFrame:
         F.when(swap, F.col("a")).otherwise(F.col("b")).alias("right_ord"),
         "score",
         band(F.col("score")).alias("band"),
-        listed(WEIGHTS).alias("evidence"),
-        listed(CONFLICTS).alias("conflicts"),
+        listed(same).alias("evidence"),
+        listed(apart).alias("conflicts"),
         "strong_conflict",
     )
 

@@ -10,9 +10,10 @@ from . import views
 from .views import table
 
 R, E, V = f"WITH {views.RECORDS}", f"WITH RECURSIVE {views.EDGES}", f"WITH {views.FINDINGS}"
-W, C = identity.WEIGHTS, identity.CONFLICTS
+C = identity.CONFLICTS
 
 _SAME = {"same_username": "x.username = y.username"} | {f"same_{n}": f"x.{c} = y.{c}" for c, n in identity.FIELDS.items()}
+W = {n: identity.WEIGHTS[n] for n in _SAME}
 _APART = {f"distinct_{n}": (f"x.{c} <> y.{c} AND NOT contains(x.{c}, y.{c}) AND NOT contains(y.{c}, x.{c}) AND len(string_split(x.{c}, ' ')) >= 2 AND len(string_split(y.{c}, ' ')) >= 2" if c == "display_name" else f"x.{c} <> y.{c}") for c, n in identity.FIELDS.items()}
 PAIRS = f"""v_flags AS (SELECT x.case_id, x.ord AS xo, y.ord AS yo, (x.platform, x.username) > (y.platform, y.username) AS swap, {', '.join(f'coalesce({c}, false) AS {n}' for n, c in (_SAME | _APART).items())}
   FROM v_records x JOIN v_records y ON x.case_id = y.case_id AND x.ord < y.ord),

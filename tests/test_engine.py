@@ -144,6 +144,23 @@ def test_compare(spark):
     assert identity.clusters(identity.notable_pairs(rec)).count() == 2
 
 
+def test_compare_optional_fields(spark):
+    n = None
+    bio = "I write about distributed storage engines and kernels"
+    rows = [
+        (1, 1, "p1", "u", n, "org", "loc", n, n, n, "https://a.example/x", "k1", bio, "https://s.example/u1", ["https://t.example/u2"]),
+        (1, 2, "p2", "u", n, "org", "loc", n, n, n, "https://a.example/x", n, bio + " too", "https://t.example/u2", n),
+        (1, 3, "p3", "v", n, n, n, n, n, n, n, "k1", "hello", "https://r.example/u3", n),
+        (1, 4, "p4", "u", n, "org", "loc", n, n, n, n, n, bio, n, n),
+    ]
+    cols = "case_id long, ord long, platform string, username string, display_name string, organization string, location string, domain string, public_id string, email string, url string, avatar string, bio string, profile_url string, links array<string>"
+    rec = spark.createDataFrame(rows, cols)
+    got = {(r["left_ord"], r["right_ord"]): r for r in identity.compare(rec, identity.candidate_pairs(rec)).collect()}
+    assert got[1, 2]["score"] == 100 and got[1, 2]["evidence"] == "cross_profile_link,same_location,same_organization,same_personal_url,same_username,similar_bio"
+    assert got[1, 3]["score"] == 18 and got[1, 4]["score"] == 34 and got[1, 4]["band"] == "POSSIBLE"
+    assert (2, 3) not in got
+
+
 def test_graph(spark):
     e = spark.createDataFrame([(1, "a", "b", "X", "Y", "R1", "s", "LOW", "ev1"), (2, "a", "b", "X", "Y", "R2", "t", "HIGH", None), (3, "b", "c", "Y", "Z", "R1", "s", "LOW", None), (4, "c", "a", "Z", "X", "R1", "s", "LOW", None)], "ord long, src string, dst string, src_type string, dst_type string, relation string, source string, confidence string, evidence_id string")
     g = graph.build(e)
