@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, n_words, table
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 SEED = "mix-1"
 
 
