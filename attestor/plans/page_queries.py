@@ -44,8 +44,8 @@ y AS (SELECT *, CASE WHEN v = '' THEN NULL WHEN {HASH_SQL} IS NOT NULL THEN 'HAS
 
 
 def _tokens(spark, sf_dir):
-    """The words of all documents, as values to type."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"\s+")).alias("v"))
+    """The words of all documents with their numbers: each value is typed once, however often it occurs."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("v")).groupBy("v").agg(F.count("*").alias("times"))
 
 
 def _typed(spark, sf_dir):
@@ -100,12 +100,12 @@ def profile_url_shape(s, d):
 
 
 def detect_type(s, d):
-    return _typed(s, d).groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("v").alias("values"))
+    return _typed(s, d).groupBy("kind").agg(F.sum("times").alias("n"), F.count("*").alias("values"))
 
 
 def entity_id_hash(s, d):
     t = _typed(s, d).where(F.col("kind").isNotNull() & (F.col("kind") != "URL")).withColumn("norm", ids.normalised(F.col("kind"), F.col("v")))
-    return t.groupBy("kind", "norm").agg(F.count("*").alias("n")).select("kind", "norm", "n", ids.entity_id(F.col("kind"), F.col("norm")).alias("entity_id"))
+    return t.groupBy("kind", "norm").agg(F.sum("times").alias("n")).select("kind", "norm", "n", ids.entity_id(F.col("kind"), F.col("norm")).alias("entity_id"))
 
 
 def ip_extract_classify(s, d):
