@@ -32,16 +32,17 @@ def domain_of(value: Column) -> Column:
     labels = F.split(v, r"\.")
     last2 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
     known = F.when(last2.isin(TWO_LABEL_SUFFIXES), F.size(labels) >= 3).otherwise((F.size(labels) >= 2) & F.element_at(labels, -1).isin(SUFFIXES))
-    return F.when(v.rlike(DOMAIN) & known, v)
+    return F.when(v.contains(".") & known & v.rlike(DOMAIN), v)
 
 
 def asn_of(value: Column) -> Column:
     return F.when(F.trim(value).rlike(ASN), F.concat(F.lit("AS"), F.regexp_extract(F.trim(value), "([0-9]+)$", 1).cast("long").cast("string")))
 
 
-def entity_type(value: Column) -> Column:
-    """The type of a value; the first rule that holds decides. Null for what is nothing."""
+def entity_type(value: Column, domain: Column | None = None) -> Column:
+    """The type of a value; the first rule that holds decides. Null for what is nothing. ``domain``: ``domain_of`` the value, if it is at hand."""
     v = F.trim(value)
+    domain = domain_of(v) if domain is None else domain
     return (
         F.when(v == "", None)
         .when(hash_algorithm(v).isNotNull(), "HASH")
@@ -49,21 +50,22 @@ def entity_type(value: Column) -> Column:
         .when(v.rlike(EMAIL), "EMAIL")
         .when(v.rlike(r"^(?i:https?)://[^/?#]") | v.rlike(r"^(?i:www\.)[^/?#]"), "URL")
         .when(v.rlike(ASN), "ASN")
-        .when(domain_of(v).isNotNull(), "DOMAIN")
+        .when(domain.isNotNull(), "DOMAIN")
         .when(v.rlike(USERNAME), "USERNAME")
         .when(v.rlike(PHONE), "PHONE")
         .when(v.contains(" ") | (F.length(v) > 3), "COMPANY")
     )
 
 
-def normalised(kind: Column, value: Column) -> Column:
+def normalised(kind: Column, value: Column, domain: Column | None = None) -> Column:
     """A value in the form that names its entity."""
     v = F.trim(value)
+    domain = domain_of(v) if domain is None else domain
     return (
         F.when(kind.isin("HASH", "EMAIL"), F.lower(v))
         .when(kind == "URL", canonical(v))
         .when(kind == "ASN", asn_of(v))
-        .when(kind == "DOMAIN", domain_of(v))
+        .when(kind == "DOMAIN", domain)
         .when(kind == "USERNAME", F.lower(F.regexp_replace(v, "^@", "")))
         .when(kind == "PHONE", F.regexp_replace(v, r"[^0-9+]", ""))
         .otherwise(v)

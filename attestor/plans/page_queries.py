@@ -49,7 +49,8 @@ def _tokens(spark, sf_dir):
 
 
 def _typed(spark, sf_dir):
-    return _tokens(spark, sf_dir).withColumn("kind", ids.entity_type(F.col("v")))
+    t = _tokens(spark, sf_dir).withColumn("domain", ids.domain_of(F.col("v")))
+    return t.withColumn("kind", ids.entity_type(F.col("v"), F.col("domain")))
 
 
 NORM_SQL = f"CASE kind WHEN 'HASH' THEN lower(v) WHEN 'EMAIL' THEN lower(v) WHEN 'ASN' THEN 'AS' || regexp_extract(v, '([0-9]+)$', 1)::BIGINT WHEN 'DOMAIN' THEN domain WHEN 'USERNAME' THEN lower(regexp_replace(v, '^@', '')) WHEN 'PHONE' THEN regexp_replace(v, '[^0-9+]', '', 'g') ELSE v END"
@@ -104,7 +105,7 @@ def detect_type(s, d):
 
 
 def entity_id_hash(s, d):
-    t = _typed(s, d).where(F.col("kind").isNotNull() & (F.col("kind") != "URL")).withColumn("norm", ids.normalised(F.col("kind"), F.col("v")))
+    t = _typed(s, d).where(F.col("kind").isNotNull() & (F.col("kind") != "URL")).withColumn("norm", ids.normalised(F.col("kind"), F.col("v"), F.col("domain")))
     return t.groupBy("kind", "norm").agg(F.sum("times").alias("n")).select("kind", "norm", "n", ids.entity_id(F.col("kind"), F.col("norm")).alias("entity_id"))
 
 
