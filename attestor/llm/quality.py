@@ -4,7 +4,8 @@ A document's character classes and common words are two histograms. Each is
 held against the reference of its language by Jensen-Shannon distance (base 2,
 so from 0 to 1). A language's reference is the mean of its documents'
 histograms over the whole table, every document counting alike, so long ones
-do not rule; its common words are those in most documents.
+do not rule; its common words are the ``N_COMMON`` in most documents, of any
+length, if they are in a tenth of them.
 
 A document fails by a histogram only if it is long enough for it to mean
 something: ``MIN_CHARS`` characters, or ``MIN_WORDS`` words. Character classes
@@ -15,8 +16,10 @@ Before that come the base rules: at least 50 words, and at most half of the
 words in 3-word windows that occur twice or more.
 
 Defined results: a null text has no words and fails the base rules; documents
-of a null or rare language are held against the nearest reference there is; an
-empty table gives an empty result; rows that repeat are judged alike; other
+of a null language, or of one with fewer than ``MIN_DOCUMENTS`` long enough, have
+no reference: their distances are null and only the base rules judge them, since
+another language's letters and words say nothing about them. The same holds for
+words alone where no word is common; an empty table gives an empty result; rows that repeat are judged alike; other
 columns are ignored.
 """
 
@@ -25,7 +28,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +44,10 @@ MIN_DOCUMENTS = 20
 N_COMMON = 48
 MAX_CHAR_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.50
+#: References of so many languages, the largest, go to every worker; those of further ones are joined.
+MAX_BROADCAST = 5000
+#: Words that a task sums before it hands the sums on.
+MAX_SUMS = 100_000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -128,86 +136,125 @@ def word_times(words: list[str]) -> Counter:
     return times
 
 
-def references(docs: DataFrame, n_common: int = N_COMMON, min_documents: int = MIN_DOCUMENTS) -> dict[str, tuple[np.ndarray, dict[str, int], np.ndarray]]:
-    """Of each language with ``min_documents`` documents: the mean character histogram, the common words, their mean histogram.
+Reference = tuple[np.ndarray, dict[str, int] | None, np.ndarray | None]
+REFERENCE = {"r_chars": "array<double>", "r_words": "array<string>", "r_shares": "array<double>"}
 
-    Over all documents of ``docs``(text, lang). What comes to the driver is a
-    few hundred numbers a language, of at most the 1000 largest languages.
+
+def references(docs: DataFrame, n_common: int = N_COMMON, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """docs(text, lang) -> lang, n_docs, r_chars, r_words, r_shares, for each language with ``min_documents`` documents. Written.
+
+    The mean character histogram; the common words and their mean shares, null
+    if fewer documents have ``MIN_WORDS`` words or no word is common.
     """
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # a batch's sums leave the worker, not its documents: shares of short words, where the common ones are, and of classes
+        # a batch's sums leave the worker, not its documents: shares of words and of classes
+        total: dict[tuple[str, str], list[float]] = {}
+        classes: dict[str, np.ndarray] = {}
+
+        def made() -> pd.DataFrame:
+            rows = [(a, w, n, s) for (a, w), (n, s) in total.items()]
+            rows += [(a, f"\n{k}", int(h[-2]), float(h[k])) for a, h in classes.items() for k in range(len(CLASSES))]
+            rows += [(a, "\nwords", int(h[-1]), 0.0) for a, h in classes.items()]
+            total.clear()
+            classes.clear()
+            return pd.DataFrame(rows, columns=["lang", "word", "n", "share"])
+
         for b in batches:
-            total: dict[tuple[str, str], list[float]] = {}
-            classes: dict[str, np.ndarray] = {}
             for lang, text in zip(b["lang"], b["text"], strict=True):
                 if text is None or len(text) < MIN_CHARS:
                     continue
-                classes[lang] = classes.get(lang, 0) + np.append(char_histogram(text), 1.0)
                 found = split_words(text)
-                if len(found) >= MIN_WORDS:
+                worded = len(found) >= MIN_WORDS
+                classes[lang] = classes.get(lang, 0) + np.append(char_histogram(text), [1.0, float(worded)])
+                if worded:
                     for w, n in word_times(found).items():
-                        if 0 < len(w) <= 6:
+                        if w:
                             s = total.setdefault((lang, w), [0, 0.0])
                             s[0] += 1
                             s[1] += n / len(found)
-            rows = [(a, w, n, s) for (a, w), (n, s) in total.items()]
-            rows += [(a, f"\n{k}", int(h[-1]), float(h[k])) for a, h in classes.items() for k in range(len(CLASSES))]
-            yield pd.DataFrame(rows, columns=["lang", "word", "n", "share"])
+                if len(total) >= MAX_SUMS:
+                    yield made()
+            yield made()
 
     known = docs.where("lang IS NOT NULL").select("lang", "text")
-    counted = cut(known.mapInPandas(sums, "lang string, word string, n long, share double").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("share").alias("share")), "words")
+    counted = known.mapInPandas(sums, "lang string, word string, n long, share double").groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("share").alias("share"))
     is_class = F.col("word").startswith("\n")
-    n_docs = counted.where(F.col("word") == "\n0").where(F.col("n") >= min_documents).orderBy(F.desc("n"), "lang").limit(1000).select("lang", F.col("n").alias("n_docs"))
-    by_lang: dict[str, np.ndarray] = {}
-    for r in counted.where(is_class).join(n_docs, "lang").collect():
-        by_lang.setdefault(r["lang"], np.zeros(len(CLASSES)))[int(r["word"])] = r["share"] / r["n"]
-    common = counted.where(~is_class).join(n_docs, "lang").where(F.col("n") * 10 >= F.col("n_docs"))
-    top = common.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("n") / F.col("n_docs")).alias("n"), "word", (F.col("share") / F.col("n_docs")).alias("share"))), asc=False), 1, n_common).alias("top"))
-    out = {}
-    for r in top.collect():
-        if r["lang"] in by_lang:
-            shares = np.array([x["share"] for x in r["top"]])
-            rest = max(0.0, 1 - shares.sum())
-            # the most frequent other word has the place of one that is just not common
-            other = min(rest, float(shares.min()))
-            out[r["lang"]] = (by_lang[r["lang"]], {x["word"]: k for k, x in enumerate(r["top"])}, np.append(shares, [other, rest - other]))
-    return out
-
-
-def verdict(text: str, words: list[str], lang: str | None, refs: dict, max_char: float, max_word: float) -> tuple[float | None, float | None, bool]:
-    """Distances from the language's references (null under the minimum length), and whether the document stays."""
-    near = [refs[lang]] if lang in refs else list(refs.values())
+    # a word of fewer documents than a tenth of the smallest number isn't common anywhere
+    counted = cut(counted.where(is_class | (F.col("n") * 10 >= min_documents)), "words")
+    by_class = F.array_sort(F.collect_list(F.when(F.col("word") != "\nwords", F.struct(F.substr("word", F.lit(2)).cast("int").alias("k"), (F.col("share") / F.col("n")).alias("share")))))
+    langs = counted.where(is_class).groupBy("lang").agg(F.max("n").alias("n_docs"), F.max(F.when(F.col("word") == "\nwords", F.col("n"))).alias("n_worded"), by_class.alias("c"))
+    langs = cut(langs.where(F.col("n_docs") >= min_documents).select("lang", "n_docs", "n_worded", F.col("c.share").alias("r_chars")), "langs")
+    common = counted.where(~is_class).join(langs.where(F.col("n_worded") >= min_documents).select("lang", "n_worded"), "lang").where(F.col("n") * 10 >= F.col("n_worded"))
+    top = common.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((F.col("n") / F.col("n_worded")).alias("n"), "word", (F.col("share") / F.col("n_worded")).alias("share"))), asc=False), 1, n_common).alias("top"))
+    return cut(langs.join(top, "lang", "left").select("lang", "n_docs", "r_chars", F.col("top.word").alias("r_words"), F.col("top.share").alias("r_shares")), "references")
+
+
+def reference(chars: Sequence[float] | None, words: Sequence[str] | None, shares: Sequence[float] | None) -> Reference | None:
+    """A row's reference as ``verdict`` reads it."""
+    if chars is None:
+        return None
+    if words is None:
+        return np.asarray(chars, float), None, None
+    s = np.asarray(shares, float)
+    rest = max(0.0, 1 - s.sum())
+    # the most frequent other word has the place of one that is just not common
+    other = min(rest, float(s.min()))
+    return np.asarray(chars, float), {w: k for k, w in enumerate(words)}, np.append(s, [other, rest - other])
+
+
+def with_references(docs: DataFrame, refs: DataFrame, most: int = MAX_BROADCAST) -> list[tuple[DataFrame, dict[str, Reference]]]:
+    """Parts of ``docs`` that make up the whole, with columns r_chars, r_words, r_shares, and the references that these leave null.
+
+    Of up to ``most`` languages there is one part. Of more, documents of the
+    largest and of none are one part, and the others join theirs: each of these
+    languages has at most one ``most``-th of the documents.
+    """
+    largest = cut(refs.orderBy(F.desc("n_docs"), "lang").limit(most), "largest")
+    held = {r["lang"]: reference(r["r_chars"], r["r_words"], r["r_shares"]) for r in largest.toLocalIterator()}
+    none = {c: F.lit(None).cast(t) for c, t in REFERENCE.items()}
+    if len(held) < most or refs.count() == len(held):
+        return [(docs.withColumns(none), held)]
+    names = F.broadcast(largest.select(F.col("lang").alias("r_lang")))
+    here = docs.join(names, docs["lang"] == F.col("r_lang"), "left_semi").unionByName(docs.where("lang IS NULL"))
+    others = docs.where("lang IS NOT NULL").join(names, docs["lang"] == F.col("r_lang"), "left_anti")
+    return [(here.withColumns(none), held), (others.join(refs.select(F.col("lang").alias("r_lang"), *REFERENCE), F.col("lang") == F.col("r_lang"), "left").drop("r_lang"), {})]
+
+
+def verdict(text: str, words: list[str], ref: Reference | None, max_char: float, max_word: float) -> tuple[float | None, float | None, bool]:
+    """Distances from the language's reference (null without one, and under the minimum length), and whether the document stays."""
     char_d = word_d = None
-    if near and len(text) >= MIN_CHARS:
-        h = char_histogram(text)
-        char_d = min(js_distance(h, r[0]) for r in near)
-    if near and len(words) >= MIN_WORDS:
-        times = word_times(words)
-        word_d = min(js_distance(word_histogram(times, r[1]), r[2]) for r in near)
+    if ref and len(text) >= MIN_CHARS:
+        char_d = js_distance(char_histogram(text), ref[0])
+    if ref and ref[1] is not None and len(words) >= MIN_WORDS:
+        word_d = js_distance(word_histogram(word_times(words), ref[1]), ref[2])
     return char_d, word_d, not ((char_d or 0) > max_char or (word_d or 0) > max_word)
 
 
-def judge(docs: DataFrame, refs: dict, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def judge(docs: DataFrame, refs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, most: int = MAX_BROADCAST) -> DataFrame:
     """docs(doc_id, text, lang) -> the base counts, base_failed, kept and both distances."""
-    refs_b = docs.sparkSession.sparkContext.broadcast(refs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for text, lang in zip(b["text"], b["lang"], strict=True):
-                words = split_words(text or "")
-                stats = base_stats(text, words)
-                failed = base_failed(stats)
-                char_d, word_d, good = verdict(text or "", words, lang, refs_b.value, max_char, max_word)
-                rows.append((*stats, failed, good and not failed, char_d, word_d))
-            out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
-            out.insert(0, "doc_id", b["doc_id"].to_numpy())
-            yield out
-
-    asked = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")  # long with nulls would be float in pandas
-    made = asked.mapInPandas(run, f"doc_id string, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double")
-    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+    def part(asked: DataFrame, held: dict[str, Reference]) -> DataFrame:
+        held_b = docs.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = []
+                for text, lang, *own in zip(b["text"], b["lang"], *(b[c] for c in REFERENCE), strict=True):
+                    words = split_words(text or "")
+                    stats = base_stats(text, words)
+                    failed = base_failed(stats)
+                    char_d, word_d, good = verdict(text or "", words, held_b.value.get(lang) or reference(*own), max_char, max_word)
+                    rows.append((*stats, failed, good and not failed, char_d, word_d))
+                out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
+                out.insert(0, "doc_id", b["doc_id"].to_numpy())
+                yield out
+
+        asked = asked.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", *REFERENCE)  # long with nulls would be float in pandas
+        return asked.mapInPandas(run, f"doc_id string, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double")
+
+    made = [part(*p) for p in with_references(docs, refs, most)]
+    return reduce(DataFrame.unionByName, made).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,19 +262,23 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, references(docs))
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = MAX_BROADCAST) -> DataFrame:
     """The rows of ``docs`` that the rules keep; the references are those of ``docs``."""
-    refs = spark.sparkContext.broadcast(references(docs))
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, lang: pd.Series) -> pd.Series:
-        kept = []
-        for t, of in zip(text, lang, strict=True):
-            words = split_words(t or "")
-            kept.append(not base_failed(base_stats(t, words)) and verdict(t or "", words, of, refs.value, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)[2])
-        return pd.Series(kept, dtype=bool)
+    def part(asked: DataFrame, held: dict[str, Reference]) -> DataFrame:
+        held_b = spark.sparkContext.broadcast(held)
+
+        @F.pandas_udf("boolean")
+        def good(text: pd.Series, lang: pd.Series, chars: pd.Series, words: pd.Series, shares: pd.Series) -> pd.Series:
+            kept = []
+            for t, of, *own in zip(text, lang, chars, words, shares, strict=True):
+                found = split_words(t or "")
+                kept.append(not base_failed(base_stats(t, found)) and verdict(t or "", found, held_b.value.get(of) or reference(*own), MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)[2])
+            return pd.Series(kept, dtype=bool)
+
+        return asked.where(good("text", "lang", *REFERENCE)).select(*docs.columns)
 
-    return docs.where(good("text", "lang"))
+    return reduce(DataFrame.unionByName, [part(*p) for p in with_references(docs, references(docs), most)])
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}

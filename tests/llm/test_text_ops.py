@@ -69,6 +69,31 @@ def test_quality_rules(spark, docs, empty):
     assert quality.judge(empty, quality.references(empty)).count() == 0
 
 
+def test_quality_rules_of_every_language(spark):
+    rng = random.Random(6)
+
+    def prose(letters, lengths):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.choice(lengths))) for _ in range(40)]
+        return lambda: " ".join(rng.choice(vocabulary) + str(rng.randrange(30)) * (rng.random() < 0.2) for _ in range(120)) + "."
+
+    latin, arabic, long_words, thai = prose("abcdefghij", (2, 3, 5)), prose("ابتثجحخدذر", (2, 3, 5)), prose("qrstuvwxyz", (9, 12)), prose("กขคงจฉชซ", (3, 4))
+    texts = [(t(), lang) for t, lang, n in ((latin, "en", 40), (arabic, "ar", 30), (long_words, "de", 30), (thai, "th", 3), (arabic, None, 2)) for _ in range(n)]
+    junk = [(t.replace(" ", "!!###$$$ "), lang) for t, lang in (texts[0], texts[40], texts[70])]
+    df = spark.createDataFrame([(k, t, lang, "s", 1, "x") for k, (t, lang) in enumerate(texts + junk)], DOCS)
+    refs = quality.references(df)
+    assert {r["lang"] for r in refs.collect()} == {"en", "ar", "de"}
+    assert all(len(w) >= 9 for w in next(r["r_words"] for r in refs.collect() if r["lang"] == "de"))
+    one = {r["doc_id"]: r for r in quality.judge(df, refs).collect()}
+    assert [k for k in range(len(texts)) if not one[k]["kept"]] == []
+    assert not any(one[len(texts) + k]["kept"] for k in range(3))
+    assert all(one[k]["char_distance"] is None and one[k]["word_distance"] is None for k in range(100, 105)), "no reference"
+    assert all(one[k]["char_distance"] is not None and one[k]["word_distance"] is not None for k in range(100))
+    assert {r["doc_id"]: r for r in quality.judge(df, refs, most=1).collect()} == one, "joined references judge alike"
+    kept = {k for k, r in one.items() if r["kept"]}
+    for most in (1, quality.MAX_BROADCAST):
+        assert sorted(r["doc_id"] for r in quality.keep_good(spark, df, "", most).collect()) == sorted(kept)
+
+
 def test_bpe_against_the_library(spark, docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
