@@ -13,6 +13,15 @@ words in a fixed order must occur in the unit, as in a prefix filter.
 
 The result has a row for each document, with its best unit and template.
 
+``op5_licence_passages`` finds licences of several lines inside longer texts, and
+every licence of a text: its units are all runs of adjacent lines, word pairs
+across line ends included, and its templates also whole licences and notices. A
+run counts from 0.43 to 2.33 times the template's bigrams (the size bounds, with
+repeated ones counted). It begins and ends in lines with a bigram of the
+template, since other lines at its ends only lower the coefficient; and a text
+must hold so many of the template's bigrams that a run can reach the threshold,
+which few do. Of runs that overlap the better one holds.
+
 Defined results: a null or empty text has no units, so no licence and 0 units;
 a text of one line is one unit; units of one word have no bigrams and match
 nothing; of equal coefficients the template first by name, then the first unit
@@ -48,6 +57,22 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+#: Whole licences and notices of several lines. Full texts of GPL and Apache quote their notice, and MPL its sentence, at the end.
+_MIT = "to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD = TEMPLATES["bsd-2-clause"] + " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GPL = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+WHOLE = TEMPLATES | {
+    "apache-2.0-notice": TEMPLATES["apache-2.0-header"] + " See the License for the specific language governing permissions and limitations under the License.",
+    "bsd-2-clause-full": _BSD + _BSD_END,
+    "bsd-3-clause-full": _BSD + _BSD_3 + _BSD_END,
+    "gpl-2.0-notice": _GPL.format(2),
+    "gpl-3.0-notice": _GPL.format(3),
+    "isc-full": TEMPLATES["isc"] + " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "mit-full": "Permission is hereby granted, free of charge, " + _MIT,
+}
+
 
 def normalised(text: Column) -> Column:
     """Lower case ASCII letters and digits, other runs as single spaces."""
@@ -118,10 +143,67 @@ def _needed_words(b: list[str], threshold: float) -> list[str]:
     return sorted({max(g.split(), key=len) for g in chosen})
 
 
+def _least(n: int, threshold: float) -> int:
+    """How many of a template's n bigrams a unit of Dice >= threshold has."""
+    return math.ceil(threshold * n / (2 - threshold) - 1e-9)
+
+
+def _once(df: DataFrame, **made: Column) -> DataFrame:
+    """``df`` with these columns, computed once a row: the optimiser moves no expression through an explode, so not into lambdas either."""
+    return df.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items())))).alias("_made")).select(*df.columns, *(F.col(f"_made.{k}").alias(k) for k in made))
+
+
+def passages(docs: DataFrame, templates: dict[str, str] = WHOLE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, matches: array of (licence, dice, from_line, to_line, n_bigrams), not overlapping, best first."""
+    known = [(name, _bigrams(text)) for name, text in sorted(templates.items())]
+    must = "|".join(sorted({w for _, b in known for w in _needed_words(b, threshold)}))
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    kinds = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(_least(len(b), threshold)).alias("least"), F.array(*map(F.lit, b)).alias("b")) for k, (_, b) in enumerate(known)))
+    every = F.array(*map(F.lit, sorted({g for _, b in known for g in b})))
+    names, grams, sizes = F.array(*(F.lit(n) for n, _ in known)), F.array(*(F.array(*map(F.lit, b)) for _, b in known)), F.array(*(F.lit(len(b)) for _, b in known))
+
+    text = F.coalesce("text", F.lit(""))
+    lines = F.when(F.lower(text).rlike(rf"(?<![a-z0-9])(?:{must})(?![a-z0-9])"), F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
+    # a word, its line, and how many words of the line are before and from it
+    d = _once(docs.select("doc_id", "text"), ln=F.transform(lines, lambda x: F.filter(F.split(normalised(x), " "), lambda w: w != ""))).drop("text")
+    in_line = lambda ws, n: F.transform(ws, lambda w, k: F.struct(w.alias("w"), n.alias("line"), k.alias("before"), (F.size(ws) - k).alias("rest")))
+    d = _once(d, w=F.flatten(F.transform("ln", in_line))).drop("ln")
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    d = _once(d, g=F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a["w"], F.lit(" "), b["w"])))
+    d = _once(d, mine=F.array_intersect("g", every))
+    d = _once(d, held=F.filter(kinds, lambda t: F.size(F.array_intersect("mine", t["b"])) >= t["least"])["k"]).drop("mine")
+    # where runs begin and end, as places of words, from 1
+    hits = lambda k: F.filter(F.transform("g", lambda g, p: F.struct(F.array_contains(F.get(grams, k), g).alias("on"), p.alias("p"))), lambda x: x["on"])["p"]
+    d = _once(d, at=F.transform("held", lambda k: F.struct(k.alias("k"), hits(k).alias("p"))))
+    ends = F.transform("at", lambda t: F.struct(
+        t["k"].alias("k"),
+        F.array_distinct(F.transform(t["p"], lambda p: p + 1 - F.get("w", p)["before"])).alias("first"),
+        F.array_distinct(F.transform(t["p"], lambda p: p + 1 + F.get("w", p + 1)["rest"])).alias("last"),
+    ))
+    d = _once(d, ends=ends).drop("at")
+    fits = lambda t, i, j: (j - i).between(F.ceil(F.get(sizes, t["k"]) * low - 1e-9), F.floor(F.get(sizes, t["k"]) * high + 1e-9))
+    runs = lambda t: F.flatten(F.transform(t["first"], lambda i: F.transform(F.filter(t["last"], lambda j: fits(t, i, j)), lambda j: F.struct(t["k"].alias("k"), i.alias("i"), j.alias("j")))))
+    d = _once(d, runs=F.flatten(F.transform("ends", runs))).drop("ends")
+    of = lambda r: F.slice("g", r["i"], r["j"] - r["i"])
+    counted = F.transform("runs", lambda r: F.struct(r["k"].alias("k"), r["i"].alias("i"), r["j"].alias("j"), F.size(F.array_distinct(of(r))).alias("n"), F.size(F.array_intersect(of(r), F.get(grams, r["k"]))).alias("shared")))
+    d = _once(d, counted=counted).drop("runs", "g")
+    scored = F.transform("counted", lambda r: F.struct((-2.0 * r["shared"] / (r["n"] + F.get(sizes, r["k"]))).alias("minus"), F.get(names, r["k"]).alias("name"), r["i"].alias("i"), r["j"].alias("j"), r["n"].alias("n")))
+    d = _once(d, good=F.array_sort(F.filter(scored, lambda r: r["minus"] <= -threshold))).drop("counted")
+    none = F.array().cast("array<struct<minus:double,name:string,i:int,j:int,n:int>>")
+    apart = lambda acc, r: ~F.exists(acc, lambda a: (a["i"] <= r["j"]) & (r["i"] <= a["j"]))
+    d = _once(d, best=F.aggregate("good", none, lambda acc, r: F.when(apart(acc, r), F.concat(acc, F.array(r))).otherwise(acc))).drop("good")
+    line = lambda p: (F.get("w", p - 1)["line"] + 1).cast("long")
+    return d.select("doc_id", F.transform("best", lambda r: F.struct(r["name"].alias("licence"), F.round(-r["minus"], 6).alias("dice"), line(r["i"]).alias("from_line"), line(r["j"]).alias("to_line"), r["n"].cast("long").alias("n_bigrams"))).alias("matches"))
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_licence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def licences_sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in sorted(TEMPLATES.items()))
@@ -142,5 +224,5 @@ SELECT doc_id, CASE WHEN trim(text) = '' THEN 0 WHEN contains(text, chr(10)) THE
 FROM d LEFT JOIN best ON best.r = d.r AND k = 1"""
 
 
-QUERIES = {"op5_licences": op5_licences}
+QUERIES = {"op5_licences": op5_licences, "op5_licence_passages": op5_licence_passages}
 ORACLES = {"op5_licences": licences_sql()}

@@ -157,6 +157,45 @@ def test_licences_against_brute_force(spark, docs, empty):
     assert licences.scan(empty).count() == 0
 
 
+def passages_by_hand(text):
+    lines, known = (text or "").split("\n"), [(n, set(licences._bigrams(t))) for n, t in licences.WHOLE.items()]
+    found = []
+    for i in range(len(lines)):
+        for j in range(i, len(lines)):
+            words = licences._plain(" ".join(lines[i : j + 1])).split()
+            grams = set(zip(words, words[1:]))  # noqa: B905
+            if not licences._plain(lines[i]) or not licences._plain(lines[j]) or len(words) > 900:
+                continue
+            grams = {" ".join(g) for g in grams}
+            for name, b in known:
+                if 3 / 7 * len(b) <= len(words) - 1 <= 7 / 3 * len(b) and (d := 2 * len(grams & b) / (len(grams) + len(b))) >= 0.6:
+                    found.append((-d, name, i + 1, j + 1, len(grams)))
+    out = []
+    for d, name, i, j, n in sorted(found):
+        if all(j < x[2] or x[3] < i for x in out):
+            out.append((name, round(-d, 6), i, j, n))
+    return out
+
+
+def test_licence_passages_against_brute_force(spark, docs, empty):
+    import textwrap
+
+    rng = random.Random(7)
+    prose = lambda n: textwrap.fill(" ".join(rng.choice("the of software person granted lorem ipsum copy dolor sit".split()) for _ in range(n)), 70)
+    wrapped = lambda name, width=72: textwrap.fill(licences.WHOLE[name], width)
+    texts = [wrapped("mit-full"), prose(400) + "\n\n" + wrapped("mit-full") + "\n\n" + prose(400), licences.WHOLE["mit-full"]]
+    texts += [prose(90) + "\n# " + wrapped(name, 60).replace("\n", "\n# ") + "\n" + prose(60) for name in ("bsd-2-clause-full", "bsd-3-clause-full", "isc-full", "apache-2.0-notice", "gpl-2.0-notice", "gpl-3.0-notice")]
+    texts += [wrapped("isc-full") + "\n" + prose(50) + "\nReleased under the MIT License.\n" + prose(50) + "\n" + wrapped("gpl-3.0-notice"), prose(300), "Released under the MIT License.\n" * 30]
+    df = spark.createDataFrame([(1000 + k, t, "en", "s", 1, "x") for k, t in enumerate(texts)], DOCS).unionByName(docs)
+    got = {r["doc_id"]: [tuple(m) for m in r["matches"]] for r in licences.passages(df).collect()}
+    for k, t in enumerate(texts):
+        assert got[1000 + k] == passages_by_hand(t), k
+    at = lambda k: [m[0] for m in got[1000 + k]]
+    assert [at(k) for k in range(9)] == [["mit-full"]] * 3 + [["bsd-2-clause-full"], ["bsd-3-clause-full"], ["isc-full"], ["apache-2.0-notice"], ["gpl-2.0-notice"], ["gpl-3.0-notice"]]
+    assert sorted(at(9)) == ["gpl-3.0-notice", "isc-full", "mit"] and at(10) == [] and len(at(11)) == 30
+    assert got[1] == got[2] == [] and licences.passages(df).count() == len(texts) + 8 and licences.passages(empty).count() == 0
+
+
 def test_toxicity_scores_clauses_not_words():
     s = toxicity.Scorer(dict.fromkeys(toxicity.INSULTS, 1.0), {})
     at = lambda t: s.score(t)
