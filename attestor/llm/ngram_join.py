@@ -104,8 +104,8 @@ def may_link_wide(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) ->
     return (100 + percent) * apart <= (100 - percent) * (n + m)
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """docs(doc_id, text) -> row, doc_id, n, cls (of equal sets; null if empty), n_low, tokens, sketch, wide (sketch). Written."""
+def shingle_sets(docs: DataFrame, width: int, row: str | None = None) -> DataFrame:
+    """docs(doc_id, text) -> row (of column ``row``, or a new one), doc_id, n, cls (of equal sets; null if empty), n_low, tokens, sketch, wide (sketch). Written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -113,7 +113,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
                 sets = [shingle_hashes(t, width, hashes) for t in part["text"]]
-                yield pd.DataFrame({
+                own = {"own_row": part["own_row"].to_numpy()} if row else {}
+                yield pd.DataFrame(own | {
                     "doc_id": part["doc_id"].to_numpy(),
                     "n": [len(s) for s in sets],
                     "cls": pd.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], dtype="Int64"),
@@ -123,9 +124,10 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
                     "wide": [sketch(s, wide_cells(len(s))) for s in sets],
                 })
 
-    ids = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # long with nulls would be float in pandas
-    made = ids.mapInPandas(run, "doc_id string, n long, cls long, n_low int, tokens array<long>, sketch array<long>, wide array<long>")
-    return cut(made.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n", "cls", "n_low", "tokens", "sketch", "wide"), "sets")
+    own_row = [F.col(row).alias("own_row")] if row else []
+    ids = docs.select(*own_row, F.col("doc_id").cast("string").alias("doc_id"), "text")  # long with nulls would be float in pandas
+    made = ids.mapInPandas(run, "own_row long, " * bool(row) + "doc_id string, n long, cls long, n_low int, tokens array<long>, sketch array<long>, wide array<long>")
+    return cut(made.select((F.col("own_row") if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n", "cls", "n_low", "tokens", "sketch", "wide"), "sets")
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -226,7 +228,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
-    sets = shingle_sets(docs, width)
+    return row_groups(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def row_groups(docs: DataFrame, width: int, percent: int, row: str | None = None) -> DataFrame:
+    """docs(doc_id, text) -> row, doc_id, n_shingles, component_id, comp: the group by one of its rows, null for empty sets."""
+    sets = shingle_sets(docs, width, row)
     classes = cut(sets.where("n > 0").groupBy("cls").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     copies = sets.where("n > 0").select("row", "cls").join(classes.where("copies > 1").select("cls", "rep"), "cls").where("row <> rep").select(F.col("row").alias("c_row"))
     reps = sets.where("n > 0").join(bounded(cut(copies, "copies")), F.col("row") == F.col("c_row"), "left_anti")
@@ -255,9 +262,9 @@ def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame
 
     rep_of = sets.where("n > 0").select("row", "doc_id", "n", "cls").join(classes.select("cls", "rep", "first_id"), "cls")
     named = comps.join(classes.select(F.col("rep").alias("row"), "first_id"), "row").groupBy("comp").agg(F.min("first_id").alias("lowest"))
-    named = comps.join(named, "comp").select(F.col("row").alias("rep"), "lowest")
-    grouped = rep_of.join(named, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "first_id").alias("component_id"))
-    return grouped.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    named = comps.join(named, "comp").select(F.col("row").alias("rep"), "comp", "lowest")
+    grouped = rep_of.join(named, "rep", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("comp", "rep").alias("comp"))
+    return grouped.unionByName(sets.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +272,15 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the rows whose group of similar documents (five words, 0.8) has a smaller doc_id."""
-    groups = join_groups(docs, 5, 80)
-    others = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("other_id")).distinct(), "others")
-    return docs.join(bounded(others), docs["doc_id"] == F.col("other_id"), "left_anti")
+    """One row of each group of similar documents (five words, 0.8): of the smallest doc_id, nulls last; of repeated ids the first row. Wordless texts stay.
+
+    Ids may repeat or be null, so rows are numbered, and written with their number.
+    """
+    numbered = cut(docs.withColumn("_ngram_row", F.monotonically_increasing_id()), "rows")
+    groups = cut(row_groups(numbered, 5, 80, "_ngram_row").where("comp IS NOT NULL").select("row", "doc_id", "component_id", "comp"), "groups")
+    first = groups.groupBy("comp").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("first_row"))
+    others = cut(groups.join(first, F.col("row") == F.col("first_row"), "left_anti").select("row"), "others")
+    return numbered.join(bounded(others), F.col("_ngram_row") == others["row"], "left_anti").select(*docs.columns)
 
 
 NGRAM_SQL = """

@@ -87,6 +87,18 @@ def test_ngram_join_bounds():
     assert ngram_join.join_groups
 
 
+def test_keep_one_by_rows(spark):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
+    # repeated rows; a copy whose id a different text has too; null ids, alone and beside others; wordless texts
+    rows = [(1, a)] * 3 + [(2, a), (2, b), (3, b + " end")] + [(None, c)] * 5 + [(None, d), (9, d), (8, d), (8, d)] + [(4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame([(k, t, "en", "s", 0, n, 0, 0) for n, (k, t) in enumerate(rows)], DOCS).repartition(3)
+    out = ngram_join.keep_one(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (8, d), (4, ""), (4, ""), (None, None)], key=str)
+    assert ngram_join.keep_one(spark, df.limit(0), "").count() == 0
+
+
 def test_ngram_join_empty(spark):
     assert ngram_join.join_groups(spark.createDataFrame([], DOCS)).count() == 0
 
