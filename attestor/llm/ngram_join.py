@@ -28,8 +28,9 @@ Defined results: null and wordless texts have an empty set and are linked with
 nothing; of one to three words, the whole sequence is the only shingle; very
 long texts count whole; a null doc_id is never a component's name unless alone;
 rows that repeat are in one class; an empty table gives an empty result; other
-columns are ignored. Shingles are compared as 40-bit hashes: a wrong match in a
-comparison of two sets of 500 has a chance of 1 in 4 million.
+columns are ignored. Shingles are counted and compared as 63-bit hashes: two of a
+text's n shingles fall together with a chance of n^2 / 2^64, which is 1 in 18
+million for a text of a million words.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, cut, table
 
-BITS = 40
+BITS = 63
 LOW = (1 << BITS) // 5
 FREQUENT = 50
 #: Tokens of at most so many documents join all with all.

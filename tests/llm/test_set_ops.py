@@ -87,6 +87,12 @@ def test_ngram_join_bounds():
     assert ngram_join.join_groups
 
 
+def test_ngram_join_counts_every_shingle():
+    n = 5_000_000  # at 40 bits about 11 pairs of hashes fall together
+    text = " ".join(map(str, range(n)))
+    assert len(ngram_join.shingle_hashes(text, 4, ngram_join._WordHashes())) == n - 3
+
+
 def test_keep_one_by_rows(spark):
     rng = random.Random(3)
     a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(4))
