@@ -4,25 +4,25 @@ Multiple global orders. If two sets are similar enough, they share a token among
 the first few of each, under any order of all tokens; how few follows from the
 threshold. Candidates must do so under three different orders:
 
-- order 1 is by token hash, with tokens of more than ``FREQUENT`` documents last;
-  its prefixes are posted and joined. Only tokens of the lowest fifth of the
-  hash range are ever counted, since prefixes seldom reach further: a document
-  whose prefix does posts further tokens by itself.
-- orders 2 and 3 are other hashes of the same tokens; a candidate that shares no
-  prefix token under one of them is dropped before its sets are compared. Before
-  its sets are even fetched, sizes and parity sketches must leave room for a link.
-
-What is left is verified on the whole sets, exactly.
+- order 1 has tokens of more than ``FREQUENT`` sets last, and else goes by hash.
+  Only tokens of the lowest part of the hash range are counted and can be
+  frequent, as prefixes seldom reach further. Its prefixes are posted and joined,
+  with their positions: a first common token that stands late in both sets
+  leaves too few tokens for a link.
+- orders 2 and 3 are other hashes of the same tokens. Their prefixes stand beside
+  each set as short arrays, and a candidate whose arrays have nothing in common
+  under one of them goes no further; nor does one whose parity sketches differ
+  in more cells than similar sets can.
+
+What is left is verified on the whole texts, exactly.
 
 Copies and large groups. Documents with equal sets are one class from the start.
 In a group of thousands of near copies nearly every pair is linked, so pairs
-aren't listed: each posted token of many documents names a random hub for each
-of ``HUB_SEEDS`` seeds, documents are verified against their tokens' hubs (a
-number of pairs that follows the postings), and the links found are contracted.
-Then every pair that still lies in two components, shares a token, and passes a
-bound on the overlap by parity sketches is verified. A pair inside one component
-can't change the groups. So every link between different groups is found, and
-the components are those of all links.
+aren't listed: each token names a hub among its rows, the same one for most tokens of a
+group, and each row is held against its hub first. Links found are contracted,
+and rounds of further hubs go on between groups only. In the end every pair that
+still lies in two groups and is a candidate is verified. A pair inside one group
+can't change the groups. So the groups are those of all links.
 
 Defined results: null and wordless texts have an empty set and are linked with
 nothing; of one to three words, the whole sequence is the only shingle; very
@@ -46,11 +46,9 @@ from pyspark.sql import functions as F
 from .common import bounded, cut, table
 
 BITS = 63
-LOW = (1 << BITS) // 5
 FREQUENT = 50
-#: Tokens of at most so many documents join all with all.
-FEW = 8
-HUB_SEEDS = 2
+#: Rounds of hubs before all further candidates between groups are compared.
+HUB_ROUNDS = 3
 SKETCH_WORDS = 8
 MAX_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,24 +87,28 @@ def sketch(tokens: np.ndarray, cells: int = 64 * SKETCH_WORDS) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def wide_cells(n: int) -> int:
-    """Cells of a sketch that tells sets of n tokens apart: a power of two of at least n, and of the narrow sketch's."""
-    return max(64 * SKETCH_WORDS, 1 << max(0, n - 1).bit_length())
+def prefix_size(n: int, percent: int) -> int:
+    """How many first tokens of a set of n must meet those of a similar set."""
+    return n - -(-n * percent // 100) + 1 if n else 0
+
 
+def low_bound(percent: int) -> int:
+    """Hashes below this are counted: so many that most prefixes lie below it even where a quarter of the tokens is frequent."""
+    return (1 << BITS) * (100 - percent) * 7 // 500
 
-def may_link_wide(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
-    """The bound of ``may_link`` by wide sketches; the wider one is folded, as cells are a token's last bits."""
-    while len(x) != len(y):
-        if len(x) > len(y):
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        else:
-            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    apart = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
-    return (100 + percent) * apart <= (100 - percent) * (n + m)
+
+def prefix_under(tokens: np.ndarray, factor: np.uint64, percent: int) -> np.ndarray:
+    """The prefix under an order by another hash, as its upper 32 bits; two prefixes that share a token share one of these."""
+    with np.errstate(over="ignore"):
+        key = tokens.astype(np.uint64) * factor
+    p = prefix_size(len(key), percent)
+    first = np.partition(key, p - 1)[:p] if p < len(key) else key
+    return (first >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def shingle_sets(docs: DataFrame, width: int, row: str | None = None) -> DataFrame:
-    """docs(doc_id, text) -> row (of column ``row``, or a new one), doc_id, n, cls (of equal sets; null if empty), n_low, tokens, sketch, wide (sketch). Written."""
+def shingle_sets(numbered: DataFrame, width: int, percent: int) -> DataFrame:
+    """numbered(row, text) -> row, n, cls (of equal sets; null if empty), n_low, head (first tokens by hash), p2, p3 (prefixes under orders 2 and 3), sketch. Written."""
+    low = low_bound(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = _WordHashes()
@@ -114,98 +116,87 @@ def shingle_sets(docs: DataFrame, width: int, row: str | None = None) -> DataFra
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
                 sets = [shingle_hashes(t, width, hashes) for t in part["text"]]
-                own = {"own_row": part["own_row"].to_numpy()} if row else {}
-                yield pd.DataFrame(own | {
-                    "doc_id": part["doc_id"].to_numpy(),
+                n_low = [int(np.searchsorted(s, low)) for s in sets]
+                yield pd.DataFrame({
+                    "row": part["row"].to_numpy(),
                     "n": [len(s) for s in sets],
                     "cls": pd.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], dtype="Int64"),
-                    "n_low": [int(np.searchsorted(s, LOW)) for s in sets],
-                    "tokens": sets,
+                    "n_low": n_low,
+                    "head": [s[: max(m, prefix_size(len(s), percent))] for s, m in zip(sets, n_low, strict=True)],
+                    "p2": [prefix_under(s, ORDERS[0], percent) for s in sets],
+                    "p3": [prefix_under(s, ORDERS[1], percent) for s in sets],
                     "sketch": [sketch(s) for s in sets],
-                    "wide": [sketch(s, wide_cells(len(s))) for s in sets],
                 })
 
-    own_row = [F.col(row).alias("own_row")] if row else []
-    ids = docs.select(*own_row, F.col("doc_id").cast("string").alias("doc_id"), "text")  # long with nulls would be float in pandas
-    made = ids.mapInPandas(run, "own_row long, " * bool(row) + "doc_id string, n long, cls long, n_low int, tokens array<long>, sketch array<long>, wide array<long>")
-    return cut(made.select((F.col("own_row") if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "n", "cls", "n_low", "tokens", "sketch", "wide"), "sets")
+    return cut(numbered.select("row", "text").mapInPandas(run, "row long, n long, cls long, n_low int, head array<long>, p2 array<int>, p3 array<int>, sketch array<long>"), "sets")
 
 
 def prefix_length(n: Column, percent: int) -> Column:
-    """How many first tokens must meet those of a similar set."""
     return n - F.floor((n * percent + 99) / 100) + 1
 
 
 def postings(reps: DataFrame, percent: int) -> DataFrame:
-    """reps(row, n, n_low, tokens) -> (row, token, c): prefix tokens under order 1 that c > 1 rows share. Written."""
-    low = reps.select("row", F.posexplode(F.slice("tokens", F.lit(1), F.col("n_low"))).alias("rank", "token"))
-    counted = low.withColumn("c", F.count("*").over(Window.partitionBy("token")))
-    shared = cut(counted.where("c > 1"), "shared")
-    late = shared.where(F.col("c") > FREQUENT).groupBy("row").agg(F.array_sort(F.collect_list("rank")).alias("late"))
-    late = cut(late, "late")
-    info = reps.select("row", "n", "n_low").join(bounded(late.withColumnRenamed("row", "l_row")), F.col("row") == F.col("l_row"), "left")
-    info = info.withColumn("late", F.coalesce("late", F.array().cast("array<int>")))
-    info = info.select("row", "n", "n_low", "late", prefix_length(F.col("n"), percent).alias("p")).withColumn("lack", F.greatest(F.lit(0), F.col("p") - (F.col("n_low") - F.size("late"))).cast("int"))
-    info = cut(info, "info")
-    own = shared.where(F.col("c") <= FREQUENT).join(info.select(F.col("row").alias("i_row"), "late", "p"), F.col("row") == F.col("i_row"))
-    own = own.where(F.col("rank") - F.size(F.filter("late", lambda r: r < F.col("rank"))) < F.col("p")).select("row", "token")
-    # those whose prefix goes beyond the counted tokens: first the others, then the frequent ones
-    lacking = bounded(info.where("lack > 0").select(F.col("row").alias("i_row"), "late", "lack"))
-    more = reps.select("row", "n", "n_low", "tokens").join(lacking, F.col("row") == F.col("i_row"))
-    rest = F.slice("tokens", F.col("n_low") + 1, F.col("lack"))
-    last = F.transform(F.slice("late", F.lit(1), F.greatest(F.lit(0), F.col("lack") - (F.col("n") - F.col("n_low"))).cast("int")), lambda r: F.get("tokens", r))
-    more = more.select("row", F.explode(F.concat(rest, last)).alias("token"))
-    both = own.unionByName(more).withColumn("c", F.count("*").over(Window.partitionBy("token")))
-    return cut(both.where("c > 1"), "postings")
-
-
-def may_link(a: str, b: str, percent: int) -> Column:
-    """A bound: whether sizes and sketches of the rows with suffixes ``a`` and ``b`` leave room for a link.
+    """reps(row, n, n_low, head) -> (row, n, token, pos): prefix tokens under order 1 that several rows have, and their places in it. Written.
 
-    Similar sets differ in at most (1 - t) / (1 + t) of their tokens together, and their sketches in no more cells.
+    Tokens are counted with partial sums and the counts joined back, so the rows
+    of a token in a third of all sets are never gathered in one task.
     """
-    apart = sum((F.bit_count(F.get(f"sketch{a}", F.lit(k)).bitwiseXOR(F.get(f"sketch{b}", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    heads = reps.select("row", "n_low", F.posexplode("head").alias("rank", "token"))
+    low = heads.where("rank < n_low").select("row", "rank", "token")
+    counts = low.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    shared = low.join(counts, "token").select("row", "rank", "token", (F.col("c") > FREQUENT).alias("late"))
+    sizes = reps.select(F.col("row").alias("s_row"), "n", "n_low")
+    before = Window.partitionBy("row").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = shared.join(sizes, F.col("row") == F.col("s_row"))
+    placed = placed.withColumn("late_before", F.coalesce(F.count_if("late").over(before), F.lit(0))).withColumn("n_late", F.count_if("late").over(Window.partitionBy("row")))
+    pos = F.when(F.col("late"), F.col("n_low") - F.col("n_late") + F.col("late_before")).otherwise(F.col("rank") - F.col("late_before"))
+    placed = placed.withColumn("pos", pos.cast("int")).where(F.col("pos") < prefix_length(F.col("n"), percent)).select("row", "n", "token", "pos")
+    # sets with few tokens in the counted range: the next ones by hash
+    rest = heads.where("rank >= n_low").select("row", "rank", "token")
+    again = rest.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    rest = rest.join(again, "token").join(sizes, F.col("row") == F.col("s_row")).select("row", "n", "token", F.col("rank").alias("pos"))
+    return cut(placed.unionByName(rest), "postings")
+
+
+def room(a: str, b: str, percent: int) -> Column:
+    """A bound: whether sizes, and the places of a first common token, leave room for a link of the rows with suffixes ``a`` and ``b``."""
     n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+    left = F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
+
 
+def candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) that share a prefix token under order 1, those that do so under orders 2 and 3, and whose sketches leave room for a link. Written.
 
-def verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) of rows, those that are linked: by sizes and sketches, as candidates under orders 2 and 3 too, then by their whole sets."""
-    slim = lambda c: reps.select(F.col("row").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    pairs = pairs.distinct().join(slim("a"), "a").join(slim("b"), "b").where(may_link("_a", "_b", percent))
-    pairs = cut(pairs.select("a", "b", "n_a", "n_b"), "pairs")
-    wide = lambda c: reps.select(F.col("row").alias(c), F.col("wide").alias(f"w_{c}"))
+    Similar sets differ in at most (1 - t) / (1 + t) of their tokens together, and their sketches in no more cells.
+    """
+    side = lambda c: reps.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "p2", "p3", "sketch")))
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "pairs")
 
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([may_link_wide(*row, percent) for row in zip(x, y, n, m, strict=True)], dtype=bool)
 
-    pairs = pairs.join(wide("a"), "a").join(wide("b"), "b").where(near("w_a", "w_b", "n_a", "n_b"))
-    pairs = cut(pairs.select("a", "b"), "near")
+def verified(pairs: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of pairs(a, b) of rows, those whose whole sets are linked. Written."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("i_row")).distinct()
-    sets = reps.select("row", "tokens").join(bounded(involved), F.col("row") == F.col("i_row"), "left_semi")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("y")), "b")
+    texts = numbered.select("row", "text").join(bounded(involved), F.col("row") == F.col("i_row"), "left_semi")
+    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([is_linked(np.asarray(s), np.asarray(t), percent) for s, t in zip(x, y, strict=True)], dtype=bool)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, kept = _WordHashes(), {}
+        for batch in batches:
+            on = []
+            for b, x, y in zip(batch["b"], batch["x"], batch["y"], strict=True):
+                if b not in kept:  # a hub's pairs follow one another
+                    kept = {b: shingle_hashes(y, width, hashes)}
+                on.append(is_linked(shingle_hashes(x, width, hashes), kept[b], percent))
+            yield batch.loc[on, ["a", "b"]]
 
-    return cut(both.where(linked("x", "y")).select("a", "b"), "links")
+    return cut(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
 
 
 def is_linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether 100 * |x and y| >= percent * |x or y|, for sets that share a prefix token under every order."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    for factor in ORDERS:
-        heads = []
-        for s in (x, y):
-            with np.errstate(over="ignore"):
-                key = s.astype(np.uint64) * factor
-            p = len(s) - -(-percent * len(s) // 100) + 1
-            heads.append(np.partition(key, p - 1)[:p] if p < len(s) else key)
-        if not np.intersect1d(*heads, assume_unique=True).size:
-            return False
+    """Whether 100 * |x and y| >= percent * |x or y|."""
     shared = np.intersect1d(x, y, assume_unique=True).size
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
@@ -227,45 +218,55 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("row", "comp")
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(row, comp) after links(a, b) of rows have joined their groups. Written."""
+    of = lambda c: labels.select(F.col("row").alias(c), F.col("comp").alias(f"{c}_comp"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    further = components(between).select(F.col("row").alias("was"), F.col("comp").alias("now"))
+    return cut(labels.join(further, F.col("comp") == F.col("was"), "left").select("row", F.coalesce("now", "comp").alias("comp")), "labels")
+
+
+def groups_of(reps: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
+    """reps(row, n, n_low, head, p2, p3, sketch) -> (row, comp) of rows that share a prefix token; comp is a row of the group."""
+    posts = postings(reps, percent)
+    labels = cut(posts.select("row").distinct().withColumn("comp", F.col("row")), "labels")
+    for k in range(HUB_ROUNDS + 1):
+        named = posts.join(labels, "row")
+        open_tokens = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
+        named = cut(named.join(open_tokens, "token", "left_semi").select("token", "row", "n", "pos", "comp"), "open")
+        one, other = (named.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "pos", "comp"))) for x in "ab")
+        if k < HUB_ROUNDS:
+            hub = F.min_by(F.struct("row_b", "n_b", "pos_b", "comp_b"), F.xxhash64("row_b", F.lit(k)))
+            other = other.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*")
+        pairs = one.join(other, (one["token"] == other["token"]) & (F.col("comp_a") != F.col("comp_b")) & room("_a", "_b", percent) & (F.lit(k < HUB_ROUNDS) | (F.col("row_a") < F.col("row_b"))))
+        if k < HUB_ROUNDS:  # one hub of each group that a row might belong to; at first a row's groups aren't known, so one
+            pairs = pairs.groupBy("row_a", *["comp_b"] * (k > 0)).agg(F.min_by("row_b", F.xxhash64("row_b", F.lit(k))).alias("row_b"))
+        pairs = pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+        links = verified(candidates(pairs, reps, percent), numbered, width, percent)
+        if not links.isEmpty():
+            labels = merged(labels, links)
+    return labels
+
+
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
-    return row_groups(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    return row_groups(numbered, width, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def row_groups(docs: DataFrame, width: int, percent: int, row: str | None = None) -> DataFrame:
-    """docs(doc_id, text) -> row, doc_id, n_shingles, component_id, comp: the group by one of its rows, null for empty sets."""
-    sets = shingle_sets(docs, width, row)
-    classes = cut(sets.where("n > 0").groupBy("cls").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
+def row_groups(numbered: DataFrame, width: int, percent: int) -> DataFrame:
+    """A written table numbered(row, doc_id, text) -> row, doc_id, n_shingles, component_id, comp: the group by one of its rows, null for empty sets."""
+    sets = shingle_sets(numbered, width, percent)
+    ids = sets.select("row", "n", "cls").join(numbered.select("row", F.col("doc_id").cast("long").alias("doc_id")), "row")
+    classes = cut(ids.where("n > 0").groupBy("cls").agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "classes")
     copies = sets.where("n > 0").select("row", "cls").join(classes.where("copies > 1").select("cls", "rep"), "cls").where("row <> rep").select(F.col("row").alias("c_row"))
     reps = sets.where("n > 0").join(bounded(cut(copies, "copies")), F.col("row") == F.col("c_row"), "left_anti")
+    comps = groups_of(reps, numbered, width, percent)
 
-    posts = postings(reps, percent)
-    sizes = reps.select(F.col("row").alias("s_row"), "n", "sketch")
-    few = posts.where(F.col("c") <= FEW).select("row", "token")
-    pairs = few.select(F.col("row").alias("a"), "token").join(few.select(F.col("row").alias("b"), "token"), "token").where("a < b").select("a", "b")
-    many = posts.where(F.col("c") > FEW).select("row", "token")
-    for seed in range(HUB_SEEDS):
-        hub = many.groupBy("token").agg(F.min_by("row", F.xxhash64("row", "token", F.lit(seed))).alias("hub"))
-        pairs = pairs.unionByName(many.join(hub, "token").where("row <> hub").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")))
-    links = verified(pairs, reps, percent)
-    comps = components(links)
-
-    # what is left: pairs in two components that share one of the tokens of many
-    named = many.join(comps.withColumnRenamed("row", "k_row"), F.col("row") == F.col("k_row"), "left").select("row", "token", F.coalesce("comp", "row").alias("comp"))
-    named = cut(named, "named")
-    split = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
-    named = named.join(split, "token", "left_semi").join(sizes, F.col("row") == F.col("s_row")).select("row", "token", "comp", "n", "sketch")
-    one, other = named.select(*(F.col(c).alias(f"{c}_a") for c in named.columns)), named.select(*(F.col(c).alias(f"{c}_b") for c in named.columns))
-    pairs = one.join(other, (F.col("token_a") == F.col("token_b")) & (F.col("row_a") < F.col("row_b")) & (F.col("comp_a") != F.col("comp_b")) & may_link("_a", "_b", percent))
-    more = verified(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")), reps, percent)
-    if not more.isEmpty():
-        comps = components(links.unionByName(more))
-
-    rep_of = sets.where("n > 0").select("row", "doc_id", "n", "cls").join(classes.select("cls", "rep", "first_id"), "cls")
     named = comps.join(classes.select(F.col("rep").alias("row"), "first_id"), "row").groupBy("comp").agg(F.min("first_id").alias("lowest"))
     named = comps.join(named, "comp").select(F.col("row").alias("rep"), "comp", "lowest")
-    grouped = rep_of.join(named, "rep", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("comp", "rep").alias("comp"))
-    return grouped.unionByName(sets.where("n = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp")))
+    named = classes.join(named, "rep", "left").select("cls", F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("comp", "rep").alias("comp"))
+    return ids.join(named, "cls", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,16 +274,22 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar documents (five words, 0.8): of the smallest doc_id, nulls last; of repeated ids the first row. Wordless texts stay.
+    """One row of each group of similar documents (five words, 0.8): of the smallest doc_id, nulls last; of repeated ids the first row.
 
-    Ids may repeat or be null, so rows are numbered, and written with their number.
+    Null, empty and wordless texts stay; ids may repeat or be null, so rows are
+    numbered, and written with their number; an empty table stays empty; other
+    columns, whatever their names, are handed on.
     """
-    numbered = cut(docs.withColumn("_ngram_row", F.monotonically_increasing_id()), "rows")
-    groups = cut(row_groups(numbered, 5, 80, "_ngram_row").where("comp IS NOT NULL").select("row", "doc_id", "component_id", "comp"), "groups")
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    numbered = cut(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    groups = row_groups(numbered.select(F.col(number).alias("row"), "doc_id", "text"), 5, 80)
+    groups = cut(groups.where("comp IS NOT NULL").select("row", "doc_id", "component_id", "comp"), "groups")
     first = groups.groupBy("comp").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("first_row"))
-    others = cut(groups.join(first, F.col("row") == F.col("first_row"), "left_anti").select("row"), "others")
-    return numbered.join(bounded(others), F.col("_ngram_row") == others["row"], "left_anti").select(*docs.columns)
-
+    others = cut(groups.join(first, F.col("row") == F.col("first_row"), "left_anti").select(F.col("row").alias("_other_row")), "others")
+    others = bounded(others)
+    return numbered.join(others, numbered[number] == others["_other_row"], "left_anti").select(*docs.columns)
 
 NGRAM_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -56,8 +56,7 @@ def groups_by_hand(rows, width, percent):
 
 @pytest.mark.parametrize(("width", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join_against_brute_force(spark, monkeypatch, width, percent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 6)  # so that the small case has frequent tokens and hubs
-    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 6)  # so that the small case has frequent tokens
     rng = random.Random(width)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(60)]
@@ -76,15 +75,16 @@ def test_ngram_join_against_brute_force(spark, monkeypatch, width, percent):
 def test_ngram_join_bounds():
     rng = np.random.default_rng(1)
     for n in (5, 300, 3000):
-        x = np.unique(rng.integers(0, 1 << 40, n))
-        y = np.unique(np.concatenate([x[: int(n * 0.93)], rng.integers(0, 1 << 40, n // 20)]))
-        wide = [ngram_join.sketch(s, ngram_join.wide_cells(len(s))) for s in (x, y)]
-        shared = len(np.intersect1d(x, y))
-        if 100 * shared >= 80 * (len(x) + len(y) - shared):
-            assert ngram_join.may_link_wide(*wide, len(x), len(y), 80) and ngram_join.is_linked(x, y, 80)
-        z = np.unique(rng.integers(0, 1 << 40, n))
+        x = np.unique(rng.integers(0, 1 << 62, n))
+        y = np.unique(np.concatenate([x[: int(n * 0.93)], rng.integers(0, 1 << 62, n // 20)]))
+        if ngram_join.is_linked(x, y, 80):
+            apart = int(np.bitwise_count((ngram_join.sketch(x) ^ ngram_join.sketch(y)).view(np.uint64)).sum())
+            assert 180 * apart <= 20 * (len(x) + len(y))
+            for factor in ngram_join.ORDERS:
+                assert np.intersect1d(ngram_join.prefix_under(x, factor, 80), ngram_join.prefix_under(y, factor, 80)).size
+        z = np.unique(rng.integers(0, 1 << 62, n))
         assert not ngram_join.is_linked(x, z, 80)
-    assert ngram_join.join_groups
+    assert [ngram_join.prefix_size(n, 85) for n in (0, 1, 2, 7, 100)] == [0, 1, 1, 2, 16]
 
 
 def test_ngram_join_counts_every_shingle():
