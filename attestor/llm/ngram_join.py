@@ -158,22 +158,23 @@ def postings(reps: DataFrame, percent: int) -> DataFrame:
     return cut(placed.unionByName(rest), "postings")
 
 
-def room(a: str, b: str, percent: int) -> Column:
-    """A bound: whether sizes, and the places of a first common token, leave room for a link of the rows with suffixes ``a`` and ``b``."""
-    n, m = F.col(f"n{a}"), F.col(f"n{b}")
-    left = F.least(n - F.col(f"pos{a}"), m - F.col(f"pos{b}"))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
+def meet(percent: int) -> Column:
+    """Rows of two groups share a token, and sizes and the token's places, if it's the first common one, leave room for a link."""
+    n, m = F.col("n_a"), F.col("n_b")
+    left = F.least(n - F.col("pos_a"), m - F.col("pos_b"))
+    return (F.col("token_a") == F.col("token_b")) & (F.col("comp_a") != F.col("comp_b")) & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
 
 
-def candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Of pairs(a, b) that share a prefix token under order 1, those that do so under orders 2 and 3, and whose sketches leave room for a link. Written.
+def near(percent: int) -> Column:
+    """A bound: similar sets differ in at most (1 - t) / (1 + t) of their tokens together, and their sketches in no more cells."""
+    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
-    Similar sets differ in at most (1 - t) / (1 + t) of their tokens together, and their sketches in no more cells.
-    """
+
+def candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Of pairs(a, b) that share a prefix token under order 1, those that do so under orders 2 and 3, and whose sketches leave room for a link. Written."""
     side = lambda c: reps.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "p2", "p3", "sketch")))
-    apart = sum((F.bit_count(F.get("sketch_a", F.lit(k)).bitwiseXOR(F.get("sketch_b", F.lit(k)))) for k in range(SKETCH_WORDS)), F.lit(0))
-    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "pairs")
+    return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near(percent) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "pairs")
 
 
 def verified(pairs: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
@@ -230,22 +231,33 @@ def groups_of(reps: DataFrame, numbered: DataFrame, width: int, percent: int) ->
     """reps(row, n, n_low, head, p2, p3, sketch) -> (row, comp) of rows that share a prefix token; comp is a row of the group."""
     posts = postings(reps, percent)
     labels = cut(posts.select("row").distinct().withColumn("comp", F.col("row")), "labels")
-    for k in range(HUB_ROUNDS + 1):
-        named = posts.join(labels, "row")
-        open_tokens = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
-        named = cut(named.join(open_tokens, "token", "left_semi").select("token", "row", "n", "pos", "comp"), "open")
-        one, other = (named.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("row", "n", "pos", "comp"))) for x in "ab")
-        if k < HUB_ROUNDS:
-            hub = F.min_by(F.struct("row_b", "n_b", "pos_b", "comp_b"), F.xxhash64("row_b", F.lit(k)))
-            other = other.groupBy("token").agg(hub.alias("hub")).select("token", "hub.*")
-        pairs = one.join(other, (one["token"] == other["token"]) & (F.col("comp_a") != F.col("comp_b")) & room("_a", "_b", percent) & (F.lit(k < HUB_ROUNDS) | (F.col("row_a") < F.col("row_b"))))
-        if k < HUB_ROUNDS:  # one hub of each group that a row might belong to; at first a row's groups aren't known, so one
-            pairs = pairs.groupBy("row_a", *["comp_b"] * (k > 0)).agg(F.min_by("row_b", F.xxhash64("row_b", F.lit(k))).alias("row_b"))
-        pairs = pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
-        links = verified(candidates(pairs, reps, percent), numbered, width, percent)
-        if not links.isEmpty():
-            labels = merged(labels, links)
-    return labels
+    for k in range(HUB_ROUNDS):
+        one, other = _open(posts, labels)
+        # at first most tokens of a group name the same hub; later each token names its own
+        hub = F.min_by(F.struct("row_b", "n_b", "pos_b", "comp_b"), F.xxhash64("row_b", F.lit(k), *["token_b"] * (k > 0)))
+        other = other.groupBy("token_b").agg(hub.alias("hub")).select("token_b", "hub.*")
+        pairs = one.join(other, meet(percent))
+        if k == 0:
+            pairs = pairs.groupBy("row_a").agg(F.min_by("row_b", F.xxhash64("row_b", F.lit(k))).alias("row_b"))
+        labels = _linked(pairs, labels, reps, numbered, width, percent)
+    one, other = _open(posts, labels, reps.select("row", "sketch"))
+    return _linked(one.join(other, meet(percent) & (F.col("row_a") < F.col("row_b")) & near(percent)), labels, reps, numbered, width, percent)
+
+
+def _open(posts: DataFrame, labels: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The postings of tokens that rows of several groups have, with columns named for either side of a pair."""
+    named = posts.join(labels, "row")
+    tokens = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
+    named = named.join(tokens, "token", "left_semi")
+    named = cut(named.join(more, "row") if more else named, "open")
+    return tuple(named.select(*(F.col(c).alias(f"{c}_{x}") for c in named.columns)) for x in "ab")
+
+
+def _linked(pairs: DataFrame, labels: DataFrame, reps: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
+    """``labels`` after those of pairs(row_a, row_b) that are linked have joined their groups."""
+    pairs = pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
+    links = verified(candidates(pairs, reps, percent), numbered, width, percent)
+    return labels if links.isEmpty() else merged(labels, links)
 
 
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
