@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import SUFFIXES, TWO_LABEL_SUFFIXES, bare_host, canonical, ipv4_number
+from .urls import bare_host, canonical, ipv4_number, suffix_labels
 
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 USERNAME = r"^[A-Za-z0-9._\-]{1,64}$"
@@ -29,10 +29,8 @@ def domain_of(value: Column) -> Column:
     """A domain in lower case without scheme, path, port and last dots; null without a known public suffix."""
     v = F.regexp_replace(F.lower(F.trim(value)), r"^[a-z][a-z0-9+.-]*://", "")
     v = F.rtrim(F.split_part(F.split_part(v, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)), F.lit("."))
-    labels = F.split(v, r"\.")
-    last2 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
-    known = F.when(last2.isin(TWO_LABEL_SUFFIXES), F.size(labels) >= 3).otherwise((F.size(labels) >= 2) & F.element_at(labels, -1).isin(SUFFIXES))
-    return F.when(v.contains(".") & known & v.rlike(DOMAIN), v)
+    k = suffix_labels(v)
+    return F.when((k > 0) & (F.size(F.split(v, r"\.")) > k) & v.rlike(DOMAIN), v)
 
 
 def asn_of(value: Column) -> Column:
@@ -103,8 +101,8 @@ def username_match(requested: Column, observed: Column) -> Column:
     affixed = F.lit(False)
     for a in AFFIXES:
         affixed = affixed | (obs == F.concat(req, F.lit(f"_{a}"))) | (obs == F.concat(F.lit(f"{a}_"), req)) | (obs == F.concat(req, F.lit(f"-{a}"))) | (obs == F.concat(F.lit(f"{a}-"), req)) | (obs == F.concat(req, F.lit(f".{a}")))
-    numbered = F.regexp_replace(obs, r"[_.-]?[0-9]+$", "") == req
-    numbered = (numbered | (F.regexp_replace(obs, r"^[0-9]+[_.-]?", "") == req)) & obs.rlike("[0-9]")
+    more = F.length(obs) - F.length(req)
+    numbered = (F.startswith(obs, req) & F.substr(obs, F.length(req) + 1).rlike("^[_.-]?[0-9]+$")) | (F.endswith(obs, req) & F.left(obs, F.greatest(F.lit(0), more)).rlike("^[0-9]+[_.-]?$"))
     digits_after = F.startswith(joined(obs), joined(req)) & F.substr(joined(obs), F.length(joined(req)) + 1).rlike("^[0-9]+$") & (joined(req) != "")
     a, b = tokens(req), tokens(obs)
     permuted = (count(req) >= 2) & (count(obs) >= 2) & (F.size(F.array_except(a, b)) == 0) & ((F.size(F.array_except(b, a)) == 0) | (count(obs) <= count(req) + 2))

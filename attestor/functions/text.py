@@ -23,8 +23,12 @@ SECRETS = {
     "session": r"(?i)(sessionid|csrftoken|auth_token|access_token|refresh_token)=([^\s;&]+)",
     "cookie": r"(?i)(cookie|set-cookie)([\"'\s:=]+)([^\s\"']+)",
 }
-#: Keys whose values are secret, besides those that contain one of the tokens.
-SENSITIVE_KEYS = "api_key apikey key pass passwd authorization auth_token bearer cookies session sessionid storage_state storagestate".split()
+#: Keys whose values are secret.
+SENSITIVE_KEYS = """
+    api_key apikey x-apikey authorization proxy-authorization cookie set-cookie token access_token refresh_token secret password passwd
+    pass hibp-api-key x-otx-api-key key session sessionid csrf csrftoken csrf_token auth_token bearer cookies storage_state storagestate
+""".split()
+#: Keys that contain one of these are secret too.
 SENSITIVE_TOKENS = "password secret token cookie bearer csrf".split()
 
 #: Mail services by what their hosts contain.
@@ -64,13 +68,35 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def excerpt(text: Column, needle: Column, width: int = 80) -> Column:
-    """A window of about ``width`` characters around the first place of ``needle``, with ellipses where text is cut off."""
-    flat = squeezed(text)
-    at = F.instr(flat, needle)
+def excerpt(text: Column, needle: Column, width: int = 90) -> Column:
+    """The first place of ``needle``, in any case, with half of ``width`` around it and ellipses where text is cut off; the beginning of a text without it."""
+    flat = F.coalesce(squeezed(text), F.lit(""))
+    at = F.instr(F.lower(flat), F.lower(needle))
     start = F.greatest(F.lit(1), at - F.lit(width // 2))
-    part = F.substr(flat, start, F.lit(width))
-    return F.when(at > 0, F.concat(F.when(start > 1, "...").otherwise(""), part, F.when(start + width - 1 < F.length(flat), "...").otherwise("")))
+    end = F.least(F.length(flat), at - 1 + F.length(needle) + F.lit(width // 2))
+    part = F.substr(flat, start, end - start + 1)
+    around = F.concat(F.when(start > 1, "…").otherwise(""), part, F.when(end < F.length(flat), "…").otherwise(""))
+    return F.when(at > 0, around).otherwise(F.left(flat, F.lit(2 * width)))
+
+
+def folded(text: Column) -> Column:
+    """Without marks on letters, with single spaces; case is kept. Decomposed forms are told from the letters that Latin scripts write with marks."""
+    plain = F.regexp_replace(F.translate(text, MARKED, UNMARKED), r"\p{M}", "")
+    return squeezed(plain)
+
+
+def _marked() -> tuple[str, str]:
+    import unicodedata
+
+    letters = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if bare != c and len(bare) == 1:
+            letters[c] = bare
+    return "".join(letters), "".join(letters.values())
+
+
+MARKED, UNMARKED = _marked()
 
 
 def secret_counts(text: Column) -> dict[str, Column]:

@@ -11,17 +11,23 @@ SUSPICIOUS_TLDS = "zip mov xyz top click country gq tk ml cf ga work rest fit qu
 SHORTENERS = "bit.ly t.co tinyurl.com goo.gl ow.ly is.gd buff.ly rebrand.ly cutt.ly shorturl.at rb.gy lnkd.in".split()
 #: Query parameters that track.
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid igshid mc_cid mc_eid ref referrer".split()
-#: Public suffixes of two labels that are known here; any other last label is a suffix of one.
-TWO_LABEL_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.br org.br com.au net.au co.jp co.nz com.mx co.in".split()
-#: One-label suffixes that are known here.
-SUFFIXES = "com net org info biz io dev app ai me co uk br de fr es it nl eu us ca au jp nz mx in ch se no example test".split() + SUSPICIOUS_TLDS
+#: Suffixes of one label, besides all of two letters, which are those of countries.
+SUFFIXES = """
+    com net org info biz edu gov mil int arpa name pro aero coop museum mobi jobs travel tel post asia cat xxx dev app page blog cloud
+    online site website store tech space live news media agency company solutions services group network systems digital design studio
+    social community email link wiki life world today global art music video games academy school university health care law finance
+    bank capital ventures fund eco earth green energy city berlin london paris nyc tokyo example test
+""".split() + SUSPICIOUS_TLDS
+#: Labels below a country that are part of its suffix.
+SECOND_LEVELS = "co com org net gov edu ac or ne go gob mil gov nom sch ltd plc".split()
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def host_of(url: Column) -> Column:
     """The host in lower case; empty without one."""
-    return F.lower(F.regexp_extract(url, _SCHEME + r"(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.lower(F.regexp_extract(url, _SCHEME + r"(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)", 1))
+    return F.regexp_replace(host, r"^\[|\]$", "")
 
 
 def bare_host(url: Column) -> Column:
@@ -37,7 +43,7 @@ def query_of(url: Column) -> Column:
 
 
 def port_of(url: Column) -> Column:
-    return F.regexp_extract(url, _SCHEME + r"(?:[^/?#@]*@)?[^/?#:]+:([0-9]+)", 1)
+    return F.regexp_extract(url, _SCHEME + r"(?:[^/?#@]*@)?(?:\[[^\]/?#]*\]|[^/?#:]+):([0-9]+)", 1)
 
 
 def canonical(url: Column) -> Column:
@@ -47,7 +53,9 @@ def canonical(url: Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
     port, path, query = port_of(u), path_of(u), query_of(u)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    return F.concat(scheme, F.lit("://"), host_of(u), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    host = host_of(u)
+    host = F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    return F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
 def identity(url: Column) -> Column:
@@ -62,13 +70,24 @@ def avatar_key(url: Column) -> Column:
     return F.substring(F.sha2(F.regexp_replace(url, r"[?#].*$", ""), 256), 1, 16)
 
 
-def registrable(host: Column) -> Column:
-    """The label before the public suffix, and the suffix; null where the suffix isn't known."""
+def suffix_labels(host: Column) -> Column:
+    """How many labels of a host are its public suffix; 0 where that isn't known.
+
+    A rule and not a table: any label of two letters is a country's, with the
+    labels of ``SECOND_LEVELS`` below it, if there is a further label.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    last2 = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
-    last3 = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), F.lit(3)), ".")
-    return F.when(last2.isin(TWO_LABEL_SUFFIXES), F.when(n >= 3, last3)).when((n >= 2) & F.element_at(labels, -1).isin(SUFFIXES), last2)
+    last, second = F.element_at(labels, -1), F.get(labels, n - 2)
+    country = last.rlike("^[a-z]{2}$")
+    return F.when((n >= 2) & country & second.isin(SECOND_LEVELS), 2).when((n >= 2) & (country | last.isin(SUFFIXES)), 1).otherwise(0)
+
+
+def registrable(host: Column) -> Column:
+    """The label before the public suffix, and the suffix; null where there is none."""
+    labels, k = F.split(host, r"\."), suffix_labels(host)
+    keep = k + 1
+    return F.when((k > 0) & (F.size(labels) >= keep), F.array_join(F.slice(labels, F.greatest(F.size(labels) - k, F.lit(1)), keep), "."))
 
 
 def ip_literal(host: Column) -> Column:
@@ -86,8 +105,9 @@ def risk_flags(url: Column) -> Column:
             F.when(tld.isin(SUSPICIOUS_TLDS), F.concat(F.lit("suspicious_tld."), tld)),
             F.when(F.length(host) > 50, "long_hostname"),
             F.when(ip_literal(host), "ip_url"),
-            F.when(F.regexp_replace(host, r"^www\.", "").isin(SHORTENERS), "url_shortener"),
+            F.when(host.isin(SHORTENERS), "url_shortener"),
             F.when(url.contains("%"), "encoded_url"),
+            F.when(url.rlike(_SCHEME + r"[^/?#@]+@"), "embedded_credentials"),
         )
     )
 
@@ -145,14 +165,36 @@ def blocked_ipv4(ip: Column) -> Column:
     return F.coalesce(private_ipv4(ip) | ipv4_number(ip).between(0xE0000000, 0xEFFFFFFF), F.lit(True))
 
 
-#: Path beginnings of profile pages.
-PROFILE_HINTS = "user users u profile profiles people member members author authors in @ channel c".split()
+#: What paths of profile pages contain.
+PROFILE_HINTS = "/users/ /user/ /u/ /profile/ /profiles/ /p/ /id/ /member/ /members/ /author/ /people/ /channel/ /c/ /in/".split()
 
 
 def profile_shape(url: Column) -> Column:
-    """Whether the path looks like that of a profile."""
-    hints = "|".join(h for h in PROFILE_HINTS if h != "@")
-    return path_of(url).rlike(rf"^/(?:@[^/]+|(?:{hints})/[^/]+)/?$")
+    """Whether the path holds what paths of profiles hold."""
+    path = F.lower(path_of(url))
+    found = path.contains("/@")
+    for hint in PROFILE_HINTS:
+        found = found | path.contains(hint)
+    return found
+
+
+def candidate_handle(url: Column, requested: Column) -> Column:
+    """The handle that a path may name: what follows a hint, else what follows an @, else the requested handle, else a similar part, else the first part of three letters.
+
+    ``similar`` parts are judged by ``ids.username_match``.
+    """
+    from .ids import SIMILAR, username_match
+
+    raw = F.transform(path_segments(url), F.lower)
+    parts = F.filter(F.transform(raw, lambda x: F.regexp_replace(x, "^@+", "")), lambda x: x != "")
+    hints = F.array(*(F.lit(h.strip("/")) for h in PROFILE_HINTS))
+    after = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts))), lambda k: F.when((k < F.size(parts)) & F.array_contains(hints, F.get(parts, k - 1)), F.get(parts, k))), lambda x: x.isNotNull())
+    at = F.transform(F.filter(raw, lambda x: x.rlike("^@.")), lambda x: F.regexp_replace(x, "^@+", ""))
+    asked = F.lower(F.regexp_replace(F.trim(requested), "^@+", ""))
+    same = F.filter(parts, lambda x: (F.lower(x) == asked) & (asked != ""))
+    similar = F.filter(parts, lambda x: (username_match(asked, x) == SIMILAR) & (asked != ""))
+    first = F.get(parts, F.lit(0))
+    return F.coalesce(F.get(after, F.lit(0)), F.get(at, F.lit(0)), F.get(same, F.lit(0)), F.get(similar, F.lit(0)), F.when(F.length(first) >= 3, first), F.lit(""))
 
 
 def path_segments(url: Column) -> Column:

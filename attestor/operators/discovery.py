@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestor.functions.ids import PLATFORM_HOSTS
-from attestor.functions.urls import bare_host
+from attestor.functions.ids import AFFIXES, PLATFORM_HOSTS, UNRELATED, username_match
+from attestor.functions.text import folded
+from attestor.functions.urls import bare_host, host_of, path_segments, query_of
 
 #: Hosts that list a person's links.
 LINK_HUBS = "linktr.ee beacons.ai lnk.bio carrd.co about.me bio.link campsite.bio solo.to heylink.me".split()
@@ -78,18 +79,23 @@ def propose_pivots(indicators: DataFrame, case: str, budget: int) -> DataFrame:
     In order of priority and kind: what isn't new is refused first, then what was
     accepted before, then what is over the budget, then what has no priority. Only
     accepted ones count as seen, so of equal keys the first that may be accepted is.
+
+    Keys are grouped with partial sums; of a case's fresh keys only the first
+    ``budget`` are ranked, which a window with a limit does within each task
+    first, so a case that holds a third of all rows isn't sorted in one.
     """
-    order = [F.desc("priority"), "kind", "ord"]
     useful = F.col("novelty").isin("NOVEL", "DERIVED") & (F.col("priority") > 0)
     i = indicators.where(F.col("kind").isin(*ACTIONS)).withColumn("useful", useful)
-    nth = F.row_number().over(Window.partitionBy(case, "kind", "norm", "useful").orderBy(*order))
-    i = i.withColumn("fresh", (F.col("useful") & (nth == 1)).cast("int"))
-    before = F.sum("fresh").over(Window.partitionBy(case).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    i = i.withColumn("k", before)
-    first_over = (F.col("fresh") == 1) & (F.col("k") > budget)
+    key, place = [case, "kind", "norm"], F.struct((-F.col("priority")).alias("p"), F.col("ord").alias("o"))
+    first = i.where("useful").groupBy(*key).agg(F.min(place).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(case).orderBy("first.p", "kind", "first.o", "norm"))
+    taken = first.withColumn("k", rank).where(F.col("k") <= budget).select(*(F.col(c).alias(f"t_{c}") for c in key), "first")
+    same = (F.col(case) == F.col(f"t_{case}")) & (F.col("kind") == F.col("t_kind")) & (F.col("norm") == F.col("t_norm"))
+    i = i.join(taken, same, "left")
+    kept = F.col("first").isNotNull()
+    is_first = F.coalesce(place == F.col("first"), F.lit(False))
     # a repeat is a duplicate only of what was accepted; of one over the budget it is over the budget too
-    kept = F.max((F.col("fresh") == 1) & (F.col("k") <= budget)).over(Window.partitionBy(case, "kind", "norm"))
-    reason = F.when(~F.col("useful"), F.when(F.col("novelty") == "REDUNDANT", "redundant").otherwise("not_novel")).when(first_over, "budget").when(F.col("fresh") == 0, F.when(kept, "duplicate").otherwise("budget"))
+    reason = F.when(~F.col("useful"), F.when(F.col("novelty") == "REDUNDANT", "redundant").otherwise("not_novel")).when(~kept, "budget").when(~is_first, "duplicate")
     action = F.lit(None).cast("string")
     for kind, name in ACTIONS.items():
         action = F.when(F.col("kind") == kind, name).otherwise(action)
@@ -110,42 +116,178 @@ def metrics(indicators: DataFrame, pivots: DataFrame, case: str) -> DataFrame:
     return a.join(b, case)
 
 
-def mention_matches(texts: DataFrame, leads: DataFrame) -> DataFrame:
-    """texts(id, text) and leads(kind, lead) -> (id, kind, lead, relevance) where a lead stands in a text as a whole word.
+FIELDS = ("title", "snippet", "url", "author")
+#: Query parameters whose value names a user.
+USER_PARAMETERS = "id user username u".split()
+MATCH_TYPES = {"name": "full_name", "email": "exact_email", "domain": "exact_host"}
+ASSOCIATIONS = {"username": "name_plus_username", "email": "name_plus_email", "domain": "name_plus_domain"}
+
+
+def usable_leads(leads: DataFrame) -> DataFrame:
+    """leads(kind, lead) -> kind, lead, form, key of those that can match: handles of three characters, names of two words, addresses with a domain, hosts with a dot.
+
+    ``form`` is what is looked for, ``key`` a word of it, or the letters around its first space, that every text with it has.
+    """
+    l = leads.select("kind", F.trim("lead").alias("lead")).distinct()  # noqa: E741
+    name = F.lower(folded(F.col("lead")))
+    form = (
+        F.when(F.col("kind") == "username", F.lower(F.regexp_replace("lead", "^@+", "")))
+        .when(F.col("kind") == "name", name)
+        .when(F.col("kind") == "domain", F.regexp_replace(F.lower("lead"), r"^www\.", ""))
+        .otherwise(F.lower("lead"))
+    )
+    fits = (
+        F.when(F.col("kind") == "username", F.length("form") >= 3)
+        .when(F.col("kind") == "name", F.col("form").contains(" "))
+        .when(F.col("kind") == "domain", F.col("form").contains(".") & ~F.col("form").contains(" "))
+        .otherwise(F.col("form").rlike(r"@[^@]*\.[^@]*$"))
+    )
+    word = F.regexp_extract(F.when(F.col("kind") == "email", F.substring_index("form", "@", -1)).otherwise(F.col("form")), "[a-z0-9]+", 0)
+    first, second = F.split_part("form", F.lit(" "), F.lit(1)), F.split_part("form", F.lit(" "), F.lit(2))
+    gap = F.concat(F.right(first, F.lit(3)), F.lit(" "), F.left(second, F.lit(3)))
+    return l.withColumn("form", form).where(fits).withColumn("key", F.when(F.col("kind") == "name", gap).otherwise(word))
+
+
+def _shapes(leads: DataFrame) -> list[tuple[int, int]]:
+    """How many letters names' keys have before and after the space: at most nine cases."""
+    n = F.instr("key", " ")
+    rows = leads.where("kind = 'name'").select((n - 1).alias("a"), (F.length("key") - n).alias("b")).distinct().collect()
+    return sorted((r["a"], r["b"]) for r in rows)
+
+
+def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
+    """pages(id, title, snippet, url, author), leads(kind, lead) -> id, kind, lead, field, match_type, relevance, reason, associated.
+
+    Leads and pages meet by equality: each lead has a key, a page has its words,
+    the letters around its spaces, and its host with the host's parents. What
+    meets is compared with the page's fields, in their order, URLs first for
+    handles and hosts. So neither the leads nor the pages need to be few.
+    """
+    l = usable_leads(leads)  # noqa: E741
+    low = F.lower(F.concat_ws("\n", *FIELDS))
+    words = F.split(folded(low), " ")
+    gaps = [F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k, a=a, b=b: F.concat(F.right(F.get(words, k - 1), F.lit(a)), F.lit(" "), F.left(F.get(words, k), F.lit(b)))) for a, b in _shapes(l)]
+    none = F.array().cast("array<string>")
+    keys = F.concat(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), *(F.when(F.size(words) > 1, g).otherwise(none) for g in gaps))
+    met = pages.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(l, "key").select("id", "kind", "lead", "form")
+    f = lambda c: F.coalesce(F.col(c), F.lit(""))
+    both = met.join(pages.select("id", *(f(c).alias(c) for c in FIELDS)), "id")
+
+    parts = F.transform(path_segments(F.lower("url")), lambda x: F.regexp_replace(x, "^@+", ""))
+    asked = F.exists(F.split(F.lower(query_of(F.col("url"))), "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)).isin(USER_PARAMETERS) & p.contains("=") & (F.substring_index(p, "=", -1) == F.col("form")))
+    in_url = F.array_contains(parts, F.col("form")) | asked
+    host = F.regexp_replace(host_of(F.when(F.col("url").contains("://"), F.col("url")).otherwise(F.concat(F.lit("https://"), F.col("url")))), r"^www\.", "")
+    at_host = (host == F.col("form")) | F.endswith(host, F.concat(F.lit("."), F.col("form")))
+    literal = F.concat(F.lit(r"\Q"), F.col("form"), F.lit(r"\E"))
+    bounded = lambda c, edge: F.regexp_like(F.lower(c), F.concat(F.lit(f"(?<![{edge}])"), literal, F.lit(f"(?![{edge}])")))
+
+    def holds(c: str):
+        text = F.col(c)
+        return (
+            F.when(F.col("kind") == "username", F.lit(c != "url") & bounded(text, "a-z0-9_"))
+            .when(F.col("kind") == "domain", F.lit(c != "url") & bounded(text, "a-z0-9-"))
+            .when(F.col("kind") == "name", F.lower(folded(text)).contains(F.col("form")))
+            .otherwise(F.lower(text).contains(F.col("form")))
+        )
+
+    field = F.when((F.col("kind") == "username") & in_url, "url").when((F.col("kind") == "domain") & at_host, "url")
+    for c in FIELDS:
+        field = field.when(holds(c), c)
+    found = both.withColumn("field", field).where("field IS NOT NULL").select("id", "kind", "lead", "field")
+    match_type = F.when(F.col("kind") == "username", F.when(F.col("field") == "url", "url_path_segment").otherwise("exact_token"))
+    for kind, name in MATCH_TYPES.items():
+        match_type = match_type.when(F.col("kind") == kind, name)
+    return related(found.withColumn("match_type", match_type))
+
+
+def related(found: DataFrame) -> DataFrame:
+    """found(id, kind, lead, match_type) with relevance: handles, addresses and hosts speak for themselves; a name is associated if one of these is on its page too, else ambiguous."""
+    beside = found.where(F.col("kind").isin(*DIRECT_KINDS)).groupBy("id").agg(F.collect_set(F.struct("kind", "lead")).alias("others"))
+    of = lambda kind: F.transform(F.array_sort(F.filter("others", lambda x: x["kind"] == kind)), lambda x: x["lead"])
+    others = F.coalesce(F.concat(*(of(k) for k in ASSOCIATIONS)), F.array().cast("array<string>"))
+    direct = F.col("kind").isin(*DIRECT_KINDS)
+    label = F.lit(None).cast("string")
+    for kind, name in reversed(ASSOCIATIONS.items()):
+        label = F.when(F.exists("others", lambda x, kind=kind: x["kind"] == kind), name).otherwise(label)
+    reasons = {"exact_token": "exact_username", "url_path_segment": "username_path", "exact_email": "exact_email", "exact_host": "exact_domain"}
+    reason = F.lit(None).cast("string")
+    for match, name in reasons.items():
+        reason = F.when(F.col("match_type") == match, name).otherwise(reason)
+    f = found.join(beside, "id", "left")
+    has = F.size(others) > 0
+    return f.select(
+        *found.columns,
+        F.when(direct, "DIRECT").when(has, "ASSOCIATED").otherwise("AMBIGUOUS").alias("relevance"),
+        F.when(direct, reason).when(has, label).otherwise("full_name_only").alias("reason"),
+        F.when(~direct, F.array_join(others, ",")).otherwise("").alias("associated"),
+    )
+
+
+def similar_handles(requested: DataFrame, observed: DataFrame) -> DataFrame:
+    """requested(requested), observed(observed) -> the pairs that ``username_match`` doesn't call unrelated.
 
-    Words of texts join leads by equality, so the leads may be many. A lead of
-    several words is found by its first and then compared.
+    Each observed handle names all forms of which it can be a variant: itself, its
+    letters without separators or with fewer digits at an end, its words without up to two
+    of them, and what is left when a short end goes; requested handles meet
+    these by equality. So no handle is held against all others.
     """
-    bare = lambda c: F.regexp_replace(F.lower(c), r"^[^\p{L}\p{N}@]+|[^\p{L}\p{N}]+$", "")
-    words = texts.select("id", F.array_compact(F.transform(F.split("text", r"\s+"), lambda w: F.when(bare(w) != "", bare(w)))).alias("w"))
-    at = words.select("id", "w", F.posexplode("w").alias("p", "first"))
-    l = leads.select("kind", F.lower("lead").alias("lead")).distinct().withColumn("parts", F.split("lead", " "))  # noqa: E741
-    hit = at.join(l, F.col("first") == F.get("parts", F.lit(0))).where(F.slice("w", F.col("p") + 1, F.size("parts")) == F.col("parts"))
-    found = hit.groupBy("id", "kind", "lead").agg(F.count("*").alias("n"))
-    others = F.count("*").over(Window.partitionBy("id"))
-    # exact kinds speak for themselves; a name alone is ambiguous, with another lead beside it associated
-    relevance = F.when(F.col("kind").isin(*DIRECT_KINDS), "DIRECT").when(others > 1, "ASSOCIATED").otherwise("AMBIGUOUS")
-    return found.withColumn("relevance", relevance)
+    plain = lambda c: F.lower(F.regexp_replace(F.trim(c), "^@+", ""))
+    joined = lambda c: F.regexp_replace(c, r"[-_.]+", "")
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"[-_.]+"), lambda t: t != ""))
+    as_words = lambda w: F.concat(F.lit("w:"), F.array_join(F.array_sort(w), " "))
+    tagged = lambda tag, c: F.concat(F.lit(tag), c)
+    keys = lambda c: F.array(tagged("j:", joined(c)), tagged("r:", c), as_words(words(c)))
+
+    o, j, w = F.col("o"), joined(F.col("o")), words(F.col("o"))
+    ends = F.transform(F.sequence(F.lit(1), F.length(j)), lambda k: F.when(F.substr(j, k + 1).rlike("^[0-9]+$"), tagged("j:", F.left(j, k))))
+    # without an end: cut before or after each place; what is right among these is told by ``username_match``
+    heads = F.transform(F.sequence(F.lit(1), F.length(o)), lambda k: F.when(F.substr(o, k + 1).rlike(r"^[_.-]?[0-9]+$|^[_.-].{0,8}$"), tagged("r:", F.left(o, k))))
+    tails = F.transform(F.sequence(F.lit(1), F.length(o)), lambda k: F.when(F.left(o, k).rlike(r"^[0-9]+[_.-]?$|^.{0,8}[_.-]$"), tagged("r:", F.substr(o, k + 1))))
+    pairs = F.flatten(F.transform(w, lambda x: F.transform(w, lambda y: as_words(F.filter(w, lambda t: (t != x) & (t != y))))))
+    made = F.array_distinct(F.array_compact(F.concat(keys(o), ends, heads, tails, pairs)))
+    left = requested.select("requested", plain(F.col("requested")).alias("q")).where("q <> ''").select("requested", F.explode(F.array_distinct(keys(F.col("q")))).alias("key"))
+    right = observed.select("observed", plain(F.col("observed")).alias("o")).where("o <> ''").select("observed", F.explode(made).alias("key"))
+    match = username_match(F.col("requested"), F.col("observed"))
+    return left.join(right, "key").select("requested", "observed").distinct().withColumn("match", match).where(F.col("match") != UNRELATED)
 
 
 def query_plan(leads: DataFrame, budget: int = 12, per_lead: int = 4) -> DataFrame:
-    """leads(case, kind, lead, ord) -> queries in tiers, without repeats, at most ``per_lead`` for each lead and ``budget`` for each case."""
-    q = lambda tier, text, when: F.when(when, F.struct(F.lit(tier).alias("tier"), text.alias("text")))
-    quoted = F.concat(F.lit('"'), F.col("lead"), F.lit('"'))
-    handle, first = F.col("kind") == "username", F.col("ord") == 1
+    """leads(case, kind, lead, ord) -> queries in tiers, without repeats, at most ``per_lead`` of one family for each lead and ``budget`` for each case.
+
+    Tiers: the first handle; addresses and domains in turn; names; further
+    handles; forms of each handle; handles with names; handles with domains; names with domains.
+    """
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    l = leads.withColumn("nth", F.row_number().over(Window.partitionBy("case", "kind").orderBy("ord", "lead")))  # noqa: E741
+    handle, first = F.col("kind") == "username", F.col("nth") == 1
+    q = lambda tier, kind, text, when: F.when(when, F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("family"), text.alias("text")))
+    lead = F.col("lead")
     made = F.array_compact(
         F.array(
-            q(0, quoted, handle & first),
-            q(1, quoted, F.col("kind").isin("email", "domain")),
-            q(2, quoted, F.col("kind") == "name"),
-            q(3, quoted, handle & ~first),
-            q(4, F.concat(F.lit("@"), F.col("lead")), handle),
-            q(5, F.concat(F.lit("inurl:"), F.col("lead")), handle),
-            q(6, F.concat(quoted, F.lit(" profile")), handle),
+            q(0, "username", quoted(lead), handle & first),
+            q(1, "email", quoted(lead), F.col("kind") == "email"),
+            q(1, "domain", quoted(lead), F.col("kind") == "domain"),
+            q(2, "name", quoted(lead), F.col("kind") == "name"),
+            q(3, "username", quoted(lead), handle & ~first),
+            q(4, "username", F.concat(F.lit("@"), lead), handle),
+            q(5, "username", F.concat(F.lit("inurl:"), lead), handle),
+            q(6, "username", F.concat(quoted(lead), F.lit(" profile")), handle),
         )
     )
-    rows = leads.select("case", "kind", "lead", "ord", F.explode(made).alias("q")).select("case", "kind", "lead", "ord", "q.tier", "q.text")
-    once = rows.groupBy("case", F.lower("text").alias("key")).agg(F.min_by(F.struct("tier", "ord", "kind", "lead", "text"), F.struct("tier", "ord")).alias("r")).select("case", "r.*")
-    capped = once.withColumn("k", F.row_number().over(Window.partitionBy("case", "kind", "lead").orderBy("tier"))).where(F.col("k") <= per_lead)
-    place = F.row_number().over(Window.partitionBy("case").orderBy("tier", "ord", "kind"))
-    return capped.withColumn("place", place).where(F.col("place") <= budget).select("case", "kind", "lead", "tier", "text", "place")
+    single = l.select("case", "lead", F.col("nth").alias("i"), F.when(F.col("kind") == "domain", 1).otherwise(0).alias("j"), F.explode(made).alias("q")).select("case", "lead", "i", "j", "q.*")
+
+    # of each kind only the first ``budget`` leads can get into a plan, so pairs are few whatever the case holds
+    few = l.where(F.col("nth") <= budget)
+
+    def paired(tier: int, family: str, one: str, other: str) -> DataFrame:
+        a = few.where(F.col("kind") == one).select("case", "lead", F.col("nth").alias("i"))
+        b = few.where(F.col("kind") == other).select("case", F.col("lead").alias("more"), F.col("nth").alias("j"))
+        text = F.concat(quoted(F.col("lead")), F.lit(" "), quoted(F.col("more")))
+        return a.join(b, "case").select("case", "lead", "i", "j", F.lit(tier).alias("tier"), F.lit(family).alias("family"), text.alias("text"))
+
+    rows = single.unionByName(paired(7, "pair", "username", "name")).unionByName(paired(8, "domain", "username", "domain")).unionByName(paired(9, "domain", "name", "domain"))
+    place = F.struct("tier", "i", "j")
+    once = rows.groupBy("case", F.lower("text").alias("key")).agg(F.min_by(F.struct("tier", "i", "j", "family", "lead", "text"), place).alias("r")).select("case", "r.*")
+    capped = once.withColumn("k", F.row_number().over(Window.partitionBy("case", "family", "lead").orderBy("tier", "i", "j"))).where(F.col("k") <= per_lead)
+    nth = F.row_number().over(Window.partitionBy("case").orderBy("tier", "i", "j"))
+    return capped.withColumn("place", nth).where(F.col("place") <= budget).select("case", "family", "lead", "tier", "text", "place")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attestor.sources.steps import cut
+
 
 def build(edges: DataFrame) -> DataFrame:
     """One edge for each (src, dst): the last relation, source and confidence in order; the last evidence that isn't missing."""
@@ -50,6 +52,24 @@ def reach(graph: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     return known
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """edges(src, dst) -> (id, component): the smallest id that edges reach in any direction. Written.
+
+    Each round takes the smallest label among neighbours, then the label of that
+    label, so the rounds follow the logarithm of the longest way.
+    """
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "edges")
+    labels = cut(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("src"), F.min("dst")).alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "id").select("id", F.least("component", "near").alias("to"), F.col("component").alias("was"))
+        step = step.join(labels.select(F.col("id").alias("to"), F.col("component").alias("further")), "to")
+        step = cut(step.select("id", F.least("to", "further").alias("component"), "was"), "labels")
+        if step.where("component <> was").isEmpty():
+            return step.select("id", "component")
+        labels = step.select("id", "component")
+
+
 #: What a relation suggests to look at, by the type of its end.
 PIVOTS = {
     "RESOLVES_TO": "Investigate IP",

@@ -14,19 +14,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestor.sources.steps import cut
+
+from .graph import components
+
 #: What agreement and disagreement weigh.
 WEIGHTS = {
     "same_username": 6,
     "same_display_name": 16,
+    "similar_bio": 10,
     "same_organization": 10,
     "same_location": 8,
     "same_personal_domain": 42,
-    "same_public_id": 32,
-    "same_public_email": 35,
     "same_personal_url": 40,
     "cross_profile_link": 38,
+    "same_public_id": 32,
+    "same_public_email": 35,
     "same_avatar_url": 18,
-    "similar_bio": 10,
 }
 CONFLICTS = {
     "distinct_display_name": -28,
@@ -41,8 +45,8 @@ STRONG_CAP, CLUSTER_MIN = 24, 60
 FIELDS = {"display_name": "display_name", "organization": "organization", "location": "location", "domain": "personal_domain", "public_id": "public_id", "email": "public_email"}
 #: Fields that records may have besides: a normal URL, an avatar's key, a text, the profile's own URL, the URLs it links to.
 OPTIONAL = {"url": "same_personal_url", "avatar": "same_avatar_url", "bio": "similar_bio", "profile_url": "cross_profile_link", "links": "cross_profile_link"}
-#: Without one of these in common the weights of the rest stay below the lowest reported band.
-BLOCKING = ("display_name", "domain", "public_id", "email", "url", "avatar")
+#: Each of these in common reaches the lowest reported band by itself.
+SURE = ("domain", "public_id", "email", "url")
 #: Texts about oneself that say nothing.
 GENERIC_BIOS = ("no bio", "none", "n/a", "na", "hello", "hello world", "hey", "available", "this is my bio")
 
@@ -71,17 +75,33 @@ def similar_bios(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(records: DataFrame) -> DataFrame:
-    """(case_id, a, b: ords of records) that share a blocking key. A key's records meet in one join on case and key, which Spark splits if they are many."""
+    """(case_id, a, b: ords of records) that share a blocking key; all others stay below the lowest reported band of 30.
+
+    Follows from the weights: a domain, id, address, URL or link reaches it alone.
+    A name (16) or an avatar (18) needs the other, or two of handle (6),
+    organization (10), place (8) and text (10); without both it takes all four of these. So
+    a name that a fifth of a case bears is a key only together with others.
+    """
     has = records.columns
-    keys = F.array_compact(F.array(*(F.when(F.col(c) != "", F.concat(F.lit(c + ":"), F.col(c))) for c in BLOCKING if c in has)))
-    if "bio" in has:  # a similar text reaches the band only with handle, organization and place together
-        trio = F.concat(F.lit("trio:"), "username", F.lit("|"), "organization", F.lit("|"), "location")
-        keys = F.concat(keys, F.when(trio.isNotNull(), F.array(trio)).otherwise(F.array().cast("array<string>")))
+    none = F.lit(None).cast("string")
+    col = lambda c: F.when(F.col(c) != "", F.col(c)) if c in has else none
+    made = lambda *cs: F.concat(F.lit("+".join(cs)), *(x for c in cs for x in (F.lit("|"), col(c))))  # noqa: E731  null if one is
+    extra = ("username", "organization", "location")
+    keys = [made(c) for c in SURE if c in has]
+    if "avatar" in has:
+        keys.append(made("display_name", "avatar"))
+    for c in ("display_name", "avatar"):
+        if c in has:
+            keys += [made(c, x, y) for k, x in enumerate(extra) for y in extra[k + 1 :]]
+            if "bio" in has:  # the text is no key, so one of the others must do
+                keys += [F.when(F.col("bio").isNotNull(), made(c, x)) for x in extra]
+    if "bio" in has:
+        keys.append(F.when(F.col("bio").isNotNull(), made(*extra)))
+    keys = F.array_compact(F.array(*keys))
     if "links" in has and "profile_url" in has:
         links = F.array_compact(F.array_append(F.coalesce("links", F.array().cast("array<string>")), F.col("profile_url")))
         keys = F.concat(keys, F.transform(links, lambda u: F.concat(F.lit("link:"), u)))
-    keys = F.array_distinct(keys)
-    keyed = records.select("case_id", "ord", F.explode(keys).alias("key"))
+    keyed = records.select("case_id", "ord", F.explode(F.array_distinct(keys)).alias("key"))
     left, right = keyed.withColumnRenamed("ord", "a"), keyed.withColumnRenamed("ord", "b")
     return left.join(right, ["case_id", "key"]).where("a < b").select("case_id", "a", "b").distinct()
 
@@ -166,20 +186,24 @@ def greedy_clusters(pairs: Iterable[tuple[int, int, int]]) -> dict[int, int]:
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
-    """Clusters of records whose every pair is at least LIKELY and without strong conflict.
+    """Clusters of records whose every pair is at least LIKELY and without strong conflict: case_id, ord, cluster, score, evidence, conflicts.
 
-    The order of joining is part of the result, so a case's pairs of that kind are
-    clustered together; they are as few as its records that resemble each other.
+    The order of joining is part of the result, so pairs that hang together are
+    clustered in one task; groups never cross connected components, so it is
+    these and not cases that are. A cluster's score is its lowest pair's, its evidence and conflicts those of all its pairs.
     """
-    good = pairs.where((F.col("score") >= CLUSTER_MIN) & ~F.col("strong_conflict")).select("case_id", "score", "left_ord", "right_ord")
+    good = cut(pairs.where((F.col("score") >= CLUSTER_MIN) & ~F.col("strong_conflict")), "pairs")
+    name = lambda c: F.struct("case_id", F.col(c).alias("ord"))
+    of = components(good.select(name("left_ord").alias("src"), name("right_ord").alias("dst")))
+    placed = good.join(of.select(F.col("id.case_id").alias("case_id"), F.col("id.ord").alias("left_ord"), "component"), ["case_id", "left_ord"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         of = greedy_clusters(zip(pdf["score"], pdf["left_ord"], pdf["right_ord"], strict=True))
-        least: dict[int, int] = {}
-        for s, a, b in zip(pdf["score"], pdf["left_ord"], pdf["right_ord"], strict=True):
-            if a in of and of[a] == of.get(b):
-                least[of[a]] = min(least.get(of[a], 100), s)
-        rows = [(pdf["case_id"].iloc[0], i, c, least[c]) for i, c in sorted(of.items())]
-        return pd.DataFrame(rows, columns=["case_id", "ord", "cluster", "score"])
-
-    return good.groupBy("case_id").applyInPandas(run, "case_id long, ord long, cluster long, score long")
+        return pd.DataFrame([(pdf["case_id"].iloc[0], i, c) for i, c in sorted(of.items())], columns=["case_id", "ord", "cluster"])
+
+    member = cut(placed.select("case_id", "component", "score", "left_ord", "right_ord").groupBy("case_id", "component").applyInPandas(run, "case_id long, ord long, cluster long"), "members")
+    side = lambda c, n: member.select("case_id", F.col("ord").alias(c), F.col("cluster").alias(n))
+    inside = good.join(side("left_ord", "cluster"), ["case_id", "left_ord"]).join(side("right_ord", "other"), ["case_id", "right_ord"]).where("cluster = other")
+    union = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(F.split(c, ","), lambda x: x != ""))))), ",").alias(c)
+    told = inside.groupBy("case_id", "cluster").agg(F.min("score").alias("score"), union("evidence"), union("conflicts"))
+    return member.join(told, ["case_id", "cluster"]).select("case_id", "ord", "cluster", "score", band(F.col("score")).alias("band"), "evidence", "conflicts")

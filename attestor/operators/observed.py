@@ -18,7 +18,33 @@ LISTS = ("external_links", "social_links")
 #: Where titles come from that are no one's name.
 TITLE_METHODS = ("html_title", "html_og.title")
 #: Wordings of page titles that name no person.
-GENERIC_NAMES = r"(?i)\bprofile\b|cyber\s*security(\s+training)?|(online\s+)?courses?|container\s+image\s+library|developer\s+community|official\s+(site|website|page)|home(\s+page)?$"
+GENERIC_NAMES = [
+    r"music\s+profile",
+    r"user\s+profile",
+    r"wordpress\s+user\s+profile",
+    r"['’]s\s+profile(?:\s+on\s+.+)?$",
+    r"profile\s+on\s+.+$",
+    r"\bprofile\b",
+    r"cyber\s*security(?:\s+training)?",
+    r"(?:online\s+)?(?:security\s+)?training",
+    r"(?:online\s+)?courses?",
+    r"learn(?:ing)?\s+(?:online|cybersecurity|code|coding|programming)",
+    r"build\s+software(?:\s+faster)?",
+    r"where\s+(?:the\s+)?world\s+builds\s+software",
+    r"let['’]s\s+build\s+from\s+here",
+    r"container\s+image\s+library",
+    r"developer\s+community",
+    r"official\s+(?:site|website|page)",
+    r"home(?:\s+page)?$",
+]
+#: Names of platforms that stand as titles, besides those of the site catalog.
+PLATFORM_NAMES = """
+    github;gitlab;tryhackme;docker;docker hub;instagram;threads;tiktok;x;twitter;reddit;pinterest;steam;steam community;telegram;last.fm;
+    replit;pypi;kofi;ko-fi;chess.com;gog;wordpress;dev community;dev.to
+""".replace("\n    ", "").strip().split(";")
+#: What a title that also holds the handle says about its page.
+TITLE_TOKENS = "profile last.fm wordpress gog gitlab github docker tryhackme".split()
+TITLE_PARTS = r"\s*[|·•—–:]\s*|\s+-\s+"
 HANDLE = r"(?<![A-Za-z0-9_])@([A-Za-z0-9_]{3,32})\b"
 
 
@@ -38,9 +64,19 @@ def folded_name(name: Column) -> Column:
 
 
 def generic_name(name: Column, handle: Column, platform: Column) -> Column:
-    """Whether a display name says nothing: empty, the handle, the platform, or a page's title."""
-    n, h = F.lower(F.trim(F.regexp_replace(name, r"\s+", " "))), F.lower(F.regexp_replace(F.trim(handle), "^@+", ""))
-    return F.coalesce((n == "") | (n == h) | (F.replace(n, F.lit(" "), F.lit("")) == h) | (n == F.lower(platform)) | n.rlike(GENERIC_NAMES), F.lit(True))
+    """Whether a display name says nothing: empty, the handle, a platform, or a page's title."""
+    n = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    h = F.lower(F.regexp_replace(F.trim(F.coalesce(handle, F.lit(""))), "^@+", ""))
+    known = lambda c: c.isin(PLATFORM_NAMES) | F.coalesce(c == F.lower(F.trim(platform)), F.lit(False))
+    worded = lambda c: c.rlike("|".join(GENERIC_NAMES))
+    titled = F.lit(False)
+    for token in TITLE_TOKENS:
+        titled = titled | n.contains(token)
+    as_word = F.regexp_like(n, F.concat(F.lit(r"\b\Q"), h, F.lit(r"\E\b")))
+    parts = F.filter(F.split(n, TITLE_PARTS), lambda x: F.trim(x) != "")
+    of_parts = (F.size(parts) >= 2) & F.forall(parts, lambda x: known(F.trim(x)) | worded(F.trim(x)))
+    of_handle = (h != "") & ((n == h) | (F.replace(n, F.lit(" "), F.lit("")) == h) | (titled & as_word))
+    return F.coalesce((n == "") | of_handle | known(n) | of_parts | worded(n), F.lit(True))
 
 
 def valid(rows: DataFrame) -> DataFrame:

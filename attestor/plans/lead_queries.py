@@ -28,13 +28,15 @@ def _indicators(s, d):
 
 
 def _leads(s, d):
+    """Some handles, and the hosts of four pages or more."""
     users = s.range(5).select(F.lit("username").alias("kind"), F.concat(F.lit("user"), F.col("id").cast("string")).alias("norm"))
-    hosts = table(s, d, "pages").where("page_id % 25 = 0").select(F.lit("domain").alias("kind"), urls.bare_host(F.col("url")).alias("norm"))
-    return users.unionByName(hosts)
+    hosts = table(s, d, "pages").groupBy(urls.bare_host(F.col("url")).alias("norm")).agg(F.count("*").alias("n")).where("n >= 4")
+    return users.unionByName(hosts.select(F.lit("domain").alias("kind"), "norm"))
 
 
 def _known(s, d):
-    return table(s, d, "pages").where("page_id % 10 = 3").select("url")
+    """Pages in French are known."""
+    return table(s, d, "pages").where("url LIKE '%/fr/%'").select("url")
 
 
 def _annotated(s, d):
@@ -51,7 +53,7 @@ ANNOTATED = f"""i AS (SELECT 'url' AS kind, url AS value, CASE WHEN page_id % 3
   UNION ALL SELECT 'email', unnest(regexp_extract_all(text, '{text.EMAIL_IN_TEXT}')), 'public_email', 'documents', doc_id * 100000 + unnest(range(0, len(regexp_extract_all(text, '{text.EMAIL_IN_TEXT}')))) + 100000000000 FROM documents
   UNION ALL SELECT 'username', '@User' || c_custkey % 40, CASE WHEN c_custkey % 2 = 0 THEN 'bio_handle' ELSE 'seen' END, 'customer', c_custkey + 200000000000 FROM customer),
 h AS (SELECT *, {VHOST} AS vhost FROM i), n AS (SELECT *, CASE WHEN kind IN ('url', 'domain') THEN vhost WHEN kind = 'username' THEN lower(regexp_replace(trim(value), '^@+', '')) ELSE lower(trim(value)) END AS norm, CASE WHEN kind IN ('url', 'domain') THEN vhost ELSE '' END AS host FROM h),
-leads AS (SELECT 'username' AS kind, 'user' || range AS norm FROM range(5) UNION ALL SELECT 'domain', {BARE} FROM pages WHERE page_id % 25 = 0), known AS (SELECT DISTINCT lower(regexp_replace(url, '/+$', '')) AS u FROM pages WHERE page_id % 10 = 3),
+leads AS (SELECT 'username' AS kind, 'user' || range AS norm FROM range(5) UNION ALL SELECT 'domain', {BARE} FROM pages GROUP BY 2 HAVING count(*) >= 4), known AS (SELECT DISTINCT lower(regexp_replace(url, '/+$', '')) AS u FROM pages WHERE url LIKE '%/fr/%'),
 c AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM leads l WHERE l.kind = CASE WHEN n.kind = 'url' THEN 'domain' ELSE n.kind END AND l.norm = n.norm) THEN 'OPERATOR_INPUT'
   WHEN kind = 'url' AND lower(regexp_replace(value, '/+$', '')) IN (SELECT u FROM known) THEN 'KNOWN' WHEN kind IN ('url', 'domain') AND {ON_PLATFORM} AND host NOT IN {HUBS} THEN 'REDUNDANT'
   WHEN rule IN ({', '.join(f"'{r}'" for r in discovery.DERIVED_RULES)}) THEN 'DERIVED' WHEN starts_with(rule, 'discovered_') THEN CASE WHEN kind = 'username' THEN 'DERIVED' ELSE 'NOVEL' END ELSE 'NOVEL' END AS novelty FROM n WHERE norm <> ''),
@@ -79,49 +81,82 @@ def _pivots(s, d):
     return discovery.propose_pivots(_cased(s, d), "case_id", 25)
 
 
+HANDLE_FORMS = ["user_{}", "User-{}", "user{}", "user_{}_real", "user_{}99", "{}.user", "user_{}-nyc", "@user_{}", "xuser_{}", "7user_{}", "21_user_{}", "the-user_{}", "a.user_{}"]
+
+
 def username_match_class(s, d):
     """Handles of customers against variants of suppliers' handles."""
-    n = F.col("s_suppkey")
-    base = F.concat(F.lit("user_"), (n % 13).cast("string"))
-    forms = [base, F.concat(F.lit("User-"), (n % 13).cast("string")), F.concat(F.lit("user"), (n % 13).cast("string")), F.concat(base, F.lit("_real")), F.concat(base, F.lit("99")), F.concat((n % 13).cast("string"), F.lit(".user")), F.concat(base, F.lit("-nyc")), F.concat(F.lit("@"), base), F.concat(F.lit("x"), base)]
-    obs = table(s, d, "supplier").select("s_suppkey", F.posexplode(F.array(*forms)).alias("form", "observed"))
-    req = table(s, d, "customer").select(F.concat(F.lit("user_"), (F.col("c_custkey") % 13).cast("string")).alias("requested")).distinct()
-    return obs.join(F.broadcast(req)).select("requested", "observed", F.col("form").cast("long").alias("form")).distinct().withColumn("match", ids.username_match(F.col("requested"), F.col("observed")))
+    n = F.col("s_suppkey").cast("string")
+    forms = F.array(*(F.concat(F.lit(f.split("{}")[0]), n, F.lit(f.split("{}")[1])) for f in HANDLE_FORMS))
+    obs = table(s, d, "supplier").select(F.explode(forms).alias("observed"))
+    req = table(s, d, "customer").select(F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("requested"))
+    return discovery.similar_handles(req, obs)
+
+
+LEADS = [("name", "name 1"), ("name", "the of"), ("name", "The  the"), ("name", "user1"), ("name", "and the"), ("name", "éle un"), ("username", "worthless"), ("username", "@the"), ("username", "ab"), ("username", "825"), ("domain", "mail5.example.com"), ("domain", "www.example.net"), ("domain", "example")]
+
+
+def _mention_leads(s, d):
+    """Some handles, names and hosts, and all addresses in documents."""
+    mails = table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({text.EMAIL_IN_TEXT})"), F.lit(1))).alias("lead")).distinct()
+    return s.createDataFrame(LEADS, "kind string, lead string").unionByName(mails.select(F.lit("email").alias("kind"), "lead"))
+
+
+def _hits(s, d):
+    """Documents, conversations and landed pages as what a search turns up."""
+    docs = table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("").alias("title"), F.col("text").alias("snippet"), F.lit("").alias("url"), F.col("source").alias("author"))
+    turns = table(s, d, "conversations").select(F.concat(F.lit("c"), (F.col("conv_id") * 1000 + F.col("turn")).cast("string")).alias("id"), F.lit("").alias("title"), F.col("text").alias("snippet"), F.lit("").alias("url"), F.col("role").alias("author"))
+    pages = table(s, d, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), text.title_of(F.col("html")).alias("title"), F.lit("").alias("snippet"), "url", F.lit("").alias("author"))
+    return docs.unionByName(turns).unionByName(pages)
 
 
-def _names(s, d):
-    words = ["name 1", "the of", "user1", "and the"]
-    return s.createDataFrame([("name", w) for w in words] + [("username", "worthless"), ("username", "the"), ("domain", "mail5.example.com")], "kind string, lead string")
+def _found(s, d):
+    return discovery.mention_matches(_hits(s, d), _mention_leads(s, d))
 
 
-def _conv(s, d):
-    return table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+def _contains(kind: str, c: str) -> str:
+    """SQL for whether field ``c`` holds a lead of a kind, as a whole."""
+    edge = {"username": "A-Za-z0-9_", "domain": "A-Za-z0-9-"}.get(kind)
+    if edge:
+        # a quick test first, since patterns made for each row are slow
+        return f"(contains(lower({c}), form) AND regexp_matches(lower({c}), '(^|[^{edge}])' || replace(form, '.', '\\.') || '($|[^{edge}])'))"
+    return f"contains(lower(trim(regexp_replace(strip_accents({c}), '\\s+', ' ', 'g'))), form)" if kind == "name" else f"contains(lower({c}), form)"
 
 
-MENTIONS = """w0 AS (SELECT conv_id * 1000 + turn AS id, list_filter(list_transform(string_split_regex(text, '\\s+'), lambda w: regexp_replace(regexp_replace(lower(w), '^[^\\p{L}\\p{N}@]+', ''), '[^\\p{L}\\p{N}]+$', '')), lambda w: w <> '') AS w FROM conversations),
-leads AS (SELECT * FROM (VALUES ('name', 'name 1'), ('name', 'the of'), ('name', 'user1'), ('name', 'and the'), ('username', 'worthless'), ('username', 'the'), ('domain', 'mail5.example.com')) v(kind, lead)),
-hits AS (SELECT id, kind, lead, len(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(string_split(lead, ' ')) - 1] = string_split(lead, ' '))) AS n FROM w0, leads),
-found AS (SELECT id, kind, lead, n, CASE WHEN kind IN ('username', 'email', 'domain') THEN 'DIRECT' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'ASSOCIATED' ELSE 'AMBIGUOUS' END AS relevance FROM hits WHERE n > 0)"""
+_FIELD_SQL = " ".join(f"WHEN kind = '{k}' AND {_contains(k, c)} THEN '{c}'" for c in discovery.FIELDS for k in ("username", "domain", "name", "email") if not (c == "url" and k in ("username", "domain")))
+HIT_HOST, HIT_PATH, HIT_QUERY = (x.replace("\\", "\\") for x in (f"regexp_replace({HOST_SQL.format('url')}, '^www\\.', '')", "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)", "regexp_extract(lower(url), '^[^?#]*\\?([^#]*)', 1)"))
+MENTIONS = f"""v_hits AS (SELECT 'd' || doc_id AS id, '' AS title, coalesce(text, '') AS snippet, '' AS url, coalesce(source, '') AS author FROM documents UNION ALL SELECT 'c' || (conv_id * 1000 + turn), '', coalesce(text, ''), '', role FROM conversations
+  UNION ALL SELECT 'p' || page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '', url, '' FROM pages),
+v_all AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{x}')" for k, x in LEADS)}) v(kind, lead) UNION SELECT 'email', unnest(regexp_extract_all(lower(text), '{text.EMAIL_IN_TEXT}')) FROM documents),
+v_forms AS (SELECT kind, lead, CASE kind WHEN 'username' THEN lower(regexp_replace(lead, '^@+', '')) WHEN 'domain' THEN regexp_replace(lower(lead), '^www\\.', '') WHEN 'name' THEN lower(trim(regexp_replace(strip_accents(lead), '\\s+', ' ', 'g'))) ELSE lower(lead) END AS form FROM v_all),
+v_leads AS (SELECT * FROM v_forms WHERE CASE kind WHEN 'username' THEN length(form) >= 3 WHEN 'name' THEN contains(form, ' ') WHEN 'domain' THEN contains(form, '.') ELSE true END),
+v_found AS (SELECT id, kind, lead, CASE WHEN kind = 'username' AND (list_contains(list_transform(string_split({HIT_PATH}, '/'), lambda x: regexp_replace(x, '^@+', '')), form) OR len(list_filter(string_split({HIT_QUERY}, '&'), lambda q: q IN ('id=' || form, 'user=' || form, 'username=' || form, 'u=' || form))) > 0) THEN 'url'
+  WHEN kind = 'domain' AND ({HIT_HOST} = form OR ends_with({HIT_HOST}, '.' || form)) THEN 'url' {_FIELD_SQL} END AS field FROM v_hits, v_leads),
+v_typed AS (SELECT *, CASE kind WHEN 'username' THEN CASE WHEN field = 'url' THEN 'url_path_segment' ELSE 'exact_token' END WHEN 'name' THEN 'full_name' WHEN 'email' THEN 'exact_email' ELSE 'exact_host' END AS match_type FROM v_found WHERE field IS NOT NULL),
+v_beside AS (SELECT id, coalesce(list_sort(list(DISTINCT lead) FILTER (kind = 'username')), []) AS u, coalesce(list_sort(list(DISTINCT lead) FILTER (kind = 'email')), []) AS e, coalesce(list_sort(list(DISTINCT lead) FILTER (kind = 'domain')), []) AS h FROM v_typed GROUP BY id),
+v_related AS (SELECT t.*, CASE WHEN kind <> 'name' THEN 'DIRECT' WHEN len(u) + len(e) + len(h) > 0 THEN 'ASSOCIATED' ELSE 'AMBIGUOUS' END AS relevance,
+  CASE WHEN kind <> 'name' THEN CASE match_type WHEN 'exact_token' THEN 'exact_username' WHEN 'url_path_segment' THEN 'username_path' WHEN 'exact_email' THEN 'exact_email' ELSE 'exact_domain' END WHEN len(u) > 0 THEN 'name_plus_username' WHEN len(e) > 0 THEN 'name_plus_email' WHEN len(h) > 0 THEN 'name_plus_domain' ELSE 'full_name_only' END AS reason,
+  CASE WHEN kind = 'name' THEN array_to_string(u || e || h, ',') ELSE '' END AS associated FROM v_typed t JOIN v_beside USING (id))"""
 
 
 def _lead_rows(s, d):
-    c = table(s, d, "customer")
-    base = c.select(F.col("c_nationkey").cast("long").alias("case"), "c_custkey", F.row_number().over(runs.Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long").alias("ord"))
-    kind = F.element_at(F.array(*map(F.lit, ("username", "email", "name", "domain"))), (F.col("ord") % 4 + 1).cast("int"))
-    kind = F.when(F.col("ord") == 1, "username").otherwise(kind)
+    """Leads of a case by customer: handles, addresses, names and domains, some of them repeated."""
+    kind = F.element_at(F.array(*map(F.lit, ("username", "email", "name", "domain"))), (F.col("c_custkey") % 4 + 1).cast("int"))
     k = (F.col("c_custkey") % 9).cast("string")
     lead = F.when(kind == "username", F.concat(F.lit("u"), k)).when(kind == "email", F.concat(F.lit("e"), k, F.lit("@x.example"))).when(kind == "name", F.concat(F.lit("Name "), k)).otherwise(F.concat(F.lit("d"), k, F.lit(".example")))
-    rows = base.select("case", kind.alias("kind"), lead.alias("lead"), "ord")
+    rows = table(s, d, "customer").select(F.col("c_nationkey").cast("long").alias("case"), kind.alias("kind"), lead.alias("lead"), F.col("c_custkey").alias("ord"))
     return rows.groupBy("case", "kind", "lead").agg(F.min("ord").alias("ord"))
 
 
-QUERY_PLAN = """b AS (SELECT c_nationkey::BIGINT AS "case", c_custkey % 9 AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord FROM customer),
-t AS (SELECT *, CASE WHEN ord = 1 THEN 'username' ELSE ['username', 'email', 'name', 'domain'][ord % 4 + 1] END AS kind FROM b),
-l AS (SELECT "case", kind, CASE kind WHEN 'username' THEN 'u' || k WHEN 'email' THEN 'e' || k || '@x.example' WHEN 'name' THEN 'Name ' || k ELSE 'd' || k || '.example' END AS lead, min(ord) AS ord FROM t GROUP BY ALL),
-r AS (SELECT *, 0 AS tier, '"' || lead || '"' AS text FROM l WHERE kind = 'username' AND ord = 1 UNION ALL SELECT *, 1, '"' || lead || '"' FROM l WHERE kind IN ('email', 'domain') UNION ALL SELECT *, 2, '"' || lead || '"' FROM l WHERE kind = 'name'
-  UNION ALL SELECT *, 3, '"' || lead || '"' FROM l WHERE kind = 'username' AND ord <> 1 UNION ALL SELECT *, 4, '@' || lead FROM l WHERE kind = 'username' UNION ALL SELECT *, 5, 'inurl:' || lead FROM l WHERE kind = 'username' UNION ALL SELECT *, 6, '"' || lead || '" profile' FROM l WHERE kind = 'username'),
-o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", lower(text) ORDER BY tier, ord) AS x FROM r) WHERE x = 1), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", kind, lead ORDER BY tier) AS y FROM o) WHERE y <= 4),
-p AS (SELECT "case", kind, lead, tier, text, row_number() OVER (PARTITION BY "case" ORDER BY tier, ord, kind) AS place FROM c)"""
+QUERY_PLAN = """v_base AS (SELECT c_nationkey::BIGINT AS "case", c_custkey AS ord, ['username', 'email', 'name', 'domain'][c_custkey % 4 + 1] AS kind, c_custkey % 9 AS k FROM customer),
+v_lead AS (SELECT "case", kind, CASE kind WHEN 'username' THEN 'u' || k WHEN 'email' THEN 'e' || k || '@x.example' WHEN 'name' THEN 'Name ' || k ELSE 'd' || k || '.example' END AS lead, min(ord) AS ord FROM v_base GROUP BY ALL),
+l AS (SELECT "case", kind, lead, row_number() OVER (PARTITION BY "case", kind ORDER BY ord) AS i, '"' || lead || '"' AS q FROM v_lead),
+r AS (SELECT "case", lead, i, 0 AS j, CASE WHEN i = 1 THEN 0 ELSE 3 END AS tier, 'username' AS family, q AS text FROM l WHERE kind = 'username' UNION ALL SELECT "case", lead, i, CASE kind WHEN 'domain' THEN 1 ELSE 0 END, 1, kind, q FROM l WHERE kind IN ('email', 'domain')
+  UNION ALL SELECT "case", lead, i, 0, 2, 'name', q FROM l WHERE kind = 'name' UNION ALL SELECT "case", lead, i, 0, 4, 'username', '@' || lead FROM l WHERE kind = 'username' UNION ALL SELECT "case", lead, i, 0, 5, 'username', 'inurl:' || lead FROM l WHERE kind = 'username'
+  UNION ALL SELECT "case", lead, i, 0, 6, 'username', q || ' profile' FROM l WHERE kind = 'username'
+  UNION ALL SELECT a."case", a.lead, a.i, b.i, CASE WHEN b.kind = 'name' THEN 7 WHEN a.kind = 'username' THEN 8 ELSE 9 END, CASE WHEN b.kind = 'name' THEN 'pair' ELSE 'domain' END, a.q || ' ' || b.q FROM l a JOIN l b ON a."case" = b."case" AND (a.kind, b.kind) IN (('username', 'name'), ('username', 'domain'), ('name', 'domain'))),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", lower(text) ORDER BY tier, i, j) AS x FROM r) WHERE x = 1), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", family, lead ORDER BY tier, i, j) AS y FROM o) WHERE y <= 4),
+p AS (SELECT "case", family, lead, tier, text, row_number() OVER (PARTITION BY "case" ORDER BY tier, i, j) AS place FROM c)"""
 
 
 def _orders(s, d):
@@ -173,17 +208,17 @@ def catalog_rollup(s, d):
 
 
 _AFFIXED = " OR ".join(f"o = q || '_{a}' OR o = '{a}_' || q OR o = q || '-{a}' OR o = '{a}-' || q OR o = q || '.{a}'" for a in ids.AFFIXES)
-MATCH_SQL = f"""WITH b AS (SELECT s_suppkey % 13 AS n FROM supplier), f AS (SELECT unnest(['user_' || n, 'User-' || n, 'user' || n, 'user_' || n || '_real', 'user_' || n || '99', n || '.user', 'user_' || n || '-nyc', '@user_' || n, 'xuser_' || n]) AS observed, unnest(range(0, 9)) AS form FROM b),
-r AS (SELECT DISTINCT 'user_' || c_custkey % 13 AS requested FROM customer), c AS (SELECT DISTINCT requested, observed, form FROM f, r),
+MATCH_SQL = f"""WITH f AS (SELECT unnest([{", ".join("'" + f.replace("{}", "' || s_suppkey || '") + "'" for f in HANDLE_FORMS)}]) AS observed FROM supplier),
+c AS (SELECT DISTINCT 'user_' || c_custkey AS requested, observed FROM f, customer),
 m AS (SELECT *, lower(regexp_replace(trim(requested), '^@+', '')) AS q, lower(regexp_replace(trim(observed), '^@+', '')) AS o FROM c),
 t AS (SELECT *, regexp_replace(q, '[-_.]+', '', 'g') AS jq, regexp_replace(o, '[-_.]+', '', 'g') AS jo, list_filter(string_split_regex(q, '[-_.]+'), lambda x: x <> '') AS tq, list_filter(string_split_regex(o, '[-_.]+'), lambda x: x <> '') AS tobs, length(o) - length(q) AS longer FROM m)
-SELECT requested, observed, form, CASE WHEN q = '' OR o = '' THEN 'UNRELATED' WHEN q = o THEN 'EXACT_MATCH'
+SELECT * FROM (SELECT requested, observed, CASE WHEN q = '' OR o = '' THEN 'UNRELATED' WHEN q = o THEN 'EXACT_MATCH'
   WHEN regexp_replace(q, '[-_.]+', '_', 'g') = regexp_replace(o, '[-_.]+', '_', 'g') OR (jq <> '' AND jq = jo)
-    OR (regexp_matches(o, '[0-9]') AND (regexp_replace(o, '[_.-]?[0-9]+$', '') = q OR regexp_replace(o, '^[0-9]+[_.-]?', '') = q))
+    OR (starts_with(o, q) AND regexp_full_match(substr(o, length(q) + 1), '[_.-]?[0-9]+')) OR (ends_with(o, q) AND longer > 0 AND regexp_full_match(o[1:longer], '[0-9]+[_.-]?'))
     OR (jq <> '' AND starts_with(jo, jq) AND regexp_full_match(substr(jo, length(jq) + 1), '[0-9]+')) OR {_AFFIXED}
     OR (len(tq) >= 2 AND len(tobs) >= 2 AND len(list_filter(tq, lambda x: NOT list_contains(tobs, x))) = 0 AND (len(list_filter(tobs, lambda x: NOT list_contains(tq, x))) = 0 OR len(tobs) <= len(tq) + 2))
     OR (longer BETWEEN 1 AND 6 AND ((starts_with(o, q) AND substr(o, length(q) + 1, 1) IN ('_', '-', '.')) OR (ends_with(o, q) AND substr(o, longer, 1) IN ('_', '-', '.'))))
-  THEN 'SIMILAR_CANDIDATE' ELSE 'UNRELATED' END AS match FROM t"""
+  THEN 'SIMILAR_CANDIDATE' ELSE 'UNRELATED' END AS match FROM t) WHERE match <> 'UNRELATED'"""
 
 _ALL = {
     "novelty_annotate": (_annotated, f"WITH {ANNOTATED} SELECT * FROM annotated"),
@@ -194,10 +229,10 @@ _ALL = {
 SELECT * FROM a JOIN (SELECT case_id, count(*) AS pivots_proposed, count(*) FILTER (reason IS NULL) AS pivots_executed, count(*) FILTER (reason IS NOT NULL) AS pivots_suppressed FROM pivots GROUP BY case_id) USING (case_id)""",
     ),
     "username_match_class": (username_match_class, MATCH_SQL),
-    "mention_match": (lambda s, d: discovery.mention_matches(_conv(s, d), _names(s, d)), f"WITH {MENTIONS} SELECT * FROM found"),
+    "mention_match": (_found, f"WITH {MENTIONS} SELECT * FROM v_related"),
     "mention_relevance": (
-        lambda s, d: discovery.mention_matches(_conv(s, d), _names(s, d)).groupBy("relevance").agg(F.count("*").alias("mentions"), F.sum("n").alias("places")),
-        f"WITH {MENTIONS} SELECT relevance, count(*) AS mentions, sum(n)::BIGINT AS places FROM found GROUP BY relevance",
+        lambda s, d: _found(s, d).groupBy("relevance", "reason").agg(F.count("*").alias("mentions")),
+        f"WITH {MENTIONS} SELECT relevance, reason, count(*) AS mentions FROM v_related GROUP BY ALL",
     ),
     "query_plan": (lambda s, d: discovery.query_plan(_lead_rows(s, d)).withColumns({"tier": F.col("tier").cast("long"), "place": F.col("place").cast("long")}), f"WITH {QUERY_PLAN} SELECT * FROM p WHERE place <= 12"),
     "latest_run": (lambda s, d: runs.latest_run(_orders(s, d)), "SELECT o_custkey AS case_id, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS run_id, max(o_orderdate) AS finished_at, count(*) AS completed FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey"),

@@ -42,14 +42,18 @@ def _observed(s, d):
 OBSERVED = "v_seen AS (SELECT user_id AS entity, ord, ts, coalesce(confidence, 'NONE') AS confidence, module AS source, event_type AS tag FROM v_findings)"
 
 
+SEEN_BEFORE = "2024-01-03 00:00:00"
+
+
 def _halves(s, d):
+    """What was seen before an instant, and what since."""
     o = _observed(s, d)
-    return o.where("ord % 2 = 0 AND entity % 3 <> 0"), o.where("ord % 2 = 1")
+    return o.where(F.col("ts") < SEEN_BEFORE), o.where(F.col("ts") >= SEEN_BEFORE)
 
 
 def _mentions(s, d):
     c = table(s, d, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("provider"), F.sha2(F.lower(F.substring_index("text", " ", 3)), 256).alias("url"), (F.col("conv_id") % 5).alias("query"))
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("role").alias("provider"), F.sha2(F.lower("text"), 256).alias("url"), (F.col("conv_id") % 5).alias("query"))
 
 
 def _items(s, d):
@@ -104,11 +108,11 @@ f AS (SELECT source, action, dst AS target, min(ord) AS ord, min_by(confidence,
     ),
     "entity_upsert": (
         lambda s, d: merging.upsert_entities(*_halves(s, d)),
-        f"{V}, {OBSERVED}, b AS (SELECT *, ord % 2 AS new, (ord % 2) * 1000000000000 + ord AS o FROM v_seen WHERE ord % 2 = 1 OR entity % 3 <> 0) SELECT entity, max_by(confidence, o) AS confidence, min_by(source, o) AS source, min(ts) AS first_seen, max(ts) AS last_seen, min(new) = 1 AS inserted FROM b GROUP BY entity",
+        f"{V}, {OBSERVED}, b AS (SELECT *, (ts >= '{SEEN_BEFORE}')::INT AS new, (ts >= '{SEEN_BEFORE}')::BIGINT * 1000000000000 + ord AS o FROM v_seen) SELECT entity, max_by(confidence, o) AS confidence, min_by(source, o) AS source, min(ts) AS first_seen, max(ts) AS last_seen, min(new) = 1 AS inserted FROM b GROUP BY entity",
     ),
     "mention_dedupe_cap": (
         lambda s, d: merging.dedupe_mentions(_mentions(s, d), ["url", "query"]).withColumn("place", F.col("place").cast("long")),
-        """WITH m AS (SELECT conv_id * 1000 + turn AS ord, role AS provider, sha256(lower(array_to_string(string_split(text, ' ')[1:3], ' '))) AS url, conv_id % 5 AS query FROM conversations),
+        """WITH m AS (SELECT conv_id * 1000 + turn AS ord, role AS provider, sha256(lower(text)) AS url, conv_id % 5 AS query FROM conversations),
 f AS (SELECT url, query, min(ord) AS ord, min_by(provider, ord) AS provider, array_to_string(list_sort(list(DISTINCT provider)), ',') AS sources, count(*) AS repeats FROM m GROUP BY url, query), p AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ord) AS place FROM f) SELECT * FROM p WHERE place <= 5""",
     ),
     "first_per_text": (

@@ -23,11 +23,12 @@ def _in(values) -> str:
 
 CANONICAL = f"""({SCHEME} || '://' || {HOST} || CASE WHEN {PORT} = '' OR ({SCHEME} = 'http' AND {PORT} = '80') OR ({SCHEME} = 'https' AND {PORT} = '443') THEN '' ELSE ':' || {PORT} END
   || CASE WHEN {PATH} = '' THEN '/' ELSE {PATH} END || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || {QUERY} END)"""
-LAST2, LAST3 = "array_to_string(l[-2:], '.')", "array_to_string(l[-3:], '.')"
 IPV4 = "^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 PRIVATE = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in urls._bounds())
 TOKENS = "SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS v FROM documents"
-DOMAIN_OK = f"CASE WHEN {LAST2} IN {_in(urls.TWO_LABEL_SUFFIXES)} THEN len(l) >= 3 ELSE len(l) >= 2 AND l[-1] IN {_in(urls.SUFFIXES)} END"
+COUNTRY = "regexp_full_match(l[-1], '[a-z]{2}')"
+SUFFIX_LABELS = f"CASE WHEN len(l) >= 2 AND {COUNTRY} AND l[-2] IN {_in(urls.SECOND_LEVELS)} THEN 2 WHEN len(l) >= 2 AND ({COUNTRY} OR l[-1] IN {_in(urls.SUFFIXES)}) THEN 1 ELSE 0 END"
+DOMAIN_OK = f"({SUFFIX_LABELS}) BETWEEN 1 AND len(l) - 1"
 
 HASH_SQL = "CASE WHEN regexp_full_match(v, '[A-Fa-f0-9]+') THEN CASE length(v) WHEN 32 THEN 'MD5' WHEN 40 THEN 'SHA1' WHEN 64 THEN 'SHA256' WHEN 128 THEN 'SHA512' END END"
 
@@ -48,18 +49,24 @@ def _tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("v")).groupBy("v").agg(F.count("*").alias("times"))
 
 
+def _once(df, **columns):
+    """Columns that later expressions read: a generator stands between, so that each is computed once and not wherever it is read."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def _typed(spark, sf_dir):
-    t = _tokens(spark, sf_dir).withColumn("domain", ids.domain_of(F.col("v")))
-    return t.withColumn("kind", ids.entity_type(F.col("v"), F.col("domain")))
+    t = _tokens(spark, sf_dir)
+    t = _once(t, domain=F.when(F.col("v").contains("."), ids.domain_of(F.col("v"))))
+    return _once(t, kind=ids.entity_type(F.col("v"), F.col("domain")))
 
 
-NORM_SQL = f"CASE kind WHEN 'HASH' THEN lower(v) WHEN 'EMAIL' THEN lower(v) WHEN 'ASN' THEN 'AS' || regexp_extract(v, '([0-9]+)$', 1)::BIGINT WHEN 'DOMAIN' THEN domain WHEN 'USERNAME' THEN lower(regexp_replace(v, '^@', '')) WHEN 'PHONE' THEN regexp_replace(v, '[^0-9+]', '', 'g') ELSE v END"
+NORM_SQL = f"CASE kind WHEN 'HASH' THEN lower(v) WHEN 'EMAIL' THEN lower(v) WHEN 'ASN' THEN 'AS' || regexp_extract(v, '([0-9]+)$', 1)::BIGINT WHEN 'DOMAIN' THEN domain WHEN 'USERNAME' THEN lower(regexp_replace(v, '^@', '')) WHEN 'PHONE' THEN regexp_replace(v, '[^0-9+]', '', 'g') WHEN 'URL' THEN {CANONICAL} ELSE v END"
 TOKEN_SQL = f"s AS ({TOKENS})"
 
 FLAGS_SQL = f"""list_filter([CASE WHEN contains(h, 'xn--') THEN 'punycode' END, CASE WHEN regexp_matches(h, '[^\\x00-\\x7F]') THEN 'homoglyph_or_unicode' END,
   CASE WHEN regexp_extract(h, '\\.([^.]+)$', 1) IN {_in(urls.SUSPICIOUS_TLDS)} THEN 'suspicious_tld.' || regexp_extract(h, '\\.([^.]+)$', 1) END, CASE WHEN length(h) > 50 THEN 'long_hostname' END,
-  CASE WHEN regexp_full_match(h, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') THEN 'ip_url' END, CASE WHEN regexp_replace(h, '^www\\.', '') IN {_in(urls.SHORTENERS)} THEN 'url_shortener' END,
-  CASE WHEN contains(url, '%') THEN 'encoded_url' END], lambda x: x IS NOT NULL)"""
+  CASE WHEN regexp_full_match(h, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') THEN 'ip_url' END, CASE WHEN h IN {_in(urls.SHORTENERS)} THEN 'url_shortener' END,
+  CASE WHEN contains(url, '%') THEN 'encoded_url' END, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#@]+@') THEN 'embedded_credentials' END], lambda x: x IS NOT NULL)"""
 
 
 def _pages(spark, sf_dir):
@@ -95,9 +102,16 @@ def url_syntax_guard(s, d):
     return _pages(s, d).select("page_id", F.coalesce(urls.syntax_reason(u), F.lit("ok")).alias("reason"))
 
 
+PATHS = ["users/u{}", "@h{}", "en/user/h{}/posts", "p/{}", "id/h{}", "in/h{}/", "people/@h{}", "a/{}", "u{}", "authors/h{}", "x/@h{}/about", ""]
+
+
 def profile_url_shape(s, d):
-    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://site.example/users/u"), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://site.example/@h"), F.col("page_id").cast("string"))).otherwise(F.col("url"))
-    return _pages(s, d).select("page_id", urls.profile_shape(u).alias("is_profile"), F.regexp_replace(F.coalesce(F.element_at(urls.path_segments(u), -1), F.lit("")), "^@", "").alias("handle"))
+    """Every path of ``PATHS`` on each page's host, and each page's own URL."""
+    p = _pages(s, d)
+    n = F.col("page_id").cast("string")
+    made = F.array(F.col("url"), *(F.concat(F.lit("https://site.example/" + x.split("{}")[0]), *([n, F.lit(x.split("{}")[1])] if "{}" in x else [])) for x in PATHS))
+    t = p.select("page_id", F.posexplode(made).alias("form", "u"))
+    return t.select("page_id", F.col("form").cast("long").alias("form"), urls.profile_shape(F.col("u")).alias("is_profile"), urls.candidate_handle(F.col("u"), F.lit("")).alias("handle"))
 
 
 def detect_type(s, d):
@@ -105,7 +119,7 @@ def detect_type(s, d):
 
 
 def entity_id_hash(s, d):
-    t = _typed(s, d).where(F.col("kind").isNotNull() & (F.col("kind") != "URL")).withColumn("norm", ids.normalised(F.col("kind"), F.col("v"), F.col("domain")))
+    t = _once(_typed(s, d).where("kind IS NOT NULL"), norm=ids.normalised(F.col("kind"), F.col("v"), F.col("domain")))
     return t.groupBy("kind", "norm").agg(F.sum("times").alias("n")).select("kind", "norm", "n", ids.entity_id(F.col("kind"), F.col("norm")).alias("entity_id"))
 
 
@@ -135,8 +149,16 @@ def mask_secret(s, d):
     return t.select("doc_id", ids.mask(F.col("secret")).alias("masked"), F.length("secret").cast("long").alias("n"))
 
 
+NEEDLES = ("TOKEN", "license", "not there at all")
+
+
 def excerpt_window(s, d):
-    return _docs(s, d).where(F.col("text").contains("token")).select("doc_id", text.excerpt(F.col("text"), F.lit("token")).alias("excerpt"))
+    t = _docs(s, d).select("doc_id", "text", F.explode(F.array(*map(F.lit, NEEDLES))).alias("needle"))
+    return t.select("doc_id", "needle", text.excerpt(F.col("text"), F.col("needle")).alias("excerpt"))
+
+
+def text_fold(s, d):
+    return _docs(s, d).select("doc_id", F.sha2(text.folded(F.col("text")), 256).alias("folded"))
 
 
 def title_extract(s, d):
@@ -152,18 +174,32 @@ def anchor_explode(s, d):
     return t.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
+DATE_LENGTHS = (14, 12, 10, 8, 13, 9, 15, 16, 11, 7)
+
+
 def parse_dates(s, d):
+    """Every day of every month, as digits of each length and as ISO text."""
     e = table(s, d, "events")
-    digits = F.date_format("ts", "yyyyMMddHHmmss")
-    n = F.element_at(F.array(*map(F.lit, (14, 12, 10, 8, 13, 9))), (F.col("event_id") % 6 + 1).cast("int"))
-    return e.select("event_id", F.substr(digits, F.lit(1), n).alias("raw")).select("event_id", "raw", times.parse_instant(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
+    at = F.expr("TIMESTAMP '2023-01-01 00:00:00' + make_dt_interval(cast(event_id * 7 % 800 AS INT), cast(event_id % 24 AS INT), cast(event_id * 11 % 60 AS INT), cast(event_id * 13 % 60 AS INT))")
+    digits = F.concat(F.date_format(at, "yyyyMMddHHmmss"), F.lit("77"))
+    forms = [F.substr(digits, F.lit(1), F.lit(n)) for n in DATE_LENGTHS] + [F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), F.date_format(at, "yyyy-MM-dd"), F.lit("20240231"), F.lit("20240115996000"), F.lit("soon")]
+    t = e.select("event_id", F.posexplode(F.array(*forms)).alias("form", "raw"))
+    return t.select("event_id", F.col("form").cast("long").alias("form"), "raw", times.parse_instant(F.col("raw")).cast("timestamp_ntz").alias("parsed"))
 
 
 def duration_format(s, d):
-    seconds = (F.col("event_id") * 37 % 9000).cast("long")
+    seconds = F.when(F.col("event_id") % 17 != 0, (F.col("event_id") * 37 % 9000).cast("double") / 2 - 5)
     return table(s, d, "events").select("event_id", seconds.alias("seconds"), times.duration_text(seconds).alias("text"))
 
 
+def time_texts(s, d):
+    """Instants as text, and how long ago they were."""
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    at = F.when(F.col("event_id") % 19 != 0, F.col("ts").cast("timestamp"))
+    near = F.when(F.col("event_id") % 19 != 0, now - F.make_dt_interval(secs=(F.col("event_id") % 7000).cast("decimal(18,6)")))
+    return table(s, d, "events").select("event_id", times.instant_text(at).alias("at"), times.relative_age(at, now).alias("age"), times.relative_age(near, now).alias("near_age"), times.age_seconds(F.col("ts").cast("timestamp"), now).alias("seconds"))
+
+
 def backoff_table(s, d):
     attempt = (F.col("event_id") % 8).cast("double")
     asked = F.when(F.col("event_id") % 5 == 0, F.col("event_id") % 50).cast("double")
@@ -189,7 +225,9 @@ def token_jaccard_pairs(s, d):
 
 
 RE2_SECRETS = {k: p.replace("'", "''") for k, p in text.SECRETS.items()}
-SUFFIX_OF = f"CASE WHEN {LAST2} IN {_in(urls.TWO_LABEL_SUFFIXES)} THEN CASE WHEN len(l) >= 3 THEN {LAST3} END WHEN len(l) >= 2 AND l[-1] IN {_in(urls.SUFFIXES)} THEN {LAST2} END"
+SUFFIX_OF = f"CASE WHEN {DOMAIN_OK} THEN array_to_string(l[len(l) - ({SUFFIX_LABELS}):], '.') END"
+
+AGE = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} < 60 THEN {0} || 's ago' WHEN {0} < 3600 THEN {0} // 60 || 'm ago' WHEN {0} < 172800 THEN {0} // 3600 || 'h ago' ELSE {0} // 86400 || 'd ago' END"
 
 _ALL = {
     "url_canonical": (url_canonical, f"SELECT page_id, {CANONICAL} AS canonical, sha256('URL:' || {CANONICAL})[1:24] AS entity_id FROM pages"),
@@ -212,10 +250,14 @@ SELECT page_id, CASE WHEN NOT regexp_matches(url, '^(?i:https?)://') THEN 'schem
     ),
     "profile_url_shape": (
         profile_url_shape,
-        f"WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://site.example/users/u' || page_id WHEN 1 THEN 'https://site.example/@h' || page_id ELSE url END AS url FROM pages) SELECT page_id, regexp_matches({PATH}, '^/(?:@[^/]+|(?:{'|'.join(h for h in urls.PROFILE_HINTS if h != '@')})/[^/]+)/?$') AS is_profile, regexp_replace(coalesce(list_filter(string_split({PATH}, '/'), lambda x: x <> '')[-1], ''), '^@', '') AS handle FROM m",
+        f"""WITH m AS (SELECT page_id, unnest([url, {", ".join("'https://site.example/" + x.replace("{}", "' || page_id || '") + "'" for x in PATHS)}]) AS url, unnest(range(0, {len(PATHS) + 1})) AS form FROM pages),
+r AS (SELECT page_id, form, lower({PATH}) AS path, list_filter(string_split(lower({PATH}), '/'), lambda x: x <> '') AS raw FROM m),
+q AS (SELECT *, list_filter(list_transform(raw, lambda x: regexp_replace(x, '^@+', '')), lambda x: x <> '') AS parts FROM r),
+k AS (SELECT *, list_filter(range(1, len(parts)), lambda i: list_contains({[h.strip("/") for h in urls.PROFILE_HINTS]}, parts[i]))[1] AS i, list_filter(raw, lambda x: regexp_matches(x, '^@.'))[1] AS a FROM q)
+SELECT page_id, form, regexp_matches(path, '/@|{"|".join(urls.PROFILE_HINTS)}') AS is_profile, CASE WHEN i IS NOT NULL THEN parts[i + 1] WHEN a IS NOT NULL THEN regexp_replace(a, '^@+', '') WHEN length(parts[1]) >= 3 THEN parts[1] ELSE '' END AS handle FROM k""",
     ),
     "detect_type": (detect_type, f"WITH {TOKEN_SQL}, {_type_sql('s')} SELECT kind, count(*) AS n, count(DISTINCT v) AS values FROM y GROUP BY kind"),
-    "entity_id_hash": (entity_id_hash, f"WITH {TOKEN_SQL}, {_type_sql('s')}, n AS (SELECT kind, {NORM_SQL} AS norm, count(*) AS n FROM y WHERE kind IS NOT NULL AND kind <> 'URL' GROUP BY ALL) SELECT *, sha256(kind || ':' || norm)[1:24] AS entity_id FROM n"),
+    "entity_id_hash": (entity_id_hash, f"WITH {TOKEN_SQL}, {_type_sql('s')}, n AS (SELECT kind, {NORM_SQL} AS norm, count(*) AS n FROM (SELECT *, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN v ELSE 'https://' || v END AS url FROM y) WHERE kind IS NOT NULL GROUP BY ALL) SELECT *, sha256(kind || ':' || norm)[1:24] AS entity_id FROM n"),
     "ip_extract_classify": (
         ip_extract_classify,
         f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{text.IPV4_IN_TEXT}', 1)) AS ip FROM documents),
@@ -231,8 +273,11 @@ SELECT doc_id, ip, n AS number, CASE WHEN n IS NOT NULL THEN {PRIVATE} END AS pr
     "mask_secret": (mask_secret, "WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, 'token = \"([^\"]*)\"', 1)) AS v FROM documents) SELECT doc_id, CASE WHEN length(v) <= 4 THEN repeat('*', length(v)) ELSE v[1:2] || repeat('*', greatest(4, length(v) - 4)) || v[-2:] END AS masked, length(v) AS n FROM t"),
     "excerpt_window": (
         excerpt_window,
-        "WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents WHERE contains(text, 'token')), p AS (SELECT *, greatest(1, instr(f, 'token') - 40) AS b FROM t) SELECT doc_id, CASE WHEN b > 1 THEN '...' ELSE '' END || substr(f, b, 80) || CASE WHEN b + 79 < length(f) THEN '...' ELSE '' END AS excerpt FROM p",
+        f"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS f, unnest({list(NEEDLES)}) AS needle FROM documents), p AS (SELECT *, instr(lower(f), lower(needle)) - 1 AS idx FROM t),
+w AS (SELECT *, greatest(0, idx - 45) AS b, least(length(f), idx + length(needle) + 45) AS e FROM p)
+SELECT doc_id, needle, CASE WHEN idx < 0 THEN substr(f, 1, 180) ELSE CASE WHEN b > 0 THEN '…' ELSE '' END || substr(f, b + 1, e - b) || CASE WHEN e < length(f) THEN '…' ELSE '' END END AS excerpt FROM w""",
     ),
+    "text_fold": (text_fold, "SELECT doc_id, sha256(trim(regexp_replace(strip_accents(text), '\\s+', ' ', 'g'))) AS folded FROM documents"),
     "title_extract": (title_extract, "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages"),
     "tech_hints": (
         tech_hints,
@@ -243,11 +288,27 @@ SELECT doc_id, ip, n AS number, CASE WHEN n IS NOT NULL THEN {PRIVATE} END AS pr
     "anchor_explode": (anchor_explode, "WITH a AS (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS a FROM pages) SELECT page_id, unnest(range(0, len(a))) AS pos, unnest(a) AS href FROM a"),
     "parse_dates": (
         parse_dates,
-        "WITH r AS (SELECT event_id, strftime(ts, '%Y%m%d%H%M%S')[1:[14, 12, 10, 8, 13, 9][event_id % 6 + 1]] AS raw FROM events) SELECT event_id, raw, CASE length(raw) WHEN 14 THEN try_strptime(raw, '%Y%m%d%H%M%S') WHEN 12 THEN try_strptime(raw, '%Y%m%d%H%M') WHEN 10 THEN try_strptime(raw || '00', '%Y%m%d%H%M') WHEN 8 THEN try_strptime(raw[1:6] || '0' || raw[7:7] || '0' || raw[8:8] || '00', '%Y%m%d%H%M') ELSE try_strptime(raw[1:8], '%Y%m%d') END AS parsed FROM r",
+        f"""WITH a AS (SELECT event_id, TIMESTAMP '2023-01-01' + to_days((event_id * 7 % 800)::INT) + to_hours((event_id % 24)::INT) + to_minutes((event_id * 11 % 60)::INT) + to_seconds((event_id * 13 % 60)::INT) AS t FROM events),
+g AS (SELECT *, strftime(t, '%Y%m%d%H%M%S') || '77' AS g FROM a),
+f AS (SELECT event_id, unnest([{", ".join(f"g[1:{n}]" for n in DATE_LENGTHS)}, strftime(t, '%Y-%m-%d %H:%M:%S'), strftime(t, '%Y-%m-%dT%H:%M:%SZ'), strftime(t, '%Y-%m-%d'), '20240231', '20240115996000', 'soon']) AS raw, unnest(range(0, {len(DATE_LENGTHS) + 6})) AS form FROM g),
+-- of eight digits: day and hour of one digit each after a month of two, if that uses all; then of two and one after a month of one
+o AS (SELECT *, raw[5:6] AS mm, raw[5:5] AS m, length(raw) AS n FROM f),
+x AS (SELECT *, CASE WHEN n = 8 AND mm IN ('10', '11', '12') AND raw[7:7] BETWEEN '1' AND '9' AND NOT (raw[7:8] BETWEEN '10' AND '31') THEN raw[1:4] || '-' || mm || '-0' || raw[7:7] || ' 0' || raw[8:8]
+  WHEN n = 8 AND mm BETWEEN '01' AND '09' AND raw[7:7] BETWEEN '4' AND '9' THEN raw[1:4] || '-' || mm || '-0' || raw[7:7] || ' 0' || raw[8:8]
+  WHEN n = 8 AND m = '1' AND raw[6:7] BETWEEN '10' AND '31' THEN raw[1:4] || '-01-' || raw[6:7] || ' 0' || raw[8:8] END AS odd FROM o)
+SELECT event_id, form, raw, CASE WHEN NOT regexp_full_match(raw, '[0-9]+') THEN coalesce(try_strptime(raw, '%Y-%m-%d %H:%M:%S'), try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(raw, '%Y-%m-%d')) WHEN n < 8 THEN NULL
+  WHEN n = 8 AND odd IS NOT NULL THEN coalesce(try_strptime(odd || ':00:00', '%Y-%m-%d %H:%M:%S'), try_strptime(raw, '%Y%m%d'))
+  WHEN n = 10 THEN coalesce(try_strptime(raw || '00', '%Y%m%d%H%M'), try_strptime(raw[1:8], '%Y%m%d')) WHEN n = 12 THEN coalesce(try_strptime(raw, '%Y%m%d%H%M'), try_strptime(raw[1:8], '%Y%m%d'))
+  WHEN n >= 14 THEN coalesce(try_strptime(raw[1:14], '%Y%m%d%H%M%S'), try_strptime(raw[1:8], '%Y%m%d')) ELSE try_strptime(raw[1:8], '%Y%m%d') END AS parsed FROM x""",
     ),
     "duration_format": (
         duration_format,
-        "WITH s AS (SELECT event_id, (event_id * 37 % 9000)::BIGINT AS seconds FROM events) SELECT event_id, seconds, CASE WHEN seconds < 60 THEN seconds || 's' WHEN seconds < 3600 THEN (seconds // 60) || 'm ' || (seconds % 60) || 's' ELSE (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm' END AS text FROM s",
+        "WITH s AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN (event_id * 37 % 9000)::DOUBLE / 2 - 5 END AS seconds FROM events), r AS (SELECT *, round_even(greatest(0, seconds), 0)::BIGINT AS n FROM s) SELECT event_id, seconds, CASE WHEN n IS NULL THEN '—' WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE (n // 3600) || 'h ' || (n % 3600 // 60) || 'm ' || (n % 60) || 's' END AS text FROM r",
+    ),
+    "time_texts": (
+        time_texts,
+        "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 19 <> 0 THEN ts END AS at, CASE WHEN event_id % 19 <> 0 THEN event_id % 7000 END AS m, TIMESTAMP '2024-02-01' AS now FROM events), a AS (SELECT *, greatest(0, (epoch_us(now) - epoch_us(at)) // 1000000) AS n FROM e) SELECT event_id, coalesce(strftime(at, '%Y-%m-%d %H:%M:%S UTC'), '—') AS at, "
+        + AGE.format("n") + " AS age, " + AGE.format("m") + " AS near_age, greatest(0.0::DOUBLE, (epoch_us(now) - epoch_us(ts))::DOUBLE / 1000000) AS seconds FROM a",
     ),
     "backoff_table": (backoff_table, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN least(30.0::DOUBLE, event_id % 50) ELSE least(30.0::DOUBLE, pow(2.0::DOUBLE, event_id % 8)) END AS wait FROM events"),
     "token_jaccard_pairs": (

@@ -5,7 +5,7 @@ Each view is a DataFrame here and the same as a common table expression for SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -75,7 +75,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda prefix, expr, suffix="": F.concat(F.lit(prefix), expr.cast("string"), F.lit(suffix))
     return r.select(
         "case_id",
-        F.row_number().over(Window.partitionBy("case_id").orderBy("source", "key")).cast("long").alias("ord"),
+        (key * 2 + (F.col("source") == "s").cast("long")).alias("ord"),
         F.concat("source", F.lit("-"), key.cast("string")).alias("platform"),
         text("user", key % 11).alias("username"),
         text("name ", key % 5, " x").alias("display_name"),
@@ -88,7 +88,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RECORDS = """v_base AS (SELECT 'c' AS source, c_custkey AS key, c_nationkey::BIGINT AS case_id FROM customer UNION ALL SELECT 's', s_suppkey, s_nationkey::BIGINT FROM supplier),
-v_records AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY source, key) AS ord, source || '-' || key AS platform, 'user' || key % 11 AS username,
+v_records AS (SELECT case_id, key * 2 + (source = 's')::BIGINT AS ord, source || '-' || key AS platform, 'user' || key % 11 AS username,
   'name ' || key % 5 || ' x' AS display_name, CASE WHEN key % 4 <> 0 THEN 'org' || key % 3 END AS organization, CASE WHEN key % 3 = 0 THEN 'loc' || key % 2 END AS location,
   CASE WHEN key % 5 < 2 THEN 'd' || key % 7 || '.example' END AS domain, CASE WHEN key % 7 = 1 THEN 'id' || key % 3 END AS public_id,
   CASE WHEN key % 6 = 2 THEN 'e' || key % 4 || '@x.example' END AS email FROM v_base)"""

@@ -35,8 +35,8 @@ def json_lines(rows: DataFrame) -> DataFrame:
 
 
 def csv_rows(entities: DataFrame) -> DataFrame:
-    """type, value, confidence, source and tags, the tags joined by semicolons."""
-    return entities.select("type", "value", "confidence", "source", F.array_join(F.array_sort("tags"), ";").alias("tags"))
+    """type, value, confidence, source and tags, the tags in their order, joined by commas."""
+    return entities.select("type", "value", "confidence", "source", F.array_join("tags", ",").alias("tags"))
 
 
 def markdown(scores: DataFrame) -> DataFrame:
