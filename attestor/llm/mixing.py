@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, n_words, table
+from .common import bounded, cut, fresh, n_words, table
 
 BUCKET_ROWS = 1024
 SEED = "mix-1"
@@ -102,11 +102,17 @@ def mix_documents(docs: DataFrame, epochs: float = 1.5, max_epochs: float = 2.0)
 
 
 def take_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row of ``docs`` as often as the mix takes it. Rows of one doc_id go as often as the one that goes most."""
-    times = cut(mix_documents(docs).groupBy("doc_id").agg(F.max("times").cast("int").alias("times")).where("times > 0"), "times")
-    times = times.withColumnRenamed("doc_id", "taken_id")
-    taken = docs.join(bounded(times), docs["doc_id"].eqNullSafe(F.col("taken_id")))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    """Each row of ``docs`` as often as the mix takes it. Rows of one doc_id go as often as the one that goes most.
+
+    A null doc_id is an id like others and a null source a source; null, empty
+    and wordless texts have size 0 and go by their source's whole repetitions only; an empty
+    table stays empty; other columns, whatever their names, are handed on.
+    """
+    own, n, each = (fresh(c, docs.columns) for c in ("taken_id", "times", "copy"))
+    times = mix_documents(docs).groupBy(F.col("doc_id").alias(own)).agg(F.max("times").cast("int").alias(n))
+    times = cut(times.where(F.col(n) > 0), "times")
+    taken = docs.join(bounded(times), docs["doc_id"].eqNullSafe(F.col(own)))
+    return taken.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,11 +18,11 @@ What is left is verified on the whole texts, exactly.
 
 Copies and large groups. Documents with equal sets are one class from the start.
 In a group of thousands of near copies nearly every pair is linked, so pairs
-aren't listed: each token names a hub among its rows, the same one for most tokens of a
-group, and each row is held against its hub first. Links found are contracted,
-and rounds of further hubs go on between groups only. In the end every pair that
-still lies in two groups and is a candidate is verified. A pair inside one group
-can't change the groups. So the groups are those of all links.
+aren't listed: each token names a hub among its rows, and each row is held
+against the hubs of its tokens first. Links found are contracted, and a further
+round of hubs goes on between groups only. In the end every pair that still lies
+in two groups and is a candidate is verified. A pair inside one group can't
+change the groups. So the groups are those of all links.
 
 Defined results: null and wordless texts have an empty set and are linked with
 nothing; of one to three words, the whole sequence is the only shingle; very
@@ -43,12 +43,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, table
+from .common import bounded, cut, fresh, passing, table
 
 BITS = 63
 FREQUENT = 50
-#: Rounds of hubs before all further candidates between groups are compared.
-HUB_ROUNDS = 3
+#: Hubs that each token names in each round, before all further candidates between groups are compared.
+HUBS = (1, 5)
 SKETCH_WORDS = 8
 MAX_WORDS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -136,7 +136,7 @@ def prefix_length(n: Column, percent: int) -> Column:
 
 
 def postings(reps: DataFrame, percent: int) -> DataFrame:
-    """reps(row, n, n_low, head) -> (row, n, token, pos): prefix tokens under order 1 that several rows have, and their places in it. Written.
+    """reps(row, n, n_low, head) -> (row, n, token, pos, c): prefix tokens under order 1 that several rows have, their places in it, and how many sets have them at most. Written.
 
     Tokens are counted with partial sums and the counts joined back, so the rows
     of a token in a third of all sets are never gathered in one task.
@@ -144,17 +144,18 @@ def postings(reps: DataFrame, percent: int) -> DataFrame:
     heads = reps.select("row", "n_low", F.posexplode("head").alias("rank", "token"))
     low = heads.where("rank < n_low").select("row", "rank", "token")
     counts = low.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    shared = low.join(counts, "token").select("row", "rank", "token", (F.col("c") > FREQUENT).alias("late"))
+    shared = low.join(counts, "token").select("row", "rank", "token", "c")
     sizes = reps.select(F.col("row").alias("s_row"), "n", "n_low")
+    late = F.col("c") > FREQUENT
     before = Window.partitionBy("row").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     placed = shared.join(sizes, F.col("row") == F.col("s_row"))
-    placed = placed.withColumn("late_before", F.coalesce(F.count_if("late").over(before), F.lit(0))).withColumn("n_late", F.count_if("late").over(Window.partitionBy("row")))
-    pos = F.when(F.col("late"), F.col("n_low") - F.col("n_late") + F.col("late_before")).otherwise(F.col("rank") - F.col("late_before"))
-    placed = placed.withColumn("pos", pos.cast("int")).where(F.col("pos") < prefix_length(F.col("n"), percent)).select("row", "n", "token", "pos")
+    placed = placed.withColumn("late_before", F.coalesce(F.count_if(late).over(before), F.lit(0))).withColumn("n_late", F.count_if(late).over(Window.partitionBy("row")))
+    pos = F.when(late, F.col("n_low") - F.col("n_late") + F.col("late_before")).otherwise(F.col("rank") - F.col("late_before"))
+    placed = placed.withColumn("pos", pos.cast("int")).where(F.col("pos") < prefix_length(F.col("n"), percent)).select("row", "n", "token", "pos", "c")
     # sets with few tokens in the counted range: the next ones by hash
     rest = heads.where("rank >= n_low").select("row", "rank", "token")
-    again = rest.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    rest = rest.join(again, "token").join(sizes, F.col("row") == F.col("s_row")).select("row", "n", "token", F.col("rank").alias("pos"))
+    again = rest.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
+    rest = rest.join(again, "token").join(sizes, F.col("row") == F.col("s_row")).select("row", "n", "token", F.col("rank").alias("pos"), "c")
     return cut(placed.unionByName(rest), "postings")
 
 
@@ -171,16 +172,23 @@ def near(percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
+def of_rows(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``rows`` that pairs(a, b) name: while these are few, the others don't move."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("i_row")).distinct()
+    return rows.join(bounded(involved), F.col("row") == F.col("i_row"), "left_semi")
+
+
 def candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of pairs(a, b) that share a prefix token under order 1, those that do so under orders 2 and 3, and whose sketches leave room for a link. Written."""
-    side = lambda c: reps.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "p2", "p3", "sketch")))
+    pairs = cut(pairs, "met")
+    named = of_rows(reps.select("row", "n", "p2", "p3", "sketch"), pairs)
+    side = lambda c: named.select(F.col("row").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("n", "p2", "p3", "sketch")))
     return cut(pairs.join(side("a"), "a").join(side("b"), "b").where(near(percent) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b"), "pairs")
 
 
 def verified(pairs: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs(a, b) of rows, those whose whole sets are linked. Written."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("i_row")).distinct()
-    texts = numbered.select("row", "text").join(bounded(involved), F.col("row") == F.col("i_row"), "left_semi")
+    texts = cut(of_rows(numbered.select("row", "text"), pairs), "texts")
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,51 +227,50 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("row", "comp")
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels(row, comp) after links(a, b) of rows have joined their groups. Written."""
-    of = lambda c: labels.select(F.col("row").alias(c), F.col("comp").alias(f"{c}_comp"))
-    between = links.join(of("a"), "a").join(of("b"), "b").where("a_comp <> b_comp").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-    further = components(between).select(F.col("row").alias("was"), F.col("comp").alias("now"))
-    return cut(labels.join(further, F.col("comp") == F.col("was"), "left").select("row", F.coalesce("now", "comp").alias("comp")), "labels")
-
-
 def groups_of(reps: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
-    """reps(row, n, n_low, head, p2, p3, sketch) -> (row, comp) of rows that share a prefix token; comp is a row of the group."""
+    """reps(row, n, n_low, head, p2, p3, sketch) -> (row, comp) of rows with links; comp is the smallest row of the group."""
     posts = postings(reps, percent)
-    labels = cut(posts.select("row").distinct().withColumn("comp", F.col("row")), "labels")
-    for k in range(HUB_ROUNDS):
-        one, other = _open(posts, labels)
-        # at first most tokens of a group name the same hub; later each token names its own
-        hub = F.min_by(F.struct("row_b", "n_b", "pos_b", "comp_b"), F.xxhash64("row_b", F.lit(k), *["token_b"] * (k > 0)))
-        other = other.groupBy("token_b").agg(hub.alias("hub")).select("token_b", "hub.*")
-        pairs = one.join(other, meet(percent))
-        if k == 0:
-            pairs = pairs.groupBy("row_a").agg(F.min_by("row_b", F.xxhash64("row_b", F.lit(k))).alias("row_b"))
-        labels = _linked(pairs, labels, reps, numbered, width, percent)
-    one, other = _open(posts, labels, reps.select("row", "sketch"))
-    return _linked(one.join(other, meet(percent) & (F.col("row_a") < F.col("row_b")) & near(percent)), labels, reps, numbered, width, percent)
-
-
-def _open(posts: DataFrame, labels: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The postings of tokens that rows of several groups have, with columns named for either side of a pair."""
-    named = posts.join(labels, "row")
-    tokens = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
-    named = named.join(tokens, "token", "left_semi")
-    named = cut(named.join(more, "row") if more else named, "open")
+    links = comps = None
+    for k, n_hubs in enumerate(HUBS):
+        # a token of two sets is done with when its one pair has been compared
+        one, other = _sides(_grouped(posts.where("c > 2") if k else posts, comps))
+        hubs = [F.min_by(F.struct("row_b", "n_b", "pos_b", "comp_b"), F.xxhash64("row_b", "token_b", F.lit(10 * k + n))).alias(f"hub{n}") for n in range(n_hubs)]
+        other = other.groupBy("token_b").agg(*hubs).select("token_b", F.inline(F.array_distinct(F.array(*(f"hub{n}" for n in range(n_hubs))))))
+        links, comps = _linked(one.join(other, meet(percent)), links, reps, numbered, width, percent)
+    # what is left: pairs of two groups that share one of the other tokens
+    named = _grouped(posts.where("c > 2"), comps)
+    between = named.groupBy("token").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("token")
+    named = cut(named.join(between, "token", "left_semi").join(reps.select("row", "sketch"), "row"), "open")
+    one, other = _sides(named)
+    return _linked(one.join(other, meet(percent) & (F.col("row_a") < F.col("row_b")) & near(percent)), links, reps, numbered, width, percent)[1]
+
+
+def _grouped(posts: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Postings with the group of their row; rows without links are their own."""
+    if comps is None:
+        return posts.withColumn("comp", F.col("row"))
+    known = bounded(comps.select(F.col("row").alias("k_row"), "comp"))
+    return posts.join(known, F.col("row") == F.col("k_row"), "left").drop("k_row").withColumn("comp", F.coalesce("comp", "row"))
+
+
+def _sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same rows with columns named for either side of a pair."""
     return tuple(named.select(*(F.col(c).alias(f"{c}_{x}") for c in named.columns)) for x in "ab")
 
 
-def _linked(pairs: DataFrame, labels: DataFrame, reps: DataFrame, numbered: DataFrame, width: int, percent: int) -> DataFrame:
-    """``labels`` after those of pairs(row_a, row_b) that are linked have joined their groups."""
+def _linked(pairs: DataFrame, links: DataFrame | None, reps: DataFrame, numbered: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """All links, with those among pairs(row_a, row_b), and the groups that they make."""
     pairs = pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct()
-    links = verified(candidates(pairs, reps, percent), numbered, width, percent)
-    return labels if links.isEmpty() else merged(labels, links)
+    found = verified(candidates(pairs, reps, percent), numbered, width, percent)
+    links = found if links is None else links.unionByName(found)
+    return links, components(links)
 
 
 def join_groups(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_shingles, component_id."""
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-    return row_groups(numbered, width, percent).select("doc_id", "n_shingles", "component_id")
+    """docs(doc_id, text) -> doc_id, n_shingles, component_id. Written; the steps before are removed."""
+    with passing(docs.sparkSession) as kept:
+        numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+        return kept(row_groups(numbered, width, percent).select("doc_id", "n_shingles", "component_id"))
 
 
 def row_groups(numbered: DataFrame, width: int, percent: int) -> DataFrame:
@@ -292,17 +299,17 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered, and written with their number; an empty table stays empty; other
     columns, whatever their names, are handed on.
     """
-    number = "_row"
-    while number in docs.columns:
-        number += "_"
+    number = fresh("_row", docs.columns)
     numbered = cut(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-    groups = row_groups(numbered.select(F.col(number).alias("row"), "doc_id", "text"), 5, 80)
-    groups = cut(groups.where("comp IS NOT NULL").select("row", "doc_id", "component_id", "comp"), "groups")
-    first = groups.groupBy("comp").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("first_row"))
-    others = cut(groups.join(first, F.col("row") == F.col("first_row"), "left_anti").select(F.col("row").alias("_other_row")), "others")
+    with passing(spark) as kept:
+        groups = row_groups(numbered.select(F.col(number).alias("row"), "doc_id", "text"), 5, 80)
+        groups = cut(groups.where("comp IS NOT NULL").select("row", "doc_id", "component_id", "comp"), "groups")
+        first = groups.groupBy("comp").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("first_row"))
+        others = kept(groups.join(first, F.col("row") == F.col("first_row"), "left_anti").select(F.col("row").alias("_other_row")))
     others = bounded(others)
     return numbered.join(others, numbered[number] == others["_other_row"], "left_anti").select(*docs.columns)
 
+
 NGRAM_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) END) AS sh FROM w),

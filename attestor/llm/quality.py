@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 MIN_CHARS = 200
 MIN_WORDS = 50
@@ -48,6 +48,8 @@ MAX_WORD_DISTANCE = 0.50
 MAX_BROADCAST = 5000
 #: Words that a task sums before it hands the sums on.
 MAX_SUMS = 100_000
+#: Words whose plain form a task keeps at hand.
+MAX_KEPT = 500_000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 
@@ -86,15 +88,16 @@ def _class(c: str) -> int:
     return k
 
 
+_LOW_CLASSES = np.array([_class(chr(c)) for c in range(0x250)], np.uint8)
+
+
 def char_histogram(text: str) -> np.ndarray:
     """Shares of the character classes."""
-    h = np.zeros(len(CLASSES))
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = np.bincount(codes[codes < 0x250], minlength=0x250)
-    for c in np.flatnonzero(low).tolist():
-        h[_class(chr(c))] += low[c]
-    if (high := codes[codes >= 0x250]).size:
-        for c, n in zip(*(x.tolist() for x in np.unique(high, return_counts=True)), strict=True):
+    low = codes < 0x250
+    h = np.bincount(_LOW_CLASSES[codes[low]], minlength=len(CLASSES)).astype(float)
+    if not low.all():
+        for c, n in zip(*(x.tolist() for x in np.unique(codes[~low], return_counts=True)), strict=True):
             h[_class(chr(c))] += n
     return h / max(1.0, h.sum())
 
@@ -123,16 +126,24 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return math.sqrt(max(0.0, total))
 
 
-def plain(word: str) -> str:
-    """A word without marks around it, in lower case."""
-    return word.strip(".,;:!?\"'()#*$%&|<>").lower()
+class _Plain(dict):
+    """Words without marks around them, in lower case; kept up to a bound."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= MAX_KEPT:
+            self.clear()
+        p = self[word] = word.strip(".,;:!?\"'()#*$%&|<>").lower()
+        return p
+
+
+_plain = _Plain()
 
 
 def word_times(words: list[str]) -> Counter:
     """How often each plain word occurs."""
     times: Counter = Counter()
     for w, n in Counter(words).items():
-        times[plain(w)] += n
+        times[_plain[w]] += n
     return times
 
 
@@ -203,8 +214,8 @@ def reference(chars: Sequence[float] | None, words: Sequence[str] | None, shares
     return np.asarray(chars, float), {w: k for k, w in enumerate(words)}, np.append(s, [other, rest - other])
 
 
-def with_references(docs: DataFrame, refs: DataFrame, most: int = MAX_BROADCAST) -> list[tuple[DataFrame, dict[str, Reference]]]:
-    """Parts of ``docs`` that make up the whole, with columns r_chars, r_words, r_shares, and the references that these leave null.
+def with_references(docs: DataFrame, refs: DataFrame, most: int, columns: Sequence[str]) -> list[tuple[DataFrame, dict[str, Reference]]]:
+    """Parts of ``docs`` that make up the whole, with further ``columns`` for the three of ``REFERENCE``, and the references that these leave null.
 
     Of up to ``most`` languages there is one part. Of more, documents of the
     largest and of none are one part, and the others join theirs: each of these
@@ -212,13 +223,15 @@ def with_references(docs: DataFrame, refs: DataFrame, most: int = MAX_BROADCAST)
     """
     largest = cut(refs.orderBy(F.desc("n_docs"), "lang").limit(most), "largest")
     held = {r["lang"]: reference(r["r_chars"], r["r_words"], r["r_shares"]) for r in largest.toLocalIterator()}
-    none = {c: F.lit(None).cast(t) for c, t in REFERENCE.items()}
+    none = {c: F.lit(None).cast(t) for c, t in zip(columns, REFERENCE.values(), strict=True)}
     if len(held) < most or refs.count() == len(held):
         return [(docs.withColumns(none), held)]
-    names = F.broadcast(largest.select(F.col("lang").alias("r_lang")))
-    here = docs.join(names, docs["lang"] == F.col("r_lang"), "left_semi").unionByName(docs.where("lang IS NULL"))
-    others = docs.where("lang IS NOT NULL").join(names, docs["lang"] == F.col("r_lang"), "left_anti")
-    return [(here.withColumns(none), held), (others.join(refs.select(F.col("lang").alias("r_lang"), *REFERENCE), F.col("lang") == F.col("r_lang"), "left").drop("r_lang"), {})]
+    own = fresh("r_lang", docs.columns)
+    names = F.broadcast(largest.select(F.col("lang").alias(own)))
+    here = docs.join(names, docs["lang"] == names[own], "left_semi").unionByName(docs.where("lang IS NULL"))
+    others = docs.where("lang IS NOT NULL").join(names, docs["lang"] == names[own], "left_anti")
+    joined = refs.select(F.col("lang").alias(own), *(F.col(r).alias(c) for c, r in zip(columns, REFERENCE, strict=True)))
+    return [(here.withColumns(none), held), (others.join(joined, others["lang"] == joined[own], "left").drop(own), {})]
 
 
 def verdict(text: str, words: list[str], ref: Reference | None, max_char: float, max_word: float) -> tuple[float | None, float | None, bool]:
@@ -253,7 +266,7 @@ def judge(docs: DataFrame, refs: DataFrame, max_char: float = MAX_CHAR_DISTANCE,
         asked = asked.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang", *REFERENCE)  # long with nulls would be float in pandas
         return asked.mapInPandas(run, f"doc_id string, {STATS}, base_failed boolean, kept boolean, char_distance double, word_distance double")
 
-    made = [part(*p) for p in with_references(docs, refs, most)]
+    made = [part(*p) for p in with_references(docs.select("doc_id", "text", "lang"), refs, most, list(REFERENCE))]
     return reduce(DataFrame.unionByName, made).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -263,7 +276,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = MAX_BROADCAST) -> DataFrame:
-    """The rows of ``docs`` that the rules keep; the references are those of ``docs``."""
+    """The rows of ``docs`` that the rules keep; the references are those of ``docs``.
+
+    Null, empty and short texts fail the base rules and go; rows that repeat are
+    kept or go together; ids don't matter; an empty table stays empty; other columns, whatever their names, are handed on.
+    """
 
     def part(asked: DataFrame, held: dict[str, Reference]) -> DataFrame:
         held_b = spark.sparkContext.broadcast(held)
@@ -276,9 +293,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, most: int = MAX
                 kept.append(not base_failed(base_stats(t, found)) and verdict(t or "", found, held_b.value.get(of) or reference(*own), MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)[2])
             return pd.Series(kept, dtype=bool)
 
-        return asked.where(good("text", "lang", *REFERENCE)).select(*docs.columns)
+        return asked.where(good("text", "lang", *columns)).select(*docs.columns)
 
-    return reduce(DataFrame.unionByName, [part(*p) for p in with_references(docs, references(docs), most)])
+    columns = [fresh(c, docs.columns) for c in REFERENCE]
+    return reduce(DataFrame.unionByName, [part(*p) for p in with_references(docs, references(docs), most, columns)])
 
 
 QUERIES = {"op1_quality_rules": op1_quality_rules}

@@ -11,9 +11,10 @@ divide that gap. Only key and size are read, and a round gives one number for
 each candidate. It ends when every splitter is within the tolerance or its gap
 holds no further key. Then the rows move once.
 
-A shard is divided at further splitters into pieces of bounded size, so its
-slots are numbered in several tasks: the rows of the pieces before, which the
-last count gives, plus the place within the piece.
+Slots are numbered in several tasks: rows are counted by the first bits of their
+key, and by more bits where many share these; the counts before a leaf, plus the
+place within it, give the slot. All that is done by joins; the driver sees the
+candidates for the splitters between shards and nothing else, whatever the size.
 
 Defined results: a null text has size 16 and the CRC-32 of the empty text; a
 null doc_id is hashed as null; rows with equal keys stay together, whatever
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bounded, cut, fresh, table
 
 OVERHEAD = 16
 #: Candidates between two known boundaries in one round.
@@ -38,7 +39,10 @@ PROBES = 15
 MAX_ROUNDS = 20
 #: A splitter is met within this part of a shard's bytes.
 TOLERANCE = 0.002
-PIECE_BYTES = 64 << 20
+#: Rows beyond which a leaf is divided by further bits of the key, and the bits that each step adds up to.
+LEAF_ROWS = 500_000
+KEY_BITS = 63
+LEAF_BITS = (16, 32, 42, 52)
 LAW = "bytes"
 
 
@@ -75,6 +79,8 @@ def splitters(keys: DataFrame, aims: np.ndarray, total: int, tolerance: float) -
         open_ = (near > tolerance) & (high - low > 1) & (high_b > low_b) & (high_r - low_r > 1)
         if not open_.any():
             break
+        if n + 1 == MAX_ROUNDS:
+            raise RuntimeError("the splitters are not found; each round divides the open gaps by 16, so this can't be")
         # candidates divide each open gap; the first round's gap is the whole range, so it is divided for all at once
         step = np.arange(1, PROBES + 1) / (PROBES + 1)
         guess = (low[open_, None] + (high[open_] - low[open_])[:, None] * step).astype(np.int64)
@@ -91,37 +97,49 @@ def splitters(keys: DataFrame, aims: np.ndarray, total: int, tolerance: float) -
     return np.where(np.abs(low_b - aims) <= np.abs(high_b - aims), low, high)
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 40, tolerance: float = TOLERANCE, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, size, text_crc32, shard and slot."""
+def shard_by_bytes(docs: DataFrame, n_shards: int = 40, tolerance: float = TOLERANCE, leaf_rows: int = LEAF_ROWS, row: str | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, size, text_crc32, shard and slot; and column ``row`` of ``docs``, if it is named."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    crc = F.crc32(text).alias("text_crc32")
-    keys = docs.select("doc_id", (F.length(text) + OVERHEAD).cast("long").alias("size"), crc).withColumn("key", sort_key(F.col("text_crc32"), F.col("doc_id")))
+    own = [F.col(row)] if row else []
+    keys = docs.select(*own, "doc_id", (F.length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("key", sort_key(F.col("text_crc32"), F.col("doc_id")))
     keys = cut(keys, "keys")
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    pieces = max(1, -(-total // (n_shards * piece_bytes)))
-    share = total / (n_shards * pieces)
-    aims = share * np.arange(1, n_shards * pieces)
-    cuts = np.sort(splitters(keys.select("key", "size"), aims, total, tolerance * share))
-    _, before = bytes_below(keys.select("key", "size"), np.unique(cuts)) if len(cuts) else (None, np.array([], np.int64))
-    rows_below = dict(zip(np.unique(cuts).tolist(), before.tolist(), strict=True))
-    starts = np.array([0] + [rows_below[c] for c in cuts.tolist()], np.int64)  # rows before each piece
-    offset = starts - starts[np.arange(len(starts)) // pieces * pieces]
-
-    @F.pandas_udf("piece int, first long")
-    def place(key: pd.Series) -> pd.DataFrame:
-        piece = np.searchsorted(cuts, key.to_numpy(), side="right")
-        return pd.DataFrame({"piece": piece, "first": offset[piece]})
-
-    placed = keys.withColumn("at", place("key")).select("doc_id", "size", "text_crc32", "key", "at.piece", "at.first")
-    slot = F.row_number().over(Window.partitionBy("piece").orderBy("key", "doc_id")) - 1 + F.col("first")
-    return placed.select("doc_id", "size", "text_crc32", (F.col("piece") / pieces).cast("int").alias("shard"), slot.cast("long").alias("slot"))
-
-
-def write_shards(docs: DataFrame, sharded: DataFrame, path: str) -> None:
-    """Writes the rows of ``docs`` below one folder for each shard, in the order of their slots within each file."""
-    places = sharded.select(F.col("doc_id").alias("s_doc_id"), "shard", "slot").distinct()
-    joined = docs.join(places, docs["doc_id"].eqNullSafe(places["s_doc_id"])).drop("s_doc_id")
-    joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    share = total / n_shards
+    cuts = np.sort(splitters(keys.select("key", "size"), share * np.arange(1, n_shards), total, tolerance * share))
+    at = sum(((F.col("key") >= int(c)).cast("int") for c in cuts), F.lit(0))
+    placed = keys.withColumn("shard", at)
+
+    # leaves: keys by their first bits, and by more of them where that many rows have these in common
+    leaf = F.lit(0).cast("long")
+    for k, bits in enumerate(LEAF_BITS):
+        begin = F.shiftleft(F.shiftright("key", KEY_BITS - bits), KEY_BITS - bits)
+        placed = placed.withColumn("leaf", begin if k == 0 else F.when(F.col("heavy").isNotNull(), begin).otherwise(F.col("leaf"))).drop("heavy")
+        if k + 1 < len(LEAF_BITS):
+            heavy = placed.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows)
+            placed = placed.join(bounded(cut(heavy.select(F.col("leaf").alias("heavy")), "heavy")), F.col("leaf") == F.col("heavy"), "left")
+    counts = placed.groupBy("shard", "leaf").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = cut(counts.select(F.col("shard").alias("l_shard"), F.col("leaf").alias("l_leaf"), ahead.alias("first")), "leaves")
+    placed = placed.join(bounded(first), (F.col("shard") == F.col("l_shard")) & (F.col("leaf") == F.col("l_leaf")))
+    slot = F.row_number().over(Window.partitionBy("shard", "leaf").orderBy("key", "doc_id")) - 1 + F.col("first")
+    return placed.select(*own, "doc_id", "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 40) -> None:
+    """Writes the rows of ``docs`` below one folder for each shard, in the order of their slots within each file.
+
+    Rows are numbered, so repeated and null ids are rows like others; a column
+    of ``docs`` that is called shard, in any case, is refused, as that names the folders.
+    """
+    if fresh("shard", docs.columns) != "shard":
+        raise ValueError("documents have a column shard already")
+    own = fresh("_row", docs.columns)
+    numbered = cut(docs.withColumn(own, F.monotonically_increasing_id()), "rows")
+    slot, other = fresh("slot", docs.columns), fresh("_other", docs.columns)
+    places = shard_by_bytes(numbered.select(F.col(own).alias("row"), "doc_id", "text"), n_shards, row="row").select(F.col("row").alias(other), "shard", F.col("slot").alias(slot))
+    joined = numbered.join(places, F.col(own) == F.col(other)).select(*docs.columns, "shard", slot)
+    # a shard goes to several tasks, by ranges of slots, so none of them has to hold it whole
+    joined.repartitionByRange("shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,32 +178,35 @@ def body_of(block: bytes) -> bytes:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Responses and revisits in one piece: record_id, type, page_id, refers_to, payload (null for revisits)."""
+    """Responses and revisits in one piece: record_id, type, page_id, refers_to, payload (null for revisits).
+
+    Segments of one record are joined once, by the task that frees them of their framing.
+    """
     segmented = records.where("segment IS NOT NULL")
-    whole = records.where("segment IS NULL").select("record_id", "type", "page_id", "refers_to", "block")
+    whole = records.where("segment IS NULL").select("record_id", "type", "page_id", "refers_to", F.array("block").alias("parts"))
     rid = F.coalesce("origin", "record_id").alias("record_id")
     # rows that repeat make records that repeat: one of each goes on, with its number
-    each = segmented.groupBy(rid, "segment", "block", "type", "page_id", "total").agg(F.count("*").alias("n"))
-    groups = each.groupBy("record_id").agg(F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.min("n").alias("least"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    joined = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["block"]))
+    each = segmented.groupBy(rid, "segment", F.sha1("block").alias("digest"), "type", "page_id", "total").agg(F.first("block").alias("block"), F.count("*").alias("n"))
+    groups = each.groupBy("record_id").agg(F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.sum(F.length("block")).alias("size"), F.min("n").alias("least"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
     numbers = F.transform("parts", lambda p: p["segment"])
-    good = (F.coalesce(F.col("total"), F.lit(-1)) == F.length("block")) & (numbers == F.sequence(F.lit(1), F.size("parts"))) & (F.col("least") == F.col("n"))
+    good = (F.coalesce(F.col("total"), F.lit(-1)) == F.col("size")) & (numbers == F.sequence(F.lit(1), F.size("parts"))) & (F.col("least") == F.col("n"))
     wrong = F.raise_error(F.concat(F.lit("segments do not fit: "), F.col("record_id")))
-    groups = groups.withColumn("block", joined).withColumn("block", F.when(good, F.col("block")).otherwise(wrong))
-    groups = groups.select("record_id", "type", "page_id", F.lit(None).cast("string").alias("refers_to"), "block", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")
+    groups = groups.withColumn("parts", F.when(good, F.transform("parts", lambda p: p["block"])).otherwise(wrong))
+    groups = groups.select("record_id", "type", "page_id", F.lit(None).cast("string").alias("refers_to"), "parts", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")
 
     @F.pandas_udf("binary")
-    def payload(block: pd.Series) -> pd.Series:
-        return block.map(body_of)
+    def payload(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: body_of(b"".join(p)))
 
     both = whole.unionByName(groups)
-    responses = both.where("type = 'response'").withColumn("payload", payload("block")).drop("block")
-    return responses.unionByName(both.where("type = 'revisit'").withColumn("payload", F.lit(None).cast("binary")).drop("block"))
+    responses = both.where("type = 'response'").withColumn("payload", payload("parts")).drop("parts")
+    return responses.unionByName(both.where("type = 'revisit'").withColumn("payload", F.lit(None).cast("binary")).drop("parts"))
 
 
 def digests(whole: DataFrame) -> DataFrame:
     """page_id, length and SHA-1 of the full payload, kind of record, and the page a revisit refers to."""
     measured = whole.select("record_id", "type", "page_id", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
+    measured = cut(measured, "measures")  # read three times; without it archives would be parsed as often
     visits = measured.where("type = 'revisit'").select("page_id", "refers_to")
     responses = measured.where("type = 'response'").drop("refers_to", "type")
     # a page_id that repeats gives equal records, so one row for each identifier

@@ -150,8 +150,8 @@ def test_sharding(spark):
     rng = random.Random(1)
     texts = ["t" * rng.randrange(2000) for _ in range(1500)] + ["hot text " * 40] * 700
     df = docs_of(spark, texts).unionByName(spark.createDataFrame(EDGES, DOCS))
-    for piece in (1 << 26, 9000):
-        rows = sharding.shard_by_bytes(df, 7, piece_bytes=piece).collect()
+    for leaf in (500_000, 40):
+        rows = sharding.shard_by_bytes(df, 7, leaf_rows=leaf).collect()
         assert len(rows) == len(texts) + len(EDGES)
         size, slots = {}, {}
         for r in rows:
