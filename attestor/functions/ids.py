@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import folded, squeezed
 from .urls import bare_host, canonical, ipv4_number, suffix_labels
 
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
@@ -75,6 +76,11 @@ def entity_id(kind: Column, norm: Column) -> Column:
     return F.substring(F.sha2(F.concat(kind, F.lit(":"), norm), 256), 1, 24)
 
 
+def plain_name(name: Column) -> Column:
+    """A name without marks on letters, only a to z, digits and single spaces."""
+    return squeezed(F.regexp_replace(F.lower(folded(name)), r"[^a-z0-9\s]", " "))
+
+
 def mask(value: Column, keep: int = 2) -> Column:
     """A secret with its ends kept and at least four stars between; one of at most both ends is all stars."""
     n = F.length(value)

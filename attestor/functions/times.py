@@ -73,3 +73,11 @@ def age_seconds(at: Column, now: Column) -> Column:
 def backoff(attempt: Column, retry_after: Column, cap: float = 30.0) -> Column:
     """Seconds before the next try: what the answer asks for, else a power of two; both capped."""
     return F.when(retry_after.isNotNull(), F.least(F.lit(cap), retry_after)).otherwise(F.least(F.lit(cap), F.pow(F.lit(2.0), attempt)))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Seconds that an answer asks to wait, given as a number or as a date; at most 60, null for neither."""
+    t = F.trim(value)
+    date = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "^[A-Za-z]{3}, ", ""), " (GMT|UTC)$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    seconds = F.when(t.rlike("^[0-9]+$"), t.cast("double")).otherwise(F.greatest(F.lit(0.0), (F.unix_micros(date) - F.unix_micros(now)) / 1_000_000))
+    return F.when(t.rlike("^[0-9]+$") | date.isNotNull(), F.least(F.lit(60.0), seconds))

@@ -165,6 +165,25 @@ def blocked_ipv4(ip: Column) -> Column:
     return F.coalesce(private_ipv4(ip) | ipv4_number(ip).between(0xE0000000, 0xEFFFFFFF), F.lit(True))
 
 
+def public_website(raw: Column) -> Column:
+    """A website as a profile names it, with https where no scheme is given; null for platforms and what is no URL."""
+    from .ids import PLATFORM_HOSTS
+
+    t = F.trim(raw)
+    t = F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).otherwise(t)
+    t = F.when(F.lower(t).rlike("^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
+    host = host_of(t)
+    return F.when((F.trim(raw) != "") & (host != "") & ~host.isin(PLATFORM_HOSTS), t)
+
+
+def unwrapped(href: Column) -> Column:
+    """The target of a search page's redirect, if it is one."""
+    raw = F.trim(href)
+    raw = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).otherwise(raw)
+    target = F.regexp_extract(query_of(raw), r"(?:^|&)uddg=([^&]+)", 1)
+    return F.when(target != "", F.try_url_decode(target)).otherwise(raw)
+
+
 #: What paths of profile pages contain.
 PROFILE_HINTS = "/users/ /user/ /u/ /profile/ /profiles/ /p/ /id/ /member/ /members/ /author/ /people/ /channel/ /c/ /in/".split()
 

@@ -165,11 +165,12 @@ def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     """
     l = usable_leads(leads)  # noqa: E741
     low = F.lower(F.concat_ws("\n", *FIELDS))
-    words = F.split(folded(low), " ")
-    gaps = [F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k, a=a, b=b: F.concat(F.right(F.get(words, k - 1), F.lit(a)), F.lit(" "), F.left(F.get(words, k), F.lit(b)))) for a, b in _shapes(l)]
-    none = F.array().cast("array<string>")
-    keys = F.concat(F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)), *(F.when(F.size(words) > 1, g).otherwise(none) for g in gaps))
-    met = pages.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(l, "key").select("id", "kind", "lead", "form")
+    # a generator stands between, so that words are split once and not for each of them
+    t = pages.select("id", F.inline(F.array(F.struct(low.alias("low"), F.split(folded(low), " ").alias("words")))))
+    n = F.greatest(F.size("words") - 1, F.lit(0))
+    around = lambda a, b: F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda x, y: F.concat(F.right(x, F.lit(a)), F.lit(" "), F.left(y, F.lit(b))))
+    keys = F.concat(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)), *(around(a, b) for a, b in _shapes(l)))
+    met = t.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(l, "key").select("id", "kind", "lead", "form")
     f = lambda c: F.coalesce(F.col(c), F.lit(""))
     both = met.join(pages.select("id", *(f(c).alias(c) for c in FIELDS)), "id")
 
@@ -206,9 +207,8 @@ def related(found: DataFrame) -> DataFrame:
     of = lambda kind: F.transform(F.array_sort(F.filter("others", lambda x: x["kind"] == kind)), lambda x: x["lead"])
     others = F.coalesce(F.concat(*(of(k) for k in ASSOCIATIONS)), F.array().cast("array<string>"))
     direct = F.col("kind").isin(*DIRECT_KINDS)
-    label = F.lit(None).cast("string")
-    for kind, name in reversed(ASSOCIATIONS.items()):
-        label = F.when(F.exists("others", lambda x, kind=kind: x["kind"] == kind), name).otherwise(label)
+    beside_it = lambda kind: F.exists("others", lambda x: x["kind"] == kind)
+    label = F.coalesce(*(F.when(beside_it(kind), name) for kind, name in ASSOCIATIONS.items()))
     reasons = {"exact_token": "exact_username", "url_path_segment": "username_path", "exact_email": "exact_email", "exact_host": "exact_domain"}
     reason = F.lit(None).cast("string")
     for match, name in reasons.items():

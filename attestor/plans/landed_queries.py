@@ -28,11 +28,11 @@ def _certs(s, d):
     names = F.concat_ws("\n", apex, _text("*.", apex), _text("m", _s("l_partkey"), ".", apex), F.lit(" not a host "), _text("  WWW.", F.upper(apex), " "), F.lit("other.example"))
     day = F.when(F.col("l_linenumber") != 7, F.date_format("l_shipdate", "yyyy-MM-dd"))
     c = F.struct((F.col("l_partkey") % 50).alias("id"), names.alias("name_value"), _text("CN", _s("l_linenumber")).alias("common_name"), F.lit("CA").alias("issuer_name"), _s("l_orderkey").alias("serial_number"), day.alias("not_before"), day.alias("not_after"))
-    rows = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", c.alias("c")))).alias("r"))
+    rows = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", c.alias("c")))).alias("r"))
     return rows.select("id", F.to_json(F.transform("r", lambda x: x["c"])).alias("body"))
 
 
-CERTS = """v_line AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS ord FROM lineitem),
+CERTS = """v_line AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS ord FROM lineitem),
 v_cert AS (SELECT l_suppkey AS id, l_partkey % 50 AS cert_id, min(ord) AS ord, min_by(l_partkey, ord) AS part, min_by('cn' || l_linenumber, ord) AS common_name, min_by(l_orderkey::VARCHAR, ord) AS serial,
   arg_min_null(CASE WHEN l_linenumber <> 7 THEN strftime(l_shipdate, '%Y-%m-%d') END, ord) AS not_before, 'd' || l_suppkey || '.example' AS apex FROM v_line GROUP BY ALL),
 v_names AS (SELECT *, [apex, 'm' || part || '.' || apex, 'other.example', 'www.' || apex] AS names FROM v_cert)"""

@@ -114,24 +114,33 @@ def _found(s, d):
     return discovery.mention_matches(_hits(s, d), _mention_leads(s, d))
 
 
-def _contains(kind: str, c: str) -> str:
-    """SQL for whether field ``c`` holds a lead of a kind, as a whole."""
-    edge = {"username": "A-Za-z0-9_", "domain": "A-Za-z0-9-"}.get(kind)
-    if edge:
-        # a quick test first, since patterns made for each row are slow
-        return f"(contains(lower({c}), form) AND regexp_matches(lower({c}), '(^|[^{edge}])' || replace(form, '.', '\\.') || '($|[^{edge}])'))"
-    return f"contains(lower(trim(regexp_replace(strip_accents({c}), '\\s+', ' ', 'g'))), form)" if kind == "name" else f"contains(lower({c}), form)"
-
-
-_FIELD_SQL = " ".join(f"WHEN kind = '{k}' AND {_contains(k, c)} THEN '{c}'" for c in discovery.FIELDS for k in ("username", "domain", "name", "email") if not (c == "url" and k in ("username", "domain")))
-HIT_HOST, HIT_PATH, HIT_QUERY = (x.replace("\\", "\\") for x in (f"regexp_replace({HOST_SQL.format('url')}, '^www\\.', '')", "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)", "regexp_extract(lower(url), '^[^?#]*\\?([^#]*)', 1)"))
-MENTIONS = f"""v_hits AS (SELECT 'd' || doc_id AS id, '' AS title, coalesce(text, '') AS snippet, '' AS url, coalesce(source, '') AS author FROM documents UNION ALL SELECT 'c' || (conv_id * 1000 + turn), '', coalesce(text, ''), '', role FROM conversations
+HIT_HOST = f"regexp_replace({HOST_SQL.format('url')}, '^www\\.', '')"
+HIT_PATH, HIT_QUERY = "regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)", "regexp_extract(lower(url), '^[^?#]*\\?([^#]*)', 1)"
+_FOLDED = "lower(trim(regexp_replace(strip_accents({}), '\\s+', ' ', 'g')))"
+
+
+def _first(test: str, fields=discovery.FIELDS) -> str:
+    """SQL for the first field that a test holds for."""
+    return "CASE " + " ".join(f"WHEN {test.format(c=c)} THEN '{c}'" for c in fields) + " END"
+
+
+def _edged(edge: str) -> str:
+    # a quick test first, since patterns made for each row are slow
+    return f"contains({{c}}_low, form) AND regexp_matches({{c}}_low, '(^|[^{edge}])' || replace(form, '.', '\\.') || '($|[^{edge}])')"
+
+
+_TEXTS = ("title", "snippet", "author")
+MENTIONS = f"""v_raw AS (SELECT 'd' || doc_id AS id, '' AS title, coalesce(text, '') AS snippet, '' AS url, coalesce(source, '') AS author FROM documents UNION ALL SELECT 'c' || (conv_id * 1000 + turn), '', coalesce(text, ''), '', role FROM conversations
   UNION ALL SELECT 'p' || page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '', url, '' FROM pages),
+v_hits AS MATERIALIZED (SELECT *, {", ".join(f"lower({c}) AS {c}_low, {_FOLDED.format(c)} AS {c}_plain" for c in discovery.FIELDS)}, {HIT_HOST} AS host, list_transform(string_split({HIT_PATH}, '/'), lambda x: regexp_replace(x, '^@+', '')) AS parts, string_split({HIT_QUERY}, '&') AS asked FROM v_raw),
 v_all AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{x}')" for k, x in LEADS)}) v(kind, lead) UNION SELECT 'email', unnest(regexp_extract_all(lower(text), '{text.EMAIL_IN_TEXT}')) FROM documents),
-v_forms AS (SELECT kind, lead, CASE kind WHEN 'username' THEN lower(regexp_replace(lead, '^@+', '')) WHEN 'domain' THEN regexp_replace(lower(lead), '^www\\.', '') WHEN 'name' THEN lower(trim(regexp_replace(strip_accents(lead), '\\s+', ' ', 'g'))) ELSE lower(lead) END AS form FROM v_all),
-v_leads AS (SELECT * FROM v_forms WHERE CASE kind WHEN 'username' THEN length(form) >= 3 WHEN 'name' THEN contains(form, ' ') WHEN 'domain' THEN contains(form, '.') ELSE true END),
-v_found AS (SELECT id, kind, lead, CASE WHEN kind = 'username' AND (list_contains(list_transform(string_split({HIT_PATH}, '/'), lambda x: regexp_replace(x, '^@+', '')), form) OR len(list_filter(string_split({HIT_QUERY}, '&'), lambda q: q IN ('id=' || form, 'user=' || form, 'username=' || form, 'u=' || form))) > 0) THEN 'url'
-  WHEN kind = 'domain' AND ({HIT_HOST} = form OR ends_with({HIT_HOST}, '.' || form)) THEN 'url' {_FIELD_SQL} END AS field FROM v_hits, v_leads),
+v_forms AS (SELECT kind, lead, CASE kind WHEN 'username' THEN lower(regexp_replace(lead, '^@+', '')) WHEN 'domain' THEN regexp_replace(lower(lead), '^www\\.', '') WHEN 'name' THEN {_FOLDED.format("lead")} ELSE lower(lead) END AS form FROM v_all),
+v_leads AS MATERIALIZED (SELECT * FROM v_forms WHERE CASE kind WHEN 'username' THEN length(form) >= 3 WHEN 'name' THEN contains(form, ' ') WHEN 'domain' THEN contains(form, '.') ELSE true END),
+v_found AS (
+  SELECT id, kind, lead, CASE WHEN list_contains(parts, form) OR len(list_filter(asked, lambda q: q IN ('id=' || form, 'user=' || form, 'username=' || form, 'u=' || form))) > 0 THEN 'url' ELSE {_first(_edged("A-Za-z0-9_"), _TEXTS)} END AS field FROM v_hits, v_leads WHERE kind = 'username'
+  UNION ALL SELECT id, kind, lead, CASE WHEN host = form OR ends_with(host, '.' || form) THEN 'url' ELSE {_first(_edged("A-Za-z0-9-"), _TEXTS)} END FROM v_hits, v_leads WHERE kind = 'domain'
+  UNION ALL SELECT id, kind, lead, {_first("contains({c}_plain, form)")} FROM v_hits, v_leads WHERE kind = 'name'
+  UNION ALL SELECT id, kind, lead, {_first("contains({c}_low, form)")} FROM v_hits, v_leads WHERE kind = 'email'),
 v_typed AS (SELECT *, CASE kind WHEN 'username' THEN CASE WHEN field = 'url' THEN 'url_path_segment' ELSE 'exact_token' END WHEN 'name' THEN 'full_name' WHEN 'email' THEN 'exact_email' ELSE 'exact_host' END AS match_type FROM v_found WHERE field IS NOT NULL),
 v_beside AS (SELECT id, coalesce(list_sort(list(DISTINCT lead) FILTER (kind = 'username')), []) AS u, coalesce(list_sort(list(DISTINCT lead) FILTER (kind = 'email')), []) AS e, coalesce(list_sort(list(DISTINCT lead) FILTER (kind = 'domain')), []) AS h FROM v_typed GROUP BY id),
 v_related AS (SELECT t.*, CASE WHEN kind <> 'name' THEN 'DIRECT' WHEN len(u) + len(e) + len(h) > 0 THEN 'ASSOCIATED' ELSE 'AMBIGUOUS' END AS relevance,

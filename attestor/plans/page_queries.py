@@ -197,7 +197,7 @@ def time_texts(s, d):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     at = F.when(F.col("event_id") % 19 != 0, F.col("ts").cast("timestamp"))
     near = F.when(F.col("event_id") % 19 != 0, now - F.make_dt_interval(secs=(F.col("event_id") % 7000).cast("decimal(18,6)")))
-    return table(s, d, "events").select("event_id", times.instant_text(at).alias("at"), times.relative_age(at, now).alias("age"), times.relative_age(near, now).alias("near_age"), times.age_seconds(F.col("ts").cast("timestamp"), now).alias("seconds"))
+    return table(s, d, "events").select("event_id", times.instant_text(at).alias("instant"), times.relative_age(at, now).alias("age"), times.relative_age(near, now).alias("near_age"), times.age_seconds(F.col("ts").cast("timestamp"), now).alias("seconds"))
 
 
 def backoff_table(s, d):
@@ -291,10 +291,9 @@ SELECT doc_id, needle, CASE WHEN idx < 0 THEN substr(f, 1, 180) ELSE CASE WHEN b
         f"""WITH a AS (SELECT event_id, TIMESTAMP '2023-01-01' + to_days((event_id * 7 % 800)::INT) + to_hours((event_id % 24)::INT) + to_minutes((event_id * 11 % 60)::INT) + to_seconds((event_id * 13 % 60)::INT) AS t FROM events),
 g AS (SELECT *, strftime(t, '%Y%m%d%H%M%S') || '77' AS g FROM a),
 f AS (SELECT event_id, unnest([{", ".join(f"g[1:{n}]" for n in DATE_LENGTHS)}, strftime(t, '%Y-%m-%d %H:%M:%S'), strftime(t, '%Y-%m-%dT%H:%M:%SZ'), strftime(t, '%Y-%m-%d'), '20240231', '20240115996000', 'soon']) AS raw, unnest(range(0, {len(DATE_LENGTHS) + 6})) AS form FROM g),
--- of eight digits: day and hour of one digit each after a month of two, if that uses all; then of two and one after a month of one
+-- of eight digits: a month of two digits, then day and hour of one each; failing that a month of one, a day of two and an hour of one
 o AS (SELECT *, raw[5:6] AS mm, raw[5:5] AS m, length(raw) AS n FROM f),
-x AS (SELECT *, CASE WHEN n = 8 AND mm IN ('10', '11', '12') AND raw[7:7] BETWEEN '1' AND '9' AND NOT (raw[7:8] BETWEEN '10' AND '31') THEN raw[1:4] || '-' || mm || '-0' || raw[7:7] || ' 0' || raw[8:8]
-  WHEN n = 8 AND mm BETWEEN '01' AND '09' AND raw[7:7] BETWEEN '4' AND '9' THEN raw[1:4] || '-' || mm || '-0' || raw[7:7] || ' 0' || raw[8:8]
+x AS (SELECT *, CASE WHEN n = 8 AND mm BETWEEN '01' AND '12' AND raw[7:7] BETWEEN '1' AND '9' THEN raw[1:4] || '-' || mm || '-0' || raw[7:7] || ' 0' || raw[8:8]
   WHEN n = 8 AND m = '1' AND raw[6:7] BETWEEN '10' AND '31' THEN raw[1:4] || '-01-' || raw[6:7] || ' 0' || raw[8:8] END AS odd FROM o)
 SELECT event_id, form, raw, CASE WHEN NOT regexp_full_match(raw, '[0-9]+') THEN coalesce(try_strptime(raw, '%Y-%m-%d %H:%M:%S'), try_strptime(raw, '%Y-%m-%dT%H:%M:%SZ'), try_strptime(raw, '%Y-%m-%d')) WHEN n < 8 THEN NULL
   WHEN n = 8 AND odd IS NOT NULL THEN coalesce(try_strptime(odd || ':00:00', '%Y-%m-%d %H:%M:%S'), try_strptime(raw, '%Y%m%d'))
@@ -303,11 +302,11 @@ SELECT event_id, form, raw, CASE WHEN NOT regexp_full_match(raw, '[0-9]+') THEN
     ),
     "duration_format": (
         duration_format,
-        "WITH s AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN (event_id * 37 % 9000)::DOUBLE / 2 - 5 END AS seconds FROM events), r AS (SELECT *, round_even(greatest(0, seconds), 0)::BIGINT AS n FROM s) SELECT event_id, seconds, CASE WHEN n IS NULL THEN '—' WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE (n // 3600) || 'h ' || (n % 3600 // 60) || 'm ' || (n % 60) || 's' END AS text FROM r",
+        "WITH s AS (SELECT event_id, CASE WHEN event_id % 17 <> 0 THEN (event_id * 37 % 9000)::DOUBLE / 2 - 5 END AS seconds FROM events), r AS (SELECT *, CASE WHEN seconds IS NOT NULL THEN round_even(greatest(0, seconds), 0)::BIGINT END AS n FROM s) SELECT event_id, seconds, CASE WHEN n IS NULL THEN '—' WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN (n // 60) || 'm ' || (n % 60) || 's' ELSE (n // 3600) || 'h ' || (n % 3600 // 60) || 'm ' || (n % 60) || 's' END AS text FROM r",
     ),
     "time_texts": (
         time_texts,
-        "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 19 <> 0 THEN ts END AS at, CASE WHEN event_id % 19 <> 0 THEN event_id % 7000 END AS m, TIMESTAMP '2024-02-01' AS now FROM events), a AS (SELECT *, greatest(0, (epoch_us(now) - epoch_us(at)) // 1000000) AS n FROM e) SELECT event_id, coalesce(strftime(at, '%Y-%m-%d %H:%M:%S UTC'), '—') AS at, "
+        "WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 19 <> 0 THEN ts END AS t, CASE WHEN event_id % 19 <> 0 THEN event_id % 7000 END AS m, TIMESTAMP '2024-02-01' AS now FROM events), a AS (SELECT *, CASE WHEN t IS NOT NULL THEN greatest(0, (epoch_us(now) - epoch_us(t)) // 1000000) END AS n FROM e) SELECT event_id, coalesce(strftime(t, '%Y-%m-%d %H:%M:%S UTC'), '—') AS instant, "
         + AGE.format("n") + " AS age, " + AGE.format("m") + " AS near_age, greatest(0.0::DOUBLE, (epoch_us(now) - epoch_us(ts))::DOUBLE / 1000000) AS seconds FROM a",
     ),
     "backoff_table": (backoff_table, "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN least(30.0::DOUBLE, event_id % 50) ELSE least(30.0::DOUBLE, pow(2.0::DOUBLE, event_id % 8)) END AS wait FROM events"),

@@ -66,7 +66,8 @@ def registrations(landed: DataFrame, body: str = "body") -> DataFrame:
     date = lambda action: F.get(F.transform(F.filter("r.events", lambda e: e["eventAction"] == action), lambda e: e["eventDate"]), F.lit(0))
     # of several entities in one role, or several lines of one name, the last counts
     last = lambda card, name: F.try_element_at(vcard_values(card, name), F.lit(-1))
-    registrar, registrant = (F.try_element_at(F.filter("r.entities", lambda e, role=role: F.array_contains(e["roles"], role)), F.lit(-1)) for role in ("registrar", "registrant"))
+    of = lambda role: F.try_element_at(F.filter("r.entities", lambda e: F.array_contains(e["roles"], role)), F.lit(-1))
+    registrar, registrant = of("registrar"), of("registrant")
     cards = F.flatten(F.transform("r.entities", lambda e: F.concat(F.array(e["vcardArray"]), F.coalesce(F.transform(e["entities"], lambda x: x["vcardArray"]), F.array().cast("array<string>")))))
     emails = F.array_sort(F.array_distinct(F.flatten(F.transform(cards, lambda c: F.coalesce(vcard_values(c, "email"), F.array().cast("array<string>"))))))
     cidr = F.get("r.cidr0_cidrs", F.lit(0))

@@ -58,7 +58,7 @@ def test_times(spark):
     got = [one(spark, v, times.parse_instant) for v in ("20240115", "2024011507", "20240115073000", "202401159", "nope", "2024-01-15T10:00:00Z")]
     d = dt.datetime
     assert got == [d(2024, 1, 1, 5), d(2024, 1, 15, 7), d(2024, 1, 15, 7, 30), d(2024, 1, 15), None, d(2024, 1, 15, 10)]
-    assert [one(spark, s, times.duration_text, "long") for s in (5, 65, 3700, -1)] == ["5s", "1m 5s", "1h 1m", "0s"]
+    assert [one(spark, s, times.duration_text, "long") for s in (5, 65, 3700, -1)] == ["5s", "1m 5s", "1h 1m 40s", "0s"]
 
 
 def test_text(spark):
@@ -239,11 +239,13 @@ def test_landed(spark):
 
 
 def test_checks(spark):
+    from attestor.plans.check_queries import SITES
+
+    u, handle = "https://s.example/ann_1", "@Ann_1"
     t = lambda title, extra="": f"<title>{title}</title>{extra}"
-    u = "https://s.example/u/ann_1"
-    rows = [(u, u, 200, t("ann_1 profile"), "ann_1"), (u, u, 429, "", "ann_1"), (u, u, 200, t("x", "captcha"), "ann_1"), (u, u, 403, "forbidden", "ann_1"), (u, u, 404, "", "ann_1"), (u, "https://s.example/login", 200, t("x"), "ann_1"), (u, "https://s.example/", 200, t("x"), "ann_1"), (u, u, 200, t("joann_12"), "ann_1"), (u, u, 200, None, "ann_1")]
-    got = [(r["check_status"], r["reason"]) for r in checks.classify_pages(spark.createDataFrame(rows, "url string, final_url string, status int, html string, handle string").coalesce(1)).collect()]
-    assert got == [("LIKELY", "title_and_url"), ("RATE_LIMITED", "http_429"), ("CAPTCHA_REQUIRED", "captcha"), ("BLOCKED", "blocked"), ("NOT_FOUND", "http_404"), ("LOGIN_REQUIRED", "login"), ("NOT_FOUND", "redirect"), ("INCONCLUSIVE", "no_evidence"), ("INCONCLUSIVE", "no_evidence")]
+    rows = [("Plain", u, u, 200, t("ann_1 here"), handle), ("Plain", u, u, 200, None, handle), ("Plain", u, u, 200, t("joann_12"), handle), ("Plain", u, "https://s.example/", 200, t("x y"), handle), ("Plain", None, u, 200, t("ann_1", "captcha"), handle), ("Plain", u, u, 200, t("ann_1"), None), ("Nowhere", u, u, 200, "", handle)]
+    got = [(r["check_status"], r["reason"]) for r in checks.classify_pages(spark.createDataFrame(rows, "site string, url string, final_url string, status int, html string, handle string").coalesce(1), spark.createDataFrame(SITES, checks.SITE)).collect()]
+    assert got == [("LIKELY", "username in title/og:title"), ("INCONCLUSIVE", "HTTP 200 is not proof (final_url_only)"), ("INCONCLUSIVE", "HTTP 200 is not proof (final_url_only)"), ("NOT_FOUND", "redirect_home"), ("CAPTCHA_REQUIRED", "captcha presented — not solved"), ("INCONCLUSIVE", "HTTP 200 is not proof (http_200_not_proof)")]
     js = [(200, '{"user":{"login":"Ann"}}', "$.user.login", "@ann"), (200, '{"them":[{"id":"bob"}]}', "$.them[0].id", "ann"), (200, "{}", "$.user.login", "ann"), (200, "oops", "$.a", "ann")]
     got = [r["check_status"] for r in checks.classify_json(spark.createDataFrame(js, "status int, body string, id_path string, handle string").coalesce(1)).collect()]
     assert got == ["CONFIRMED", "LIKELY", "NOT_FOUND", "INCONCLUSIVE"]
@@ -273,7 +275,7 @@ def test_streams_agree_with_tables(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     e = spark.createDataFrame([("DOMAIN", "x.com", "HIGH", "dns", ["b", "a"], "token = abcdef")], "type string, value string, confidence string, source string, tags array<string>, note string")
-    assert sinks.csv_rows(e).first()["tags"] == "a;b"
+    assert sinks.csv_rows(e).first()["tags"] == "b,a"
     assert "abcdef" not in sinks.json_lines(e).first()["value"]
     for fmt in ("parquet", "json", "csv", "orc"):
         sinks.write(e.drop("tags"), f"{tmp_path}/{fmt}", fmt)
