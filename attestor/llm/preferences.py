@@ -9,10 +9,14 @@ trained on: the text and end mark of assistant turns.
 
 A conversation's turns meet in one row, since the result is one row; no more
 than that is gathered. Turns with null text are rendered empty, null roles as
-"user"; turns that repeat are kept in the order of turn, role and text; a pair
-without a rejected conversation isn't a pair, and has null completions; a pair
+"user"; turns that repeat are kept in the order of turn, role and text; turns
+without a conv_id belong to no conversation and are left out, as are turns after
+the last answer, on which nothing is trained; a pair without a rejected conversation isn't a pair, and has null completions; a pair
 of equal conversations has the whole as prompt and two empty completions; an
 empty table gives an empty result; other columns are ignored.
+
+The table at hand has no pairs, so ``with_swapped_answers`` makes them of
+neighbours: some differ in the last answer only, some part half-way.
 """
 
 from __future__ import annotations
@@ -25,12 +29,6 @@ from .common import table
 END = "<|end|>\n"
 
 
-def gathered(turns: DataFrame) -> DataFrame:
-    """turns(conv_id, turn, role, text) -> conv_id, turns in order."""
-    t = turns.select("conv_id", F.coalesce(F.col("turn"), F.lit(0)).alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return t.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).withColumn("turns", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
-
-
 def head(role: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"))
 
@@ -69,19 +67,30 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def with_swapped_answers(turns: DataFrame) -> DataFrame:
-    """Pairs from single conversations: chosen is the conversation up to its last assistant turn, rejected the same with the last answer of its neighbour (conv_id xor 1).
+    """Pairs from single conversations and their neighbours (conv_id xor 1): chosen is the conversation up to its last answer.
 
-    A conversation without an answer, or whose neighbour has none, has no rejected one.
+    Rejected is, where conv_id / 2 is even, the same with the neighbour's last
+    answer; where it is odd, the first half of the turns before the answer, and
+    then what the neighbour has from there up to its last answer. A conversation
+    without an answer, or whose neighbour has none, has no rejected one. Both
+    neighbours are gathered by one grouping, and no join.
     """
-    g = gathered(turns)
-    is_answer = F.transform("turns", lambda x: x["role"] == "assistant")
-    last = F.size("turns") - F.array_position(F.reverse(is_answer), True) + 1
-    g = g.withColumn("last", F.when(F.array_contains(is_answer, True), last).cast("int"))
-    answers = g.where("last IS NOT NULL").select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("for_id"), F.element_at("turns", F.col("last")).alias("other"))
-    j = g.join(answers, g["conv_id"] == answers["for_id"], "left")
-    chosen = F.when(F.col("last").isNotNull(), F.slice("turns", F.lit(1), F.coalesce("last", F.lit(1)))).otherwise(F.col("turns"))
-    rejected = F.when(F.col("last").isNotNull() & F.col("other").isNotNull(), F.concat(F.slice("turns", F.lit(1), F.coalesce("last", F.lit(1)) - 1), F.array("other")))
-    return j.select(F.col("conv_id").alias("pair_id"), chosen.alias("chosen"), rejected.alias("rejected"))
+    own = F.struct("conv_id", F.coalesce(F.col("turn"), F.lit(0)).alias("turn"), F.coalesce(F.col("role"), F.lit("user")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    g = turns.where("conv_id IS NOT NULL").select(F.shiftright("conv_id", 1).alias("pair"), own.alias("x")).groupBy("pair").agg(F.array_sort(F.collect_list("x")).alias("all"))
+    g = g.select("pair", "all", F.explode(F.array_distinct(F.transform("all", lambda x: x["conv_id"]))).alias("conv_id"))
+    of = lambda mine: F.transform(F.filter("all", lambda x: (x["conv_id"] == F.col("conv_id")) == F.lit(mine)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
+    g = g.select("conv_id", "pair", of(True).alias("turns"), of(False).alias("others"))
+    is_answer = lambda c: F.transform(c, lambda x: x["role"] == "assistant")
+    last = lambda c: F.when(F.array_contains(is_answer(c), True), F.size(c) - F.array_position(F.reverse(is_answer(c)), True) + 1).cast("int")
+    g = g.withColumns({"last": last("turns"), "other_last": last("others")})
+    end, other_end = F.coalesce("last", F.lit(1)), F.coalesce("other_last", F.lit(1))
+    chosen = F.when(F.col("last").isNotNull(), F.slice("turns", F.lit(1), end)).otherwise(F.col("turns"))
+    half = F.floor((end - 1) / 2).cast("int")
+    there = F.least(half, other_end - 1)
+    swapped = F.concat(F.slice("turns", F.lit(1), end - 1), F.slice("others", other_end, F.lit(1)))
+    parted = F.concat(F.slice("turns", F.lit(1), half), F.slice("others", there + 1, other_end - there))
+    rejected = F.when(F.col("last").isNotNull() & F.col("other_last").isNotNull(), F.when(F.pmod("pair", F.lit(2)) == 0, swapped).otherwise(parted))
+    return g.select(F.col("conv_id").alias("pair_id"), chosen.alias("chosen"), rejected.alias("rejected"))
 
 
 def joined(spans: Column) -> Column:
@@ -97,7 +106,8 @@ PREFERENCES_SQL = """
 WITH t AS (SELECT conv_id, list({'role': coalesce(role, 'user'), 'text': coalesce(text, '')} ORDER BY coalesce(turn, 0), coalesce(role, 'user'), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 a AS (SELECT conv_id, turns, (SELECT max(i) FROM range(1, len(turns) + 1) AS r(i) WHERE turns[i].role = 'assistant') AS last FROM t),
 p AS (SELECT a.conv_id AS pair_id, CASE WHEN a.last IS NULL THEN a.turns ELSE a.turns[1:a.last] END AS c,
-  CASE WHEN a.last IS NOT NULL AND b.last IS NOT NULL THEN list_concat(a.turns[1:a.last - 1], [b.turns[b.last]]) END AS r
+  CASE WHEN a.last IS NOT NULL AND b.last IS NOT NULL THEN CASE WHEN (a.conv_id >> 1) % 2 = 0 THEN list_concat(a.turns[1:a.last - 1], [b.turns[b.last]])
+    ELSE list_concat(a.turns[1:(a.last - 1) // 2], b.turns[least((a.last - 1) // 2, b.last - 1) + 1:b.last]) END END AS r
   FROM a LEFT JOIN a b ON xor(a.conv_id, 1) = b.conv_id),
 n AS (SELECT *, CASE WHEN r IS NULL THEN len(c) ELSE coalesce((SELECT min(i) - 1 FROM range(1, least(len(c), len(r)) + 1) AS q(i) WHERE c[i] <> r[i]), least(len(c), len(r))) END AS k FROM p),
 s AS (SELECT pair_id, k, c[1:k] AS p, CASE WHEN r IS NOT NULL THEN c[k+1:] END AS c, CASE WHEN r IS NOT NULL THEN r[k+1:] END AS r FROM n),
