@@ -227,25 +227,26 @@ def similar_handles(requested: DataFrame, observed: DataFrame) -> DataFrame:
     """requested(requested), observed(observed) -> the pairs that ``username_match`` doesn't call unrelated.
 
     Each observed handle names all forms of which it can be a variant: itself, its
-    letters without separators or with fewer digits at an end, its words without up to two
-    of them, and what is left when a short end goes; requested handles meet
-    these by equality. So no handle is held against all others.
+    letters without separators or with fewer digits at an end, every two of its words, and
+    what is left when a short end goes; requested handles meet these by
+    equality, by their first two words. So no handle is held against all others.
     """
     plain = lambda c: F.lower(F.regexp_replace(F.trim(c), "^@+", ""))
     joined = lambda c: F.regexp_replace(c, r"[-_.]+", "")
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"[-_.]+"), lambda t: t != ""))
-    as_words = lambda w: F.concat(F.lit("w:"), F.array_join(F.array_sort(w), " "))
     tagged = lambda tag, c: F.concat(F.lit(tag), c)
-    keys = lambda c: F.array(tagged("j:", joined(c)), tagged("r:", c), as_words(words(c)))
+    keys = lambda c: F.array(tagged("j:", joined(c)), tagged("r:", c))
+    first_two = lambda c: tagged("w:", F.array_join(F.slice(F.array_sort(words(c)), 1, 2), " "))
 
     o, j, w = F.col("o"), joined(F.col("o")), words(F.col("o"))
     ends = F.transform(F.sequence(F.lit(1), F.length(j)), lambda k: F.when(F.substr(j, k + 1).rlike("^[0-9]+$"), tagged("j:", F.left(j, k))))
     # without an end: cut before or after each place; what is right among these is told by ``username_match``
     heads = F.transform(F.sequence(F.lit(1), F.length(o)), lambda k: F.when(F.substr(o, k + 1).rlike(r"^[_.-]?[0-9]+$|^[_.-].{0,8}$"), tagged("r:", F.left(o, k))))
     tails = F.transform(F.sequence(F.lit(1), F.length(o)), lambda k: F.when(F.left(o, k).rlike(r"^[0-9]+[_.-]?$|^.{0,8}[_.-]$"), tagged("r:", F.substr(o, k + 1))))
-    pairs = F.flatten(F.transform(w, lambda x: F.transform(w, lambda y: as_words(F.filter(w, lambda t: (t != x) & (t != y))))))
-    made = F.array_distinct(F.array_compact(F.concat(keys(o), ends, heads, tails, pairs)))
-    left = requested.select("requested", plain(F.col("requested")).alias("q")).where("q <> ''").select("requested", F.explode(F.array_distinct(keys(F.col("q")))).alias("key"))
+    pairs = F.flatten(F.transform(w, lambda x: F.transform(F.filter(w, lambda y: y > x), lambda y: tagged("w:", F.concat(x, F.lit(" "), y)))))
+    singles = F.transform(w, lambda x: tagged("w:", x))
+    made = F.array_distinct(F.array_compact(F.concat(keys(o), ends, heads, tails, pairs, singles)))
+    left = requested.select("requested", plain(F.col("requested")).alias("q")).where("q <> ''").select("requested", F.explode(F.array_distinct(F.array_append(keys(F.col("q")), first_two(F.col("q"))))).alias("key"))
     right = observed.select("observed", plain(F.col("observed")).alias("o")).where("o <> ''").select("observed", F.explode(made).alias("key"))
     match = username_match(F.col("requested"), F.col("observed"))
     return left.join(right, "key").select("requested", "observed").distinct().withColumn("match", match).where(F.col("match") != UNRELATED)

@@ -157,7 +157,8 @@ def test_compare_optional_fields(spark):
     rec = spark.createDataFrame(rows, cols)
     got = {(r["left_ord"], r["right_ord"]): r for r in identity.compare(rec, identity.candidate_pairs(rec)).collect()}
     assert got[1, 2]["score"] == 100 and got[1, 2]["evidence"] == "cross_profile_link,same_location,same_organization,same_personal_url,same_username,similar_bio"
-    assert got[1, 3]["score"] == 18 and got[1, 4]["score"] == 34 and got[1, 4]["band"] == "POSSIBLE"
+    assert (1, 3) not in got, "an avatar alone (18) can't reach a band"
+    assert got[1, 4]["score"] == 34 and got[1, 4]["band"] == "POSSIBLE"
     assert (2, 3) not in got
 
 
@@ -223,7 +224,7 @@ def test_landed(spark):
     certs = landed.certificates(df)
     assert certs.count() == 2
     names = {(r["name"], r["kind"]) for r in landed.certificate_names(certs.withColumn("domain", F.lit("x.com"))).collect()}
-    assert names == {("a.x.com", "SUBDOMAIN"), ("x.com", "DOMAIN"), ("n1", "DOMAIN")}
+    assert names == {("a.x.com", "SUBDOMAIN")}, "a domain is no name of its own, and n1 is no host"
     rdap = '{"ldhName":"X.COM","status":["active"],"nameservers":[{"ldhName":"NS1.X.COM."}],"events":[{"eventAction":"registration","eventDate":"2020"}],"entities":[{"roles":["registrar"],"vcardArray":["vcard",[["version",{},"text","4.0"],["fn",{},"text","Reg Inc"]]]}]}'
     r = landed.registrations(spark.createDataFrame([("q", rdap)], "id string, body string")).first()
     assert (r["domain"], r["nameservers"], r["registered"]) == ("x.com", ["ns1.x.com"], "2020")
