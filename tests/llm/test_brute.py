@@ -143,7 +143,7 @@ def learned_by_hand(rows, labels):
 def toxic_rows(rng, n=300):
     rows, labels = [], []
     for k in range(n):
-        words = [rng.choice("alpha beta gamma delta epsilon zeta fool jerk".split()) for _ in range(25)]
+        words = [rng.choice("alpha beta gamma delta epsilon zeta fool jerk znork".split()) for _ in range(25)]
         if toxic := k % 5 == 0:
             for _ in range(3):
                 words.insert(rng.randrange(20), "grumf" + rng.choice(["a", "os", "ent", "ik"]))
