@@ -238,7 +238,7 @@ def test_preferences(spark):
     assert r["chosen"][span["from"] : span["to"]] == "é<|end|>\n"
     assert out[2]["rejected"] is None and out[2]["prompt"] == "<|user|>\n<|end|>\n"
     # where conv_id / 2 is odd, the rejected one parts half-way
-    parted = [(6, k, "assistant" if k % 2 else "user", f"a{k}", "x") for k in range(6)] + [(7, k, "assistant" if k % 2 else "user", f"b{k}" if k != 2 else "a2", "x") for k in range(5)]
+    parted = [(6, k, "assistant" if k % 2 else "user", f"a{k}", k) for k in range(6)] + [(7, k, "assistant" if k % 2 else "user", f"b{k}" if k != 2 else "a2", k) for k in range(5)]
     r = {r["pair_id"]: r for r in preferences.format_pairs(preferences.with_swapped_answers(spark.createDataFrame(parted, "conv_id long, turn long, role string, text string, pair int"))).collect()}
     assert r[6]["prompt_turns"] == 3 and "b3" in r[6]["rejected"] and "a5" in r[6]["chosen"], "two turns are shared by the making, a third is found"
     assert r[7]["prompt_turns"] == 1 and r[7]["rejected"].count("<|end|>") == 5
