@@ -126,7 +126,7 @@ ASSOCIATIONS = {"username": "name_plus_username", "email": "name_plus_email", "d
 def usable_leads(leads: DataFrame) -> DataFrame:
     """leads(kind, lead) -> kind, lead, form, key of those that can match: handles of three characters, names of two words, addresses with a domain, hosts with a dot.
 
-    ``form`` is what is looked for, ``key`` a word of it, or the letters around its first space, that every text with it has.
+    ``form`` is what is looked for, ``key`` what every text with it has: a word of it, the letters around its first space, or what is next to its @.
     """
     l = leads.select("kind", F.trim("lead").alias("lead")).distinct()  # noqa: E741
     name = F.lower(folded(F.col("lead")))
@@ -142,10 +142,11 @@ def usable_leads(leads: DataFrame) -> DataFrame:
         .when(F.col("kind") == "domain", F.col("form").contains(".") & ~F.col("form").contains(" "))
         .otherwise(F.col("form").rlike(r"@[^@]*\.[^@]*$"))
     )
-    word = F.regexp_extract(F.when(F.col("kind") == "email", F.substring_index("form", "@", -1)).otherwise(F.col("form")), "[a-z0-9]+", 0)
+    word = F.regexp_extract("form", "[a-z0-9]+", 0)
+    at = F.regexp_extract("form", "[a-z0-9]*@[a-z0-9]*", 0)
     first, second = F.split_part("form", F.lit(" "), F.lit(1)), F.split_part("form", F.lit(" "), F.lit(2))
     gap = F.concat(F.right(first, F.lit(3)), F.lit(" "), F.left(second, F.lit(3)))
-    return l.withColumn("form", form).where(fits).withColumn("key", F.when(F.col("kind") == "name", gap).otherwise(word))
+    return l.withColumn("form", form).where(fits).withColumn("key", F.when(F.col("kind") == "name", gap).when(F.col("kind") == "email", at).otherwise(word))
 
 
 def _shapes(leads: DataFrame) -> list[tuple[int, int]]:
@@ -169,7 +170,10 @@ def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     t = pages.select("id", F.inline(F.array(F.struct(low.alias("low"), F.split(folded(low), " ").alias("words")))))
     n = F.greatest(F.size("words") - 1, F.lit(0))
     around = lambda a, b: F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda x, y: F.concat(F.right(x, F.lit(a)), F.lit(" "), F.left(y, F.lit(b))))
-    keys = F.concat(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)), *(around(a, b) for a, b in _shapes(l)))
+    # an address may follow letters that aren't its own, so what stands before an @ counts from each of its letters
+    begun = lambda m: F.transform(F.sequence(F.lit(1), F.instr(m, "@")), lambda k: F.substr(m, k))
+    at = F.flatten(F.transform(F.regexp_extract_all("low", F.lit("([a-z0-9]*@[a-z0-9]+)"), F.lit(1)), begun))
+    keys = F.concat(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)), at, *(around(a, b) for a, b in _shapes(l)))
     met = t.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(l, "key").select("id", "kind", "lead", "form")
     f = lambda c: F.coalesce(F.col(c), F.lit(""))
     both = met.join(pages.select("id", *(f(c).alias(c) for c in FIELDS)), "id")

@@ -61,4 +61,4 @@ def cached(writes: DataFrame, ttl: DataFrame, now: str, version: int) -> DataFra
     """writes(key, kind, version, ts, value) -> the last value of each key of this version that hasn't expired; ttl(kind, seconds)."""
     last = writes.where(F.col("version") == version).groupBy("key").agg(F.max_by(F.struct("kind", "ts", "value"), F.struct("ts", "ord")).alias("r")).select("key", "r.*")
     expires = F.unix_timestamp(F.col("ts").cast("timestamp")) + F.col("seconds")
-    return last.join(F.broadcast(ttl), "kind").withColumn("expires", expires).where(F.col("expires") >= F.unix_timestamp(F.lit(now).cast("timestamp")))
+    return last.join(ttl, "kind").withColumn("expires", expires).where(F.col("expires") >= F.unix_timestamp(F.lit(now).cast("timestamp")))
