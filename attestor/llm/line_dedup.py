@@ -14,7 +14,7 @@ the number of lines, at ``BITS_PER_LINE``.
 
 Then each line is tested against the second filter. Pages of at most ``FILTER_MB``
 together are sent to all tasks, and lines that aren't in them go no further.
-Beyond that the tests are a join by page: 20 bytes a line are shuffled instead.
+Beyond that the tests are a join by page, and digests of all lines are shuffled.
 
 What is left is confirmed exactly: 128-bit BLAKE2 digests of the keys are counted
 by document, with partial counts, so a key that is everywhere costs a row a task.
@@ -120,46 +120,46 @@ def digests(key: bytes) -> tuple[int, int]:
 def suspected(docs: DataFrame, pages: int, min_chars: int, filter_mb: float) -> DataFrame:
     """docs(doc_id, text) -> doc_id, version (of the text), line, first (the key's first line in the text), k1, k2 of lines that may repeat in others."""
     twice = cut(repeated_pages(docs, pages, min_chars), "pages")
-    spark = docs.sparkSession
-    small = twice.count() * PAGE / 8 <= filter_mb * (1 << 20)
+    small = pages * PAGE / 8 <= filter_mb * (1 << 20)
     known = None
     if small:
         bits = np.zeros((pages, PAGE // 64), np.int64)
         for r in twice.toLocalIterator():
             bits[r["page"]] = r["bits"]
-        known = spark.sparkContext.broadcast(bits.reshape(-1).view(np.uint64))
-    versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text").cast("binary").alias("text"))
-    schema = versioned.select("doc_id", "version").schema.add("line", "int").add("first", "boolean").add("k1", "long").add("k2", "long").add("page", "int").add("a", "int").add("b", "int")
+        known = docs.sparkSession.sparkContext.broadcast(bits.reshape(-1).view(np.uint64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lines, hashes, kept, row = [], [], [], []
-            for k, text in enumerate(batch["text"]):
+    @F.pandas_udf("line array<int>, first array<boolean>, k1 array<long>, k2 array<long>, page array<int>, a array<int>, b array<int>")
+    def tested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            lines, hashes, keys, row = [], [], [], []
+            for k, text in enumerate(texts):
                 for at, key in keys_of(text, min_chars):
                     row.append(k)
                     lines.append(at)
                     hashes.append(xxhash.xxh64_intdigest(key))
-                    kept.append(key)
+                    keys.append(key)
             a, b = places(np.array(hashes, np.uint64), pages)
             on = np.arange(len(row))
             if known is not None:
                 has = lambda p: (known.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)
                 on = np.flatnonzero((has(a) & has(b)).astype(bool))
-            seen, first, ks = set(), [], []
-            for i in on:
-                ks.append(digests(kept[i]))
-                first.append((row[i], ks[-1]) not in seen)
-                seen.add((row[i], ks[-1]))
-            out = batch[["doc_id", "version"]].iloc[np.array(row, np.int64)[on]].reset_index(drop=True)
-            k1, k2 = zip(*ks, strict=True) if ks else ((), ())
-            extra = {"line": np.array(lines, np.int32)[on], "first": np.array(first, bool), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "page": (a[on] >> PAGE_BITS).astype(np.int32), "a": (a[on] & (PAGE - 1)).astype(np.int32), "b": (b[on] & (PAGE - 1)).astype(np.int32)}
-            yield out.assign(**extra)
-
-    found = versioned.mapInPandas(run, schema)
+            row = np.array(row, np.int64)[on]
+            ks = np.array([digests(keys[i]) for i in on], np.int64).reshape(-1, 2)
+            order = np.lexsort((on, ks[:, 1], ks[:, 0], row))
+            again = (row[order][1:] == row[order][:-1]) & (ks[order][1:] == ks[order][:-1]).all(1)
+            first = np.ones(len(on), bool)
+            first[order[1:]] = ~again
+            bounds = np.searchsorted(row, np.arange(1, len(texts)))
+            of = {"line": np.array(lines, np.int32)[on], "first": first, "k1": ks[:, 0], "k2": ks[:, 1], "page": (a[on] >> PAGE_BITS).astype(np.int32), "a": (a[on] & (PAGE - 1)).astype(np.int32), "b": (b[on] & (PAGE - 1)).astype(np.int32)}
+            yield pd.DataFrame({c: pd.Series(np.split(v, bounds) if len(texts) else [], dtype=object) for c, v in of.items()})
+
+    versioned = docs.select("doc_id", F.xxhash64("text").alias("version"), tested(F.col("text").cast("binary")).alias("t"))
+    names = ["line", "first", "k1", "k2", *([] if small else ["page", "a", "b"])]
+    found = versioned.select("doc_id", "version", F.inline(F.arrays_zip(*(F.col(f"t.{c}") for c in names))))
     if not small:
         on = lambda p: F.getbit(F.element_at("bits", F.shiftright(p, 6) + 1), F.col(p).bitwiseAND(63)) == 1
-        found = found.join(twice, "page").where(on("a") & on("b"))
-    return found.drop("page", "a", "b")
+        found = found.join(twice, "page").where(on("a") & on("b")).drop("page", "a", "b")
+    return found
 
 
 def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, filter_mb: float = FILTER_MB) -> DataFrame:
@@ -179,15 +179,15 @@ def drop_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     def without(text: pd.Series, lines: pd.Series) -> pd.Series:
         out = []
         for t, ls in zip(text, lines, strict=True):
-            leave = set(ls.tolist())
-            out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in leave))
+            leave = set() if t is None else set(ls.tolist())
+            out.append(None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in leave))
         return pd.Series(out, dtype=object)
 
     # texts are hashed by the lines to drop, not sorted
     met = docs.withColumn(version, F.xxhash64("text")).join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(d_id)) & (F.col(version) == F.col(d_version)), "left")
     text = F.coalesce("text", F.lit(""))
     size = (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
-    left = F.when(F.col(gone).isNotNull(), without(text, F.coalesce(gone, F.array().cast("array<int>")))).otherwise(F.col("text"))
+    left = F.coalesce(without(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone)), F.col("text"))
     same = [left.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return met.select(*same, size.alias(n_lines), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(n_dropped))
 
