@@ -24,9 +24,9 @@ structure leave nothing to prune; then every group meets every row.
 
 Defined results: rows with a null id, label or vector, or with a null or non-finite
 component take no part; shorter vectors are filled up with zeros; a repeated vec_id
-is as many candidates, but never its own anchor's, and its anchors' results repeat; products are exact (in
-whole numbers of any size where doubles wouldn't be) and one that doesn't fit into
-64 bits ends the job; an empty table gives an empty result; other columns are ignored.
+is as many candidates, but never its own anchor's, and its anchors' results repeat;
+products are exact (in whole numbers of any size where doubles wouldn't be) and one
+that doesn't fit into 64 bits ends the job; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, cut, passing, table
@@ -85,7 +85,7 @@ class Space:
         """Cell and ring of each row."""
         away = self.distances(self.raised(x))
         cell = away.argmin(1)
-        ring = np.minimum(away[np.arange(len(x)), cell] / self.width, RINGS - 1).astype(np.int64)
+        ring = np.minimum(np.nan_to_num(away[np.arange(len(x)), cell] / self.width), RINGS - 1).astype(np.int64)
         return cell, cell * RINGS + ring
 
     def asked(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ class Space:
             outer = inner + self.width if ring % RINGS < RINGS - 1 else 2 * self.norm + self.width
             near = np.maximum(0, np.maximum(d - outer, inner - d))
             most, least = (base - near**2) / 2, (base - (d + outer) ** 2) / 2
-            need[k] = bool(((most + self.slack >= low) & (least - self.slack <= high)).any())
+            need[k] = bool((~((most + self.slack < low) | (least - self.slack > high))).any())  # so that what can't be compared is asked for
         return self.rings[need]
 
     def products(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -243,8 +243,6 @@ def negatives(a: pd.DataFrame, ids: np.ndarray, labels: np.ndarray, scores: np.n
 
 def nearest(found: DataFrame, by: list[str], k: int) -> DataFrame:
     """Of each key the k rows with the largest scores, ties to the smaller vec_id, with their rank."""
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -279,7 +277,7 @@ def mine(rows: DataFrame, anchor: Column) -> DataFrame:
         # negatives: the same, between shares of the positives' scores
         given = first.groupBy("anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda p: p["score"]).alias("positive"))
         worst, top = F.element_at("positive", -1), F.element_at("positive", 1)
-        asking = cut(anchors.join(given, "anchor").withColumns({"low": worst * LOW / 100, "high": top * HIGH / 100}), "asking")
+        asking = cut(anchors.join(given, "anchor").withColumns({"low": worst.cast("double") * LOW / 100, "high": top.cast("double") * HIGH / 100}), "asking")
         near = cut(nearest(join_rings(asking, packed, space, True, negatives, kind), ["anchor", "nth"], NEGATIVES), "near")
         # an anchor's lower bound rises only if all its positives have enough negatives
         full = near.where(F.col("rank") == NEGATIVES).groupBy("anchor").agg(F.count("*").alias("full"), F.min("score").cast("double").alias("raised"))
@@ -302,9 +300,9 @@ WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 EL
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM usable a JOIN usable r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
 positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
-SELECT anchor_id, positive_id, row_number() OVER w AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
 FROM positive p JOIN scored s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
-QUALIFY row_number() OVER w <= 3 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY rank <= 3
 """
 
 QUERIES = {"op13_hard_negatives": op13_hard_negatives}
