@@ -235,7 +235,7 @@ def negatives(a: pd.DataFrame, ids: np.ndarray, labels: np.ndarray, scores: np.n
     other = labels != label[:, None]
     for k in range(POSITIVES):
         has = a["positive"].map(lambda p, k=k: len(p) > k).to_numpy(bool)
-        s = np.array([p[k] if len(p) > k else 0 for p in a["positive"]], dtype=scores.dtype)[:, None]
+        s = np.array([int(p[k]) if len(p) > k else 0 for p in a["positive"]], dtype=scores.dtype)[:, None]
         row, col = best(scores, other & has[:, None] & (LOW * s <= 100 * scores) & (100 * scores <= HIGH * s), NEGATIVES)
         out.append(pd.DataFrame({"anchor": a["anchor"].to_numpy()[row], "nth": k, "vec_id": ids[col], "score": scores[row, col].astype(np.int64)}))
     return out
