@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,16 @@ def norm_value(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("url", "domain"), host_in(value)).when(kind == "username", F.lower(F.regexp_replace(F.trim(value), "^@+", ""))).otherwise(F.lower(F.trim(value)))
 
 
-def annotate(indicators: DataFrame, leads: DataFrame, known_urls: DataFrame) -> DataFrame:
+def annotate(indicators: DataFrame, leads: DataFrame, known_urls: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """indicators(kind, value, rule, source, ord), leads(kind, norm), known_urls(url) -> one row for each (kind, norm) with novelty and priority.
 
-    The novelty of highest rank holds; the rest is the first sight's.
+    The novelty of highest rank holds; the rest is the first sight's. Columns in ``by``, such as a case, are part of all keys.
     """
     i = indicators.withColumn("norm", norm_value(F.col("kind"), F.col("value"))).where("norm <> ''").withColumn("host", F.when(F.col("kind").isin("url", "domain"), host_in(F.col("value"))).otherwise(""))
-    i = i.join(leads.select(F.col("kind").alias("l_kind"), F.col("norm").alias("l_norm")).distinct(), (F.when(F.col("kind") == "url", "domain").otherwise(F.col("kind")) == F.col("l_kind")) & (F.col("norm") == F.col("l_norm")), "left")
-    i = i.join(known_urls.select(F.lower(F.regexp_replace("url", "/+$", "")).alias("k_url")).distinct(), (F.col("kind") == "url") & (F.lower(F.regexp_replace("value", "/+$", "")) == F.col("k_url")), "left")
+    own = lambda prefix: [F.col(c).alias(f"{prefix}{c}") for c in by]
+    alike = lambda prefix, on: reduce(lambda a, c: a & (F.col(c) == F.col(f"{prefix}{c}")), by, on)
+    i = i.join(leads.select(*own("l_"), F.col("kind").alias("l_kind"), F.col("norm").alias("l_norm")).distinct(), alike("l_", (F.when(F.col("kind") == "url", "domain").otherwise(F.col("kind")) == F.col("l_kind")) & (F.col("norm") == F.col("l_norm"))), "left")
+    i = i.join(known_urls.select(*own("k_"), F.lower(F.regexp_replace("url", "/+$", "")).alias("k_url")).distinct(), alike("k_", (F.col("kind") == "url") & (F.lower(F.regexp_replace("value", "/+$", "")) == F.col("k_url"))), "left")
     plain_platform = F.col("kind").isin("url", "domain") & on_platform(F.col("host")) & ~F.col("host").isin(LINK_HUBS)
     novelty = (
         F.when(F.col("l_norm").isNotNull(), "OPERATOR_INPUT")
@@ -58,8 +62,8 @@ def annotate(indicators: DataFrame, leads: DataFrame, known_urls: DataFrame) ->
     rank = F.lit(0)
     for name, r in NOVELTY_RANK.items():
         rank = F.when(F.col("novelty") == name, r).otherwise(rank)
-    g = i.groupBy("kind", "norm").agg(F.max_by("novelty", rank).alias("novelty"), F.min_by(F.struct("value", "rule", "host", "source"), "ord").alias("f"), F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("n"))
-    return g.select("kind", "norm", "ord", F.col("f.value").alias("value"), F.col("f.rule").alias("rule"), "novelty", priority(F.col("kind"), F.col("f.host"), F.col("novelty")).cast("long").alias("priority"), "sources", "n")
+    g = i.groupBy(*by, "kind", "norm").agg(F.max_by("novelty", rank).alias("novelty"), F.min_by(F.struct("value", "rule", "host", "source"), "ord").alias("f"), F.min("ord").alias("ord"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.count("*").alias("n"))
+    return g.select(*by, "kind", "norm", "ord", F.col("f.value").alias("value"), F.col("f.rule").alias("rule"), "novelty", priority(F.col("kind"), F.col("f.host"), F.col("novelty")).cast("long").alias("priority"), "sources", "n")
 
 
 def priority(kind: Column, host: Column, novelty: Column) -> Column:
@@ -73,9 +77,11 @@ def priority(kind: Column, host: Column, novelty: Column) -> Column:
     )
 
 
-def propose_pivots(indicators: DataFrame, case: str, budget: int) -> DataFrame:
+def propose_pivots(indicators: DataFrame, case: str, budget: int, known: DataFrame | None = None, spent: DataFrame | None = None) -> DataFrame:
     """indicators(case, kind, norm, novelty, priority, ord) -> accepted or the reason why not, for each.
 
+    known(case, kind, norm) counts as accepted before; spent(case, spent) is taken from the budget.
+
     In order of priority and kind: what isn't new is refused first, then what was
     accepted before, then what is over the budget, then what has no priority. Only
     accepted ones count as seen, so of equal keys the first that may be accepted is.
@@ -87,19 +93,27 @@ def propose_pivots(indicators: DataFrame, case: str, budget: int) -> DataFrame:
     useful = F.col("novelty").isin("NOVEL", "DERIVED") & (F.col("priority") > 0)
     i = indicators.where(F.col("kind").isin(*ACTIONS)).withColumn("useful", useful)
     key, place = [case, "kind", "norm"], F.struct((-F.col("priority")).alias("p"), F.col("ord").alias("o"))
-    first = i.where("useful").groupBy(*key).agg(F.min(place).alias("first"))
+    old = F.lit(False)
+    if known is not None:
+        i = i.join(known.select(*(F.col(c).alias(f"k_{c}") for c in key)).distinct(), (F.col(case) == F.col(f"k_{case}")) & (F.col("kind") == F.col("k_kind")) & (F.col("norm") == F.col("k_norm")), "left")
+        i = i.withColumn("old", F.col("k_norm").isNotNull()).drop(*(f"k_{c}" for c in key))
+        old = F.col("old")
+    first = i.where(F.col("useful") & ~old).groupBy(*key).agg(F.min(place).alias("first"))
     rank = F.row_number().over(Window.partitionBy(case).orderBy("first.p", "kind", "first.o", "norm"))
-    taken = first.withColumn("k", rank).where(F.col("k") <= budget).select(*(F.col(c).alias(f"t_{c}") for c in key), "first")
+    taken = first.withColumn("k", rank).where(F.col("k") <= budget)
+    if spent is not None:
+        taken = taken.join(spent, case, "left").where(F.col("k") <= budget - F.coalesce("spent", F.lit(0)))
+    taken = taken.select(*(F.col(c).alias(f"t_{c}") for c in key), "first")
     same = (F.col(case) == F.col(f"t_{case}")) & (F.col("kind") == F.col("t_kind")) & (F.col("norm") == F.col("t_norm"))
     i = i.join(taken, same, "left")
     kept = F.col("first").isNotNull()
     is_first = F.coalesce(place == F.col("first"), F.lit(False))
     # a repeat is a duplicate only of what was accepted; of one over the budget it is over the budget too
-    reason = F.when(~F.col("useful"), F.when(F.col("novelty") == "REDUNDANT", "redundant").otherwise("not_novel")).when(~kept, "budget").when(~is_first, "duplicate")
+    reason = F.when(~F.col("useful"), F.when(F.col("novelty") == "REDUNDANT", "redundant").otherwise("not_novel")).when(old, "duplicate").when(~kept, "budget").when(~is_first, "duplicate")
     action = F.lit(None).cast("string")
     for kind, name in ACTIONS.items():
         action = F.when(F.col("kind") == kind, name).otherwise(action)
-    return i.select(case, "kind", "norm", "ord", action.alias("action"), reason.isNull().alias("accepted"), reason.alias("reason"))
+    return i.select(case, "kind", "norm", "ord", "priority", action.alias("action"), reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def metrics(indicators: DataFrame, pivots: DataFrame, case: str) -> DataFrame:
@@ -287,7 +301,9 @@ def query_plan(leads: DataFrame, budget: int = 12, per_lead: int = 4) -> DataFra
     def paired(tier: int, family: str, one: str, other: str) -> DataFrame:
         a = few.where(F.col("kind") == one).select("case", "lead", F.col("nth").alias("i"))
         b = few.where(F.col("kind") == other).select("case", F.col("lead").alias("more"), F.col("nth").alias("j"))
-        text = F.concat(quoted(F.col("lead")), F.lit(" "), quoted(F.col("more")))
+        both = [quoted(F.col("lead")), quoted(F.col("more"))]
+        # a name stands before the handle whose query it is
+        text = F.concat_ws(" ", *(reversed(both) if other == "name" else both))
         return a.join(b, "case").select("case", "lead", "i", "j", F.lit(tier).alias("tier"), F.lit(family).alias("family"), text.alias("text"))
 
     rows = single.unionByName(paired(7, "pair", "username", "name")).unionByName(paired(8, "domain", "username", "domain")).unionByName(paired(9, "domain", "name", "domain"))

@@ -78,7 +78,7 @@ pivots AS (SELECT case_id, kind, norm, ord, CASE kind WHEN 'username' THEN 'sear
 
 
 def _pivots(s, d):
-    return discovery.propose_pivots(_cased(s, d), "case_id", 25)
+    return discovery.propose_pivots(_cased(s, d), "case_id", 25).drop("priority")
 
 
 HANDLE_FORMS = ["user_{}", "User-{}", "user{}", "user_{}_real", "user_{}99", "{}.user", "user_{}-nyc", "@user_{}", "xuser_{}", "7user_{}", "21_user_{}", "the-user_{}", "a.user_{}"]
@@ -163,7 +163,7 @@ l AS (SELECT "case", kind, lead, row_number() OVER (PARTITION BY "case", kind OR
 r AS (SELECT "case", lead, i, 0 AS j, CASE WHEN i = 1 THEN 0 ELSE 3 END AS tier, 'username' AS family, q AS text FROM l WHERE kind = 'username' UNION ALL SELECT "case", lead, i, CASE kind WHEN 'domain' THEN 1 ELSE 0 END, 1, kind, q FROM l WHERE kind IN ('email', 'domain')
   UNION ALL SELECT "case", lead, i, 0, 2, 'name', q FROM l WHERE kind = 'name' UNION ALL SELECT "case", lead, i, 0, 4, 'username', '@' || lead FROM l WHERE kind = 'username' UNION ALL SELECT "case", lead, i, 0, 5, 'username', 'inurl:' || lead FROM l WHERE kind = 'username'
   UNION ALL SELECT "case", lead, i, 0, 6, 'username', q || ' profile' FROM l WHERE kind = 'username'
-  UNION ALL SELECT a."case", a.lead, a.i, b.i, CASE WHEN b.kind = 'name' THEN 7 WHEN a.kind = 'username' THEN 8 ELSE 9 END, CASE WHEN b.kind = 'name' THEN 'pair' ELSE 'domain' END, a.q || ' ' || b.q FROM l a JOIN l b ON a."case" = b."case" AND (a.kind, b.kind) IN (('username', 'name'), ('username', 'domain'), ('name', 'domain'))),
+  UNION ALL SELECT a."case", a.lead, a.i, b.i, CASE WHEN b.kind = 'name' THEN 7 WHEN a.kind = 'username' THEN 8 ELSE 9 END, CASE WHEN b.kind = 'name' THEN 'pair' ELSE 'domain' END, CASE WHEN b.kind = 'name' THEN b.q || ' ' || a.q ELSE a.q || ' ' || b.q END FROM l a JOIN l b ON a."case" = b."case" AND (a.kind, b.kind) IN (('username', 'name'), ('username', 'domain'), ('name', 'domain'))),
 o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", lower(text) ORDER BY tier, i, j) AS x FROM r) WHERE x = 1), c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "case", family, lead ORDER BY tier, i, j) AS y FROM o) WHERE y <= 4),
 p AS (SELECT "case", family, lead, tier, text, row_number() OVER (PARTITION BY "case" ORDER BY tier, i, j) AS place FROM c)"""
 

@@ -116,5 +116,5 @@ def test_steps_are_removed_but_for_what_is_kept(spark):
 def test_planned_queries_have_all_families(spark):
     leads = [(1, "username", "bob", 1), (1, "username", "al", 2), (1, "name", "Ann Lee", 3), (1, "email", "a@b.c", 4), (1, "domain", "x.com", 5), (1, "domain", "y.com", 6)]
     got = [r["text"] for r in discovery.query_plan(spark.createDataFrame(leads, "case long, kind string, lead string, ord long"), 50).orderBy("place").collect()]
-    assert got == ['"bob"', '"a@b.c"', '"x.com"', '"y.com"', '"Ann Lee"', '"al"', "@bob", "@al", "inurl:bob", "inurl:al", '"bob" profile', '"al" profile', '"bob" "Ann Lee"', '"al" "Ann Lee"', '"bob" "x.com"', '"bob" "y.com"', '"al" "x.com"', '"al" "y.com"', '"Ann Lee" "x.com"', '"Ann Lee" "y.com"']
+    assert got == ['"bob"', '"a@b.c"', '"x.com"', '"y.com"', '"Ann Lee"', '"al"', "@bob", "@al", "inurl:bob", "inurl:al", '"bob" profile', '"al" profile', '"Ann Lee" "bob"', '"Ann Lee" "al"', '"bob" "x.com"', '"bob" "y.com"', '"al" "x.com"', '"al" "y.com"', '"Ann Lee" "x.com"', '"Ann Lee" "y.com"']
     assert lead_queries.LEADS
