@@ -61,11 +61,11 @@ def auto_pivots(cases: DataFrame, found: DataFrame, answers: DataFrame, depth: i
         start = start.withColumn("levels", F.array(level(F.lit(depth), F.lit(""), F.col("ready"), F.col("visited"), F.col("left"))))
         state, steps = still_open(cut(start, "state")), []
         while not state.isEmpty():
-            top = F.element_at("levels", -1)
+            top = F.try_element_at("levels", F.lit(-1))
             path = F.when(top["path"] == "", (F.col("step") + 1).cast("string")).otherwise(F.concat(top["path"], F.lit("."), (F.col("step") + 1).cast("string")))
-            moved = state.select("case", (F.col("step") + 1).alias("step"), (F.col("left") - 1).alias("left"), "ready", "visited", "levels", top["depth"].alias("depth"), path.alias("path"), top["queue"][0].alias("at"))
+            moved = state.select("case", (F.col("step") + 1).alias("step"), (F.col("left") - 1).alias("left"), "ready", "visited", "levels", top["depth"].alias("depth"), path.alias("path"), F.get(top["queue"], F.lit(0)).alias("at"))
             rest = lambda x: F.struct(x["depth"].alias("depth"), x["path"].alias("path"), F.slice(x["queue"], F.lit(2), F.greatest(F.size(x["queue"]) - 1, F.lit(0))).alias("queue"))
-            moved = moved.withColumn("levels", F.concat(F.slice("levels", F.lit(1), F.size("levels") - 1), F.array(rest(F.element_at("levels", -1)))))
+            moved = moved.withColumn("levels", F.concat(F.slice("levels", F.lit(1), F.greatest(F.size("levels") - 1, F.lit(0))), F.array(rest(F.try_element_at("levels", F.lit(-1))))))
             moved = moved.withColumn("visited", F.array_union("visited", F.array("at.value")))
             asked = moved.select("case", F.col("at.kind").alias("on_kind"), F.col("at.value").alias("on"), "step")
             new = cut(asked.join(given, ["on_kind", "on"]).select("case", *key, "ord", "confidence", "step").join(known.select("case", *key), ["case", *key], "left_anti"), "new")
