@@ -65,6 +65,22 @@ def identity(url: Column) -> Column:
     return F.concat(F.lit("https://"), bare_host(url), path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
 
 
+def normalized(raw: Column) -> Column:
+    """What a page says is a URL, as evidence: https, no www., no slash at the end of a path, no tracking or empty parameters; null without a host."""
+    t = F.trim(raw)
+    t = F.when(t.startswith("//"), F.concat(F.lit("https:"), t)).when(t.rlike("(?i)^https?://"), t).otherwise(F.concat(F.lit("https://"), t))
+    # as Python writes forms: a star is encoded, a tilde is not
+    encoded = lambda x: F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(x), x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+    value = lambda p: F.regexp_extract(p, "^[^=]*=(.*)$", 1)
+    pairs = F.filter(F.split(query_of(t), "&"), lambda p: (value(p) != "") & ~F.lower(name(p)).isin(TRACKING))
+    query = F.array_join(F.transform(pairs, lambda p: F.concat(encoded(name(p)), F.lit("="), encoded(value(p)))), "&")
+    path, port = F.regexp_replace(path_of(t), "/+$", ""), port_of(t)
+    host = F.concat(bare_host(t), F.when(port.isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), port)))
+    url = F.concat(F.lit("https://"), host, F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when((F.trim(raw) != "") & (bare_host(t) != ""), url)
+
+
 def avatar_key(url: Column) -> Column:
     """Sixteen hex digits of the URL without its query."""
     return F.substring(F.sha2(F.regexp_replace(url, r"[?#].*$", ""), 256), 1, 16)
