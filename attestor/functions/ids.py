@@ -76,9 +76,9 @@ def entity_id(kind: Column, norm: Column) -> Column:
     return F.substring(F.sha2(F.concat(kind, F.lit(":"), norm), 256), 1, 24)
 
 
-def plain_name(name: Column) -> Column:
+def plain_name(name: Column, fold=folded) -> Column:
     """A name without marks on letters, only a to z, digits and single spaces."""
-    return squeezed(F.regexp_replace(F.lower(folded(name)), r"[^a-z0-9\s]", " "))
+    return squeezed(F.regexp_replace(F.lower(fold(name)), r"[^a-z0-9\s]", " "))
 
 
 def mask(value: Column, keep: int = 2) -> Column:

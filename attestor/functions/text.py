@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EMAIL_IN_TEXT = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 IPV4_IN_TEXT = r"(?:^|[^0-9.])([0-9]{1,3}(?:\.[0-9]{1,3}){3})"
@@ -79,17 +84,59 @@ def excerpt(text: Column, needle: Column, width: int = 90) -> Column:
     return F.when(at > 0, around).otherwise(F.left(flat, F.lit(2 * width)))
 
 
+def _marks() -> re.Pattern:
+    """All characters that combine with the one before, from the Unicode tables at hand."""
+    return re.compile("[" + "".join(chr(k) for k in range(0x300, 0x1F000) if unicodedata.combining(chr(k))) + "]")
+
+
+MARKS = _marks()
+
+
+@F.pandas_udf(T.StringType())
+def _nfkd(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+
+def bare(text: str) -> str:
+    return text if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text))
+
+
+@F.pandas_udf(T.StringType())
+def _bare(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else bare(t))
+
+
+@F.pandas_udf(T.StringType())
+def _folded(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else " ".join(bare(t).split()))
+
+
+def decomposed(text: Column) -> Column:
+    """Compatibility decomposition (NFKD): ligatures, wide and raised forms are opened, marks follow their letters in canonical order.
+
+    Spark has no function for it, so texts go to Python in Arrow batches, here and below.
+    """
+    return _nfkd(text)
+
+
+def unmarked(text: Column) -> Column:
+    """Decomposed, without marks."""
+    return _bare(text)
+
+
 def folded(text: Column) -> Column:
-    """Without marks on letters, with single spaces; case is kept. Decomposed forms are told from the letters that Latin scripts write with marks."""
-    plain = F.regexp_replace(F.translate(text, MARKED, UNMARKED), r"\p{M}", "")
-    return squeezed(plain)
+    """Decomposed, without marks, with single spaces; case is kept. Gaps are those of Unicode."""
+    return _folded(text)
 
 
-def _marked() -> tuple[str, str]:
-    import unicodedata
+def folded_latin(text: Column) -> Column:
+    """As ``folded``, for letters that Latin scripts write with marks only; for use inside of array functions."""
+    return squeezed(F.regexp_replace(F.translate(text, MARKED, UNMARKED), r"\p{M}", ""))
 
+
+def _marked() -> tuple[str, str]:
     letters = {}
-    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0xFF01, 0xFF5F)]):
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
         if bare != c and len(bare) == 1:
             letters[c] = bare

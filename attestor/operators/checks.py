@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from .observed import generic_name
 
 #: How much of a page's source is searched for patterns.
 SEARCHED = 12_000
+MOST_PATTERNS = 100_000
 LOGIN_PARTS = ("/login", "/signin", "/sign-in", "accounts/login", "/passport")
 SEARCH_PARTS = ("/search", "q=", "query=", "/explore")
 #: What a site's row may hold; patterns are regular expressions, tried in their order, in any case.
@@ -73,6 +76,28 @@ def hit(haystack: Column, patterns: Column) -> Column:
     return F.coalesce(F.get(F.filter(patterns, lambda p: F.regexp_like(haystack, F.concat(F.lit("(?i)"), p))), F.lit(0)), F.lit(""))
 
 
+def searchable(sites: DataFrame) -> DataFrame:
+    """Sites in which each pattern that is none stands for its own text, as one such pattern would end the whole job.
+
+    The patterns of a catalog are compiled once, where the job begins; a catalog of more than ``MOST_PATTERNS`` is refused.
+    """
+    lists = [f.name for f in sites.schema if f.name.endswith(("_patterns", "_markers"))]
+    used = sites.select(F.explode(F.array_distinct(F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in lists)))).alias("p")).distinct().limit(MOST_PATTERNS + 1).collect()
+    if len(used) > MOST_PATTERNS:
+        raise ValueError(f"a catalog of more than {MOST_PATTERNS} patterns")
+    compiled = sites.sparkSession._jvm.java.util.regex.Pattern
+    broken = []
+    for r in used:
+        try:
+            compiled.compile(r["p"])
+        except (Py4JJavaError, IllegalArgumentException):
+            broken.append(r["p"])
+    if not broken:
+        return sites
+    plain = lambda p: F.when(p.isin(broken), F.concat(F.lit(r"\Q"), F.replace(p, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))).otherwise(p)
+    return sites.withColumns({c: F.transform(c, plain) for c in lists})
+
+
 def page_signals(pages: DataFrame) -> DataFrame:
     """pages(url, final_url, html, handle, ...) with title, og_title, identity (where the handle is named), redirect and haystack."""
     h = needle(F.col("handle"))
@@ -112,7 +137,7 @@ def overlays() -> Column:
 
 def classify_pages(pages: DataFrame, sites: DataFrame) -> DataFrame:
     """pages(site, url, final_url, status, html, handle), sites(``SITE``) -> check_status, reason, confidence. A page alone never confirms."""
-    p = page_signals(pages).join(sites, F.col("site") == F.col("name"))
+    p = page_signals(pages).join(searchable(sites), F.col("site") == F.col("name"))
     markers = {m: hit(F.col("haystack"), F.col(m)) for m in ("captcha_patterns", "challenge_patterns", "blocked_patterns", "login_patterns", "not_found_patterns", "soft_404_patterns")}
     p = p.withColumns({f"hit_{m}": c for m, c in markers.items()}).withColumn("profile_marker", hit(F.col("haystack"), F.col("profile_markers")))
     on = lambda m: F.col(f"hit_{m}_patterns") != ""

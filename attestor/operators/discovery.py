@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions.ids import AFFIXES, PLATFORM_HOSTS, UNRELATED, username_match
 from attestor.functions.text import folded
 from attestor.functions.urls import bare_host, host_of, path_segments, query_of
+from attestor.sources.steps import bounded, cut
 
 #: Hosts that list a person's links.
 LINK_HUBS = "linktr.ee beacons.ai lnk.bio carrd.co about.me bio.link campsite.bio solo.to heylink.me".split()
@@ -137,10 +138,16 @@ MATCH_TYPES = {"name": "full_name", "email": "exact_email", "domain": "exact_hos
 ASSOCIATIONS = {"username": "name_plus_username", "email": "name_plus_email", "domain": "name_plus_domain"}
 
 
+#: Three characters in a row that are neither a to z, digits nor gaps; places may overlap.
+TRIPLES = r"(?=([^a-z0-9\s]{3}))"
+
+
 def usable_leads(leads: DataFrame) -> DataFrame:
     """leads(kind, lead) -> kind, lead, form, key of those that can match: handles of three characters, names of two words, addresses with a domain, hosts with a dot.
 
-    ``form`` is what is looked for, ``key`` what every text with it has: a word of it, the letters around its first space, or what is next to its @.
+    ``form`` is what is looked for, ``key`` what every text with it has: a run of a
+    to z and digits, or the first three characters where it has none; the letters
+    around its first space; or what is next to its @.
     """
     l = leads.select("kind", F.trim("lead").alias("lead")).distinct()  # noqa: E741
     name = F.lower(folded(F.col("lead")))
@@ -156,41 +163,64 @@ def usable_leads(leads: DataFrame) -> DataFrame:
         .when(F.col("kind") == "domain", F.col("form").contains(".") & ~F.col("form").contains(" "))
         .otherwise(F.col("form").rlike(r"@[^@]*\.[^@]*$"))
     )
-    word = F.regexp_extract("form", "[a-z0-9]+", 0)
+    run, triple = F.regexp_extract("form", "[a-z0-9]+", 0), F.regexp_extract("form", r"[^a-z0-9\s]{3}", 0)
+    word = F.when(run != "", run).when(triple != "", triple).otherwise(ANY)
     at = F.regexp_extract("form", "[a-z0-9]*@[a-z0-9]*", 0)
     first, second = F.split_part("form", F.lit(" "), F.lit(1)), F.split_part("form", F.lit(" "), F.lit(2))
     gap = F.concat(F.right(first, F.lit(3)), F.lit(" "), F.left(second, F.lit(3)))
     return l.withColumn("form", form).where(fits).withColumn("key", F.when(F.col("kind") == "name", gap).when(F.col("kind") == "email", at).otherwise(word))
 
 
-def _shapes(leads: DataFrame) -> list[tuple[int, int]]:
-    """How many letters names' keys have before and after the space: at most nine cases."""
+FEW_KEYS = 4_000
+#: The key of leads that have none, such as one of two marks around a space; every text has it.
+ANY = " "
+
+
+def _keys(leads: DataFrame, low: Column, plain: Column) -> Column:
+    """All keys of a text that leads of these kinds can have. ``leads`` are written, so their shapes are cheap to ask for: there are at most fourteen."""
     n = F.instr("key", " ")
-    rows = leads.where("kind = 'name'").select((n - 1).alias("a"), (F.length("key") - n).alias("b")).distinct().collect()
-    return sorted((r["a"], r["b"]) for r in rows)
+    other = F.when(F.col("kind") == "email", "email").when(F.col("key") == ANY, "any").when(F.col("key").rlike("^[a-z0-9]"), "run").otherwise("triple")
+    shapes = leads.select(F.when(F.col("kind") == "name", F.concat_ws(",", n - 1, F.length("key") - n)).otherwise(other).alias("s")).distinct().collect()
+    around = lambda a, b: F.regexp_extract_all(plain, F.lit(rf"(?=(\S{{{a}}} \S{{{b}}}))"), F.lit(1))
+    # an address may follow letters that aren't its own, so what stands before an @ counts from each of its letters
+    begun = lambda m: F.transform(F.sequence(F.lit(1), F.instr(m, "@")), lambda k: F.substr(m, k))
+    forms = {
+        "run": F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)),
+        "triple": F.regexp_extract_all(low, F.lit(TRIPLES), F.lit(1)),
+        "email": F.flatten(F.transform(F.regexp_extract_all(low, F.lit("([a-z0-9]*@[a-z0-9]*)"), F.lit(1)), begun)),
+        "any": F.array(F.lit(ANY)),
+    }
+    parts = [forms[r["s"]] if r["s"] in forms else around(*map(int, r["s"].split(","))) for r in sorted(shapes)]
+    return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
 def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     """pages(id, title, snippet, url, author), leads(kind, lead) -> id, kind, lead, field, match_type, relevance, reason, associated.
 
-    Leads and pages meet by equality: each lead has a key, a page has its words,
-    the letters around its spaces, and its host with the host's parents. What
-    meets is compared with the page's fields, in their order, URLs first for
-    handles and hosts. So neither the leads nor the pages need to be few.
+    Leads and pages meet by equality: each lead has a key, and a page has all keys
+    that it could meet. Leads are written once. While they have at most ``FEW_KEYS``
+    keys, these are part of the plan and of a page only keys that lead somewhere go
+    on; beyond that all keys of a page meet the leads, which are sent to all tasks
+    if they are small (by measured bytes), else by shuffle. What meets is compared with the page's fields, in their
+    order, URLs first for handles and hosts. A page that comes twice, or two with
+    one id, are a page each.
     """
-    l = usable_leads(leads)  # noqa: E741
+    l = cut(usable_leads(leads), "leads")  # noqa: E741
     low = F.lower(F.concat_ws("\n", *FIELDS))
-    # a generator stands between, so that words are split once and not for each of them
-    t = pages.select("id", F.inline(F.array(F.struct(low.alias("low"), F.split(folded(low), " ").alias("words")))))
-    n = F.greatest(F.size("words") - 1, F.lit(0))
-    around = lambda a, b: F.zip_with(F.slice("words", F.lit(1), n), F.slice("words", F.lit(2), n), lambda x, y: F.concat(F.right(x, F.lit(a)), F.lit(" "), F.left(y, F.lit(b))))
-    # an address may follow letters that aren't its own, so what stands before an @ counts from each of its letters
-    begun = lambda m: F.transform(F.sequence(F.lit(1), F.instr(m, "@")), lambda k: F.substr(m, k))
-    at = F.flatten(F.transform(F.regexp_extract_all("low", F.lit("([a-z0-9]*@[a-z0-9]+)"), F.lit(1)), begun))
-    keys = F.concat(F.regexp_extract_all("low", F.lit("([a-z0-9]+)"), F.lit(1)), at, *(around(a, b) for a, b in _shapes(l)))
-    met = t.select("id", F.explode(F.array_distinct(keys)).alias("key")).join(l, "key").select("id", "kind", "lead", "form")
+    version = F.xxhash64(*(F.coalesce(F.col(c), F.lit("")) for c in FIELDS))
+    # a generator stands between, so that texts are folded once and not for each of their keys
+    t = pages.select("id", version.alias("version"), F.inline(F.array(F.struct(low.alias("low"), folded(low).alias("plain")))))
+    keys = _keys(l, F.col("low"), F.col("plain"))
+    some = [r["key"] for r in l.select("key").distinct().limit(FEW_KEYS + 1).collect()]
+    if len(some) <= FEW_KEYS:
+        keys = F.array_intersect(keys, F.lit(some) if some else F.array().cast("array<string>"))
+    t = t.select("id", "version", F.inline(F.array(F.struct(keys.alias("keys")))))
+    met = t.select("id", "version", F.explode("keys").alias("key")).join(bounded(l), "key")
+    met = cut(met.select("id", "version", "kind", "lead", "form").distinct(), "met").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "kind", "lead", "form")
     f = lambda c: F.coalesce(F.col(c), F.lit(""))
-    both = met.join(pages.select("id", *(f(c).alias(c) for c in FIELDS)), "id")
+    # what a page is compared by is made once for it, however many leads it meets
+    shown = pages.select("id", version.alias("version"), *(f(c).alias(c) for c in FIELDS), *(F.lower(f(c)).alias(f"low_{c}") for c in FIELDS), *(F.lower(folded(f(c))).alias(f"plain_{c}") for c in FIELDS))
+    both = shown.join(bounded(met), (F.col("version") == F.col("m_version")) & F.col("id").eqNullSafe(F.col("m_id")))
 
     parts = F.transform(path_segments(F.lower("url")), lambda x: F.regexp_replace(x, "^@+", ""))
     asked = F.exists(F.split(F.lower(query_of(F.col("url"))), "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)).isin(USER_PARAMETERS) & p.contains("=") & (F.substring_index(p, "=", -1) == F.col("form")))
@@ -198,30 +228,31 @@ def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     host = F.regexp_replace(host_of(F.when(F.col("url").contains("://"), F.col("url")).otherwise(F.concat(F.lit("https://"), F.col("url")))), r"^www\.", "")
     at_host = (host == F.col("form")) | F.endswith(host, F.concat(F.lit("."), F.col("form")))
     literal = F.concat(F.lit(r"\Q"), F.col("form"), F.lit(r"\E"))
-    bounded = lambda c, edge: F.regexp_like(F.lower(c), F.concat(F.lit(f"(?<![{edge}])"), literal, F.lit(f"(?![{edge}])")))
+    edged = lambda c, edge: c.contains(F.col("form")) & F.regexp_like(c, F.concat(F.lit(f"(?<![{edge}])"), literal, F.lit(f"(?![{edge}])")))
 
     def holds(c: str):
-        text = F.col(c)
+        text = F.col(f"low_{c}")
         return (
-            F.when(F.col("kind") == "username", F.lit(c != "url") & bounded(text, "a-z0-9_"))
-            .when(F.col("kind") == "domain", F.lit(c != "url") & bounded(text, "a-z0-9-"))
-            .when(F.col("kind") == "name", F.lower(folded(text)).contains(F.col("form")))
-            .otherwise(F.lower(text).contains(F.col("form")))
+            F.when(F.col("kind") == "username", F.lit(c != "url") & edged(text, "a-z0-9_"))
+            .when(F.col("kind") == "domain", F.lit(c != "url") & edged(text, "a-z0-9-"))
+            .when(F.col("kind") == "name", F.col(f"plain_{c}").contains(F.col("form")))
+            .otherwise(text.contains(F.col("form")))
         )
 
     field = F.when((F.col("kind") == "username") & in_url, "url").when((F.col("kind") == "domain") & at_host, "url")
     for c in FIELDS:
         field = field.when(holds(c), c)
-    found = both.withColumn("field", field).where("field IS NOT NULL").select("id", "kind", "lead", "field")
+    found = both.withColumn("field", field).where("field IS NOT NULL").select("id", "version", "kind", "lead", "field")
     match_type = F.when(F.col("kind") == "username", F.when(F.col("field") == "url", "url_path_segment").otherwise("exact_token"))
     for kind, name in MATCH_TYPES.items():
         match_type = match_type.when(F.col("kind") == kind, name)
-    return related(found.withColumn("match_type", match_type))
+    return related(found.withColumn("match_type", match_type)).drop("version")
 
 
 def related(found: DataFrame) -> DataFrame:
     """found(id, kind, lead, match_type) with relevance: handles, addresses and hosts speak for themselves; a name is associated if one of these is on its page too, else ambiguous."""
-    beside = found.where(F.col("kind").isin(*DIRECT_KINDS)).groupBy("id").agg(F.collect_set(F.struct("kind", "lead")).alias("others"))
+    page = ["id", "version"] if "version" in found.columns else ["id"]
+    beside = found.where(F.col("kind").isin(*DIRECT_KINDS)).groupBy(*page).agg(F.collect_set(F.struct("kind", "lead")).alias("others"))
     of = lambda kind: F.transform(F.array_sort(F.filter("others", lambda x: x["kind"] == kind)), lambda x: x["lead"])
     others = F.coalesce(F.concat(*(of(k) for k in ASSOCIATIONS)), F.array().cast("array<string>"))
     direct = F.col("kind").isin(*DIRECT_KINDS)
@@ -231,7 +262,7 @@ def related(found: DataFrame) -> DataFrame:
     reason = F.lit(None).cast("string")
     for match, name in reasons.items():
         reason = F.when(F.col("match_type") == match, name).otherwise(reason)
-    f = found.join(beside, "id", "left")
+    f = found.join(beside.select(*(F.col(c).alias(f"b_{c}") for c in page), "others"), reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"b_{c}")), page, F.lit(True)), "left")
     has = F.size(others) > 0
     return f.select(
         *found.columns,

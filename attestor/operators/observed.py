@@ -7,9 +7,6 @@ what it is derived from, and what an operator typed in is no observation.
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,21 +45,6 @@ TITLE_PARTS = r"\s*[|·•—–:]\s*|\s+-\s+"
 HANDLE = r"(?<![A-Za-z0-9_])@([A-Za-z0-9_]{3,32})\b"
 
 
-def folded_name(name: Column) -> Column:
-    """A name without accents and marks, in lower case, with single spaces."""
-
-    def fold(v: str | None) -> str | None:
-        if v is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))
-        return " ".join("".join(c if c.isalnum() else " " for c in plain.lower()).split())
-
-    def run(names: pd.Series) -> pd.Series:
-        return names.map(fold)
-
-    return F.pandas_udf(run, "string")(name)
-
-
 def generic_name(name: Column, handle: Column, platform: Column) -> Column:
     """Whether a display name says nothing: empty, the handle, a platform, or a page's title."""
     n = F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from attestor.functions import markup, urls
 from attestor.functions.ids import PLATFORM_HOSTS, plain_name
 from attestor.functions.markup import let
-from attestor.functions.text import squeezed
+from attestor.functions.text import folded_latin, squeezed
 from attestor.operators.observed import PLATFORM_NAMES, TITLE_PARTS, generic_name
 
 #: The fields, in the order in which they are shown.
@@ -72,7 +72,7 @@ def clean_name(raw: Column, handle: Column, platform: Column, names: list[str] =
         return F.when((n >= 2) & known(F.get(parts, n - 1)), last).when((n >= 2) & known(F.get(parts, F.lit(0))), first).otherwise("")
 
     def judged(text: Column) -> Column:
-        same = (F.lower(F.regexp_replace(text, "^@+", "")) == handle) | (plain_name(text) == plain_name(handle))
+        same = (F.lower(F.regexp_replace(text, "^@+", "")) == handle) | (plain_name(text, folded_latin) == plain_name(handle, folded_latin))
         return F.when((text == "") | same | generic_name(text, handle, platform), "").otherwise(F.left(text, F.lit(200)))
 
     text = let(squeezed(F.coalesce(raw, F.lit(""))), without_suffixes)
@@ -166,7 +166,7 @@ def enrich_pages(profiles: DataFrame, names: list[str] = PLATFORM_NAMES) -> Data
     mail = lambda c: F.when(looks_like_email(c), F.lower(F.trim(c)))
     others = F.array(
         _raw("username", h, F.concat("_key", F.lit(".username")), "INPUT", F.col("username")),
-        _raw("bio", F.when(~plain_name(told).isin(GENERIC_BIO) & (F.length(told) >= 8), F.left(told, F.lit(300))), api(bio), "JSON_API"),
+        _raw("bio", F.when(~plain_name(told, folded_latin).isin(GENERIC_BIO) & (F.length(told) >= 8), F.left(told, F.lit(300))), api(bio), "JSON_API"),
         _raw("location", F.left(dig(place), F.lit(120)), api(place), "JSON_API"),
         _raw("public_id", F.when(number.rlike("^-?[0-9]+$"), number), api(F.lit("id")), "JSON_API"),
         *(_raw("organization", F.left(top(k), F.lit(120)), api(F.lit(k)), "JSON_API") for k in JSON_FALLBACKS["organization"]),

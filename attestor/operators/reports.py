@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.ids import plain_name
 from attestor.functions.urls import host_of, path_of, query_of
+from attestor.sources.steps import cut
 
 SUMMARIES = ("Username sweep", "Identity correlation")
 RELEVANCE = {"DIRECT": 0, "ASSOCIATED": 1, "AMBIGUOUS": 2}
@@ -153,16 +154,23 @@ def with_known_ends(edges: DataFrame, entities: DataFrame) -> DataFrame:
     return edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
-def run_chains(runs: DataFrame, longest: int = 20) -> DataFrame:
-    """runs(run_id, parent_run_id) -> run_id, the run that its chain of parents begins with, and how many steps that is.
+def run_chains(runs: DataFrame) -> DataFrame:
+    """runs(run_id, parent_run_id) -> run_id, the run that its chain of parents begins with, how many steps that is, and whether the chain runs in a circle.
 
-    Each round doubles the steps that are taken at once, so ``longest`` steps take their logarithm in rounds. A parent that isn't there ends a chain.
+    Each round doubles the steps that are taken at once and is written, until no
+    chain goes on; what still does after as many rounds as the number of runs has
+    binary digits has taken more steps than there are runs, so it is in a circle or
+    leads to one: it has no root and no steps. A parent that isn't there ends a chain.
     """
-    known = runs.select(F.col("run_id").alias("p"))
-    at = runs.join(known, F.col("parent_run_id") == F.col("p"), "left").select("run_id", F.coalesce("p", "run_id").alias("root"), F.col("p").isNotNull().cast("long").alias("steps"))
-    k = 1
-    while k < longest:
+    once = runs.groupBy("run_id").agg(F.max("parent_run_id").alias("parent"))
+    known = once.select(F.col("run_id").alias("p"))
+    at = cut(once.join(known, F.col("parent") == F.col("p"), "left").select("run_id", F.coalesce("p", "run_id").alias("root"), F.col("p").isNotNull().cast("long").alias("steps")), "chains")
+    most = at.count()
+    for _ in range(most.bit_length() + 1):
         further = at.select(F.col("run_id").alias("root"), F.col("root").alias("next"), F.col("steps").alias("more"))
-        at = at.join(further, "root").select("run_id", F.col("next").alias("root"), (F.col("steps") + F.col("more")).alias("steps"))
-        k *= 2
-    return at
+        at = cut(at.join(further, "root").select("run_id", F.col("next").alias("root"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved")), "chains")
+        if at.where("moved").isEmpty():
+            break
+        at = at.drop("moved")
+    endless = F.col("steps") > most
+    return at.select("run_id", F.when(~endless, F.col("root")).alias("root"), F.when(~endless, F.col("steps")).alias("steps"), endless.alias("circular"))

@@ -130,7 +130,7 @@ def sensitive_keys(s, d):
 
 
 def plain_names(s, d):
-    return table(s, d, "documents").select("doc_id", F.sha2(ids.plain_name(F.left("text", F.lit(200))), 256).alias("name"))
+    return table(s, d, "documents").select("doc_id", F.sha2(ids.plain_name(F.col("text")), 256).alias("name"))
 
 
 _ALL = {
@@ -141,7 +141,7 @@ _ALL = {
         sensitive_keys,
         f"SELECT r_regionkey, unnest([{', '.join(map(_quoted, [*text.SENSITIVE_KEYS, 'X-ApiKey', 'my_password_2', 'author', 'keyboard', 'note', 'CSRFish', 'passport']))}]) AS key, unnest([{', '.join(['true'] * len(text.SENSITIVE_KEYS))}, true, true, false, false, false, true, false]) AS sensitive FROM region",
     ),
-    "plain_names": (plain_names, "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(strip_accents(text[1:200])), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS name FROM documents"),
+    "plain_names": (plain_names, "SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS name FROM documents"),
 }
 QUERIES = {k: q for k, (q, _) in _ALL.items()}
 ORACLES = {k: sql for k, (_, sql) in _ALL.items()}

@@ -93,7 +93,7 @@ def username_match_class(s, d):
     return discovery.similar_handles(req, obs)
 
 
-LEADS = [("name", "name 1"), ("name", "the of"), ("name", "The  the"), ("name", "user1"), ("name", "and the"), ("name", "éle un"), ("username", "worthless"), ("username", "@the"), ("username", "ab"), ("username", "825"), ("domain", "mail5.example.com"), ("domain", "www.example.net"), ("domain", "example")]
+LEADS = [("name", "name 1"), ("name", "the of"), ("name", "The  the"), ("name", "user1"), ("name", "and the"), ("name", "éle un"), ("username", "worthless"), ("username", "@the"), ("username", "ab"), ("username", "825"), ("domain", "mail5.example.com"), ("domain", "www.example.net"), ("domain", "example"), ("username", "$$$"), ("username", "&&&"), ("username", "été"), ("username", "öße")]
 
 
 def _mention_leads(s, d):
@@ -126,7 +126,7 @@ def _first(test: str, fields=discovery.FIELDS) -> str:
 
 def _edged(edge: str) -> str:
     # a quick test first, since patterns made for each row are slow
-    return f"contains({{c}}_low, form) AND regexp_matches({{c}}_low, '(^|[^{edge}])' || replace(form, '.', '\\.') || '($|[^{edge}])')"
+    return f"contains({{c}}_low, form) AND regexp_matches({{c}}_low, '(^|[^{edge}])' || regexp_escape(form) || '($|[^{edge}])')"
 
 
 _TEXTS = ("title", "snippet", "author")

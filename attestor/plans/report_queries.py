@@ -89,9 +89,9 @@ def provider_routing(s, d):
 
 
 def _runs(s, d):
-    """Orders as runs; each is followed by the next, but every ninth begins anew and some parents are missing."""
+    """Orders as runs; each is followed by the next, but every 150th begins anew and some parents are missing."""
     k = F.col("o_orderkey")
-    return table(s, d, "orders").select(k.alias("run_id"), F.when(k % 9 != 0, F.when(k % 31 == 0, -k).otherwise(k - 1)).alias("parent_run_id"))
+    return table(s, d, "orders").select(k.alias("run_id"), F.when(k % 150 != 0, F.when(k % 997 == 0, -k).otherwise(k - 1)).alias("parent_run_id"))
 
 
 def known_ends(s, d):
@@ -164,9 +164,9 @@ SELECT case_id, profile_checks, confirmed, likely, geographic_indicator, mention
     ),
     "run_chains": (
         lambda s, d: reports.run_chains(_runs(s, d)),
-        """WITH RECURSIVE r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 9 <> 0 THEN CASE WHEN o_orderkey % 31 = 0 THEN -o_orderkey ELSE o_orderkey - 1 END END AS p FROM orders),
+        """WITH RECURSIVE r AS (SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 150 <> 0 THEN CASE WHEN o_orderkey % 997 = 0 THEN -o_orderkey ELSE o_orderkey - 1 END END AS p FROM orders),
 c(run_id, root, steps) AS (SELECT run_id, run_id, 0::BIGINT FROM r UNION ALL SELECT c.run_id, r.p, c.steps + 1 FROM c JOIN r ON r.run_id = c.root JOIN orders o ON o.o_orderkey = r.p)
-SELECT run_id, min_by(root, -steps) AS root, max(steps) AS steps FROM c GROUP BY run_id""",
+SELECT run_id, min_by(root, -steps) AS root, max(steps) AS steps, false AS circular FROM c GROUP BY run_id""",
     ),
     "known_ends": (
         known_ends,

@@ -6,10 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_written: list[list[str]] = []
+#: What is to be deleted, by the thread or task that wrote it.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,12 +34,27 @@ def cut(df: DataFrame, what: str = "step") -> DataFrame:
     task's reading, and a step that is used twice is computed once.
     """
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    if _written.get():
+        _written.get()[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, megabytes: int = 32) -> DataFrame:
+    """Marks a written table for broadcast if its rows take at most so much as Spark holds them; beyond that it joins by shuffle.
+
+    Numbers have a known width, strings are measured; tables with arrays are refused.
+    """
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, T.NumericType | T.BooleanType | T.StringType)]
+    if wide:
+        raise ValueError(f"the width of {wide} is not known")
+    room, row = megabytes << 20, 16 + 8 * len(df.columns)
+    chars = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    n, more = df.limit(room // row + 1).agg(F.count("*"), F.coalesce(F.sum(chars), F.lit(0))).first()
+    return F.broadcast(df) if n * row + more <= room else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder wherever Spark can write."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -46,18 +65,20 @@ def remove(spark: SparkSession, path: str) -> None:
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Steps cut inside are deleted at the end, but for what the given function writes: ``with passing(spark) as kept: ... result = kept(df)``."""
     paths: list[str] = []
-    _written.append(paths)
+    before = _written.get()
+    _written.set((*before, paths))
 
     def kept(df: DataFrame) -> DataFrame:
-        _written.pop()
+        inside = _written.get()
+        _written.set(before)
         try:
             return cut(df, "kept")
         finally:
-            _written.append(paths)
+            _written.set(inside)
 
     try:
         yield kept
     finally:
-        _written.remove(paths)
+        _written.set(before)
         for path in paths:
             remove(spark, path)

@@ -99,8 +99,40 @@ def test_registration_falls_back(spark):
 
 
 def test_chains_of_any_length(spark):
-    runs = spark.createDataFrame([(0, None), *((k, k - 1) for k in range(1, 17)), (50, 49)], "run_id long, parent_run_id long")
-    assert {(r["run_id"], r["root"], r["steps"]) for r in reports.run_chains(runs).collect()} == {(k, 0, k) for k in range(17)} | {(50, 50, 0)}
+    line = [(0, None), *((k, k - 1) for k in range(1, 101)), (500, 499)]
+    circle = [(200, 202), (201, 200), (202, 201), (203, 202), (300, 300)]
+    runs = spark.createDataFrame([*line, *circle, (7, 6)], "run_id long, parent_run_id long").repartition(3)
+    want = {(k, 0, k, False) for k in range(101)} | {(500, 500, 0, False)} | {(k, None, None, True) for k, _ in circle}
+    assert {tuple(r) for r in reports.run_chains(runs).collect()} == want
+    assert reports.run_chains(runs.limit(0)).collect() == []
+
+
+def test_leads_of_any_script_and_ids_that_repeat(spark):
+    text = "мой иван! и (___) на пример.рф, ждиван x@рф.рф - а -.-"
+    pages = spark.createDataFrame([(1, "", text, "", ""), (1, "", "иван", "", ""), (1, "", "иван", "", ""), (2, "", "", "https://www.пример.рф/q", "$$$"), (3, "", "Ｗｉｄｅ ﬁrst", "", "a___")], "id long, title string, snippet string, url string, author string")
+    leads = spark.createDataFrame([("username", "Иван"), ("username", "___"), ("domain", "пример.рф"), ("email", "x@рф.рф"), ("username", "-.-"), ("username", "$$$"), ("name", "wide first"), ("username", "- -")], "kind string, lead string")
+    got = sorted((r["id"], r["lead"], r["field"]) for r in discovery.mention_matches(pages, leads).collect())
+    assert got == sorted([(1, "Иван", "snippet")] * 3 + [(1, "___", "snippet"), (1, "пример.рф", "snippet"), (1, "x@рф.рф", "snippet"), (1, "-.-", "snippet"), (2, "пример.рф", "url"), (2, "$$$", "author"), (3, "wide first", "snippet")])
+
+
+def test_decomposition_is_unicodes(spark):
+    import unicodedata
+
+    points = [k for k in range(1, 0x30000) if not 0xD800 <= k < 0xE000 and unicodedata.category(chr(k)) != "Cn"]
+    df = spark.createDataFrame([(k, f"a{chr(k)}\u0301\u0323") for k in points], "k long, t string").select("k", text.decomposed(F.col("t")).alias("d"), text.unmarked(F.col("t")).alias("u"))
+    for r in df.toLocalIterator():
+        d = unicodedata.normalize("NFKD", f"a{chr(r['k'])}\u0301\u0323")
+        assert r["d"] == d and r["u"] == "".join(c for c in d if not unicodedata.combining(c)), hex(r["k"])
+
+
+def test_a_pattern_that_is_none_stands_for_itself(spark):
+    from attestor.operators import checks
+
+    lists = {c: [] for c in ("captcha_patterns", "challenge_patterns", "blocked_patterns", "login_patterns", "soft_404_patterns", "profile_markers")}
+    row = {"name": "S", "check_method": "html", "requires_auth": False, "expected_status": [200], "not_found_status": [404], "not_found_patterns": ["gone (", "nobody[ ]here"], "redirect_home": None, "redirect_search": None, "confidence_strategy": None} | lists
+    pages = spark.createDataFrame([(1, "GONE ( for good"), (2, "gone"), (3, "Nobody here")], "id long, html string").selectExpr("id", "'S' AS site", "'https://s.example/bob' AS url", "'https://s.example/bob' AS final_url", "200 AS status", "html", "'bob' AS handle")
+    got = {r["id"]: r["check_status"] for r in checks.classify_pages(pages, spark.createDataFrame([row], checks.SITE)).collect()}
+    assert got == {1: "NOT_FOUND", 2: "INCONCLUSIVE", 3: "NOT_FOUND"}
 
 
 def test_steps_are_removed_but_for_what_is_kept(spark):
