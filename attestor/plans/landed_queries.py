@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestor.functions import text
+from attestor.functions import redaction, text
 from attestor.sources import landed, sinks
 
 from . import views
@@ -164,6 +164,25 @@ def report_json(s, d):
     return j.select("doc_id", F.to_json("masked").alias("masked"), F.to_json("stripped").alias("stripped"), left.cast("long").alias("secrets_left"))
 
 
+def _nested(s, d):
+    """Documents as findings four levels deep, with lists in lists and secrets under keys and in texts."""
+    k = _s("doc_id")
+    deep = F.array(F.struct(F.struct(F.concat(F.lit("pw"), k).alias("Password"), F.col("doc_id").alias("token_id"), F.lit(None).cast("string").alias("cookie")).alias("deep")))
+    return table(s, d, "documents").select(
+        "doc_id",
+        F.struct(F.array(F.struct(F.concat(F.lit("K"), k, F.lit("xyz")).alias("api_key"), F.concat(F.lit("see token=abc"), k, F.lit("def or ?key=q"), k).alias("note"), deep.alias("list"))).alias("found"), F.col("lang").alias("lang")).alias("data"),
+    )
+
+
+def report_nested(s, d):
+    lines = sinks.json_lines(_nested(s, d))
+    return lines.select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), "value")
+
+
+def report_stripped(s, d):
+    return _nested(s, d).select("doc_id", redaction.stripped_json(F.to_json("data")).alias("value"))
+
+
 def report_csv(s, d):
     p = table(s, d, "part").select(F.col("p_brand").alias("type"), F.col("p_name").alias("value"), F.lit("HIGH").alias("confidence"), _s("p_partkey").alias("source"), F.array(F.col("p_type"), F.lit("a"), _s("p_size")).alias("tags"))
     return sinks.csv_rows(p)
@@ -181,6 +200,7 @@ def _markdown_sql():
     return f"""WITH {views.FINDINGS}, {MEASURES} SELECT case_id, unnest(range(0, 4)) AS line_no, unnest(['# Case ' || case_id, '- Confidence: ' || confidence_score, '- Risk: ' || risk_score || ' (' || risk_level || ')', '- Reputation: ' || reputation_score]) AS line FROM v_scores"""
 
 
+_MASKED = "CASE WHEN length({x}) <= 4 THEN repeat('*', length({x})) ELSE left({x}, 2) || repeat('*', greatest(4, length({x}) - 4)) || right({x}, 2) END"
 _ALL = {
     "landed_certificates": (landed_certificates, f"WITH {CERTS} SELECT id, cert_id, ord, array_to_string(list_sort(names), ',') AS names, common_name, serial, not_before FROM v_names"),
     "certificate_names": (
@@ -244,6 +264,15 @@ SELECT p_partkey AS id, answer, CASE WHEN ok THEN 'HIGH' END AS confidence, CASE
         "WITH e AS (SELECT [200, 204, 301, 401, 403, 404, 429, 500][event_id % 8 + 1] AS status, CASE event_id % 24 WHEN 2 THEN 'skipped' WHEN 5 THEN 'not_configured' ELSE '' END AS error FROM events) SELECT CASE WHEN status BETWEEN 200 AND 299 THEN 'ONLINE' WHEN status = 429 THEN 'RATE LIMITED' WHEN status IN (401, 403) THEN 'AUTH REJECTED' WHEN error = 'skipped' THEN 'SKIPPED' WHEN error = 'not_configured' THEN 'NOT_CONFIGURED' ELSE 'UNAVAILABLE' END AS health, count(*) AS n FROM e GROUP BY 1",
     ),
     "report_json": (report_json, """SELECT doc_id, '{"api_key":"ab****gh","x-apikey":"**","note":"plain"}' AS masked, '{"note":"plain"}' AS stripped, 0::BIGINT AS secrets_left FROM documents"""),
+    "report_nested": (
+        report_nested,
+        f"""SELECT doc_id, '{{"doc_id":' || doc_id || ',"data":{{"found":[{{"api_key":"' || {_MASKED.format(x="'K' || doc_id || 'xyz'")} || '","note":"see token=' || {_MASKED.format(x="'abc' || doc_id || 'def'")} || ' or ?key=' || {_MASKED.format(x="'q' || doc_id")}
+  || '","list":[{{"deep":{{"Password":"' || {_MASKED.format(x="'pw' || doc_id")} || '","token_id":"' || {_MASKED.format(x="doc_id::VARCHAR")} || '"}}}}]}}]' || coalesce(',"lang":"' || lang || '"', '') || '}}}}' AS value FROM documents""",
+    ),
+    "report_stripped": (
+        report_stripped,
+        f"""SELECT doc_id, '{{"found":[{{"note":"see token=' || {_MASKED.format(x="'abc' || doc_id || 'def'")} || ' or ?key=' || {_MASKED.format(x="'q' || doc_id")} || '","list":[{{"deep":{{"token_id":' || doc_id || '}}}}]}}]' || coalesce(',"lang":"' || lang || '"', '') || '}}' AS value FROM documents""",
+    ),
     "report_csv": (report_csv, "SELECT p_brand AS type, p_name AS value, 'HIGH' AS confidence, p_partkey::VARCHAR AS source, p_type || ',a,' || p_size AS tags FROM part"),
     "report_markdown": (report_markdown, _markdown_sql()),
 }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.ids import mask
+from attestor.functions.redaction import redacted_json
 from attestor.functions.text import SECRETS, sensitive_key
 
 
@@ -29,9 +30,8 @@ def stripped_map(m: Column) -> Column:
 
 
 def json_lines(rows: DataFrame) -> DataFrame:
-    """Rows as JSON, their text columns redacted."""
-    cols = [redacted(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in rows.dtypes]
-    return rows.select(F.to_json(F.struct(*cols)).alias("value"))
+    """Rows as JSON, with values under sensitive keys masked at any depth and all texts redacted."""
+    return rows.select(redacted_json(F.to_json(F.struct(*rows.columns))).alias("value"))
 
 
 def csv_rows(entities: DataFrame) -> DataFrame:
