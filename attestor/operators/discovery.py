@@ -194,8 +194,8 @@ def _keys(leads: DataFrame, low: Column, plain: Column) -> Column:
     return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
-def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
-    """pages(id, title, snippet, url, author), leads(kind, lead) -> id, kind, lead, field, match_type, relevance, reason, associated.
+def lead_fields(pages: DataFrame, leads: DataFrame) -> DataFrame:
+    """pages(id, title, snippet, url, author), leads(kind, lead) -> id, version, kind, lead, field, match_type: each page's leads.
 
     Leads and pages meet by equality: each lead has a key, and a page has all keys
     that it could meet. Leads are written once. While they have at most ``FEW_KEYS``
@@ -246,7 +246,12 @@ def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     match_type = F.when(F.col("kind") == "username", F.when(F.col("field") == "url", "url_path_segment").otherwise("exact_token"))
     for kind, name in MATCH_TYPES.items():
         match_type = match_type.when(F.col("kind") == kind, name)
-    return related(found.withColumn("match_type", match_type)).drop("version")
+    return found.withColumn("match_type", match_type)
+
+
+def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
+    """pages(id, title, snippet, url, author), leads(kind, lead) -> id, kind, lead, field, match_type, relevance, reason, associated."""
+    return related(lead_fields(pages, leads)).drop("version")
 
 
 def related(found: DataFrame) -> DataFrame:
