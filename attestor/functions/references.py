@@ -17,29 +17,60 @@ from attestor.functions.urls import host_of, ipv4_number
 SHORTEST, SHORTEST_HALF, DIGITS = 6, 8, 8
 
 
-def hmac_sha256(key_hex: Column, text: Column) -> Column:
-    """HMAC-SHA256 of a text's UTF-8 under a key of any length, given in hex; lower-case hex."""
+def pads(key_hex: Column) -> Column:
+    """What HMAC-SHA256 puts before a text (``inner``) and before its digest (``outer``) under a key of any length, given in hex.
+
+    They cost far more than the digests, so a table of keys gets them before it meets the texts.
+    """
     key = F.when(F.length(key_hex) > 128, F.sha2(F.unhex(key_hex), 256)).otherwise(key_hex)
     byte = lambda k, i: F.conv(F.substr(k, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
     pad = lambda k, n: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(k, i).bitwiseXOR(F.lit(n))), 2, "0")), ""))
-    hashed = lambda k: F.sha2(F.concat(pad(k, 0x5C), F.unhex(F.sha2(F.concat(pad(k, 0x36), F.encode(text, "UTF-8")), 256))), 256)
-    return let(F.rpad(key, 128, "0"), hashed)
+    return let(F.rpad(key, 128, "0"), lambda k: F.struct(pad(k, 0x36).alias("inner"), pad(k, 0x5C).alias("outer")))
+
+
+def hmac_under(padded: Column, text: Column) -> Column:
+    """HMAC-SHA256 of a text's UTF-8 under a key's ``pads``; lower-case hex."""
+    return F.sha2(F.concat(padded["outer"], F.unhex(F.sha2(F.concat(padded["inner"], F.encode(text, "UTF-8")), 256))), 256)
+
+
+def hmac_sha256(key_hex: Column, text: Column) -> Column:
+    """HMAC-SHA256 of a text's UTF-8 under a key of any length, given in hex; lower-case hex."""
+    return let(pads(key_hex), lambda p: hmac_under(p, text))
+
+
+def _referred(text: Column, kind: str, hashed) -> Column:
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    return F.when(low == "", "-").otherwise(F.concat(F.lit(f"{kind}:"), F.left(hashed(low), F.lit(DIGITS))))
 
 
 def reference(value: Column, salt_hex: Column, kind: str = "t") -> Column:
     """t: and eight digits for a value in any case; - for none. Letters are compared in lower case."""
-    text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.when(text == "", "-").otherwise(F.concat(F.lit(f"{kind}:"), F.left(hmac_sha256(salt_hex, text), F.lit(DIGITS))))
+    return _referred(value, kind, lambda low: hmac_sha256(salt_hex, low))
 
 
-def host_reference(value: Column, salt_hex: Column) -> Column:
-    """h: and the digits of the host of a URL, of a host with port or user, or of an address, with or without brackets."""
+def reference_under(value: Column, padded: Column, kind: str = "t") -> Column:
+    """``reference`` by a salt's ``pads``: for many values of few salts."""
+    return _referred(value, kind, lambda low: hmac_under(padded, low))
+
+
+def named_host(value: Column) -> Column:
+    """The host of a URL, of a host with port or user, or of an address, with or without brackets."""
     raw = F.trim(F.coalesce(value, F.lit("")))
     authority = F.substring_index(F.split_part(raw, F.lit("/"), F.lit(1)), "@", -1)
     bracketed = F.regexp_extract(authority, r"^\[+([^\]]*)", 1)
     bare = F.coalesce(normal_ip(F.trim(authority)), normal_ip(F.nullif(bracketed, F.lit(""))), F.split_part(authority, F.lit(":"), F.lit(1)))
     host = F.when(raw.contains("://"), F.coalesce(normal_ip(host_of(raw)), host_of(raw))).otherwise(bare)
-    return reference(F.regexp_replace(F.trim(host), r"\.+$", ""), salt_hex, "h")
+    return F.regexp_replace(F.trim(host), r"\.+$", "")
+
+
+def host_reference(value: Column, salt_hex: Column) -> Column:
+    """h: and the digits of a value's ``named_host``."""
+    return reference(named_host(value), salt_hex, "h")
+
+
+def host_reference_under(value: Column, padded: Column) -> Column:
+    """``host_reference`` by a salt's ``pads``; the host is found once, not where each part of the reference names it."""
+    return let(named_host(value), lambda h: reference_under(h, padded, "h"))
 
 
 def quoted_plus(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from attestor.functions.references import forms, reference
+from attestor.functions.references import forms, pads, reference_under
 from attestor.sources.steps import bounded, cut
 
 #: A form counts where it stands alone; a percent-escape before it ends a word.
@@ -25,8 +25,8 @@ def dictionary(values: DataFrame, salts: DataFrame, words: tuple[str, ...] = (),
     word: that which fewest forms of the case have, so that a domain that thousands of addresses share isn't where their lines meet; the
     first three characters of a form without one. Cases without salt have no references.
     """
-    v = values.join(salts.select(case, "salt"), case)
-    each = v.select(case, "ord", "value", reference(F.col("value"), F.col("salt")).alias("ref"), F.explode(forms(F.col("value"), words)).alias("form"))
+    v = values.join(salts.select(case, pads(F.col("salt")).alias("pads")), case)
+    each = v.select(case, "ord", "value", reference_under(F.col("value"), F.col("pads")).alias("ref"), F.explode(forms(F.col("value"), words)).alias("form"))
     first = each.groupBy(case, F.lower("form").alias("form")).agg(F.min_by("ref", F.struct("ord", "value")).alias("ref"))
     first = cut(first, "forms")
     runs = F.array_distinct(F.regexp_extract_all("form", F.lit(RUN), F.lit(1)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import references
 from attestor.operators import scrubbing
+from attestor.sources.steps import spread
 
 from .views import table
 
@@ -13,7 +14,7 @@ from .views import table
 def _values(s, d):
     c = F.col("c_custkey").cast("string")
     made = (F.concat(F.lit("user_name"), c), F.concat(F.lit("first.last"), c, F.lit("@mail"), (F.col("c_custkey") % 7).cast("string"), F.lit(".example")), F.concat(F.lit("Ann Lee "), c), F.concat(F.lit("https://host"), c, F.lit(".example/x")), F.concat(F.lit("u"), (F.col("c_custkey") % 1000).cast("string")))
-    each = table(s, d, "customer").select(F.col("c_nationkey").alias("case"), "c_custkey", F.posexplode(F.array(*made)).alias("j", "value"))
+    each = spread(table(s, d, "customer").select("c_nationkey", "c_custkey"), "c_custkey").select(F.col("c_nationkey").alias("case"), "c_custkey", F.posexplode(F.array(*made)).alias("j", "value"))
     return each.select("case", "value", (F.col("c_custkey") * 10 + F.col("j")).alias("ord"))
 
 
@@ -45,8 +46,8 @@ def log_scrub(s, d):
 
 
 def target_references(s, d):
-    v = _values(s, d).join(_salts(s, d), "case")
-    return v.select("case", "ord", references.reference(F.col("value"), F.col("salt")).alias("target"), references.host_reference(F.col("value"), F.col("salt")).alias("host"))
+    v = _values(s, d).join(_salts(s, d).select("case", references.pads(F.col("salt")).alias("pads")), "case")
+    return v.select("case", "ord", references.reference_under(F.col("value"), F.col("pads")).alias("target"), references.host_reference_under(F.col("value"), F.col("pads")).alias("host"))
 
 
 def value_forms(s, d):
