@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions.ids import AFFIXES, PLATFORM_HOSTS, UNRELATED, username_match
 from attestor.functions.text import folded
 from attestor.functions.urls import bare_host, host_of, path_segments, query_of
-from attestor.sources.steps import bounded, cut
+from attestor.sources.steps import bounded, cut, spread
 
 #: Hosts that list a person's links.
 LINK_HUBS = "linktr.ee beacons.ai lnk.bio carrd.co about.me bio.link campsite.bio solo.to heylink.me".split()
@@ -283,7 +283,7 @@ def similar_handles(requested: DataFrame, observed: DataFrame) -> DataFrame:
     Each observed handle names all forms of which it can be a variant: itself, its
     letters without separators or with fewer digits at an end, every two of its words, and
     what is left when a short end goes; requested handles meet these by
-    equality, by their first two words. So no handle is held against all others.
+    equality, by their first two words, in a shuffle whose size is that of the keys. So no handle is held against all others.
     """
     plain = lambda c: F.lower(F.regexp_replace(F.trim(c), "^@+", ""))
     joined = lambda c: F.regexp_replace(c, r"[-_.]+", "")
@@ -300,10 +300,11 @@ def similar_handles(requested: DataFrame, observed: DataFrame) -> DataFrame:
     pairs = F.flatten(F.transform(w, lambda x: F.transform(F.filter(w, lambda y: y > x), lambda y: tagged("w:", F.concat(x, F.lit(" "), y)))))
     singles = F.transform(w, lambda x: tagged("w:", x))
     made = F.array_distinct(F.array_compact(F.concat(keys(o), ends, heads, tails, pairs, singles)))
-    left = requested.select("requested", plain(F.col("requested")).alias("q")).where("q <> ''").select("requested", F.explode(F.array_distinct(F.array_append(keys(F.col("q")), first_two(F.col("q"))))).alias("key"))
-    right = observed.select("observed", plain(F.col("observed")).alias("o")).where("o <> ''").select("observed", F.explode(made).alias("key"))
+    left = spread(requested).select("requested", plain(F.col("requested")).alias("q")).where("q <> ''").select("requested", F.explode(F.array_distinct(F.array_append(keys(F.col("q")), first_two(F.col("q"))))).alias("key"))
+    right = spread(observed).select("observed", plain(F.col("observed")).alias("o")).where("o <> ''").select("observed", F.explode(made).alias("key"))
     match = username_match(F.col("requested"), F.col("observed"))
-    return left.join(right, "key").select("requested", "observed").distinct().withColumn("match", match).where(F.col("match") != UNRELATED)
+    # Spark judges the exploded keys by the files they come from and would send all of them through the driver
+    return left.join(right.hint("merge"), "key").select("requested", "observed").distinct().withColumn("match", match).where(F.col("match") != UNRELATED)
 
 
 def query_plan(leads: DataFrame, budget: int = 12, per_lead: int = 4) -> DataFrame:
