@@ -142,14 +142,14 @@ ASSOCIATIONS = {"username": "name_plus_username", "email": "name_plus_email", "d
 TRIPLES = r"(?=([^a-z0-9\s]{3}))"
 
 
-def usable_leads(leads: DataFrame) -> DataFrame:
+def usable_leads(leads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """leads(kind, lead) -> kind, lead, form, key of those that can match: handles of three characters, names of two words, addresses with a domain, hosts with a dot.
 
     ``form`` is what is looked for, ``key`` what every text with it has: a run of a
     to z and digits, or the first three characters where it has none; the letters
     around its first space; or what is next to its @.
     """
-    l = leads.select("kind", F.trim("lead").alias("lead")).distinct()  # noqa: E741
+    l = leads.select(*by, "kind", F.trim("lead").alias("lead")).distinct()  # noqa: E741
     name = F.lower(folded(F.col("lead")))
     form = (
         F.when(F.col("kind") == "username", F.lower(F.regexp_replace("lead", "^@+", "")))
@@ -194,7 +194,7 @@ def _keys(leads: DataFrame, low: Column, plain: Column) -> Column:
     return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
-def lead_fields(pages: DataFrame, leads: DataFrame) -> DataFrame:
+def lead_fields(pages: DataFrame, leads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """pages(id, title, snippet, url, author), leads(kind, lead) -> id, version, kind, lead, field, match_type: each page's leads.
 
     Leads and pages meet by equality: each lead has a key, and a page has all keys
@@ -203,19 +203,20 @@ def lead_fields(pages: DataFrame, leads: DataFrame) -> DataFrame:
     on; beyond that all keys of a page meet the leads, which are sent to all tasks
     if they are small (by measured bytes), else by shuffle. What meets is compared with the page's fields, in their
     order, URLs first for handles and hosts. A page that comes twice, or two with
-    one id, are a page each.
+    one id, are a page each. Columns in ``by`` (texts, none null) are both tables': a page meets only leads that
+    agree in these, so that cases whose leads share a key don't meet each other's pages.
     """
-    l = cut(usable_leads(leads), "leads")  # noqa: E741
+    l = cut(usable_leads(leads, by), "leads")  # noqa: E741
     low = F.lower(F.concat_ws("\n", *FIELDS))
     version = F.xxhash64(*(F.coalesce(F.col(c), F.lit("")) for c in FIELDS))
     # a generator stands between, so that texts are folded once and not for each of their keys
-    t = pages.select("id", version.alias("version"), F.inline(F.array(F.struct(low.alias("low"), folded(low).alias("plain")))))
+    t = pages.select(*by, "id", version.alias("version"), F.inline(F.array(F.struct(low.alias("low"), folded(low).alias("plain")))))
     keys = _keys(l, F.col("low"), F.col("plain"))
     some = [r["key"] for r in l.select("key").distinct().limit(FEW_KEYS + 1).collect()]
     if len(some) <= FEW_KEYS:
         keys = F.array_intersect(keys, F.lit(some) if some else F.array().cast("array<string>"))
-    t = t.select("id", "version", F.inline(F.array(F.struct(keys.alias("keys")))))
-    met = t.select("id", "version", F.explode("keys").alias("key")).join(bounded(l), "key")
+    t = t.select(*by, "id", "version", F.inline(F.array(F.struct(keys.alias("keys")))))
+    met = t.select(*by, "id", "version", F.explode("keys").alias("key")).join(bounded(l), [*by, "key"])
     met = cut(met.select("id", "version", "kind", "lead", "form").distinct(), "met").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "kind", "lead", "form")
     f = lambda c: F.coalesce(F.col(c), F.lit(""))
     # what a page is compared by is made once for it, however many leads it meets

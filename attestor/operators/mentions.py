@@ -65,14 +65,15 @@ def judged(hits: DataFrame, leads: DataFrame) -> DataFrame:
 
     ``id`` is the answer's. Added: lead, matched_field, match_type, matched_value, excerpt, relevance,
     reason, associated (the case's handles, addresses and hosts beside a name, addresses masked) and confidence.
-    All leads of all cases meet all hits by keys, once; what of them is the hit's own query, or a lead of
+    A hit meets, by keys, the queries and leads of its own case only; what of them is the hit's own query, or a lead of
     its case, is told by equality. Null cases have no leads beside the query. Hits without a web address don't count.
     """
     kind = F.when(F.col("kind").isin("url", "website"), "domain").otherwise(F.coalesce(F.nullif(F.lower("kind"), F.lit("")), F.lit("username")))
     rows = hits.where(F.trim("url").rlike(r"^https?://[^/]")).withColumn("kind", kind).withColumn("lead", lead_of(F.col("kind"), F.col("query")))
     rows = cut(rows.withColumn("hit", F.concat_ws(":", F.col("id").cast("string"), "provider", F.col("place").cast("string"))), "hits")
-    asked = rows.select("kind", "lead").unionByName(leads.select("kind", "lead")).distinct()
-    found = cut(discovery.lead_fields(rows.select(F.col("hit").alias("id"), *discovery.FIELDS), asked).drop("version").distinct().withColumnRenamed("id", "hit"), "found")
+    scope = F.concat_ws(":", F.lit("case"), F.col("case").cast("string")).alias("scope")  # null cases are one
+    asked = rows.select(scope, "kind", "lead").unionByName(leads.select(scope, "kind", "lead")).distinct()
+    found = cut(discovery.lead_fields(rows.select(scope, F.col("hit").alias("id"), *discovery.FIELDS), asked, ("scope",)).drop("version").distinct().withColumnRenamed("id", "hit"), "found")
 
     names = rows.where("kind = 'name'").select("hit", "case").distinct()
     beside = found.where(F.col("kind").isin(*discovery.DIRECT_KINDS)).select("hit", "kind", "lead").join(names, "hit").join(leads, ["case", "kind", "lead"])

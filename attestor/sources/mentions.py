@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from attestor.functions.results import result_list
 from attestor.functions.text import squeezed
 from attestor.functions.urls import unwrapped
+from attestor.sources.steps import spread
 
 LANDED = "id string, status int, body string, provider string"
 #: Services in the order in which they are asked. A local meta search comes last.
@@ -110,7 +111,7 @@ def hits(landed: DataFrame, limit: int = 5) -> DataFrame:
 
     Entries that are no objects, have no link, or come after as many as are taken of a service
     (twice ``limit`` of a page, ``limit`` of the local search) aren't read and have no
-    fields. An answer without entries, an error, a body of another shape, or one of an unknown
+    fields. Answers are few bytes for what reading them costs, so they are dealt over all tasks. An answer without entries, an error, a body of another shape, or one of an unknown
     service is one row without place. Numbers are written as Spark writes them; null and empty
     fields give way to the next. Other columns, but for body and those above, are handed on.
     """
@@ -118,6 +119,8 @@ def hits(landed: DataFrame, limit: int = 5) -> DataFrame:
     tree = F.try_parse_json(F.when(ok & F.col("provider").isin(*SHAPES), F.col("body")))
     page = F.when(ok & F.col("provider").isin(*PAGES), F.col("body"))
     kept = [c for c in landed.columns if c not in ("body", "place", "read", *FIELDS)]
+    if not landed.isStreaming:
+        landed = spread(landed)
     # what is parsed is parsed once, however many columns ask for it
     parsed = landed.select(*kept, F.inline(F.array(F.struct(tree.alias("tree"), F.when(page.isNotNull(), result_list(page)).alias("results")))))
     made = F.when(F.col("provider").isin(*PAGES), _within(F.transform("results", _page_hit), 2 * limit))
