@@ -18,3 +18,14 @@ def test_json_answers_are_parsed_once_and_in_all_tasks(spark):
     assert plan(got).count("parse_json") + plan(got).count("ParseJson") <= 1 and got.columns == ["status", "body", "id_path", "handle", "observed", "check_status"]
     assert [(r["check_status"], r["observed"]) for r in got.collect()] == [("CONFIRMED", "Ann"), ("INCONCLUSIVE", None), ("NOT_FOUND", None), ("NOT_FOUND", None)]
     assert check_queries.json_cascade(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_site_of_many_pages_is_not_one_task(spark):
+    site = lambda n: (n, "generic_html", False, [200], [404], [], [], [], [], ["gone"], [], [], None, None, None)
+    pages = spark.createDataFrame([("A" if k % 9 else "B", f"https://s.example/u{k}", f"https://s.example/u{k}", 200, "gone" if k % 2 else "", f"u{k}") for k in range(90)], "site string, url string, final_url string, status int, html string, handle string")
+    sites = spark.createDataFrame([site("A"), site("B")], checks.SITE)
+    got = checks.classify_pages(pages, sites)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().sparkPlan().toString() and got.where("check_status = 'NOT_FOUND'").count() == 45
+    # of a catalog that is too large each row meets a share of its site's pages, and each page its site once
+    dealt = checks.with_sites(pages, sites, megabytes=0)
+    assert dealt.count() == 90 and dealt.select("site", "handle").distinct().count() == 90
