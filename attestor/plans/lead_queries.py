@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import ids, text, urls
 from attestor.operators import discovery, runs
+from attestor.sources.steps import shares
 from attestor.streaming import windows
 
 from . import views
@@ -179,7 +180,7 @@ def observation_status(s, d):
 
 
 def rollback_view(s, d):
-    facts = table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_linenumber", "l_partkey")
+    facts = shares(table(s, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), "l_partkey"), "run_id")
     kept = runs.without_runs(facts, _orders(s, d).where("status = 'rolled_back'"))
     return kept.groupBy("run_id").agg(F.count("*").alias("facts"), F.countDistinct("l_partkey").alias("entities"))
 

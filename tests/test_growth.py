@@ -29,3 +29,11 @@ def test_a_site_of_many_pages_is_not_one_task(spark):
     # of a catalog that is too large each row meets a share of its site's pages, and each page its site once
     dealt = checks.with_sites(pages, sites, megabytes=0)
     assert dealt.count() == 90 and dealt.select("site", "handle").distinct().count() == 90
+
+
+def test_facts_of_runs_are_dealt_by_their_number(spark):
+    from attestor.plans import lead_queries
+    from attestor.sources.steps import shares
+
+    assert shares(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
+    assert "RepartitionByExpression [run_id" in plan(lead_queries.rollback_view(spark, SF))
