@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import folded, squeezed
-from .urls import bare_host, canonical, ipv4_number, suffix_labels
+from .urls import bare_host, canonical, ipv4_number, suffix_among, suffix_labels
 
 EMAIL = r"^[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}$"
 USERNAME = r"^[A-Za-z0-9._\-]{1,64}$"
@@ -28,12 +28,24 @@ def hash_algorithm(value: Column) -> Column:
 
 def domain_of(value: Column) -> Column:
     """A domain in lower case without scheme, path, port and last dots; null without a known public suffix."""
-    v = F.regexp_replace(F.lower(F.trim(value)), r"^[a-z][a-z0-9+.-]*://", "")
-    v = F.rtrim(F.split_part(F.split_part(v, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)), F.lit("."))
+    v = plain_host(value)
     k = suffix_labels(v)
     return F.when((k > 0) & (F.size(F.split(v, r"\.")) > k) & v.rlike(DOMAIN), v)
 
 
+def plain_host(value: Column) -> Column:
+    """In lower case without scheme, path, port and last dots."""
+    v = F.regexp_replace(F.lower(F.trim(value)), r"^[a-z][a-z0-9+.-]*://", "")
+    return F.rtrim(F.split_part(F.split_part(v, F.lit("/"), F.lit(1)), F.lit(":"), F.lit(1)), F.lit("."))
+
+
+def known_domains(hosts: Column) -> Column:
+    """Of an array of plain hosts those that ``domain_of`` knows, each once; for use in arrays, where an expression is computed wherever it is written."""
+    split = F.transform(F.array_distinct(hosts), lambda v: F.struct(v.alias("v"), F.split(v, r"\.").alias("labels")))
+    known = F.transform(split, lambda x: F.struct(x["v"].alias("v"), F.size(x["labels"]).alias("n"), suffix_among(x["labels"]).alias("k")))
+    return F.transform(F.filter(known, lambda x: (x["k"] > 0) & (x["n"] > x["k"]) & x["v"].rlike(DOMAIN)), lambda x: x["v"])
+
+
 def asn_of(value: Column) -> Column:
     return F.when(F.trim(value).rlike(ASN), F.concat(F.lit("AS"), F.regexp_extract(F.trim(value), "([0-9]+)$", 1).cast("long").cast("string")))
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import text as text_
-from attestor.functions.ids import domain_of, mask
+from attestor.functions.ids import known_domains, mask, plain_host
+from attestor.functions.markup import let
 
 CERTS = "array<struct<id:bigint,min_cert_id:bigint,name_value:string,common_name:string,issuer_name:string,serial_number:string,not_before:string,not_after:string>>"
 RDAP = """struct<handle:string,ldhName:string,name:string,country:string,type:string,objectClassName:string,port43:string,startAddress:string,endAddress:string,
@@ -28,10 +29,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: str
 
 def certificates(landed: DataFrame, body: str = "body") -> DataFrame:
     """One row for each certificate id of a landing, the first in order; those without id share one place. Names are its hosts, wildcards by what they stand for."""
-    rows = landed.select("id", F.posexplode(F.from_json(body, CERTS)).alias("ord", "c"))
-    first = rows.groupBy("id", F.coalesce("c.id", "c.min_cert_id").alias("cert_id")).agg(F.min_by("c", "ord").alias("c"), F.min("ord").alias("ord"))
-    host = lambda n: domain_of(F.regexp_replace(F.lower(F.trim(n)), r"^[*.]+", ""))
-    names = F.array_sort(F.array_distinct(F.array_compact(F.transform(F.split(F.coalesce("c.name_value", F.lit("")), "\n"), host))))
+    # of a landing only the first of each number leaves its row: numbers are sorted with their places
+    key = lambda c, at: F.struct(F.coalesce(c["id"], c["min_cert_id"]).alias("cert_id"), at.alias("ord"))
+    new = lambda ks: F.filter(ks, lambda k, at: (at == 0) | ~k["cert_id"].eqNullSafe(F.get(ks, at - 1)["cert_id"]))
+    firsts = lambda cs: F.transform(let(F.sort_array(F.transform(cs, key)), new), lambda k: F.struct(k["cert_id"].alias("cert_id"), k["ord"].alias("ord"), F.get(cs, k["ord"]).alias("c")))
+    rows = landed.select("id", F.inline(let(F.from_json(body, CERTS), firsts)))
+    first = rows.groupBy("id", "cert_id").agg(F.min_by("c", "ord").alias("c"), F.min("ord").alias("ord"))
+    host = lambda n: plain_host(F.regexp_replace(F.lower(F.trim(n)), r"^[*.]+", ""))
+    names = F.array_sort(known_domains(F.transform(F.split(F.coalesce("c.name_value", F.lit("")), "\n"), host)))
     columns = {"issuer": "issuer_name", "serial": "serial_number", "not_before": "not_before", "not_after": "not_after"}
     return first.select("id", "cert_id", "ord", names.alias("names"), F.lower(F.coalesce("c.common_name", F.lit(""))).alias("common_name"), *(F.col(f"c.{c}").alias(n) for n, c in columns.items()))
 

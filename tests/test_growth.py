@@ -37,3 +37,12 @@ def test_facts_of_runs_are_dealt_by_their_number(spark):
 
     assert shares(spark.range(1000), "id", rows=10).rdd.getNumPartitions() == 100
     assert "RepartitionByExpression [run_id" in plan(lead_queries.rollback_view(spark, SF))
+
+
+def test_names_of_certificates_are_computed_once(spark):
+    from attestor.sources import landed
+
+    body = '[{"id":2,"name_value":"*.B.example.com\\nb.example.com\\nnone"},{"id":1,"name_value":"x"},{"min_cert_id":2,"name_value":"late.example.com"},{"name_value":"n.example.com"},{"name_value":"m.example.com"}]'
+    got = landed.certificates(spark.createDataFrame([(1, body), (2, "no json"), (3, "[]")], "id int, body string"))
+    assert sorted((r["ord"], r["cert_id"], r["names"]) for r in got.collect()) == [(0, 2, ["b.example.com"]), (1, 1, []), (3, None, ["n.example.com"])]
+    assert plan(got).count("regexp_replace") <= 2 and plan(got).count("from_json") + plan(got).count("jsontostructs") <= 1
