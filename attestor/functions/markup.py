@@ -8,6 +8,8 @@ All loops of the pattern are possessive, so broken pages cost linear time.
 from __future__ import annotations
 
 import html as entities
+import re
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ATTRIBUTES = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+[^>=]*+)*+"""
+REFERENCE = re.compile("&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)")
 #: Elements whose text is not searched for tags.
 RAW = ("script", "style", "textarea", "title")
 TOKEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(rf"<{t}(?=[\s/>]){ATTRIBUTES}>.*?(?:</{t}(?=[\s/>])[^>]*+>|\z)" for t in RAW) + rf"|<[a-z][^\s/>=]*+{ATTRIBUTES}>"
@@ -67,8 +70,9 @@ def rel(token: Column, word: str) -> Column:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def unescaped(values: pd.Series) -> pd.Series:
-    """Texts with their character references resolved."""
-    return values.map(lambda vs: None if vs is None else [None if v is None else entities.unescape(v) for v in vs])
+    """Texts with their character references resolved; a name counts only with its semicolon, so what a text cut short or a URL's parameters begin with stays."""
+    one = lambda m: html5.get(m[0][1:], m[0]) if m[0][1] != "#" else entities.unescape(m[0])
+    return values.map(lambda vs: None if vs is None else [None if v is None else REFERENCE.sub(one, v) for v in vs])
 
 
 def json_blocks(tokens: Column) -> Column:

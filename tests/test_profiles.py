@@ -65,6 +65,12 @@ def test_tags_are_those_of_a_parser(spark):
         assert got.get(k, []) == parser.found, text
 
 
+def test_names_of_characters_count_with_their_semicolon(spark):
+    texts = ["the&&amp", "?a=1&copy=2&amp;b=3", "&eacute;&#233;&#xe9;&#39 &lt;b&gt;", "&ampx; &none; &;", None]
+    got = spark.createDataFrame([(texts,)], "t array<string>").select(markup.unescaped("t").alias("t")).first()["t"]
+    assert got == ["the&&amp", "?a=1&copy=2&b=3", "ééé' <b>", "&ampx; &none; &;", None]
+
+
 def test_broken_pages_take_linear_time(spark):
     bad = ["<a href=" * 20_000, "<!--" * 20_000, "<a x='" + "b=\"" * 30_000, "<script>" * 10_000, "<" * 50_000]
     rows = spark.createDataFrame(list(enumerate(bad)), "id long, html string")
