@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,10 @@ FREQUENT = 50
 #: Hubs that each token names in each round, before all further candidates between groups are compared.
 HUBS = (1, 5)
 SKETCH_WORDS = 8
-MAX_WORDS = 1_000_000
+#: Words whose hashes a task keeps, some 60 MB.
+MAX_WORDS = 200_000
+#: Pairs whose texts a worker has as Python strings at once.
+PAIRS_AT_ONCE = 200
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 #: Odd factors that give orders 2 and 3.
@@ -191,17 +195,19 @@ def verified(pairs: DataFrame, numbered: DataFrame, width: int, percent: int) ->
     texts = cut(of_rows(numbered.select("row", "text"), pairs), "texts")
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept = _WordHashes(), {}
         for batch in batches:
             on = []
-            for b, x, y in zip(batch["b"], batch["x"], batch["y"], strict=True):
-                if b not in kept:  # a hub's pairs follow one another
-                    kept = {b: shingle_hashes(y, width, hashes)}
-                on.append(is_linked(shingle_hashes(x, width, hashes), kept[b], percent))
-            yield batch.loc[on, ["a", "b"]]
-
-    return cut(both.select("a", "b", "x", "y").mapInPandas(run, "a long, b long"), "links")
+            for k in range(0, batch.num_rows, PAIRS_AT_ONCE):
+                part = batch.slice(k, PAIRS_AT_ONCE)
+                for b, x, y in zip(*(part.column(c).to_pylist() for c in ("b", "x", "y")), strict=True):
+                    if b not in kept:  # a hub's pairs follow one another
+                        kept = {b: shingle_hashes(y, width, hashes)}
+                    on.append(is_linked(shingle_hashes(x, width, hashes), kept[b], percent))
+            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    return cut(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "links")
 
 
 def is_linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:

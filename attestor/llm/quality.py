@@ -49,7 +49,7 @@ MAX_BROADCAST = 5000
 #: Words that a task sums before it hands the sums on.
 MAX_SUMS = 100_000
 #: Words whose plain form a task keeps at hand.
-MAX_KEPT = 500_000
+MAX_KEPT = 80_000
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 

@@ -248,3 +248,15 @@ def test_edge_rows_are_scored(docs):
 
 def test_fixed_tables_are_plain():
     assert json.dumps(licences.TEMPLATES) and len(set(toxicity.INSULTS)) == len(toxicity.INSULTS)
+
+
+def test_a_worker_keeps_few_words():
+    """A worker stays for the steps of the pipeline that follow, with what it keeps."""
+    from attestor.llm import ngram_join, quality
+
+    words, hashes, codec = [f"w{k}" for k in range(260_000)], ngram_join._WordHashes(), bpe.Codec(bpe.vocabulary())
+    ngram_join.shingle_hashes(" ".join(words), 5, hashes)
+    quality.word_times(words)
+    for _ in codec.encode_batch(" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)):
+        pass
+    assert max(map(len, (hashes, quality._plain, codec.runs, codec.bytes_of_run))) <= 200_000
