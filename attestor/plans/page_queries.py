@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestor.functions import ids, text, times, urls
+from attestor.operators import similar
+from attestor.sources.steps import bounded, cut
 
 from .views import HOST_SQL, table
 
@@ -209,19 +210,14 @@ def backoff_table(s, d):
 def token_jaccard_pairs(s, d):
     """Documents of one source whose words of over three letters are alike (0.65), by prefix filter; equal sets are one, named by the smallest doc_id."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 3))
-    w = _docs(s, d).select("doc_id", "source", F.array_sort(words).alias("w")).where(F.size("w") >= 3)
-    w = w.groupBy("source", "w").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("w"))
-    t = w.select("source", "doc_id", "n", F.explode("w").alias("t"))
-    df = t.groupBy("source", "t").agg(F.count("*").alias("df"))
-    # only the rarest words of each set need to be joined: similar sets share one of these
-    rare = t.join(df, ["source", "t"]).withColumn("k", F.row_number().over(Window.partitionBy("source", "doc_id").orderBy("df", "t"))).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * 65 / 100) + 1)
-    rare = rare.where("df > 1").select("source", "t", "doc_id", "n")
-    other = rare.select("source", "t", F.col("doc_id").alias("other"), F.col("n").alias("m"))
-    pairs = rare.join(other, ["source", "t"]).where("doc_id < other AND 100 * least(n, m) >= 65 * greatest(n, m)").select("doc_id", "other").distinct()
-    j = pairs.join(w.select("doc_id", "w"), "doc_id").join(w.select(F.col("doc_id").alias("other"), F.col("w").alias("v")), "other")
-    shared = F.size(F.array_intersect("w", "v"))
-    jaccard = shared / (F.size("w") + F.size("v") - shared)
-    return j.select("doc_id", "other", F.round(jaccard, 6).alias("jaccard")).where("jaccard >= 0.65")
+    w = _docs(s, d).select(F.col("doc_id").alias("id"), "source", words.alias("words")).where(F.size("words") >= 3)
+    # equal sets meet by a digest of their words, which hold no spaces
+    same = F.sha2(F.array_join(F.array_sort("words"), " "), 256)
+    once = cut(w.groupBy("source", same.alias("same")).agg(F.min("id").alias("id")).select("id", F.col("source").alias("o_source")), "once")
+    w = w.join(bounded(once).withColumnRenamed("id", "o_id"), (F.col("id") == F.col("o_id")) & (F.col("source") == F.col("o_source")), "left_semi")
+    jaccard = F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))
+    j = similar.set_pairs(w, 65, "source")
+    return j.select(F.col("id").alias("doc_id"), "other", F.round(jaccard, 6).alias("jaccard")).where("jaccard >= 0.65")
 
 
 RE2_SECRETS = {k: p.replace("'", "''") for k, p in text.SECRETS.items()}
