@@ -35,17 +35,21 @@ def set_pairs(sets: DataFrame, percent: int, by: str) -> DataFrame:
     """
     made = cut(sets.where(F.col(by).isNotNull()).select("id", F.transform("words", lambda x: F.xxhash64(F.col(by), x)).alias("tokens")), "sets")
     met = cut(meetings(postings(made, percent), percent), "met")
-    named = cut(met.select(F.explode(F.array("id", "other")).alias("p_id")).distinct(), "named")
-    few = lambda df: df.join(bounded(named), F.col("id") == F.col("p_id"), "left_semi")
-    drawn = cut(few(made).select("id", F.size("tokens").alias("n"), sketches("tokens").alias("sketch")), "sketches")
+    drawn = cut(named(made, met).select("id", F.size("tokens").alias("n"), sketches("tokens").alias("sketch")), "sketches")
     side = lambda c: drawn.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     pairs = cut(met.join(side("id"), "id").join(side("other"), "other").where(near(percent)).select("id", "other"), "pairs")
-    held = cut(few(sets.select("id", "words")), "held")
+    held = cut(named(sets.select("id", "words"), pairs), "held")
     j = pairs.join(held.withColumnRenamed("words", "w"), "id").join(held.select(F.col("id").alias("other"), F.col("words").alias("v")), "other")
     j = j.select("id", "other", F.size("w").alias("n"), F.size("v").alias("m"), F.size(F.array_intersect("w", "v")).alias("shared"))
     return j.where(100 * F.col("shared") >= percent * (F.col("n") + F.col("m") - F.col("shared")))
 
 
+def named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the sets that are in pairs(id, other)."""
+    ids = cut(pairs.select(F.explode(F.array("id", "other")).alias("p_id")).distinct(), "named")
+    return sets.join(bounded(ids), F.col("id") == F.col("p_id"), "left_semi")
+
+
 def postings(made: DataFrame, percent: int) -> DataFrame:
     """made(id, tokens) -> (id, n, pos, t, t1, t2): the first tokens of each set that others have too, their places and the two before them. Written.
 
