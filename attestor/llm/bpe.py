@@ -37,7 +37,7 @@ from .common import table
 VOCABULARY = "byte_bpe_50k.json"
 #: The split pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker's words and pairs that are kept: some 120 MB, as a worker stays for the steps that follow.
+#: Words and pairs that a worker keeps; it stays for the steps that follow.
 MAX_WORDS = 200_000
 MAX_PAIRS = 200_000
 #: Words of more bytes are merged by passes.

@@ -51,7 +51,7 @@ FREQUENT = 50
 #: Hubs that each token names in each round, before all further candidates between groups are compared.
 HUBS = (1, 5)
 SKETCH_WORDS = 8
-#: Words whose hashes a task keeps, some 60 MB.
+#: Words whose hashes a task keeps.
 MAX_WORDS = 200_000
 #: Pairs whose texts a worker has as Python strings at once.
 PAIRS_AT_ONCE = 200
