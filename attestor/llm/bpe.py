@@ -42,6 +42,10 @@ MAX_WORDS = 200_000
 MAX_PAIRS = 200_000
 #: Words of more bytes are merged by passes.
 LONG_WORD = 256
+#: First bytes of a token by which it is looked up.
+START = 4
+#: Failing words of at most so many bytes are merged together.
+WIDTHS = (12, 24)
 #: Characters whose new words are learnt together.
 CHUNK = 500_000
 
@@ -78,10 +82,14 @@ class Codec:
         self.rank = {a << 32 | b: k for k, (a, b, _) in enumerate(halves)}
         self.made = [c for _, _, c in halves]
         self.id_of_byte = [self.id_of[bytes([b])] for b in range(256)]
-        self.lengths: dict[bytes, list[int]] = {}  # of tokens, by their first two bytes, longest first
+        # of tokens, by their first bytes and no longer than what is left, longest first
+        by_start: dict[bytes, set[int]] = {}
         for b in self.id_of:
-            self.lengths.setdefault(b[:2], []).append(len(b))
-        self.lengths = {b: sorted({*n, 1}, reverse=True) for b, n in self.lengths.items()}
+            for k in range(1, min(len(b), START) + 1):
+                by_start.setdefault(b[:k], set()).add(len(b))
+        for b, n in by_start.items():
+            n.update(k for k in range(1, len(b) + 1) if b[:k] in self.id_of)
+        self.lengths = {b: tuple(sorted((k for k in n if len(b) == START or k <= len(b)), reverse=True)) for b, n in by_start.items()}
         # for the test of pairs: when each token is formed, and of what
         n = max(self.bytes_of) + 1
         self.formed, self.left, self.right = np.full(n, -1), np.full(n, -1), np.full(n, -1)
@@ -90,9 +98,13 @@ class Codec:
                 self.formed[c], self.left[c], self.right[c] = k, a, b
         order = np.argsort(keys := np.array([a << 32 | b for a, b, _ in halves], np.int64))
         self.merge_key, self.merge_rank = keys[order], order
+        self.made_of, byte = np.array(self.made), np.array(self.id_of_byte)
+        rank = self._rank_of(np.repeat(byte, 256), np.tile(byte, 256))
+        self.byte_ids, self.byte_ranks = byte, np.where(rank < 0, len(halves), rank).reshape(256, 256)
         self.runs: dict[str, str] = {}
         self.bytes_of_run: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.written = {i: str(i) for i in self.bytes_of}
         self.start()
 
     def merged(self, word: bytes) -> list[int]:
@@ -129,11 +141,53 @@ class Codec:
             ids = out
         return ids
 
+    def merged_all(self, words: list[bytes]) -> list[list[int]]:
+        """``merged`` for many short words at once: a row for each, a merge of each in a pass; what is merged away leaves a gap."""
+        n, none, width = len(words), len(self.made), max(map(len, words), default=0)
+        if not width:
+            return [[] for _ in words]
+        size = np.fromiter(map(len, words), np.int64, n)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        row = np.repeat(np.arange(n), size)
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        ids, rank = np.full((n, width + 1), -1), np.full((n, width + 1), none)
+        ids[row, place] = self.byte_ids[flat]
+        inside = place[:-1] + 1 < size[row[:-1]]
+        rank[row[:-1][inside], place[:-1][inside]] = self.byte_ranks[flat[:-1][inside], flat[1:][inside]]
+        after, before = np.tile(np.arange(1, width + 2), (n, 1)), np.tile(np.arange(-1, width), (n, 1))
+
+        def again(rows: np.ndarray, left: np.ndarray, right: np.ndarray, there: np.ndarray) -> None:
+            rows, left, right = rows[there], left[there], right[there]
+            r = self._rank_of(ids[rows, left], ids[rows, right])
+            rank[rows, left] = np.where(r < 0, none, r)
+
+        live = np.arange(n)
+        while live.size:
+            k = rank[live].argmin(1)  # the first of the lowest
+            r = rank[live, k]
+            go = r < none
+            live, k, r = live[go], k[go], r[go]
+            gone = after[live, k]
+            then = after[live, gone]
+            ids[live, k], ids[live, gone] = self.made_of[r], -1
+            rank[live, k] = rank[live, gone] = none
+            after[live, k], before[live, np.minimum(then, width)] = then, k
+            again(live, k, then, then < size[live])
+            again(live, before[live, k], k, before[live, k] >= 0)
+        stay = ids >= 0
+        out, end = ids[stay].tolist(), np.cumsum(stay.sum(1)).tolist()
+        return [out[a:b] for a, b in zip([0, *end], end, strict=False)]
+
     def greedy(self, word: bytes) -> list[int]:
         """The longest token at each place."""
         out, at, n, get, lengths = [], 0, len(word), self.id_of.get, self.lengths
         while at < n:
-            for k in lengths.get(word[at : at + 2], (1,)):
+            start = word[at : at + START]
+            sizes = lengths.get(start)
+            while sizes is None:
+                start = start[:-1]
+                sizes = lengths.get(start)
+            for k in sizes:
                 if at + k <= n and (i := get(word[at : at + k])) is not None:
                     out.append(i)
                     at += k
@@ -192,12 +246,20 @@ class Codec:
         """Encodes words that are new to this worker."""
         words = [w.encode() for w in new]
         proposed, wrong = self.propose(words)
-        for k in np.flatnonzero(wrong).tolist():
-            proposed[k] = self.merged(words[k])
+        left, least = np.flatnonzero(wrong).tolist(), 0
+        for most in WIDTHS:
+            some = [k for k in left if least < len(words[k]) <= most]
+            for k, ids in zip(some, self.merged_all([words[k] for k in some]), strict=True):
+                proposed[k] = ids
+            least = most
+        for k in left:
+            if len(words[k]) > least:
+                proposed[k] = self.merged(words[k])
+        written, of = self.written, self.bytes_of.__getitem__
         for w, ids in zip(new, proposed, strict=True):
-            run = ",".join(map(str, ids))
+            run = ",".join([written[i] for i in ids])
             self.runs[w] = run
-            self.bytes_of_run[run] = b"".join(map(self.bytes_of.__getitem__, ids))
+            self.bytes_of_run[run] = b"".join(map(of, ids))
 
     def words(self, text: str) -> list[str]:
         """A text's words by the split pattern; special tokens stay whole."""
@@ -252,9 +314,8 @@ class Codec:
     def decode_runs(self, runs: list[str]) -> str:
         """The text of runs; what a run of ids stands for is looked up once."""
         known = self.bytes_of_run
-        for run in runs:
-            if run not in known:
-                known[run] = b"".join(self.bytes_of[int(i)] for i in run.split(","))
+        for run in set(runs).difference(known):
+            known[run] = b"".join(self.bytes_of[int(i)] for i in run.split(","))
         return b"".join(map(known.__getitem__, runs)).decode("utf-8", "replace")
 
 

@@ -260,3 +260,17 @@ def test_a_worker_keeps_few_words():
     for _ in codec.encode_batch(" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)):
         pass
     assert max(map(len, (hashes, quality._plain, codec.runs, codec.bytes_of_run))) <= 200_000
+
+
+def test_bpe_merges_words_together_as_one_by_one():
+    codec, rng = bpe.Codec(bpe.vocabulary()), random.Random(3)
+    words = [bytes(rng.choice(b"abcdeeetthhan orisst") for _ in range(rng.randrange(1, 25))) for _ in range(2_000)]
+    words += [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 25))) for _ in range(500)] + [b"a" * k for k in range(1, 25)]
+    assert codec.merged_all(words) == [codec.merged(w) for w in words] and codec.merged_all([]) == []
+    longest = lambda w: next(w[:k] for k in range(len(w), 0, -1) if w[:k] in codec.id_of)
+    for w in words:
+        at = 0
+        for i in codec.greedy(w):
+            assert codec.bytes_of[i] == longest(w[at:])
+            at += len(codec.bytes_of[i])
+        assert at == len(w)
