@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestor.functions.ids import AFFIXES, PLATFORM_HOSTS, UNRELATED, username_match
 from attestor.functions.text import folded
 from attestor.functions.urls import bare_host, host_of, path_segments, query_of
-from attestor.sources.steps import bounded, cut, spread
+from attestor.sources.steps import cut, fits, spread
 
 #: Hosts that list a person's links.
 LINK_HUBS = "linktr.ee beacons.ai lnk.bio carrd.co about.me bio.link campsite.bio solo.to heylink.me".split()
@@ -171,57 +171,74 @@ def usable_leads(leads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return l.withColumn("form", form).where(fits).withColumn("key", F.when(F.col("kind") == "name", gap).when(F.col("kind") == "email", at).otherwise(word))
 
 
-FEW_KEYS = 4_000
+#: So many keys are looked for one by one.
+FEW_KEYS = 40
 #: The key of leads that have none, such as one of two marks around a space; every text has it.
 ANY = " "
 
 
-def _keys(leads: DataFrame, low: Column, plain: Column) -> Column:
-    """All keys of a text that leads of these kinds can have. ``leads`` are written, so their shapes are cheap to ask for: there are at most fourteen."""
+def _shapes(leads: DataFrame) -> list[str]:
+    """The shapes of keys that leads have; ``leads`` are written, so these are cheap to ask for: there are at most fourteen."""
     n = F.instr("key", " ")
     other = F.when(F.col("kind") == "email", "email").when(F.col("key") == ANY, "any").when(F.col("key").rlike("^[a-z0-9]"), "run").otherwise("triple")
     shapes = leads.select(F.when(F.col("kind") == "name", F.concat_ws(",", n - 1, F.length("key") - n)).otherwise(other).alias("s")).distinct().collect()
+    return sorted(r["s"] for r in shapes)
+
+
+def _keys(shapes: list[str], low: Column, plain: Column) -> Column:
+    """All keys of a text that leads of these shapes can have."""
     around = lambda a, b: F.regexp_extract_all(plain, F.lit(rf"(?=(\S{{{a}}} \S{{{b}}}))"), F.lit(1))
     # an address may follow letters that aren't its own, so what stands before an @ counts from each of its letters
     begun = lambda m: F.transform(F.sequence(F.lit(1), F.instr(m, "@")), lambda k: F.substr(m, k))
     forms = {
         "run": F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)),
         "triple": F.regexp_extract_all(low, F.lit(TRIPLES), F.lit(1)),
-        "email": F.flatten(F.transform(F.regexp_extract_all(low, F.lit("([a-z0-9]*@[a-z0-9]*)"), F.lit(1)), begun)),
+        "email": F.when(low.contains("@"), F.flatten(F.transform(F.regexp_extract_all(low, F.lit("(?<![a-z0-9])(?=([a-z0-9]*+@[a-z0-9]*))"), F.lit(1)), begun))).otherwise(F.array().cast("array<string>")),
         "any": F.array(F.lit(ANY)),
     }
-    parts = [forms[r["s"]] if r["s"] in forms else around(*map(int, r["s"].split(","))) for r in sorted(shapes)]
+    parts = [forms[s] if s in forms else around(*map(int, s.split(","))) for s in shapes]
     return F.array_distinct(F.concat(*parts)) if parts else F.array().cast("array<string>")
 
 
+def _few_keys(leads: DataFrame) -> Column | None:
+    """Which keys of handles, names and hosts a text holds, if these are few: each is looked for, and a text's other words are never written out. What stands inside of a word is told when fields are compared."""
+    few = leads.where((F.col("kind") != "email") & (F.col("key") != ANY)).select("key", (F.col("kind") == "name").alias("named")).distinct().limit(FEW_KEYS + 1).collect()
+    held = [F.when(F.col("plain" if r["named"] else "low").contains(r["key"]), r["key"]) for r in sorted(few)]
+    return None if len(few) > FEW_KEYS else F.array_compact(F.array(*held)) if held else F.array().cast("array<string>")
+
+
 def lead_fields(pages: DataFrame, leads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """pages(id, title, snippet, url, author), leads(kind, lead) -> id, version, kind, lead, field, match_type: each page's leads.
 
     Leads and pages meet by equality: each lead has a key, and a page has all keys
-    that it could meet. Leads are written once. While they have at most ``FEW_KEYS``
-    keys, these are part of the plan and of a page only keys that lead somewhere go
-    on; beyond that all keys of a page meet the leads, which are sent to all tasks
-    if they are small (by measured bytes), else by shuffle. What meets is compared with the page's fields, in their
+    that it could meet. Leads are written once. If they are small (by measured bytes) they are sent to all
+    tasks, and what meets is compared where the page is, in one pass in which no text is shuffled; else
+    keys meet leads by shuffle, and what met is joined with the pages' texts as they came. What meets is compared with the page's fields, in their
     order, URLs first for handles and hosts. A page that comes twice, or two with
     one id, are a page each. Columns in ``by`` (texts, none null) are both tables': a page meets only leads that
     agree in these, so that cases whose leads share a key don't meet each other's pages.
     """
     l = cut(usable_leads(leads, by), "leads")  # noqa: E741
-    low = F.lower(F.concat_ws("\n", *FIELDS))
+    shapes = _shapes(l)
+    names = any("," in s for s in shapes)
     version = F.xxhash64(*(F.coalesce(F.col(c), F.lit("")) for c in FIELDS))
-    # a generator stands between, so that texts are folded once and not for each of their keys
-    t = pages.select(*by, "id", version.alias("version"), F.inline(F.array(F.struct(low.alias("low"), folded(low).alias("plain")))))
-    keys = _keys(l, F.col("low"), F.col("plain"))
-    some = [r["key"] for r in l.select("key").distinct().limit(FEW_KEYS + 1).collect()]
-    if len(some) <= FEW_KEYS:
-        keys = F.array_intersect(keys, F.lit(some) if some else F.array().cast("array<string>"))
-    t = t.select(*by, "id", "version", F.inline(F.array(F.struct(keys.alias("keys")))))
-    met = t.select(*by, "id", "version", F.explode("keys").alias("key")).join(bounded(l), [*by, "key"])
-    met = cut(met.select("id", "version", "kind", "lead", "form").distinct(), "met").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "kind", "lead", "form")
     f = lambda c: F.coalesce(F.col(c), F.lit(""))
-    # what a page is compared by is made once for it, however many leads it meets
-    shown = pages.select("id", version.alias("version"), *(f(c).alias(c) for c in FIELDS), *(F.lower(f(c)).alias(f"low_{c}") for c in FIELDS), *(F.lower(folded(f(c))).alias(f"plain_{c}") for c in FIELDS))
-    both = shown.join(bounded(met), (F.col("version") == F.col("m_version")) & F.col("id").eqNullSafe(F.col("m_id")))
+    rows = spread(pages.select(*by, "id", *FIELDS))
+    plain = [F.when(f(c) == "", F.lit("")).otherwise(F.lower(folded(f(c)))).alias(f"plain_{c}") for c in FIELDS] if names else [F.lower(f(c)).alias(f"plain_{c}") for c in FIELDS]
+    # a generator stands between, so that texts are folded once and not for each of their keys
+    shown = rows.select(*by, "id", version.alias("version"), *(f(c).alias(c) for c in FIELDS), F.inline(F.array(F.struct(*(F.lower(f(c)).alias(f"low_{c}") for c in FIELDS), *plain))))
+    joined = lambda p: F.concat_ws("\n", *(f"{p}_{c}" for c in FIELDS))
+    few = _few_keys(l)
+    found = _keys(shapes if few is None else [s for s in shapes if s in ("email", "any")], F.col("low"), F.col("plain"))
+    if few is not None:
+        found = F.array_distinct(F.concat(few, found))
+    keyed = lambda df, kept: df.select(*kept, F.inline(F.array(F.struct(joined("low").alias("low"), joined("plain").alias("plain"))))).select(*kept, F.explode(found).alias("key"))
+    if fits(l):
+        both = keyed(shown, shown.columns).join(F.broadcast(l), [*by, "key"])
+    else:
+        met = keyed(shown, [*by, "id", "version"]).join(l, [*by, "key"])
+        met = cut(met.select("id", "version", "kind", "lead", "form").distinct(), "met").select(F.col("id").alias("m_id"), F.col("version").alias("m_version"), "kind", "lead", "form")
+        both = shown.join(met, (F.col("version") == F.col("m_version")) & F.col("id").eqNullSafe(F.col("m_id")))
 
     parts = F.transform(path_segments(F.lower("url")), lambda x: F.regexp_replace(x, "^@+", ""))
     asked = F.exists(F.split(F.lower(query_of(F.col("url"))), "&"), lambda p: F.split_part(p, F.lit("="), F.lit(1)).isin(USER_PARAMETERS) & p.contains("=") & (F.substring_index(p, "=", -1) == F.col("form")))
@@ -252,7 +269,7 @@ def lead_fields(pages: DataFrame, leads: DataFrame, by: tuple[str, ...] = ()) ->
 
 def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     """pages(id, title, snippet, url, author), leads(kind, lead) -> id, kind, lead, field, match_type, relevance, reason, associated."""
-    return related(lead_fields(pages, leads)).drop("version")
+    return related(cut(lead_fields(pages, leads), "found")).drop("version")  # read twice
 
 
 def related(found: DataFrame) -> DataFrame:

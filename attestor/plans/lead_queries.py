@@ -99,7 +99,7 @@ LEADS = [("name", "name 1"), ("name", "the of"), ("name", "The  the"), ("name",
 
 def _mention_leads(s, d):
     """Some handles, names and hosts, and all addresses in documents."""
-    mails = table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({text.EMAIL_IN_TEXT})"), F.lit(1))).alias("lead")).distinct()
+    mails = table(s, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({text.EMAIL_RUN})"), F.lit(1))).alias("lead")).distinct()
     return s.createDataFrame(LEADS, "kind string, lead string").unionByName(mails.select(F.lit("email").alias("kind"), "lead"))
 
 

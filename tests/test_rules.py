@@ -183,3 +183,12 @@ def test_pairs_of_a_large_class_are_made_in_several_tasks(spark, monkeypatch):
     assert sorted((a, b) for a, b, _ in got) == [(a, b) for a in range(150) for b in range(a + 1, 150)]
     most = max(sum(t == task for _, _, t in got) for task in {t for _, _, t in got})
     assert most < len(got) / 2
+
+
+def test_an_address_after_another_and_addresses_in_one_run_are_met(spark):
+    texts = ["x a@b@c.dd", "a@b.com.x@y.zz, q@w.ee", "ab@cd.ef@gh.ij -@k.lm"]
+    pages = spark.createDataFrame([(k, "", t, "", "") for k, t in enumerate(texts)], "id long, title string, snippet string, url string, author string")
+    leads = spark.createDataFrame([("email", "b@c.dd"), ("email", "q@w.ee"), ("email", "-@k.lm")], "kind string, lead string")
+    assert sorted((r["id"], r["lead"]) for r in discovery.mention_matches(pages, leads).collect()) == [(0, "b@c.dd"), (1, "q@w.ee"), (2, "-@k.lm")]
+    found = lambda p: F.regexp_extract_all("snippet", F.lit(f"({p})"), F.lit(1))
+    assert all(a == b and a for a, b in pages.select(found(text.EMAIL_IN_TEXT), found(text.EMAIL_RUN)).collect())
