@@ -233,7 +233,8 @@ def lead_fields(pages: DataFrame, leads: DataFrame, by: tuple[str, ...] = ()) ->
     if few is not None:
         found = F.array_distinct(F.concat(few, found))
     keyed = lambda df, kept: df.select(*kept, F.inline(F.array(F.struct(joined("low").alias("low"), joined("plain").alias("plain"))))).select(*kept, F.explode(found).alias("key"))
-    if fits(l):
+    small = fits(l)
+    if small:
         both = keyed(shown, shown.columns).join(F.broadcast(l), [*by, "key"])
     else:
         met = keyed(shown, [*by, "id", "version"]).join(l, [*by, "key"])
@@ -260,7 +261,8 @@ def lead_fields(pages: DataFrame, leads: DataFrame, by: tuple[str, ...] = ()) ->
     field = F.when((F.col("kind") == "username") & in_url, "url").when((F.col("kind") == "domain") & at_host, "url")
     for c in FIELDS:
         field = field.when(holds(c), c)
-    found = both.withColumn("field", field).where("field IS NOT NULL").select("id", "version", "kind", "lead", "field")
+    # what met is written with its field but without texts, as it is read more than once
+    found = cut(both.select("id", "version", "kind", "lead", field.alias("field")), "met" if small else "fields").where("field IS NOT NULL")
     match_type = F.when(F.col("kind") == "username", F.when(F.col("field") == "url", "url_path_segment").otherwise("exact_token"))
     for kind, name in MATCH_TYPES.items():
         match_type = match_type.when(F.col("kind") == kind, name)
@@ -269,7 +271,7 @@ def lead_fields(pages: DataFrame, leads: DataFrame, by: tuple[str, ...] = ()) ->
 
 def mention_matches(pages: DataFrame, leads: DataFrame) -> DataFrame:
     """pages(id, title, snippet, url, author), leads(kind, lead) -> id, kind, lead, field, match_type, relevance, reason, associated."""
-    return related(cut(lead_fields(pages, leads), "found")).drop("version")  # read twice
+    return related(lead_fields(pages, leads)).drop("version")
 
 
 def related(found: DataFrame) -> DataFrame:
