@@ -98,12 +98,10 @@ def _page_hit(r: Column, at: Column) -> Column:
     return F.struct(at.alias("place"), isread.alias("read"), *(F.when(isread, value[c]).alias(c) for c in FIELDS))
 
 
-def _within(items: Column, most: int) -> Column:
-    """Items after the first ``most`` that are read count as unread."""
-    nth = lambda at: F.size(F.filter(F.slice(items, F.lit(1), at + 1), lambda y: y["read"]))
-    over = lambda x: x["read"] & (nth(x["place"]) > most)
+def _within(items: Column, last: Column) -> Column:
+    """Items that are read after the place ``last`` count as unread."""
     blank = lambda x: F.struct(x["place"].alias("place"), F.lit(False).alias("read"), *(F.lit(None).cast("string").alias(c) for c in FIELDS))
-    return F.transform(items, lambda x: F.when(over(x), blank(x)).otherwise(x))
+    return F.transform(items, lambda x: F.when(x["read"] & (x["place"] > last), blank(x)).otherwise(x))
 
 
 def hits(landed: DataFrame, limit: int = 5) -> DataFrame:
@@ -123,8 +121,11 @@ def hits(landed: DataFrame, limit: int = 5) -> DataFrame:
         landed = spread(landed)
     # what is parsed is parsed once, however many columns ask for it
     parsed = landed.select(*kept, F.inline(F.array(F.struct(tree.alias("tree"), F.when(page.isNotNull(), result_list(page)).alias("results")))))
-    made = F.when(F.col("provider").isin(*PAGES), _within(F.transform("results", _page_hit), 2 * limit))
+    made = F.when(F.col("provider").isin(*PAGES), F.transform("results", _page_hit))
     for provider, shape in SHAPES.items():
         items = F.transform(F.try_variant_get("tree", shape["rows"], "array<variant>"), _json_hit(provider, limit))
-        made = made.when(F.col("provider") == provider, _within(items, max(1, limit)) if provider == "searxng" else items)
-    return parsed.select(*kept, F.inline_outer(made)).withColumn("read", F.coalesce("read", F.lit(False)))
+        made = made.when(F.col("provider") == provider, items)
+    # items are made once, and the place of the last that is taken is found once for all of them
+    most = F.when(F.col("provider").isin(*PAGES), 2 * limit).when(F.col("provider") == "searxng", max(1, limit))
+    listed = parsed.select(*kept, F.inline(F.array(F.struct(made.alias("items"))))).withColumn("last", F.get(F.filter("items", lambda x: x["read"]), most - 1)["place"])
+    return listed.select(*kept, F.inline_outer(_within(F.col("items"), F.col("last")))).withColumn("read", F.coalesce("read", F.lit(False)))

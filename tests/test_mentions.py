@@ -147,3 +147,11 @@ def test_cases_do_not_meet_each_others_hits(spark, monkeypatch):
     leads = spark.createDataFrame([(c, "name", f"Ann Lee{c}", 0) for c in range(1, 40)], "case long, kind string, lead string, ord long")
     got = {(r["case"], r["lead"], r["matched_field"]) for r in mentions.judged(hits, leads).collect()}
     assert got == {(c if c else None, f"Ann Lee{c}", "title") for c in range(40)} and met == [40]
+
+
+def test_items_of_long_answers_are_made_once(spark):
+    body = json.dumps({"results": [{"url": f"u{k}" if k % 2 else ""} for k in range(20)]})
+    df = landed.hits(spark.createDataFrame([(0, "searxng", 200, body)], "id long, provider string, status int, body string"))
+    assert [(r["place"], r["url"]) for r in df.orderBy("place").collect() if r["read"]] == [(1, "u1"), (3, "u3"), (5, "u5"), (7, "u7"), (9, "u9")]
+    # no item is made inside of what is done for each other item
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("$.results") == 1
