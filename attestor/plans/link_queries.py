@@ -78,7 +78,7 @@ _ALL = {
         lambda s, d: identity.links(identity.notable_pairs(views.records(s, d))),
         f"{R}, {PAIRS} SELECT case_id, left_ord AS src, right_ord AS dst, 'IDENTITY_LINK' AS relation, CASE WHEN score >= 60 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, score, true AS not_civil_id FROM v_pairs WHERE score >= 30",
     ),
-    "identity_clusters": (lambda s, d: identity.clusters(identity.notable_pairs(views.records(s, d))), None),
+    "identity_clusters": (lambda s, d: identity.record_clusters(views.records(s, d)), None),
     "graph_build": (_graph, f"{E}, {GRAPH} SELECT * FROM v_graph"),
     "graph_nodes": (lambda s, d: graph.nodes(_graph(s, d)), f"{E}, {GRAPH}, {NODES} SELECT * FROM v_nodes"),
     "graph_cytoscape": (
